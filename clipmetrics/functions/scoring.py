@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipmetrics import rules
@@ -43,17 +43,24 @@ def recency(now: Column) -> Column:
     return F.when(F.col("published_at").isNull(), 0.35).otherwise(F.exp(-age / 336.0))
 
 
-def relevance(query: Column) -> Column:
+def prepared(df: DataFrame, query: Column) -> DataFrame:
+    """Text columns the text scores read, each computed once per row: _title, _hay, _said, _words, _wanted."""
+    known = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return df.withColumns({
+        "_title": F.lower(known("title")), "_said": F.lower(F.trim(known("search_source"))),
+        "_words": text.tokens(query), "_wanted": F.lower(F.trim(query)),
+        "_author": F.lower(known("author")), "_source": F.lower(known("search_source")),
+    }).withColumns({"_hay": F.concat_ws(" ", "_title", "_author", "_source"), "_text": F.concat_ws(" ", "_title", "_source")})
+
+
+def relevance() -> Column:
     """Share of query words found; at least 0.75 for an expanded phrase; 1 when the title has the query."""
-    title, author, source = (F.coalesce(F.col(c), F.lit("")) for c in ("title", "author", "search_source"))
-    words = text.tokens(query)
-    hay = F.lower(F.concat_ws(" ", title, author, source))
-    share = F.size(F.filter(words, lambda w: F.contains(hay, w))) / F.size(words).cast("double")
-    wanted = F.lower(F.trim(query))
-    other_phrase = (F.trim(source) != "") & (F.lower(F.trim(source)) != wanted)
+    found = F.filter("_words", lambda w: F.contains(F.col("_hay"), w))
+    share = F.size(found) / F.size("_words").cast("double")
+    other_phrase = (F.col("_said") != "") & (F.col("_said") != F.col("_wanted"))
     score = F.when(other_phrase, F.greatest(share, F.lit(0.75))).otherwise(share)
-    score = F.when(F.contains(F.lower(title), wanted), 1.0).otherwise(score)
-    return F.when(F.size(words) == 0, 0.5).otherwise(clamp01(score))
+    score = F.when(F.contains("_title", "_wanted"), 1.0).otherwise(score)
+    return F.when(F.size("_words") == 0, 0.5).otherwise(clamp01(score))
 
 
 def commerce(weights: dict[str, float] | None = None, terms: list[str] | None = None) -> Column:
@@ -62,10 +69,9 @@ def commerce(weights: dict[str, float] | None = None, terms: list[str] | None =
     fit = F.lit(rules.UNKNOWN_PLATFORM_WEIGHT)
     for key, weight in (weights or rules.PLATFORM_WEIGHTS).items():
         fit = F.when(name == key, weight).otherwise(fit)
-    words = F.lower(F.concat(F.coalesce(F.col("title"), F.lit("")), F.lit(" "), F.coalesce(F.col("search_source"), F.lit(""))))
     hits = F.lit(0)
     for term in terms or rules.INTENT_TERMS:
-        hits = hits + F.contains(words, F.lit(term)).cast("int")
+        hits = hits + F.contains("_text", F.lit(term)).cast("int")
     intent = F.when(hits == 0, 0.35).otherwise(F.least(F.lit(1.0), 0.25 * hits))
     seconds = F.coalesce(F.col("duration_sec"), F.lit(0))
     duration = F.lit(rules.DURATION_FIT_LONG)

@@ -35,11 +35,11 @@ def score(df: DataFrame, query: Column, now: Column, by: list[str] | None = None
         tops = _raw(df, now).agg(F.struct(F.max("_engagement").alias("e"), F.max("_velocity").alias("v")).alias("m"))
         top = tops.scalar()
         top_e, top_v = top.e, top.v
-    parts = raw.withColumns({
+    parts = scoring.prepared(raw, query).withColumns({
         "_e": scoring.normalized(F.col("_engagement"), top_e),
         "_v": scoring.normalized(F.col("_velocity"), top_v),
         "_r": scoring.recency(now),
-        "_m": scoring.relevance(query),
+        "_m": scoring.relevance(),
         "_a": scoring.commerce(),
     })
     parts = parts.withColumn("_t", scoring.clamp01(0.45 * F.col("_e") + 0.35 * F.col("_r") + 0.20 * F.col("_v")))

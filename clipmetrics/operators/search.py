@@ -11,28 +11,33 @@ from clipmetrics.params import expansion_limit
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
-def expanded_phrases(topic: Column, limit: int = 0, groups: list[tuple[list[str], list[str]]] | None = None) -> Column:
-    """Phrase array of a topic: the topic first, then the terms of all matching groups in binary order."""
-    topic = F.trim(topic)
-    low = F.lower(topic)
+def with_phrases(df: DataFrame, topic: str, limit: int = 0, groups: list[tuple[list[str], list[str]]] | None = None) -> DataFrame:
+    """Add phrases: the topic first, then the terms of all matching groups in binary order; null for a blank topic.
+
+    The lower-cased topic and the found terms are columns of their own, so each is computed once per row.
+    """
     none = F.array().cast("array<string>")
+    low = df.withColumn("_topic", F.trim(F.col(topic))).withColumn("_low", F.lower("_topic"))
     terms = []
     for markers, phrases in groups or rules.EXPANSION_RULES:
         hit = F.lit(False)
         for marker in markers:
-            hit = hit | F.contains(low, F.lit(marker))
+            hit = hit | F.contains("_low", F.lit(marker))
         terms.append(F.when(hit, F.array(*[F.lit(p.strip()) for p in phrases])).otherwise(none))
-    found = F.filter(F.concat(*terms), lambda t: (t != "") & (F.lower(t) != low))
-    lowered = F.transform(found, lambda t: F.lower(t))
-    distinct = F.filter(found, lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1)
-    ordered = F.concat(F.array(topic), F.array_sort(distinct))
-    return F.when(topic != "", F.slice(ordered, 1, min(rules.EXPANSION_CAP, expansion_limit(limit))))
+    found = low.withColumn("_found", F.concat(*terms))
+    keyed = F.transform("_found", lambda t, i: F.struct(F.lower(t).alias("k"), i.alias("i"), t.alias("t")))
+    fresh = found.withColumn("_keyed", F.array_sort(F.filter(keyed, lambda p: (p.k != "") & (p.k != F.col("_low")))))
+    # sorted by (key, position): the first of equal keys is the first spelling
+    first = F.filter("_keyed", lambda p, i: (i == 0) | (F.get(F.col("_keyed"), i - 1).k != p.k))
+    ordered = F.concat(F.array("_topic"), F.array_sort(F.transform(first, lambda p: p.t)))
+    phrases = F.when(F.col("_topic") != "", F.slice(ordered, 1, min(rules.EXPANSION_CAP, expansion_limit(limit))))
+    return fresh.withColumn("phrases", phrases).drop("_topic", "_low", "_found", "_keyed")
 
 
 def expand_topics(df: DataFrame, topic: str, limit: int = 0) -> DataFrame:
     """One row per phrase: phrase_no from 0, phrase."""
     keep = [c for c in df.columns if c != topic]
-    return df.select(*keep, F.posexplode(expanded_phrases(F.col(topic), limit)).alias("phrase_no", "phrase"))
+    return with_phrases(df, topic, limit).select(*keep, F.posexplode("phrases").alias("phrase_no", "phrase"))
 
 
 def clean_sources(sources: Column) -> Column:
@@ -77,7 +82,8 @@ def _needles(phrases: DataFrame) -> DataFrame:
 
 def _grams(low: Column) -> Column:
     chars = F.split(low, "")
-    pairs = F.transform(chars, lambda c, i: F.concat(c, F.coalesce(F.get(chars, i + 1), F.lit(""))))
+    following = F.slice(chars, F.lit(2), F.greatest(F.lit(0), F.size(chars) - 1))
+    pairs = F.zip_with(chars, following, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     return F.array_distinct(F.concat(chars, pairs))
 
 
