@@ -93,14 +93,19 @@ def stage_signatures(items: DataFrame, config: dict[str, list[str]]) -> DataFram
     return items
 
 
+def wanted_stages(items: DataFrame, config: dict[str, list[str]], key: str = "item_id") -> DataFrame:
+    """One row per (item, stage) with the signature its artifact must have."""
+    signed = stage_signatures(items, config)
+    stages = F.array(*[F.struct(F.lit(i).alias("stage_no"), F.lit(s).alias("stage"), F.col(f"sig_{s}").alias("signature"))
+                       for i, s in enumerate(config)])
+    return signed.select(key, F.explode(stages).alias("s")).select(key, "s.*")
+
+
 def plan_stages(items: DataFrame, artifacts: DataFrame, config: dict[str, list[str]], key: str = "item_id") -> DataFrame:
-    """One row per (item, stage) with cached = an artifact with this very signature exists.
+    """wanted_stages with cached = an artifact with this very signature exists.
 
     A changed early stage changes every later signature, so what follows is recomputed too.
     """
-    signed = stage_signatures(items, config)
-    stages = F.array(*[F.struct(F.lit(i).alias("stage_no"), F.lit(s).alias("stage"), F.col(f"sig_{s}").alias("signature"))
-                       for i, s in enumerate(config)])
-    wanted = signed.select(key, F.explode(stages).alias("s")).select(key, "s.*")
     stored = artifacts.select(key, "stage", "signature").distinct().withColumn("cached", F.lit(True))
-    return wanted.join(stored, [key, "stage", "signature"], "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
+    joined = wanted_stages(items, config, key).join(stored, [key, "stage", "signature"], "left")
+    return joined.withColumn("cached", F.coalesce("cached", F.lit(False)))

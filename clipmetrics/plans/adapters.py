@@ -67,19 +67,23 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OBSERVATIONS = """observations as (
-select cast(user_id as varchar) as video_id, event_id as ord, epoch_us(ts) / 1e6 as t, event_type as text, value / 500.0 as confidence,
+select cast(user_id as varchar) as video_id, event_id as ord, epoch_us(ts) / 1e6 as t, event_type as text, value / 499.0 as confidence,
   (event_id % 80) / 100.0 as x, (event_id % 70) / 100.0 as y, 0.05 + (event_id % 15) / 100.0 as w, 0.03 + (event_id % 5) / 100.0 as h
 from events)"""
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event log as timed texts: seconds, event type as text, value as confidence, boxes from the id."""
+    """Event log as timed texts: seconds, event type as text, value as confidence, boxes from the id.
+
+    Values have two decimals; the odd divisor keeps means of confidences off exact rounding ties, where
+    engines may differ in the last digit.
+    """
     e, at = table(spark, sf_dir, "events"), F.col("event_id")
     share = lambda n: (at % n) / 100.0
     return e.select(
         F.col("user_id").cast("string").alias("video_id"), at.alias("ord"),
         (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("event_type").alias("text"),
-        (F.col("value") / 500.0).alias("confidence"), share(80).alias("x"), share(70).alias("y"),
+        (F.col("value") / 499.0).alias("confidence"), share(80).alias("x"), share(70).alias("y"),
         (0.05 + share(15)).alias("w"), (0.03 + share(5)).alias("h"),
     )
 

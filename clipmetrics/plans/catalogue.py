@@ -7,10 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipmetrics.plans import discovery, history
+from clipmetrics.plans import captions, discovery, history, media, pages, subtitles
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = [discovery, history]
+PARTS = [discovery, history, captions, subtitles, media, pages]
 
 
 def _in_utc(query: Query) -> Query:

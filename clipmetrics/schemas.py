@@ -36,10 +36,10 @@ METADATA = (
 )
 
 ADDRESS = "struct<uri: string, url_list: array<string>>"
-MEDIA = (
-    f"bit_rate array<struct<bit_rate: bigint, play_addr: {ADDRESS}, play_addr_h264: {ADDRESS}, "
-    f"play_addr_265: {ADDRESS}>>, play_addr {ADDRESS}, play_addr_h264 {ADDRESS}, play_addr_265 {ADDRESS}"
+BIT_RATES = (
+    f"array<struct<bit_rate: bigint, play_addr: {ADDRESS}, play_addr_h264: {ADDRESS}, play_addr_265: {ADDRESS}>>"
 )
+MEDIA = f"bit_rate {BIT_RATES}, play_addr {ADDRESS}, play_addr_h264 {ADDRESS}, play_addr_265 {ADDRESS}"
 
 JOB_VIDEO = "id string, platform string, title string, url string, likes bigint"
 LOCALIZATION = (

@@ -159,7 +159,7 @@ def media_candidates(items: DataFrame, column: str, keep: list[str]) -> DataFram
     m = items.select(*keep, F.from_json(F.col(column), schemas.MEDIA).alias("m"))
     none = F.array().cast("array<string>")
     lists = lambda owner: F.flatten(F.array(*[F.coalesce(owner[k].url_list, none) for k in rules.PLAY_KEYS]))
-    rated = F.transform(F.coalesce(F.col("m.bit_rate"), F.from_json(F.lit("[]"), schemas.MEDIA.split(">>,")[0].removeprefix("bit_rate ") + ">>")),
+    rated = F.transform(F.coalesce(F.col("m.bit_rate"), F.array().cast(schemas.BIT_RATES)),
                         lambda b, i: F.struct((-F.coalesce(b.bit_rate, F.lit(0))).alias("r"), i.alias("i"), lists(b).alias("u")))
     ranked = F.flatten(F.transform(F.array_sort(rated), lambda b: b.u))
     uri = F.coalesce(*[text.blank_to_null(F.col(f"m.{k}.uri")) for k in rules.PLAY_KEYS])

@@ -59,7 +59,7 @@ def write_srt(cues: DataFrame, path: str, key: str = "video_id") -> None:
 
 def normalized_srt(col: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(col, "^\\x{feff}", ""), r"\r\n?", "\n")
-    return F.concat(F.regexp_replace(plain, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), F.lit("\n"))
+    return F.concat(F.btrim(plain, F.lit(" \t\n\x0b\f\u0085\u00a0\u2028\u2029\u3000")), F.lit("\n"))
 
 
 def validate_srt(files: DataFrame, keep: list[str], content: str = "content") -> DataFrame:
@@ -67,7 +67,7 @@ def validate_srt(files: DataFrame, keep: list[str], content: str = "content") ->
     checked = files.select(*keep, normalized_srt(F.col(content)).alias("_srt"))
     timing = r"(?m)^\s*\d{2}:\d{2}:\d{2}[,.]\d{3}\s+-->\s+\d{2}:\d{2}:\d{2}[,.]\d{3}"
     reason = (
-        F.when(F.trim(F.replace("_srt", F.lit("\n"), F.lit(""))) == "", "subtitle cannot be empty")
+        F.when(F.col("_srt") == "\n", "subtitle cannot be empty")
         .when(F.octet_length("_srt") > rules.MAX_SUBTITLE_BYTES, "subtitle exceeds 2 MiB limit")
         .when(~F.rlike("_srt", F.lit(timing)), "no timing line found")
     )
