@@ -7,10 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipmetrics.plans import captions, discovery, history, media, pages, subtitles
+from clipmetrics.plans import captions, discovery, history, media, pages, streams, subtitles
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = [discovery, history, captions, subtitles, media, pages]
+PARTS = [discovery, history, captions, subtitles, media, pages, streams]
 
 
 def _in_utc(query: Query) -> Query:

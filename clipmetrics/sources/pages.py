@@ -34,6 +34,10 @@ def anchors(pages: DataFrame, keep: list[str], html: str = "html", limit: int |
     return out.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
 
 
+def _bare_ids(ids: Column, number: int) -> Column:
+    return F.transform(ids, lambda v, i: F.struct(F.lit(number).alias("pass"), i.alias("pos"), v.alias("id"), F.lit("").alias("label")))
+
+
 def video_links(pages: DataFrame, keep: list[str], keyword: Column, html: str = "html", anchor: str = rules.KUAISHOU_ANCHOR,
                 path: str = rules.KUAISHOU_ID, url_prefix: str = rules.KUAISHOU_URL, platform: str = "kuaishou",
                 embedded: str | None = None, anchor_has_id: bool = False) -> DataFrame:
@@ -44,8 +48,7 @@ def video_links(pages: DataFrame, keep: list[str], keyword: Column, html: str =
     link = _groups(F.col("_doc"), anchor, 1, 2)
     passes = [F.transform(link, lambda a, i: F.struct(F.lit(0).alias("pass"), i.alias("pos"), a.g0.alias("id"), a.g1.alias("label")))]
     for n, pattern in enumerate([path] + ([embedded] if embedded else []), start=1):
-        ids = F.regexp_extract_all(F.col("_doc"), F.lit(pattern), F.lit(1))
-        passes.append(F.transform(ids, lambda v, i, n=n: F.struct(F.lit(n).alias("pass"), i.alias("pos"), v.alias("id"), F.lit("").alias("label"))))
+        passes.append(_bare_ids(F.regexp_extract_all(F.col("_doc"), F.lit(pattern), F.lit(1)), n))
     rows = base.select(*keep, "_keyword", F.explode(F.concat(*passes)).alias("v")).select(*keep, "_keyword", "v.*")
     if not anchor_has_id:
         rows = rows.withColumn("id", F.when(F.col("pass") == 0, urls.video_id(F.col("id"), path)).otherwise(F.col("id")))

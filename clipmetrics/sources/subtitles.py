@@ -16,10 +16,15 @@ from clipmetrics.operators.ordered import row_numbers, with_slices
 TIMING = r"(\d{2}:\d{2}:\d{2}[,.]\d{3})\s+-->\s+(\d{2}:\d{2}:\d{2}[,.]\d{3})"
 
 
+def _plain(col: Column) -> Column:
+    """Without byte order mark, line ends as newlines."""
+    bare = F.when(F.startswith(col, F.lit("\ufeff")), F.substr(col, F.lit(2))).otherwise(col)
+    return F.replace(F.replace(bare, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+
+
 def parse_srt(files: DataFrame, keep: list[str], content: str = "content", joiner: str = "\n") -> DataFrame:
     """Subtitle texts to cues: (keep, block_no, start_s, end_s, text); blocks without time, span or body are dropped."""
-    plain = F.regexp_replace(F.regexp_replace(F.col(content), "^\\x{feff}", ""), r"\r\n?", "\n")
-    blocks = files.select(*keep, F.posexplode(F.split(F.trim(plain), r"\n\s*\n")).alias("block_no", "block"))
+    blocks = files.select(*keep, F.posexplode(F.split(F.trim(_plain(F.col(content))), r"\n\s*\n")).alias("block_no", "block"))
     lines = F.filter(F.split("block", r"\n"), lambda line: F.trim(line) != "")
     rows = blocks.select(*keep, "block_no", lines.alias("_lines")).where(F.size("_lines") > 0)
     head = F.when(F.rlike(F.trim(F.col("_lines")[0]), F.lit(r"^\d+$")), 1).otherwise(0)
@@ -58,8 +63,7 @@ def write_srt(cues: DataFrame, path: str, key: str = "video_id") -> None:
 
 
 def normalized_srt(col: Column) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(col, "^\\x{feff}", ""), r"\r\n?", "\n")
-    return F.concat(F.btrim(plain, F.lit(" \t\n\x0b\f\u0085\u00a0\u2028\u2029\u3000")), F.lit("\n"))
+    return F.concat(F.btrim(_plain(col), F.lit(" \t\n\x0b\f\u0085\u00a0\u2028\u2029\u3000")), F.lit("\n"))
 
 
 def validate_srt(files: DataFrame, keep: list[str], content: str = "content") -> DataFrame:
