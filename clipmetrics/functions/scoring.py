@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clipmetrics import rules
 from clipmetrics.functions import text
+from clipmetrics.functions.text import strip
 
 
 def clamp01(col: Column) -> Column:
@@ -47,8 +48,8 @@ def prepared(df: DataFrame, query: Column) -> DataFrame:
     """Text columns the text scores read, each computed once per row: _title, _hay, _said, _words, _wanted."""
     known = lambda c: F.coalesce(F.col(c), F.lit(""))
     return df.withColumns({
-        "_title": F.lower(known("title")), "_said": F.lower(F.trim(known("search_source"))),
-        "_words": text.tokens(query), "_wanted": F.lower(F.trim(query)),
+        "_title": F.lower(known("title")), "_said": F.lower(strip(known("search_source"))),
+        "_words": text.tokens(query), "_wanted": F.lower(strip(query)),
         "_author": F.lower(known("author")), "_source": F.lower(known("search_source")),
     }).withColumns({"_hay": F.concat_ws(" ", "_title", "_author", "_source"), "_text": F.concat_ws(" ", "_title", "_source")})
 
@@ -65,7 +66,7 @@ def relevance() -> Column:
 
 def commerce(weights: dict[str, float] | None = None, terms: list[str] | None = None) -> Column:
     """Platform fit, buying-intent terms and duration fit."""
-    name = F.lower(F.trim(F.coalesce(F.col("platform"), F.lit(""))))
+    name = F.lower(strip(F.coalesce(F.col("platform"), F.lit(""))))
     fit = F.lit(rules.UNKNOWN_PLATFORM_WEIGHT)
     for key, weight in (weights or rules.PLATFORM_WEIGHTS).items():
         fit = F.when(name == key, weight).otherwise(fit)

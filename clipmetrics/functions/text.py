@@ -15,6 +15,14 @@ SPACE = r"[\s\p{Z}\x{85}]+"
 PUNCT_OR_SPACE = r"[\s\p{Z}\x{85}\p{P}]+"
 ZERO_WIDTH = r"[\x{200b}-\x{200f}\x{feff}]"
 
+# everything Unicode counts as white space; Spark's own trim removes blanks only
+WHITESPACE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(col: Column | str) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(col, F.lit(WHITESPACE))
+
 
 @F.pandas_udf(StringType())
 def _unescape(values: pd.Series) -> pd.Series:
@@ -37,7 +45,7 @@ def unescape(col: Column, full: bool = True) -> Column:
 
 def collapse(col: Column) -> Column:
     """Runs of white space to one blank, ends trimmed."""
-    return F.trim(F.regexp_replace(col, SPACE, " "))
+    return strip(F.regexp_replace(col, SPACE, " "))
 
 
 def clean_index_text(col: Column, full: bool = True) -> Column:
@@ -59,20 +67,20 @@ def unescape_slashes(col: Column) -> Column:
 
 
 def blank_to_null(col: Column) -> Column:
-    return F.nullif(F.trim(col), F.lit(""))
+    return F.nullif(strip(col), F.lit(""))
 
 
 def strip_site_suffixes(col: Column) -> Column:
     """Site name endings removed one after the other."""
-    col = F.trim(col)
+    col = strip(col)
     for suffix in rules.SITE_SUFFIXES:
         bare = F.left(col, F.length(col) - F.lit(len(suffix)))
-        col = F.trim(F.when(F.endswith(col, F.lit(suffix)), bare).otherwise(col))
+        col = strip(F.when(F.endswith(col, F.lit(suffix)), bare).otherwise(col))
     return col
 
 
 def is_generic_title(col: Column) -> Column:
-    low = F.lower(F.trim(col))
+    low = F.lower(strip(col))
     found = F.lit(False)
     for marker in rules.GENERIC_TITLES:
         found = found | F.contains(low, F.lit(marker))
@@ -86,8 +94,8 @@ def tokens(col: Column) -> Column:
 
 def channel_name(col: Column) -> Column:
     """Creator name without a leading @, separators as one blank."""
-    bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(col, f"^{SPACE}", "")), "^@", ""))
-    return F.trim(F.regexp_replace(F.lower(bare), r"[\s\p{Z}\x{85}_\-·•]+", " "))
+    bare = strip(F.regexp_replace(strip(F.regexp_replace(col, f"^{SPACE}", "")), "^@", ""))
+    return strip(F.regexp_replace(F.lower(bare), r"[\s\p{Z}\x{85}_\-·•]+", " "))
 
 
 def squeeze(col: Column) -> Column:
@@ -110,7 +118,7 @@ def compact(col: Column) -> Column:
 
 def looks_untranslated(source: Column, target: Column, script: str = rules.HAN) -> Column:
     """Target still is the source script: a compact copy, or mostly that script in a sentence."""
-    src, dst = F.trim(F.coalesce(source, F.lit(""))), F.trim(F.coalesce(target, F.lit("")))
+    src, dst = strip(F.coalesce(source, F.lit(""))), strip(F.coalesce(target, F.lit("")))
     in_src, in_dst = script_count(src, script), script_count(dst, script)
     share = in_dst / F.greatest(F.lit(1), F.regexp_count(dst, F.lit(r"\p{L}"))).cast("double")
     dominant = (in_src >= 4) & (in_dst >= 4) & (share >= 0.55)
@@ -125,8 +133,8 @@ def speech_text(col: Column) -> Column:
 
 def title_from_stem(col: Column) -> Column:
     """File stem to title: trailing [id] dropped, underscores to blanks, 240 characters kept."""
-    bare = F.regexp_replace(F.trim(F.coalesce(col, F.lit(""))), r"(?i)\s*\[(?:BV[0-9A-Za-z]+|av\d+|\d{8,})\]\s*$", "")
-    return F.left(F.trim(F.replace(bare, F.lit("_"), F.lit(" "))), F.lit(240))
+    bare = F.regexp_replace(strip(F.coalesce(col, F.lit(""))), r"(?i)\s*\[(?:BV[0-9A-Za-z]+|av\d+|\d{8,})\]\s*$", "")
+    return F.left(strip(F.replace(bare, F.lit("_"), F.lit(" "))), F.lit(240))
 
 
 def platform_from_file(col: Column) -> Column:
@@ -151,5 +159,5 @@ def srt_seconds(col: Column) -> Column:
 
 def lenient_json(col: Column) -> Column:
     """Variant from loose JSON text: code fences dropped, else the outermost braces."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(col), r"^```[^\n]*\n?", ""), r"\n?```[^\n]*$", ""))
+    bare = strip(F.regexp_replace(F.regexp_replace(strip(col), r"^```[^\n]*\n?", ""), r"\n?```[^\n]*$", ""))
     return F.coalesce(F.try_parse_json(bare), F.try_parse_json(F.regexp_extract(bare, r"(?s)\{.*\}", 0)))

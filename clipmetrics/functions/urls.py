@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clipmetrics import rules
 from clipmetrics.functions import text
+from clipmetrics.functions.text import strip
 
 PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
@@ -34,7 +35,7 @@ def host_allowed(host_col: Column, suffixes: tuple[str, ...] | list[str]) -> Col
 
 def preview_host_allowed(platform: Column, url: Column) -> Column:
     """Preview hosts per platform; unknown platforms have none."""
-    name, h = F.lower(F.trim(platform)), host(url)
+    name, h = F.lower(strip(platform)), host(url)
     found = F.lit(False)
     for key, suffixes in rules.PREVIEW_HOSTS.items():
         found = found | ((name == key) & host_allowed(h, suffixes))
@@ -85,7 +86,7 @@ def _plain_path(path: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """http(s) address without fragment and tracking, query in key order; null otherwise."""
-    url = F.trim(url)
+    url = strip(url)
     query = clean_query(_part(url, 4))
     rebuilt = F.concat(scheme(url), F.lit("://"), _part(url, 2), _plain_path(_part(url, 3)),
                        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
@@ -94,13 +95,13 @@ def canonical_url(url: Column) -> Column:
 
 def accepted(platform: Column, url: Column, host_rules: dict[str, rules.HostRule] | None = None) -> Column:
     """Whether the platform's host and path rules take this address."""
-    url = F.trim(url)
-    h, path, name = host(url), _part(url, 3), F.lower(F.trim(platform))
+    url = strip(url)
+    h, path, name = host(url), _part(url, 3), F.lower(strip(platform))
     found = F.lit(False)
     for key, rule in (host_rules or rules.HOST_RULES).items():
         ok = (name == key) & host_allowed(h, rule.suffixes) & F.rlike(path, F.lit(rule.path))
         if rule.param:
-            ok = ok & (F.trim(F.coalesce(query_value(url, rule.param), F.lit(""))) != "")
+            ok = ok & (strip(F.coalesce(query_value(url, rule.param), F.lit(""))) != "")
         found = found | ok
     return found
 
@@ -113,7 +114,7 @@ def platform_url(platform: Column, url: Column, host_rules: dict[str, rules.Host
 def unwrap_redirect(url: Column, redirect_host: str = rules.REDIRECT_HOST, param: str = rules.REDIRECT_PARAM) -> Column:
     """Target of a redirect link; protocol-relative links become https; a redirect without target is blank."""
     full = F.when(F.startswith(url, F.lit("//")), F.concat(F.lit("https:"), url)).otherwise(url)
-    target = F.trim(F.coalesce(query_value(full, param), F.lit("")))
+    target = strip(F.coalesce(query_value(full, param), F.lit("")))
     return F.when(F.contains(host(full), F.lit(redirect_host)), F.coalesce(_decode(target), target)).otherwise(full)
 
 
@@ -133,7 +134,7 @@ def rebuilt_url(url: Column, prefix: str, *patterns: str) -> Column:
 
 def media_url(col: Column, full: bool = True) -> Column:
     """Media link in its playable https form, null when it is none."""
-    u = text.unescape_slashes(F.trim(text.unescape(col, full)))
+    u = text.unescape_slashes(strip(text.unescape(col, full)))
     u = F.regexp_replace(u, r"[,;)\]}]+$", "")
     u = F.when(F.startswith(u, F.lit("//")), F.concat(F.lit("https:"), u)).otherwise(u)
     u = F.regexp_replace(F.replace(u, F.lit("playwm"), F.lit("play")), "^http://", "https://")
@@ -150,5 +151,5 @@ def looks_like_media(url: Column, markers: list[str] | None = None) -> Column:
 
 def captured_media_url(col: Column) -> Column:
     """Link seen in browser traffic: &amp; decoded, https only, media-looking; null otherwise."""
-    u = F.regexp_replace(F.trim(F.replace(col, F.lit("&amp;"), F.lit("&"))), "^http://", "https://")
+    u = F.regexp_replace(strip(F.replace(col, F.lit("&amp;"), F.lit("&"))), "^http://", "https://")
     return F.when(F.startswith(F.lower(u), F.lit("https://")) & looks_like_media(u, rules.CAPTURE_MARKERS), u)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from clipmetrics import rules
 from clipmetrics.functions import text
+from clipmetrics.functions.text import strip
 from clipmetrics.operators.ordered import row_numbers, with_slices
 from clipmetrics.params import PackingParams
 from clipmetrics.session import written
@@ -28,7 +29,7 @@ def context_batches(segments: DataFrame, params: PackingParams = PackingParams()
     own = F.floor(at / params.batch_size)
     first, last = F.floor((at - params.context) / params.batch_size), F.floor((at + params.context) / params.batch_size)
     sent = numbered.withColumn("own", own).withColumn("batch_no", F.explode(F.sequence(F.greatest(F.lit(0), first), last)))
-    item = F.struct("rn", F.col("ord").alias("id"), F.trim("text").alias("text"))
+    item = F.struct("rn", F.col("ord").alias("id"), strip("text").alias("text"))
     part = lambda cond: F.array_sort(F.collect_list(F.when(cond, item)))
     grouped = sent.groupBy("video_id", "batch_no").agg(
         part(F.col("own") == F.col("batch_no")).alias("items"), part(F.col("own") < F.col("batch_no")).alias("before"),
@@ -121,7 +122,7 @@ def with_bisection(batches: DataFrame, transformer: Transformer, script: str = r
 
 def attach_translations(segments: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(segments with their non-empty translation, segments the transformer left out)."""
-    usable = answers.where(F.trim(F.coalesce(F.col("text"), F.lit(""))) != "").select("video_id", F.col("id").alias("ord"), F.trim("text").alias("translation"))
+    usable = answers.where(strip(F.coalesce(F.col("text"), F.lit(""))) != "").select("video_id", F.col("id").alias("ord"), strip("text").alias("translation"))
     return segments.join(usable, ["video_id", "ord"]), segments.join(usable, ["video_id", "ord"], "left_anti")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from clipmetrics.functions import regions
+from clipmetrics.functions.text import strip
 from clipmetrics.operators.folds import fold
 from clipmetrics.params import PersistentParams
 
@@ -67,7 +68,7 @@ def persistent_region(df: DataFrame, samples: DataFrame, params: PersistentParam
 
     Everything is counted per (video, side, cell, sample) first; later steps work on that small table.
     """
-    sided = df.withColumn("side", F.lower(F.trim("side"))).where(F.col("side").isin("left", "right"))
+    sided = df.withColumn("side", F.lower(strip("side"))).where(F.col("side").isin("left", "right"))
     branded = F.contains(F.lower("text"), F.lit(params.brand))
     points = (
         regions.clamp(F.coalesce(F.col("confidence"), F.lit(0.0)), 0.0, 1.0)
@@ -110,7 +111,7 @@ def persistent_region(df: DataFrame, samples: DataFrame, params: PersistentParam
 
 def persistent_texts(df: DataFrame, chosen: DataFrame, params: PersistentParams = PersistentParams()) -> DataFrame:
     """First texts seen on the chosen side of each video, in order."""
-    rows = df.withColumn("side", F.lower(F.trim("side"))).where(F.coalesce(F.col("text"), F.lit("")) != "")
+    rows = df.withColumn("side", F.lower(strip("side"))).where(F.coalesce(F.col("text"), F.lit("")) != "")
     mine = rows.join(chosen.select("video_id", "side"), ["video_id", "side"], "left_semi")
     order = Window.partitionBy("video_id").orderBy("ord")
     first = mine.withColumn("n", F.row_number().over(order)).where(F.col("n") <= params.max_texts)

@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipmetrics.functions import text
+from clipmetrics.functions.text import strip
 from clipmetrics.params import SearchFilters
 from clipmetrics.schemas import COUNTER_FIELDS, STRING_FIELDS
 
 
 def merge_key(collapse_blank: bool = True) -> tuple[Column, Column]:
     """(platform, id or address); rows with neither share one key per platform unless switched off."""
-    platform = F.lower(F.trim(F.coalesce(F.col("platform"), F.lit(""))))
-    ident = F.trim(F.coalesce(F.col("video_id"), F.lit("")))
-    link = F.trim(F.coalesce(F.col("url"), F.lit("")))
+    platform = F.lower(strip(F.coalesce(F.col("platform"), F.lit(""))))
+    ident = strip(F.coalesce(F.col("video_id"), F.lit("")))
+    link = strip(F.coalesce(F.col("url"), F.lit("")))
     key = F.when(ident != "", ident).otherwise(link)
     if not collapse_blank:
         key = F.when(key == "", F.concat(F.lit("#"), F.col("seq").cast("string"))).otherwise(key)
@@ -54,7 +55,7 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def distinct_phrases(df: DataFrame, group: list[str], phrase: str, order: list[str]) -> DataFrame:
     """Case-insensitive distinct, first spelling kept."""
-    keyed = df.withColumn("_key", F.lower(F.trim(F.col(phrase)))).where(F.col("_key") != "")
+    keyed = df.withColumn("_key", F.lower(strip(F.col(phrase)))).where(F.col("_key") != "")
     return keep_first(keyed, [*group, "_key"], order).drop("_key")
 
 
@@ -97,12 +98,12 @@ def of_channels(df: DataFrame, channels: DataFrame, name: str = "channel") -> Da
 
 def processable(df: DataFrame) -> DataFrame:
     """Image posts removed."""
-    return df.where(F.lower(F.trim(F.coalesce(F.col("media_type"), F.lit("")))) != "image")
+    return df.where(F.lower(strip(F.coalesce(F.col("media_type"), F.lit("")))) != "image")
 
 
 def triage(df: DataFrame) -> DataFrame:
     """Accept column and the reason of a rejection."""
-    image = F.lower(F.trim(F.coalesce(F.col("media_type"), F.lit("")))) == "image"
+    image = F.lower(strip(F.coalesce(F.col("media_type"), F.lit("")))) == "image"
     return df.withColumn("accepted", ~image).withColumn("reason", F.when(image, "image post"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, Struc
 
 from clipmetrics import rules
 from clipmetrics.functions import regions, similarity, text
+from clipmetrics.functions.text import strip
 from clipmetrics.operators.folds import fold
 from clipmetrics.operators.ordered import dense_ids, previous_within, running_counts
 from clipmetrics.params import CaptionParams
@@ -313,6 +314,6 @@ def frame_texts(detections: DataFrame, frame_w: float, frame_h: float, row_heigh
     item = F.struct(row.alias("row"), F.col("x"), F.col("det"), F.col("text"), shape.alias("box"))
     framed = detections.groupBy("video_id", "frame").agg(F.array_sort(F.collect_list(item)).alias("items"), F.avg("confidence").alias("confidence"))
     return framed.select(
-        "video_id", "frame", F.trim(F.array_join(F.transform("items", lambda i: i.text), " ")).alias("text"), "confidence",
+        "video_id", "frame", strip(F.array_join(F.transform("items", lambda i: i.text), " ")).alias("text"), "confidence",
         F.transform("items", lambda i: i.box).alias("boxes"),
     )

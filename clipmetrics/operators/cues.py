@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from clipmetrics.functions import regions, text
+from clipmetrics.functions.text import strip
 from clipmetrics.operators.folds import fold
 from clipmetrics.operators.ordered import previous, running_counts, running_max, with_slices
 from clipmetrics.params import MatchParams, PackingParams
@@ -56,7 +57,7 @@ def pack_speech(cues: DataFrame, params: PackingParams = PackingParams(), slice_
     A long pause always closes a group, so the stretches between pauses are independent and only
     inside one the greedy choice is sequential.
     """
-    spoken = cues.withColumn("text", F.trim("text")).where(F.col("text") != "")
+    spoken = cues.withColumn("text", strip("text")).where(F.col("text") != "")
     sliced = with_slices(spoken.select("video_id", "ord", "start_s", "end_s", "text"), F.col("start_s"), slice_seconds)
     linked = previous(sliced, ["video_id"], ORDER, ["end_s"])
     pause = F.col("prev_end_s").isNull() | (F.col("start_s") - F.col("prev_end_s") > params.max_gap)
@@ -70,7 +71,7 @@ def _join_up(pieces: Column, limit: int) -> Column:
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def add(state: Column, piece: Column) -> Column:
-        candidate = F.trim(F.concat(state.open, F.lit(" "), piece))
+        candidate = strip(F.concat(state.open, F.lit(" "), piece))
         full = (state.open != "") & (F.length(candidate) > limit)
         return F.struct(
             F.when(full, F.concat(state.done, F.array(state.open))).otherwise(state.done).alias("done"),
@@ -84,7 +85,7 @@ def _join_up(pieces: Column, limit: int) -> Column:
 def split_text(col: Column, limit: int = 90) -> Column:
     """A long text as pieces of at most limit characters: by sentences, then words, then hard cuts."""
     clean = text.speech_text(col)
-    sentences = F.filter(F.transform(F.split(clean, r"(?<=[.!?。！？;；:：,，])\s*"), lambda s: F.trim(s)), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split(clean, r"(?<=[.!?。！？;；:：,，])\s*"), lambda s: strip(s)), lambda s: s != "")
 
     def pieces(sentence: Column) -> Column:
         words = F.filter(F.split(sentence, text.SPACE), lambda w: w != "")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipmetrics import rules
+from clipmetrics.functions.text import strip
 from clipmetrics.session import broadcast_if_small
 
 
@@ -114,7 +115,7 @@ def with_history(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
 
     A blank id or address gets a key of its own that matches nothing, so blanks spread over all partitions.
     """
-    ident, link = (F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("video_id", "url"))
+    ident, link = (strip(F.coalesce(F.col(c), F.lit(""))) for c in ("video_id", "url"))
     by_id = jobs.where(ident != "").groupBy("platform", ident.alias("_id")).agg(F.max_by("status", "seq").alias("_by_id"))
     by_url = jobs.where(link != "").groupBy(link.alias("_url")).agg(F.max_by("status", "seq").alias("_by_url"))
     no_id, no_link = F.concat(F.lit("# "), link), F.concat(F.lit("# "), ident)
@@ -133,23 +134,23 @@ def unseen(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def normalized_mode(col: Column) -> Column:
-    name = F.lower(F.trim(F.coalesce(col, F.lit(""))))
+    name = F.lower(strip(F.coalesce(col, F.lit(""))))
     return F.when(name.isin(rules.MODES), name).otherwise("dub")
 
 
 def normalized_aspect(col: Column) -> Column:
-    name = F.lower(F.trim(F.coalesce(col, F.lit(""))))
+    name = F.lower(strip(F.coalesce(col, F.lit(""))))
     return F.when(name.isin(rules.ASPECTS), name).otherwise("original")
 
 
 def search_mode(col: Column) -> Column:
-    name = F.lower(F.trim(F.coalesce(col, F.lit(""))))
+    name = F.lower(strip(F.coalesce(col, F.lit(""))))
     return F.when(name.isin(rules.CHANNEL_MODES), "channel").otherwise("keyword")
 
 
 def render_style(col: Column) -> Column:
     """Style by alias, null when unknown."""
-    name = F.lower(F.trim(F.coalesce(col, F.lit(""))))
+    name = F.lower(strip(F.coalesce(col, F.lit(""))))
     style = F.lit(None).cast("string")
     for alias, value in rules.STYLES.items():
         style = F.when(name == alias, value).otherwise(style)
@@ -158,7 +159,7 @@ def render_style(col: Column) -> Column:
 
 def validate_settings(requests: DataFrame) -> DataFrame:
     """requests(mode, aspect, style) normalised; invalid names a rejected setting, null when all are fine."""
-    name = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    name = lambda c: F.lower(strip(F.coalesce(F.col(c), F.lit(""))))
     bad_mode = (name("mode") != "") & ~name("mode").isin(rules.MODES)
     bad_aspect = (name("aspect") != "") & ~name("aspect").isin(rules.ASPECTS)
     style = render_style(F.col("style"))
@@ -172,4 +173,4 @@ def merge_outputs(outputs: Column, fresh: Column) -> Column:
     """Outputs per aspect with blank paths removed; a newer path replaces the older one."""
     kept = F.map_filter(F.coalesce(outputs, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))),
                         lambda k, v: ~F.map_contains_key(fresh, k))
-    return F.map_filter(F.map_concat(kept, fresh), lambda k, v: F.trim(v) != "")
+    return F.map_filter(F.map_concat(kept, fresh), lambda k, v: strip(v) != "")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipmetrics import rules
+from clipmetrics.functions.text import strip
 from clipmetrics.operators.ordered import dense_ids
 from clipmetrics.session import broadcast_if_small
 
@@ -15,7 +16,7 @@ def pick_streams(streams: DataFrame, key: str = "video_id") -> DataFrame:
 
     Ties go to the earlier stream. One aggregation, combined map-side.
     """
-    mime = F.lower(F.trim("mime"))
+    mime = F.lower(strip("mime"))
     picture = F.startswith(mime, F.lit("video/")) & ((F.coalesce("width", F.lit(0)) > 0) | (F.coalesce("height", F.lit(0)) > 0))
     combined = F.startswith(mime, F.lit("video/")) & ~picture
     sound = F.startswith(mime, F.lit("audio/"))
@@ -35,7 +36,7 @@ def pick_streams(streams: DataFrame, key: str = "video_id") -> DataFrame:
 def link_list(url: Column, backups: Column) -> Column:
     """Address and backups, trimmed, non-blank, distinct in order."""
     every = F.concat(F.array(url), F.coalesce(backups, F.array().cast("array<string>")))
-    return F.array_distinct(F.filter(F.transform(every, lambda u: F.trim(u)), lambda u: u.isNotNull() & (u != "")))
+    return F.array_distinct(F.filter(F.transform(every, lambda u: strip(u)), lambda u: u.isNotNull() & (u != "")))
 
 
 def first_success(attempts: DataFrame, max_tries: int = 12) -> DataFrame:

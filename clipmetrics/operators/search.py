@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipmetrics import rules
+from clipmetrics.functions.text import strip
 from clipmetrics.params import expansion_limit
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
@@ -17,7 +18,7 @@ def with_phrases(df: DataFrame, topic: str, limit: int = 0, groups: list[tuple[l
     The lower-cased topic and the found terms are columns of their own, so each is computed once per row.
     """
     none = F.array().cast("array<string>")
-    low = df.withColumn("_topic", F.trim(F.col(topic))).withColumn("_low", F.lower("_topic"))
+    low = df.withColumn("_topic", strip(F.col(topic))).withColumn("_low", F.lower("_topic"))
     terms = []
     for markers, phrases in groups or rules.EXPANSION_RULES:
         hit = F.lit(False)
@@ -42,7 +43,7 @@ def expand_topics(df: DataFrame, topic: str, limit: int = 0) -> DataFrame:
 
 def clean_sources(sources: Column) -> Column:
     """Lower-cased, trimmed, distinct in order; an empty list means every source."""
-    names = F.transform(F.coalesce(sources, F.array().cast("array<string>")), lambda s: F.lower(F.trim(s)))
+    names = F.transform(F.coalesce(sources, F.array().cast("array<string>")), lambda s: F.lower(strip(s)))
     every = F.array(*[F.lit(s) for s in rules.ALL_SOURCES])
     return F.when(F.size(names) == 0, every).otherwise(F.array_distinct(F.filter(names, lambda s: s != "")))
 
@@ -69,7 +70,7 @@ def _needles(phrases: DataFrame) -> DataFrame:
 
     An inner word is delimited inside the phrase, so any text with the phrase has it as a whole word.
     """
-    needle = F.lower(F.trim(F.col("phrase")))
+    needle = F.lower(strip(F.col("phrase")))
     words = F.split(needle, WORD_BREAK)
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).w

@@ -77,7 +77,7 @@ def _video_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.concat(F.lit('<script>self.push({"aweme_id":"'), i + 2, F.lit('","nickname":"by '), F.col("page_id"), F.lit('","desc":"d '), F.col("page_id"),
                       F.lit('","play_count": '), F.col("page_id") * 3, F.lit(',\\"digg_count\\":'), F.col("page_id") % 7, F.lit(',"create_time":1700000000,"duration":15500})</script>'))
     links = F.concat(F.lit('<a class="x" href="https:\\/\\/www.douyin.com\\/video\\/'), i, F.lit('?a=1"><b>Clip &amp; more</b></a> see https:\\u002F\\u002Fwww.douyin.com\\u002Fvideo\\u002F'), i + 1, F.lit(" "))
-    return p.select("page_id", F.concat("html", F.repeat(F.lit("&amp;"), F.lit(20_000)), links, record).alias("html"))
+    return p.select("page_id", F.concat("html", F.repeat(F.lit("&amp;"), F.lit(100)), links, record).alias("html"))
 
 
 def page_video_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from clipmetrics import rules, schemas
 from clipmetrics.functions import text, urls
+from clipmetrics.functions.text import strip
 from clipmetrics.operators.candidates import keep_first
 
 
@@ -43,7 +44,7 @@ def limited(df: DataFrame, group: list[str], limit: int | None) -> DataFrame:
 def candidates_from_json_lines(lines: DataFrame, keyword: Column, column: str = "value") -> DataFrame:
     """lines(seq, value): bad lines and rows without id are skipped; a missing address comes from the id."""
     rows = lines.select("seq", keyword.alias("_keyword"), F.from_json(F.col(column), schemas.JSONL_ROW).alias("j"))
-    good = rows.where(F.trim("j.bvid") != "")
+    good = rows.where(strip("j.bvid") != "")
     link = F.coalesce(text.blank_to_null(F.col("j.url")), F.concat(F.lit(rules.BILIBILI_URL), F.col("j.bvid")))
     return _candidate(good, ["seq"], {
         "video_id": F.col("j.bvid"), "platform": F.lit("bilibili"), "title": F.col("j.title"), "author": F.col("j.owner_name"),
@@ -75,7 +76,7 @@ def feed_candidates(items: DataFrame, keyword: Column, group: list[str] | None =
     """items(seq, title, link, description): id from the link, first item per id, title else description else made up."""
     group = group or []
     clean = lambda c: text.strip_site_suffixes(text.unescape(F.coalesce(F.col(c), F.lit(""))))
-    ident = urls.video_id(F.trim(text.unescape(F.col("link"))), id_pattern)
+    ident = urls.video_id(strip(text.unescape(F.col("link"))), id_pattern)
     found = items.select(*group, "seq", ident.alias("id"), "title", "description", keyword.alias("_keyword")).where(F.col("id").isNotNull())
     first = limited(keep_first(found, [*group, "id"], ["seq"]), group, limit)
     title = F.coalesce(F.nullif(clean("title"), F.lit("")), F.nullif(clean("description"), F.lit("")),
@@ -89,7 +90,7 @@ def feed_candidates(items: DataFrame, keyword: Column, group: list[str] | None =
 def index_items(items: DataFrame, keep: list[str]) -> DataFrame:
     """items(title, link, description) to (title, url); the description stands in for a blank title."""
     title = F.coalesce(F.nullif(text.clean_index_text(F.col("title")), F.lit("")), text.clean_index_text(F.col("description")))
-    return items.select(*keep, F.coalesce(title, F.lit("")).alias("title"), F.trim(text.unescape(F.col("link"))).alias("url"))
+    return items.select(*keep, F.coalesce(title, F.lit("")).alias("title"), strip(text.unescape(F.col("link"))).alias("url"))
 
 
 def index_candidates(items: DataFrame, platform: Column, keyword: Column, group: list[str], limit: int | None = None,
@@ -108,7 +109,7 @@ def index_candidates(items: DataFrame, platform: Column, keyword: Column, group:
 def link_candidates(links: DataFrame, keyword: Column, group: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """links(seq, link): id from the link, first one kept, generated title."""
     group = group or []
-    found = links.select(*group, "seq", keyword.alias("_keyword"), urls.video_id(F.trim("link"), rules.DOUYIN_ID).alias("id"))
+    found = links.select(*group, "seq", keyword.alias("_keyword"), urls.video_id(strip("link"), rules.DOUYIN_ID).alias("id"))
     first = limited(keep_first(found.where(F.col("id").isNotNull()), [*group, "id"], ["seq"]), group, limit)
     return _candidate(first, [*group, "seq"], {
         "video_id": F.col("id"), "platform": F.lit("douyin"), "title": F.concat(F.lit("Douyin search: "), F.col("_keyword")),
@@ -125,9 +126,9 @@ def item_candidates(items: DataFrame, keep: list[str], keyword: Column) -> DataF
     """items(keep, a) with a parsed search item to candidates."""
     a = "a."
     return _candidate(items.withColumn("_keyword", keyword), keep, {
-        "video_id": F.trim(a + "aweme_id"), "platform": F.lit("douyin"),
+        "video_id": strip(a + "aweme_id"), "platform": F.lit("douyin"),
         "title": F.coalesce(text.blank_to_null(F.col(a + "desc")), F.concat(F.lit("Douyin search: "), F.col("_keyword"))),
-        "author": F.trim(a + "author.nickname"), "url": F.concat(F.lit(rules.DOUYIN_URL), F.trim(a + "aweme_id")),
+        "author": strip(a + "author.nickname"), "url": F.concat(F.lit(rules.DOUYIN_URL), strip(a + "aweme_id")),
         "media_type": F.lit("video"), "views": F.col(a + "statistics.play_count"), "likes": F.col(a + "statistics.digg_count"),
         "comments": F.col(a + "statistics.comment_count"), "shares": F.col(a + "statistics.share_count"),
         "published_at": positive_time(F.col(a + "create_time")), "duration_sec": whole_seconds(F.col(a + "video.duration")),
@@ -139,7 +140,7 @@ def search_page_candidates(pages: DataFrame, body: str, keep: list[str], keyword
     """Search JSON of the known shape; pos is the place in the page."""
     parsed = pages.select(*keep, F.from_json(F.col(body), schemas.SEARCH_PAGE).alias("p"))
     rows = parsed.select(*keep, F.posexplode("p.data").alias("pos", "d")).select(*keep, "pos", F.col("d.aweme_info").alias("a"))
-    return item_candidates(rows.where(F.trim("a.aweme_id") != ""), [*keep, "pos"], keyword)
+    return item_candidates(rows.where(strip("a.aweme_id") != ""), [*keep, "pos"], keyword)
 
 
 def _objects(id_key: str, wrappers: tuple[str, ...]):
@@ -176,8 +177,8 @@ def find_objects(pages: DataFrame, body: str, keep: list[str], id_key: str = "aw
 def deep_candidates(pages: DataFrame, body: str, page_order: str, group: list[str], keyword: Column) -> DataFrame:
     """Candidates from JSON of unknown shape, first one per id over all pages of a group."""
     objects = find_objects(pages, body, [*group, page_order])
-    parsed = objects.withColumn("a", F.from_json("object", schemas.SEARCH_ITEM)).where(F.trim("a.aweme_id") != "")
-    first = keep_first(parsed.withColumn("_id", F.trim("a.aweme_id")), [*group, "_id"], [page_order, "pos"])
+    parsed = objects.withColumn("a", F.from_json("object", schemas.SEARCH_ITEM)).where(strip("a.aweme_id") != "")
+    first = keep_first(parsed.withColumn("_id", strip("a.aweme_id")), [*group, "_id"], [page_order, "pos"])
     return item_candidates(first, [*group, page_order, "pos"], keyword)
 
 
@@ -186,7 +187,7 @@ def search_status(pages: DataFrame, body: str, keep: list[str]) -> DataFrame:
     code = F.coalesce(F.get_json_object(body, "$.status_code").try_cast("bigint"), F.lit(None).cast("bigint"))
     rows = pages.where(F.try_parse_json(body).isNotNull()).select(*keep, code.alias("code"), F.get_json_object(body, "$.status_msg").alias("msg"))
     state = F.when(F.col("code").isNull() | (F.col("code") == 0), "ok").when(F.col("code") == rules.LOGIN_STATUS, "login_required").otherwise("error")
-    error = F.when(state == "error", F.concat(F.lit("status "), F.col("code").cast("string"), F.lit(": "), F.trim(F.coalesce("msg", F.lit("")))))
+    error = F.when(state == "error", F.concat(F.lit("status "), F.col("code").cast("string"), F.lit(": "), strip(F.coalesce("msg", F.lit("")))))
     return rows.select(*keep, "code", state.alias("state"), error.alias("error"))
 
 
@@ -194,7 +195,7 @@ def metadata_updates(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     """Extractor metadata JSON to the values it may set on a candidate, null where it says nothing."""
     m = df.select(*keep, F.from_json(F.col(column), schemas.METADATA).alias("m"))
     title = text.blank_to_null(F.col("m.title"))
-    shots = F.filter(F.transform("m.thumbnails", lambda t: F.trim(t.url)), lambda u: u != "")
+    shots = F.filter(F.transform("m.thumbnails", lambda t: strip(t.url)), lambda u: u != "")
     date = F.when(F.length("m.upload_date") == 8, F.try_to_timestamp("m.upload_date", F.lit("yyyyMMdd")))
     positive = lambda c: F.when(F.col(c) > 0, F.col(c))
     return _candidate(m, keep, {

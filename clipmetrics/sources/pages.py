@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 from clipmetrics import rules, schemas
 from clipmetrics.functions import text, urls
+from clipmetrics.functions.text import strip
 from clipmetrics.operators.candidates import keep_first
 
 
@@ -52,7 +53,7 @@ def video_links(pages: DataFrame, keep: list[str], keyword: Column, html: str =
     rows = base.select(*keep, "_keyword", F.explode(F.concat(*passes)).alias("v")).select(*keep, "_keyword", "v.*")
     if not anchor_has_id:
         rows = rows.withColumn("id", F.when(F.col("pass") == 0, urls.video_id(F.col("id"), path)).otherwise(F.col("id")))
-    rows = rows.withColumn("id", F.trim("id")).where(F.col("id") != "")
+    rows = rows.withColumn("id", strip("id")).where(F.col("id") != "")
     first = keep_first(rows, [*keep, "id"], ["pass", "pos"])
     clean = text.clean_page_text if embedded else text.clean_index_text
     title = F.coalesce(F.nullif(clean(F.col("label")), F.lit("")), F.concat(F.lit(f"{platform.capitalize()} search: "), F.col("_keyword")))
@@ -98,7 +99,7 @@ def video_ids(pages: DataFrame, keep: list[str], keyword: Column, html: str = "h
 def _attribute(tag: Column, name: str) -> Column:
     pairs = _groups(tag, rules.META_ATTR, 1, 2)
     hits = F.filter(pairs, lambda p: F.lower(p.g0) == name)
-    return F.trim(F.coalesce(F.get(hits, F.size(hits) - 1).g1, F.lit("")))
+    return strip(F.coalesce(F.get(hits, F.size(hits) - 1).g1, F.lit("")))
 
 
 def resolve(base: Column, ref: Column) -> Column:
@@ -124,7 +125,7 @@ def page_meta(pages: DataFrame, keep: list[str], html: str = "html", url: str =
                      | ((p.k == "og:type") & F.contains(F.lower(p.v), F.lit("video"))))
     image, title = first("og:image", "twitter:image", "twitter:image:src"), first("og:title", "twitter:title")
     found = rows.select(*keep, "_base", image.alias("_image"), title.alias("_title"), F.when(video, "video").alias("media_type"))
-    shown = F.nullif(F.trim(text.unescape(F.col("_title"))), F.lit(""))
+    shown = F.nullif(strip(text.unescape(F.col("_title"))), F.lit(""))
     return found.select(
         *keep, resolve(F.col("_base"), text.unescape(F.col("_image"))).alias("image"),
         F.when(~text.is_generic_title(shown), shown).alias("title"), "media_type",

@@ -11,6 +11,7 @@ from pyspark.sql.functions import udtf
 
 from clipmetrics import rules, schemas
 from clipmetrics.functions import regions, text
+from clipmetrics.functions.text import strip
 from clipmetrics.operators.ordered import row_numbers, with_slices
 
 TIMING = r"(\d{2}:\d{2}:\d{2}[,.]\d{3})\s+-->\s+(\d{2}:\d{2}:\d{2}[,.]\d{3})"
@@ -24,16 +25,16 @@ def _plain(col: Column) -> Column:
 
 def parse_srt(files: DataFrame, keep: list[str], content: str = "content", joiner: str = "\n") -> DataFrame:
     """Subtitle texts to cues: (keep, block_no, start_s, end_s, text); blocks without time, span or body are dropped."""
-    blocks = files.select(*keep, F.posexplode(F.split(F.trim(_plain(F.col(content))), r"\n\s*\n")).alias("block_no", "block"))
-    lines = F.filter(F.split("block", r"\n"), lambda line: F.trim(line) != "")
+    blocks = files.select(*keep, F.posexplode(F.split(strip(_plain(F.col(content))), r"\n\s*\n")).alias("block_no", "block"))
+    lines = F.filter(F.split("block", r"\n"), lambda line: strip(line) != "")
     rows = blocks.select(*keep, "block_no", lines.alias("_lines")).where(F.size("_lines") > 0)
-    head = F.when(F.rlike(F.trim(F.col("_lines")[0]), F.lit(r"^\d+$")), 1).otherwise(0)
+    head = F.when(F.rlike(strip(F.get("_lines", F.lit(0))), F.lit(r"^\d+$")), 1).otherwise(0)
     rows = rows.withColumn("_at", head).withColumn("_time", F.get("_lines", F.col("_at")))
     body = F.slice("_lines", F.col("_at") + 2, F.greatest(F.lit(0), F.size("_lines") - F.col("_at") - 1))
     timed = rows.select(
         *keep, "block_no", text.srt_seconds(F.regexp_extract("_time", TIMING, 1)).alias("start_s"),
         text.srt_seconds(F.regexp_extract("_time", TIMING, 2)).alias("end_s"),
-        F.trim(F.array_join(F.transform(body, lambda line: F.rtrim(line)), joiner)).alias("text"), F.rlike("_time", F.lit(TIMING)).alias("_ok"),
+        strip(F.array_join(F.transform(body, lambda line: F.rtrim(line)), joiner)).alias("text"), F.rlike("_time", F.lit(TIMING)).alias("_ok"),
     )
     return timed.where(F.col("_ok") & (F.col("end_s") > F.col("start_s")) & (F.col("text") != "")).drop("_ok")
 
@@ -47,10 +48,10 @@ def read_srt(spark: SparkSession, path: str) -> DataFrame:
 def srt_blocks(cues: DataFrame, key: str = "video_id", slice_seconds: float = 600.0) -> DataFrame:
     """cues(key, ord, start_s, end_s, text) to numbered subtitle blocks; blank texts keep their number but are left out."""
     numbered = row_numbers(with_slices(cues, F.col("start_s"), slice_seconds), [key], ["start_s", "ord"], "block_no")
-    body = F.replace(F.trim("text"), F.lit("\n"), F.lit(" "))
+    body = F.replace(strip("text"), F.lit("\n"), F.lit(" "))
     block = F.concat(F.col("block_no").cast("string"), F.lit("\n"), text.srt_time(F.col("start_s")), F.lit(" --> "), text.srt_time(F.col("end_s")),
                      F.lit("\n"), body, F.lit("\n"))
-    return numbered.where(F.trim("text") != "").select(key, "block_no", block.alias("block"))
+    return numbered.where(strip("text") != "").select(key, "block_no", block.alias("block"))
 
 
 def write_srt(cues: DataFrame, path: str, key: str = "video_id") -> None:
@@ -63,7 +64,7 @@ def write_srt(cues: DataFrame, path: str, key: str = "video_id") -> None:
 
 
 def normalized_srt(col: Column) -> Column:
-    return F.concat(F.btrim(_plain(col), F.lit(" \t\n\x0b\f\u0085\u00a0\u2028\u2029\u3000")), F.lit("\n"))
+    return F.concat(strip(_plain(col)), F.lit("\n"))
 
 
 def validate_srt(files: DataFrame, keep: list[str], content: str = "content") -> DataFrame:
@@ -89,7 +90,7 @@ def segments_from_json(files: DataFrame, content: str, keep: list[str]) -> DataF
     return good.select(
         *keep, "seg_id", F.coalesce("s.start", F.lit(0.0)).alias("start_s"), F.col("s.end").alias("end_s"), F.col("s.text").alias("text"),
         regions.normalized(regions.from_array(F.col("s.bbox")), pad=False).alias("bbox"), details.alias("regions"), cleanup.alias("cleanup_regions"),
-        F.lower(F.trim(F.coalesce("s.placement", F.lit("")))).alias("placement"), F.coalesce("s.bboxConfidence", F.lit(0.0)).alias("confidence"),
+        F.lower(strip(F.coalesce("s.placement", F.lit("")))).alias("placement"), F.coalesce("s.bboxConfidence", F.lit(0.0)).alias("confidence"),
     )
 
 
