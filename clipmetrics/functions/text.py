@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -38,9 +39,10 @@ def unescape(col: Column, full: bool = True) -> Column:
     """HTML entities to text. full covers the whole HTML5 set in Arrow batches; otherwise a JVM-side subset."""
     if full:
         return _unescape(col)
+    plain = col
     for entity, char in COMMON_ENTITIES:
-        col = F.replace(col, F.lit(entity), F.lit(char))
-    return col
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    return F.when(F.contains(col, F.lit("&")), plain).otherwise(col)
 
 
 def collapse(col: Column) -> Column:
@@ -60,10 +62,11 @@ def clean_page_text(col: Column, full: bool = True) -> Column:
 
 def unescape_slashes(col: Column) -> Column:
     """Script-escaped separators back to plain characters."""
-    for escaped, plain in (("\\u002F", "/"), ("\\u002f", "/"), ("\\u003A", ":"), ("\\u003a", ":"), ("\\u0026", "&"),
-                           ("\\u003D", "="), ("\\u003d", "="), ("\\/", "/")):
-        col = F.replace(col, F.lit(escaped), F.lit(plain))
-    return col
+    plain = col
+    for escaped, char in (("\\u002F", "/"), ("\\u002f", "/"), ("\\u003A", ":"), ("\\u003a", ":"), ("\\u0026", "&"),
+                          ("\\u003D", "="), ("\\u003d", "="), ("\\/", "/")):
+        plain = F.replace(plain, F.lit(escaped), F.lit(char))
+    return F.when(F.contains(col, F.lit("\\")), plain).otherwise(col)
 
 
 def blank_to_null(col: Column) -> Column:
@@ -74,8 +77,7 @@ def strip_site_suffixes(col: Column) -> Column:
     """Site name endings removed one after the other."""
     col = strip(col)
     for suffix in rules.SITE_SUFFIXES:
-        bare = F.left(col, F.length(col) - F.lit(len(suffix)))
-        col = strip(F.when(F.endswith(col, F.lit(suffix)), bare).otherwise(col))
+        col = strip(F.regexp_replace(col, re.escape(suffix) + "$", ""))
     return col
 
 

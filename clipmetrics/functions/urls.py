@@ -135,10 +135,9 @@ def rebuilt_url(url: Column, prefix: str, *patterns: str) -> Column:
 def media_url(col: Column, full: bool = True) -> Column:
     """Media link in its playable https form, null when it is none."""
     u = text.unescape_slashes(strip(text.unescape(col, full)))
-    u = F.regexp_replace(u, r"[,;)\]}]+$", "")
-    u = F.when(F.startswith(u, F.lit("//")), F.concat(F.lit("https:"), u)).otherwise(u)
+    u = F.regexp_replace(F.regexp_replace(u, r"[,;)\]}]+$", ""), "^//", "https://")
     u = F.regexp_replace(F.replace(u, F.lit("playwm"), F.lit("play")), "^http://", "https://")
-    return F.when(F.rlike(u, F.lit(r"^https://[^/?#\s]+")), u)
+    return F.nullif(F.regexp_extract(u, r"(?s)^https://[^/?#\s]+.*$", 0), F.lit(""))
 
 
 def looks_like_media(url: Column, markers: list[str] | None = None) -> Column:

@@ -12,6 +12,7 @@ from clipmetrics.functions import regions
 from clipmetrics.functions.text import strip
 from clipmetrics.operators.folds import fold
 from clipmetrics.params import PersistentParams
+from clipmetrics.session import written
 
 
 def edges(b: str | None = None) -> tuple[Column, Column, Column, Column]:
@@ -66,7 +67,8 @@ def persistent_region(df: DataFrame, samples: DataFrame, params: PersistentParam
     """df(video_id, ord, sample, side, x, y, w, h, text, confidence) and samples(video_id, sample_count): the
     region of text that stays at one side, per video.
 
-    Everything is counted per (video, side, cell, sample) first; later steps work on that small table.
+    Everything is counted per (video, side, cell, sample) first; later steps work on that small table,
+    which is written once.
     """
     sided = df.withColumn("side", F.lower(strip("side"))).where(F.col("side").isin("left", "right"))
     branded = F.contains(F.lower("text"), F.lit(params.brand))
@@ -83,6 +85,7 @@ def persistent_region(df: DataFrame, samples: DataFrame, params: PersistentParam
         F.sum(points).alias("score"), F.bool_or(branded).alias("brand"), F.min("ord").alias("first_ord"),
         F.min(left).alias("l"), F.min(top).alias("t"), F.max(right).alias("r"), F.max(bottom).alias("b"),
     )
+    per_sample = written(per_sample, "cells")
     clusters = per_sample.groupBy(*cell).agg(
         F.count(F.lit(1)).alias("hits"), F.sum("score").alias("score"), F.bool_or("brand").alias("brand"), F.min("first_ord").alias("first_ord"),
         F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"),

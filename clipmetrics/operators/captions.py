@@ -14,6 +14,7 @@ from clipmetrics.functions.text import strip
 from clipmetrics.operators.folds import fold
 from clipmetrics.operators.ordered import dense_ids, previous_within, running_counts
 from clipmetrics.params import CaptionParams
+from clipmetrics.session import written
 
 Ratio = Callable[[str, str], float]
 
@@ -79,15 +80,16 @@ def similar_text_segments(observations: DataFrame, params: CaptionParams = Capti
 
     The representative changes while a segment grows, so this part is sequential. It is made small first:
     a gap always ends a segment, so gap-free stretches are independent; a run of equal text moves as one.
-    Only run summaries go through the fold, and its result joins back by run.
+    Only run summaries go through the fold, and its result joins back by run. Both tables are read
+    several times afterwards and are therefore written once.
     """
-    numbered = runs(observations, params)
+    numbered = written(runs(observations, params), "runs")
     # The first run of a segment sets the representative with its first confidence, later ones only raise it.
     summary = numbered.groupBy("video_id", "island", "run").agg(
         F.first("cmp").alias("cmp"), F.max("confidence").alias("best"),
     )
     parts = fold(summary, ["video_id", "island"], ["run"], ["run", "cmp", "best"], _split_runs(params.text_similarity, ratio), _RUN_SEGMENT)
-    joined = numbered.join(parts, ["video_id", "island", "run"])
+    joined = numbered.join(written(parts, "parts"), ["video_id", "island", "run"])
     return joined.withColumn("seg", F.struct("island", "part"))
 
 
@@ -182,6 +184,7 @@ def finalize(numbered: DataFrame, params: CaptionParams = CaptionParams(), ratio
     )
     voted = consensus(numbered, keys, params, ratio)
     kept = not_persistent(spans.join(voted, keys), params)
+    kept = written(kept, "segments")
     rounded = kept.withColumn("confidence", F.bround("confidence", 4)).withColumn("consensus_score", F.bround("consensus_score", 4))
     return dense_ids(rounded, ["video_id"], ["start_s", "island", "part"], "seg_id", F.col("start_s"), params.slice_seconds)
 

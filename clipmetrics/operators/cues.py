@@ -4,27 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from clipmetrics.functions import regions, text
 from clipmetrics.functions.text import strip
 from clipmetrics.operators.folds import fold
-from clipmetrics.operators.ordered import previous, running_counts, running_max, with_slices
+from clipmetrics.operators.ordered import SLICE, previous, running_counts, running_max, with_slices
 from clipmetrics.params import MatchParams, PackingParams
 
 ORDER = ["start_s", "ord"]
 
 
 def merge_intervals(cues: DataFrame, max_gap: float = 0.30, slice_seconds: float = 600.0) -> DataFrame:
-    """cues(video_id, ord, start_s, end_s) merged where the pause to everything before is at most max_gap."""
-    valid = cues.select("video_id", "ord", "start_s", "end_s").where(F.col("end_s") > F.col("start_s"))
+    """cues(video_id, ord, start_s, end_s) merged where the pause to everything before is at most max_gap.
+
+    Merging is associative: intervals are first merged inside their slice, where the shuffle has put
+    them, and only the merged ones are then linked over slices.
+    """
+    valid = cues.select("video_id", "start_s", "end_s").where(F.col("end_s") > F.col("start_s"))
     sliced = with_slices(valid, F.col("start_s"), slice_seconds)
-    reached = running_max(sliced, ["video_id"], ORDER, F.col("end_s"), "reach")
-    fresh = F.col("reach").isNull() | (F.col("start_s") - F.col("reach") > max_gap)
-    numbered = running_counts(reached, ["video_id"], ORDER, {"part": fresh})
-    return numbered.groupBy("video_id", "part").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count(F.lit(1)).alias("cues"))
+    inside = Window.partitionBy("video_id", SLICE).orderBy("start_s", "end_s")
+    before, upto = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
+    fresh = lambda reach: (reach.isNull() | (F.col("start_s") - reach > max_gap))
+    local = sliced.withColumn("_new", fresh(F.max("end_s").over(before)).cast("int")).withColumn("_part", F.sum("_new").over(upto))
+    merged = local.groupBy("video_id", SLICE, "_part").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count(F.lit(1)).alias("cues"))
+    reached = running_max(merged, ["video_id"], ["start_s"], F.col("end_s"), "reach")
+    numbered = running_counts(reached, ["video_id"], ["start_s"], {"part": fresh(F.col("reach"))})
+    return numbered.groupBy("video_id", "part").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.sum("cues").alias("cues"))
 
 
 _CHUNK = StructType([
@@ -71,35 +79,28 @@ def _join_up(pieces: Column, limit: int) -> Column:
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def add(state: Column, piece: Column) -> Column:
-        candidate = strip(F.concat(state.open, F.lit(" "), piece))
-        full = (state.open != "") & (F.length(candidate) > limit)
-        return F.struct(
-            F.when(full, F.concat(state.done, F.array(state.open))).otherwise(state.done).alias("done"),
-            F.when(full, piece).otherwise(candidate).alias("open"),
-        )
+        full = (state.open != "") & (F.length(state.open) + F.length(piece) >= limit)
+        closed = F.struct(F.concat(state.done, F.array(state.open)).alias("done"), piece.alias("open"))
+        longer = F.concat_ws(" ", F.nullif(state.open, F.lit("")), piece)
+        return F.when(full, closed).otherwise(F.struct(state.done.alias("done"), longer.alias("open")))
 
     close = lambda s: F.filter(F.concat(s.done, F.array(s.open)), lambda c: c != "")
     return F.aggregate(pieces, empty, add, close)
 
 
-def split_text(col: Column, limit: int = 90) -> Column:
-    """A long text as pieces of at most limit characters: by sentences, then words, then hard cuts."""
-    clean = text.speech_text(col)
-    sentences = F.filter(F.transform(F.split(clean, r"(?<=[.!?。！？;；:：,，])\s*"), lambda s: strip(s)), lambda s: s != "")
-
+def split_long_texts(df: DataFrame, keys: list[str], column: str = "text", limit: int = 90) -> DataFrame:
+    """Texts as pieces of at most limit characters: by sentences, then words, then hard cuts."""
     def pieces(sentence: Column) -> Column:
         words = F.filter(F.split(sentence, text.SPACE), lambda w: w != "")
         cuts = F.transform(F.sequence(F.lit(0), F.floor((F.length(sentence) - 1) / limit).cast("int")),
                            lambda i: F.substring(sentence, i * limit + 1, F.lit(limit)))
         return F.when(F.length(sentence) <= limit, F.array(sentence)).when(F.size(words) <= 1, cuts).otherwise(_join_up(words, limit))
 
+    clean = df.select(*keys, text.speech_text(F.col(column)).alias("_clean")).where(F.col("_clean") != "")
+    sentences = F.filter(F.transform(F.split("_clean", r"(?<=[.!?。！？;；:：,，])\s*"), lambda s: strip(s)), lambda s: s != "")
     packed = _join_up(F.flatten(F.transform(sentences, pieces)), limit)
-    none = F.array().cast("array<string>")
-    return F.when(clean == "", none).when(F.length(clean) <= limit, F.array(clean)).otherwise(packed)
-
-
-def split_long_texts(df: DataFrame, keys: list[str], column: str = "text", limit: int = 90) -> DataFrame:
-    return df.select(*keys, F.posexplode(split_text(F.col(column), limit)).alias("piece_no", "piece"))
+    parts = F.when(F.length("_clean") <= limit, F.array("_clean")).otherwise(packed)
+    return clean.select(*keys, F.posexplode(parts).alias("piece_no", "piece"))
 
 
 def _cells(low: Column, high: Column, width: float) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from clipmetrics import rules
 from clipmetrics.functions.text import strip
-from clipmetrics.session import broadcast_if_small
 
 
 def current_jobs(events: DataFrame, key: str = "job_id", order: str = "seq") -> DataFrame:
@@ -130,7 +129,7 @@ def with_history(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
 def unseen(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
     """Candidates without a finished or running job of the same platform and id."""
     taken = jobs.where(F.col("status").isin([*rules.RUNNING, "done"])).select("platform", "video_id").distinct()
-    return candidates.join(broadcast_if_small(taken), ["platform", "video_id"], "left_anti")
+    return candidates.join(taken, ["platform", "video_id"], "left_anti")
 
 
 def normalized_mode(col: Column) -> Column:

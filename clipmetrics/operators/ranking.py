@@ -25,11 +25,12 @@ def score(df: DataFrame, query: Column, now: Column, by: list[str] | None = None
     """Add the six scores. Maxima are an aggregate over the filtered rows, never a global window.
 
     Without by the maxima are one row read as scalar subqueries; with by they are one row per query,
-    joined back (broadcast only after their number was checked).
+    computed from the counters alone and joined back (broadcast only after their number was checked, so
+    rows of a popular query stay where they are).
     """
     raw = _raw(df, now)
     if by:
-        raw = raw.join(broadcast_if_small(_maxima(raw, by)), by)
+        raw = raw.join(broadcast_if_small(_maxima(raw, by), name="maxima"), by)
         top_e, top_v = F.col("_top_e"), F.col("_top_v")
     else:
         tops = _raw(df, now).agg(F.struct(F.max("_engagement").alias("e"), F.max("_velocity").alias("v")).alias("m"))

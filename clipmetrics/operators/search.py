@@ -38,7 +38,10 @@ def with_phrases(df: DataFrame, topic: str, limit: int = 0, groups: list[tuple[l
 def expand_topics(df: DataFrame, topic: str, limit: int = 0) -> DataFrame:
     """One row per phrase: phrase_no from 0, phrase."""
     keep = [c for c in df.columns if c != topic]
-    return with_phrases(df, topic, limit).select(*keep, F.posexplode("phrases").alias("phrase_no", "phrase"))
+    # Exploding an expression, not the bare column: for a column Spark infers a filter on its size and
+    # pushes it below the projections, which computes the phrases a second time, all steps inlined.
+    phrases = F.filter("phrases", lambda p: p.isNotNull())
+    return with_phrases(df, topic, limit).select(*keep, F.posexplode(phrases).alias("phrase_no", "phrase"))
 
 
 def clean_sources(sources: Column) -> Column:
@@ -88,19 +91,16 @@ def _grams(low: Column) -> Column:
     return F.array_distinct(F.concat(chars, pairs))
 
 
-def _lookup(corpus: DataFrame, ids: list[str], text: str, keys: Column, needles: DataFrame, on: str, small: bool) -> DataFrame:
-    """Rows whose keys meet a needle's key and whose text really contains the needle."""
-    low = F.lower(F.col(text))
+def _lookup(texts: DataFrame, ids: list[str], keys: Column, needles: DataFrame, on: str, small: bool) -> DataFrame:
+    """texts(ids, _low) whose keys meet a needle's key and whose text really contains the needle."""
     wanted = needles.select("phrase_id", "phrase", "needle", F.col(on).alias("_key"))
     verify = F.contains(F.col("_low"), F.col("needle"))
     if small:
         # Needles fit in memory: every text is checked where it was read, nothing is shuffled.
-        keyed = corpus.select(*ids, low.alias("_low"), F.explode(keys).alias("_key"))
+        keyed = texts.select(*ids, "_low", F.explode(keys).alias("_key"))
         return keyed.join(F.broadcast(wanted), "_key").where(verify).select(*ids, "phrase_id", "phrase")
     # Only (id, key) is shuffled; texts join again for the pairs that share a key.
-    keyed = corpus.select(*ids, F.explode(keys).alias("_key"))
-    pairs = keyed.join(wanted, "_key").select(*ids, "phrase_id", "phrase", "needle")
-    texts = corpus.select(*ids, low.alias("_low"))
+    pairs = texts.select(*ids, F.explode(keys).alias("_key")).join(wanted, "_key").select(*ids, "phrase_id", "phrase", "needle")
     return pairs.join(texts, ids).where(verify).select(*ids, "phrase_id", "phrase")
 
 
@@ -112,13 +112,14 @@ def phrase_matches(corpus: DataFrame, ids: list[str], text: str, phrases: DataFr
     """
     needles = _needles(phrases)
     small = needles.limit(max_broadcast + 1).count() <= max_broadcast
-    low = F.lower(F.col(text))
-    by_word = _lookup(corpus, ids, text, F.array_distinct(F.split(low, WORD_BREAK)),
-                      needles.where(F.col("word").isNotNull()), "word", small)
+    # The lower-cased text is a column below the explode, so it is made once per text and not per word.
+    texts = corpus.select(*ids, F.lower(F.col(text)).alias("_low"))
+    words = F.array_distinct(F.split("_low", WORD_BREAK))
+    by_word = _lookup(texts, ids, words, needles.where(F.col("word").isNotNull()), "word", small)
     wordless = needles.where(F.col("word").isNull())
     if wordless.isEmpty():
         return by_word
-    return by_word.unionByName(_lookup(corpus, ids, text, _grams(low), wordless, "gram", small))
+    return by_word.unionByName(_lookup(texts, ids, _grams(F.col("_low")), wordless, "gram", small))
 
 
 def limit_per_phrase(hits: DataFrame, limit: int, by: list[str] | None = None) -> DataFrame:

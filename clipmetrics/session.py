@@ -50,11 +50,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, name: str = "side") -> DataFrame:
     """Hint a broadcast only after counting; a larger side keeps the shuffled join.
 
-    The count stops at max_rows + 1, so the check costs the same on any size of table.
+    The side is written first, so what leads to it is computed once and not again for the count. The
+    count itself stops at max_rows + 1.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    side = written(df, name)
+    return F.broadcast(side) if side.limit(max_rows + 1).count() <= max_rows else side
