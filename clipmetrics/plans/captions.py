@@ -246,6 +246,63 @@ g as (select *, greatest(0.14::double, least(0.40::double, greatest(r - l + 2 *
 select video_id, side, hits, round_even(greatest(0.0, least(1.0, 0.55::double * hits / sample_count + 0.45::double * gain / greatest(0.001::double, all_gain))), 4) as confidence,
 round_even(greatest(0.0, least(1.0 - tw, l + (r - l) / 2 - tw / 2)), 6) as x, round_even(greatest(0.0, least(1.0 - th, tp + (b - tp) / 2 - th / 2)), 6) as y, round_even(tw, 6) as w, round_even(th, 6) as h from g"""
 
+
+
+def _grouped_sql(keys: str, hit: str, floor: str) -> str:
+    """Greedy grouping of boxes as a walk: each joins the first group one of whose boxes it overlaps enough."""
+    on = " and ".join(f"n.{k} = w.{k}" for k in keys.split(", "))
+    lead = ", ".join(f"n.{k}" for k in keys.split(", "))
+    cut = "(least(b.x + b.w, n.x + n.w) - greatest(b.x, n.x))", "(least(b.y + b.h, n.y + n.h) - greatest(b.y, n.y))"
+    share = f"case when {cut[0]} > 0 and {cut[1]} > 0 then {cut[0]} * {cut[1]} / greatest({floor}, least(b.w * b.h, n.w * n.h)) else 0 end"
+    box = "{{'x': n.x, 'y': n.y, 'w': n.w, 'h': n.h, 'grp': {}}}"
+    group = f"coalesce(list_min(list_transform(list_filter(w.boxes, lambda b: {share} {hit}), lambda b: b.grp)), list_max(list_transform(w.boxes, lambda b: b.grp)) + 1)"
+    return f"""numbered as (select {keys}, x::double as x, y::double as y, w::double as w, h::double as h, row_number() over (partition by {keys} order by ord) as rn, count(*) over (partition by {keys}) as total from daily where w > 0.001 and h > 0.001),
+walk as (select {lead}, rn, total, [{box.format(0)}] as boxes from numbered n where rn = 1
+union all select {lead}, n.rn, n.total, list_append(w.boxes, {box.format(group)}) from walk w join numbered n on {on} and n.rn = w.rn + 1),
+members as (select {keys}, unnest(boxes) as b from walk where rn = total)"""
+
+
+CLEANUP_SQL = f"""with recursive {OBSERVATIONS}, {DAILY.format('observations')}, {_grouped_sql('video_id, day', '>= 0.28', '1e-9')},
+env as (select video_id, day, b.grp as grp, greatest(0.0, min(b.x) - 0.010::double) as x, greatest(0.0, min(b.y) - 0.008::double) as y, least(1.0, max(b.x + b.w) + 0.010::double) as r, least(1.0, max(b.y + b.h) + 0.008::double) as bt from members group by all),
+k as (select *, row_number() over (partition by video_id, day order by y, x, grp) as region_no from env)
+select video_id, day, cast(region_no as int) as region_no, round_even(x, 6) as x, round_even(y, 6) as y, round_even(greatest(0.001, r - x), 6) as w, round_even(greatest(0.001, bt - y), 6) as h from k where region_no <= 10"""
+_CX, _CW = _pad("l", "(r - l)", 0.025, 0.01)
+_CY, _CH = _pad("tp", "(bt - tp)", 0.025, 0.01)
+CLUSTER_SQL = f"""with recursive {OBSERVATIONS}, {DAILY.format('observations')}, {_grouped_sql('video_id, text', '> 0.25', '1e-6')},
+frames as (select video_id, text, count(distinct day) as frame_count from daily group by all),
+g as (select video_id, text, b.grp as grp, count(*) as hits, quantile_cont(round(b.x, 6), 0.5) as l, quantile_cont(round(b.y, 6), 0.5) as tp, quantile_cont(round(b.x + b.w, 6), 0.5) as r, quantile_cont(round(b.y + b.h, 6), 0.5) as bt from members group by all),
+k as (select *, row_number() over (partition by video_id, text order by grp) as cluster from g join frames using (video_id, text) where hits >= greatest(2, frame_count // 5))
+select video_id, text, cast(cluster as int) as cluster, hits, round(least(0.98::double, 0.55::double + hits / greatest(1, frame_count)::double * 0.35::double), 6) as confidence,
+round({_CX}, 6) as x, round({_CY}, 6) as y, round({_CW}, 6) as w, round({_CH}, 6) as h from k where cluster <= 3"""
+
+# Lines of a frame as a walk over its detections; the rest is the score of single lines and neighbouring pairs.
+_RANK = """1.55::double * {0}conf / {0}n + 0.75::double * least(1.0, greatest(0.0, {0}r - {0}l) / 1080.0 / 0.55::double) + 0.35::double * greatest(0.0, 1.0 - abs(({0}l + {0}r) / 2.0 / 1080.0 - 0.5::double) * 2.0)
+  + 0.55::double * least(1.0, {0}chars / 18.0::double) + 0.15::double * (({0}t + {0}b) / 2.0 / 1920.0)"""
+LINES_SQL = f"""with recursive {OBSERVATIONS}, {PX}, n as (select *, y + h / 2 as middle, row_number() over (partition by video_id, frame order by y, x, det) as rn from px),
+walk as (select video_id, frame, rn, 1::bigint as line, [{{'s': middle, 'n': 1}}] as lines from n where rn = 1
+union all select n.video_id, n.frame, n.rn, hit, case when hit <= len(w.lines) then list_transform(w.lines, lambda li, i: case when i = hit then {{'s': li.s + n.middle, 'n': li.n + 1}} else li end) else list_append(w.lines, {{'s': n.middle, 'n': 1}}) end
+from walk w join n on n.video_id = w.video_id and n.frame = w.frame and n.rn = w.rn + 1,
+lateral (select coalesce(nullif(list_position(list_transform(w.lines, lambda li: abs(n.middle - li.s / li.n) <= 86.4::double), true), 0), len(w.lines) + 1)::bigint as hit)),
+tagged as (select n.*, line - 1 as line from n join walk using (video_id, frame, rn)),
+parts as (select video_id, frame, line, min(x) as l, max(x + w) as r, min(y) as t, max(y + h) as b, sum(confidence) as conf, count(*) as n, sum(length(text)) as chars from tagged group by all),
+ahead as (select *, lead(l) over v as l2, lead(r) over v as r2, lead(t) over v as t2, lead(b) over v as b2, lead(conf) over v as c2, lead(n) over v as n2, lead(chars) over v as ch2 from parts window v as (partition by video_id, frame order by line)),
+single as (select video_id, frame, line, 0 as pair, {_RANK.format('')} as score from ahead),
+pairs as (select video_id, frame, line, least(l, l2) as l, greatest(r, r2) as r, least(t, t2) as t, greatest(b, b2) as b, conf + c2 as conf, n + n2 as n, chars + ch2 as chars from ahead where l2 is not null and abs((t + b) / 2 - (t2 + b2) / 2) / 1920.0 <= 0.15),
+every as (select * from single union all select video_id, frame, line, 1, {_RANK.format('')} from pairs),
+best as (select video_id, frame, line as first, pair from (select *, row_number() over (partition by video_id, frame order by score desc, line, pair) as k from every) where k = 1)
+select video_id, frame, det, line, text from tagged join best using (video_id, frame) where line between first and first + pair"""
+
+# The finer observations are plain readings: equal texts agree fully, different types never join.
+REFINE_SQL = f"""with {FINAL_SQL}, d as (select *, row_number() over (partition by video_id order by seg_id) as k from final where confidence < 0.72 or consensus_score < 0.67 or observation_count < 2),
+s as (select video_id, seg_id, sample, start_s + (end_s - start_s) * ratio as moment from d cross join (values (0, 0.22::double), (1, 0.50::double), (2, 0.78::double)) as v(sample, ratio) where k <= 16),
+near as (select s.video_id, seg_id, sample, arg_min(o.text, (abs(o.t - moment), o.ord)) as text, arg_min(o.confidence, (abs(o.t - moment), o.ord)) as confidence from s join observations o on o.video_id = s.video_id and abs(o.t - moment) <= 1800 and o.confidence >= 0.5 group by all),
+grp as (select video_id, seg_id, text, count(*) as n, sum(confidence) as total, min(sample) as first_s from near group by all),
+win as (select *, row_number() over (partition by video_id, seg_id order by n desc, total desc, first_s) as k, sum(n) over (partition by video_id, seg_id) as n_all from grp),
+new as (select video_id, seg_id, text as n_text, total / n as n_conf, n / n_all::double as n_score, cast(n_all as bigint) as n_obs, n as n_win from win where k = 1),
+j as (select f.*, new.* exclude (video_id, seg_id), coalesce(n_win >= 2 or n_conf >= confidence + 0.05 or n_score >= 0.80, false) as take from final f left join new using (video_id, seg_id))
+select video_id, seg_id, start_s, end_s, case when take then n_text else text end as text, case when take then round_even(n_conf, 4) else confidence end as confidence, case when take then round_even(n_score, 4) else consensus_score end as consensus_score,
+case when take then n_obs else observation_count end as observation_count, case when take then n_win else winner_count end as winner_count, representative_ord, take as refined from j"""
+
 QUERIES = {
     "caption_segments": (caption_segments, f"""with {OBSERVATIONS}, {_islands('observations', 'text', '0.10')},
 g as (select video_id, seg_no, min(t) as start_s, max(t) + 3600 as end_s, arg_min(text, (-confidence, ord)) as text, round(avg(confidence), 6) as confidence, count(*) as observation_count from seg group by all)
@@ -261,14 +318,14 @@ select video_id, day, text, round(total / n, 6) as confidence, round(n / n_all::
 select video_id, day, text, round(confidence, 6) as confidence, round(consensus_score, 6) as consensus_score, observation_count, winner_count, representative_ord from voted"""),
     "refine_candidates": (refine_candidates, f"""with {FINAL_SQL}, d as (select *, row_number() over (partition by video_id order by seg_id) as k from final where confidence < 0.72 or consensus_score < 0.67 or observation_count < 2)
 select video_id, seg_id, sample, round(start_s + (end_s - start_s) * ratio, 3) as at from d cross join (values (0, 0.22::double), (1, 0.50::double), (2, 0.78::double)) as s(sample, ratio) where k <= 16"""),
-    "caption_refine": (caption_refine, None),
+    "caption_refine": (caption_refine, REFINE_SQL),
     "caption_recover": (caption_recover, f"""with {OBSERVATIONS}, {_islands('observations', 'text', '0.95')}, firsts as (select video_id, seg_no, min(t) as start_s, max(t) + 3600 as end_s, arg_min(text, (-confidence, ord)) as text, count(*) as observation_count from seg group by all),
 rest as (select * from observations where video_id not in (select video_id from firsts) and confidence >= 0.87),
 l2 as (select *, lag(t) over w as pt, lag(text) over w as pb from rest window w as (partition by video_id order by t, ord)),
 s2 as (select *, sum(case when pt is null or t - pt > 86400 or text <> pb then 1 else 0 end) over (partition by video_id order by t, ord rows unbounded preceding) as seg_no from l2)
 select video_id, start_s, end_s, text, observation_count from firsts union all select video_id, min(t), max(t) + 3600, arg_min(text, (-confidence, ord)), count(*) from s2 group by video_id, seg_no"""),
-    "cleanup_regions": (cleanup_regions, None),
-    "detection_clusters": (detection_clusters, None),
+    "cleanup_regions": (cleanup_regions, CLEANUP_SQL),
+    "detection_clusters": (detection_clusters, CLUSTER_SQL),
     "box_envelope": (box_envelope, f"with {OBSERVATIONS} select video_id, text, round(min(x::double), 6) as x, round(min(y::double), 6) as y, round(max((x + w)::double) - min(x::double), 6) as w, round(max((y + h)::double) - min(y::double), 6) as h from observations group by video_id, text"),
     "robust_box": (robust_box, _quantile_sql(0.5, 0.5, 0.02, 0.015, 0.012, 0.008, "video_id, text")),
     "region_quantiles": (region_quantiles, _quantile_sql(0.05, 0.95, 0.03, 0.025, 0.025, 0.018, "video_id")),
@@ -277,7 +334,7 @@ select video_id, start_s, end_s, text, observation_count from firsts union all s
     "persistent_texts": (persistent_texts, f"""with {OBSERVATIONS}, {SIDED}, c as (select video_id, case when sum((x + w / 2)::double * greatest(0.01, w)) / sum(greatest(0.01, w)::double) < 0.5 then 'left' else 'right' end as side from sided group by video_id),
 r as (select video_id, text, row_number() over (partition by video_id order by ord) as n from sided join c using (video_id, side)) select video_id, string_agg(text, ',' order by n) as texts from r where n <= 8 group by video_id"""),
     "caption_placement": (caption_placement, _placement_sql()),
-    "caption_lines": (caption_lines, None),
+    "caption_lines": (caption_lines, LINES_SQL),
     "frame_texts": (frame_texts, f"""with {OBSERVATIONS}, {PX}, r as (select *, round_even(y / 67.2::double, 0) as rw from px)
 select video_id, frame, string_agg(text, ' ' order by rw, x, det) as text, round(avg(confidence), 6) as confidence, count(*) as n_boxes, round(first(x / 1080 order by rw, x, det), 6) as x0, round(first(greatest(0.001, h / 1920) order by rw, x, det), 6) as h0 from r group by video_id, frame"""),
 }

@@ -158,12 +158,26 @@ select cast(n.video_id as varchar) as video_id, min(n.ord) as first_ord, min(n.s
 from walk join n using (video_id, rn) group by n.video_id, chunk"""
 SPACED = "[\\s\\p{Z}]+"
 
+
+def _packed_sql(pieces: str) -> str:
+    """Greedy packing of a list: the last element is still open."""
+    return f"""list_reduce(list_transform({pieces}, lambda p: [p]), lambda done, p: case when length(done[-1]) + 1 + length(p[1]) <= 90
+  then list_concat(done[:-2], [done[-1] || ' ' || p[1]]) else list_concat(done, p) end)"""
+
+
+SPLIT_SQL = f"""with c as (select doc_id, trim(regexp_replace(text, '{SPACED}', ' ', 'g')) as t from documents),
+s as (select doc_id, t, list_filter(list_transform(string_split(regexp_replace(t, '([.!?。！？;；:：,，])\\s*', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') as sents from c where t <> ''),
+p as (select doc_id, t, flatten(list_transform(sents, lambda x: case when length(x) <= 90 then [x] when not contains(x, ' ') then list_transform(range((length(x) - 1) // 90 + 1), lambda i: substr(x, i * 90 + 1, 90))
+  else {_packed_sql("string_split(x, ' ')")} end)) as pieces from s),
+r as (select doc_id, case when length(t) <= 90 then [t] else {_packed_sql('pieces')} end as parts from p)
+select doc_id, cast(unnest(range(len(parts))) as int) as piece_no, unnest(parts) as piece from r"""
+
 QUERIES = {
     "interval_merge": (interval_merge, f"""with {CUES}, r as (select *, max(end_s) over (partition by video_id order by start_s, ord rows between unbounded preceding and 1 preceding) as reach from cues),
 g as (select *, sum(case when reach is null or start_s - reach > 0.30 then 1 else 0 end) over (partition by video_id order by start_s, ord) as part from r)
 select video_id, round(min(start_s), 6) as start_s, round(max(end_s), 6) as end_s, count(*) as cues from g group by video_id, part"""),
     "chunk_pack": (chunk_pack, PACKED),
-    "long_text_split": (long_text_split, None),
+    "long_text_split": (long_text_split, SPLIT_SQL),
     "cue_segment_match": (cue_segment_match, f"with {MATCHED} select video_id, ord, seg_id, round(shared, 6) as shared from matched"),
     "cue_placement": (cue_placement, f"""with {MATCHED}, j as (select m.*, coalesce(s.x, 0.06::double) as x, coalesce(s.y, 0.72::double) as y, coalesce(s.w, 0.88::double) as w, coalesce(s.h, 0.18::double) as h from matched m left join segments s using (video_id, seg_id)),
 b as (select *, case when seg_id % 4 = 0 then false when seg_id % 4 = 1 then true else y + h >= 0.68 end as bottom from j),
