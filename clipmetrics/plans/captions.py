@@ -297,8 +297,8 @@ REFINE_SQL = f"""with {FINAL_SQL}, d as (select *, row_number() over (partition
 s as (select video_id, seg_id, sample, start_s + (end_s - start_s) * ratio as moment from d cross join (values (0, 0.22::double), (1, 0.50::double), (2, 0.78::double)) as v(sample, ratio) where k <= 16),
 near as (select s.video_id, seg_id, sample, arg_min(o.text, (abs(o.t - moment), o.ord)) as text, arg_min(o.confidence, (abs(o.t - moment), o.ord)) as confidence from s join observations o on o.video_id = s.video_id and abs(o.t - moment) <= 1800 and o.confidence >= 0.5 group by all),
 grp as (select video_id, seg_id, text, count(*) as n, sum(confidence) as total, min(sample) as first_s from near group by all),
-win as (select *, row_number() over (partition by video_id, seg_id order by n desc, total desc, first_s) as k, sum(n) over (partition by video_id, seg_id) as n_all from grp),
-new as (select video_id, seg_id, text as n_text, total / n as n_conf, n / n_all::double as n_score, cast(n_all as bigint) as n_obs, n as n_win from win where k = 1),
+fine_win as (select *, row_number() over (partition by video_id, seg_id order by n desc, total desc, first_s) as k, sum(n) over (partition by video_id, seg_id) as n_all from grp),
+new as (select video_id, seg_id, text as n_text, total / n as n_conf, n / n_all::double as n_score, cast(n_all as bigint) as n_obs, n as n_win from fine_win where k = 1),
 j as (select f.*, new.* exclude (video_id, seg_id), coalesce(n_win >= 2 or n_conf >= confidence + 0.05 or n_score >= 0.80, false) as take from final f left join new using (video_id, seg_id))
 select video_id, seg_id, start_s, end_s, case when take then n_text else text end as text, case when take then round_even(n_conf, 4) else confidence end as confidence, case when take then round_even(n_score, 4) else consensus_score end as consensus_score,
 case when take then n_obs else observation_count end as observation_count, case when take then n_win else winner_count end as winner_count, representative_ord, take as refined from j"""
