@@ -16,9 +16,14 @@ _HIDDEN = re.compile(r"\s+|[\u200b-\u200f\ufeff]")
 _OTHER = re.compile(r"[^\w\u3400-\u9fff]")
 
 
+def squeezed(value: str | None) -> str:
+    """Without white space and zero-width characters."""
+    return _HIDDEN.sub("", value or "")
+
+
 def comparable(value: str | None) -> str:
     """What the exact ratio compares."""
-    return _OTHER.sub("", _HIDDEN.sub("", value or ""))
+    return _OTHER.sub("", squeezed(value))
 
 
 def ratio(a: str, b: str) -> float:

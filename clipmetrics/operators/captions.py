@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
@@ -154,6 +155,33 @@ def consensus(observations: DataFrame, keys: list[str], params: CaptionParams =
                 _vote(params.consensus_similarity, ratio), schema)
 
 
+def consensus_aggregate(params: CaptionParams = CaptionParams(), ratio: Ratio = similarity.ratio):
+    """The vote as an aggregate function for SQL users: consensus_text(text, confidence, ord) of one segment.
+
+    A grouped pandas function holds its group in memory, so it is meant for groups the size of a
+    segment; consensus() is the form for everything else.
+    """
+    vote = _vote(params.consensus_similarity, ratio)
+
+    @F.pandas_udf(StringType())
+    def consensus_text(texts: pd.Series, confidence: pd.Series, ords: pd.Series) -> str:
+        rows = pd.DataFrame({"text": texts.fillna(""), "trust": confidence.fillna(0.0).clip(lower=0.0), "ord": ords})
+        rows = rows[rows["text"].map(similarity.squeezed) != ""].sort_values("ord")
+        if rows.empty:
+            return None
+        rows["cmp"] = rows["text"].map(similarity.comparable)
+        best = rows.sort_values(["trust", "ord"], ascending=[False, True]).drop_duplicates("cmp").set_index("cmp")
+        counts = rows.groupby("cmp", sort=False).agg(n=("ord", "size"), total=("trust", "sum")).join(best)
+        items = ((c, r.n, r.total, r.trust, r.ord, r.text) for c, r in zip(counts.index, counts.itertuples(index=False)))
+        return next(iter(vote((), items)))[0]
+
+    return consensus_text
+
+
+def register_consensus(spark: SparkSession, name: str = "consensus_text") -> None:
+    spark.udf.register(name, consensus_aggregate())
+
+
 def exact_text_vote(observations: DataFrame, keys: list[str]) -> DataFrame:
     """Consensus without similarity: most frequent squeezed text, then total confidence, then text."""
     usable = observations.withColumn("_text", text.squeeze(F.col("text"))).where(F.col("_text") != "")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clipmetrics.functions import regions, similarity
 from clipmetrics.operators import boxes, captions
 from clipmetrics.params import CaptionParams, PersistentParams
-from clipmetrics.plans.adapters import OBSERVATIONS, observations, with_boxes
+from clipmetrics.plans.adapters import OBSERVATIONS, observations, table, with_boxes
 
 # Events are hours apart, so an interval of an hour and a gap of a day take the place of frames.
 HOURLY = CaptionParams(interval=3600.0, max_gap=86_400.0, min_confidence=0.10, persistent_seconds=200_000.0, slice_seconds=604_800.0)
@@ -113,6 +114,20 @@ def region_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.side(_keyed_boxes(spark, sf_dir), ["video_id", "text"])
 
 
+def detail_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three boxes per observation, one of them often too small, as details in reading order."""
+    obs = observations(spark, sf_dir)
+    trio = F.array(regions.box(F.col("x"), F.col("y"), F.col("w"), F.col("h")), regions.box(F.col("y"), F.col("x"), F.col("w"), (F.col("ord") % 4) / 1000.0),
+                   regions.box(F.col("x") / 2, F.col("y") / 2, F.col("h"), F.col("w")))
+    return obs.select("ord", F.posexplode(regions.detail_boxes(trio)).alias("pos", "b")).select("ord", "pos", *[F.col(f"b.{k}").alias(k) for k in "xywh"])
+
+
+def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit-distance similarity of part names and types."""
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.round(similarity.similarity(F.lower("p_name"), F.lower(F.concat("p_type", F.lit(" "), "p_brand"))), 9).alias("similarity"))
+
+
 BRAND = PersistentParams(brand="purchase")
 
 
@@ -327,6 +342,11 @@ select video_id, start_s, end_s, text, observation_count from firsts union all s
     "cleanup_regions": (cleanup_regions, CLEANUP_SQL),
     "detection_clusters": (detection_clusters, CLUSTER_SQL),
     "box_envelope": (box_envelope, f"with {OBSERVATIONS} select video_id, text, round(min(x::double), 6) as x, round(min(y::double), 6) as y, round(max((x + w)::double) - min(x::double), 6) as w, round(max((y + h)::double) - min(y::double), 6) as h from observations group by video_id, text"),
+    "detail_boxes": (detail_boxes, f"""with {OBSERVATIONS}, b as (select ord, x::double as x, y::double as y, w::double as w, h::double as h from observations union all select ord, y, x, w, (ord % 4) / 1000.0 from observations
+union all select ord, x / 2, y / 2, h, w from observations), k as (select *, row_number() over (partition by ord order by y, x, w, h) - 1 as p from b where w > 0.002 and h > 0.002)
+select ord, cast(p as int) as pos, round_even({_pad('x', 'w', 0.004, 0.005)[0]}, 6) as x, round_even({_pad('y', 'h', 0.004, 0.005)[0]}, 6) as y, round_even({_pad('x', 'w', 0.004, 0.005)[1]}, 6) as w, round_even({_pad('y', 'h', 0.004, 0.005)[1]}, 6) as h from k"""),
+    "text_similarity": (text_similarity, """with s as (select p_partkey, regexp_replace(lower(p_name), '[^a-z0-9_]', '', 'g') as a, regexp_replace(lower(p_type || ' ' || p_brand), '[^a-z0-9_]', '', 'g') as b from part)
+select p_partkey, round(1.0 - levenshtein(a, b) / greatest(length(a), length(b))::double, 9) as similarity from s"""),
     "robust_box": (robust_box, _quantile_sql(0.5, 0.5, 0.02, 0.015, 0.012, 0.008, "video_id, text")),
     "region_quantiles": (region_quantiles, _quantile_sql(0.05, 0.95, 0.03, 0.025, 0.025, 0.018, "video_id")),
     "region_side": (region_side, f"with {OBSERVATIONS} select video_id, text, case when sum((x + w / 2)::double * greatest(0.01, w)) / sum(greatest(0.01, w)::double) < 0.5 then 'left' else 'right' end as side from observations group by video_id, text"),

@@ -13,13 +13,17 @@ from clipmetrics.streaming.runs import latest
 MERGE_KEYS = ["merge_platform", "merge_key"]
 
 
-def merge_stream(hits: DataFrame, event_time: str | None = None, delay: str = "30 days") -> DataFrame:
-    """One row per video, kept up to date. With event_time, videos not seen for the delay leave the state."""
+def merge_stream(hits: DataFrame) -> DataFrame:
+    """One row per video, kept up to date; the state holds every video ever seen."""
+    platform, key = merge_key()
+    return hits.groupBy(platform, key).agg(*merge_aggregates())
+
+
+def merge_sessions(hits: DataFrame, event_time: str, quiet: str, delay: str) -> DataFrame:
+    """One final row per video and burst of hits: a video not seen for the quiet time leaves the state."""
     platform, key = merge_key()
-    if event_time is None:
-        return hits.groupBy(platform, key).agg(*merge_aggregates())
     marked = hits.withWatermark(event_time, delay)
-    return marked.groupBy(F.session_window(event_time, delay).alias("seen"), platform, key).agg(*merge_aggregates()).drop("seen")
+    return marked.groupBy(F.session_window(event_time, quiet).alias("seen"), platform, key).agg(*merge_aggregates()).drop("seen", *MERGE_KEYS)
 
 
 def merged(spark: SparkSession, log: str) -> DataFrame:

@@ -112,6 +112,14 @@ def test_consensus_prefers_agreement_over_one_confident_reading(spark):
     assert captions.consensus(spark.createDataFrame([("v", 0, 0.0, " ", 0.9)], OBS), ["video_id"]).count() == 0
 
 
+def test_consensus_as_aggregate_function(spark):
+    df = spark.createDataFrame(observations(23, 150, 5), OBS)
+    captions.register_consensus(spark)
+    df.createOrReplaceTempView("obs")
+    by_sql = {r.video_id: r.t for r in spark.sql("select video_id, consensus_text(text, confidence, ord) as t from obs group by video_id").collect()}
+    assert by_sql == {r.video_id: r.text for r in captions.consensus(df, ["video_id"]).collect()}
+
+
 def test_final_segments(spark):
     rows = [("v", i, i * 0.3, "label text", 0.9) for i in range(60)] + [("v", 100 + i, 30 + i * 0.3, "caption", 0.9) for i in range(3)] + [("v", 200, 50.0, "blink", 0.9)]
     params = CaptionParams(interval=0.3, persistent_seconds=12.0)

@@ -41,6 +41,14 @@ def test_running_merge_equals_batch(spark):
     assert sorted(map(str, candidates.merged(spark, log).select(cols).collect())) == sorted(map(str, batch.merge_candidates(hits).select(cols).collect()))
 
 
+def test_bounded_merge(spark):
+    hits = event_hits(spark)
+    stream = runs.read_stream(spark, in_pieces(spark, hits, "published_at"), ddl(hits), files_per_batch=1)
+    rows = spark.read.parquet(runs.append_available(candidates.merge_sessions(stream, "published_at", "6 hours", "1 hour"), "bounded"))
+    assert rows.where("seq is null").count() == 0 and 0 < rows.count() < hits.count()
+    assert rows.agg(F.max("likes")).first()[0] <= hits.agg(F.max("likes")).first()[0]
+
+
 def test_restart_continues(spark):
     hits = event_hits(spark)
     folder = in_pieces(spark, hits.where("seq % 4 <> 1"), "seq", 2)
