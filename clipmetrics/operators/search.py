@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clipmetrics import rules
 from clipmetrics.functions.text import strip
 from clipmetrics.params import expansion_limit
+from clipmetrics.session import fits
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
@@ -111,7 +112,7 @@ def phrase_matches(corpus: DataFrame, ids: list[str], text: str, phrases: DataFr
     phrases without an inner word) and is compared only with the phrases that share one.
     """
     needles = _needles(phrases)
-    small = needles.limit(max_broadcast + 1).count() <= max_broadcast
+    small = fits(needles, max_broadcast)
     # The lower-cased text is a column below the explode, so it is made once per text and not per word.
     texts = corpus.select(*ids, F.lower(F.col(text)).alias("_low"))
     words = F.array_distinct(F.split("_low", WORD_BREAK))

@@ -12,11 +12,9 @@ from clipmetrics.session import work_dir
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_stream(spark: SparkSession, folder: str, schema: str, files: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+def read_stream(spark: SparkSession, folder: str, schema: str, files: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
+    """Parquet files of a folder as a stream; a backlog is taken in bounded micro-batches."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", files).option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(folder)
 
 
