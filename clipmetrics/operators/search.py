@@ -105,11 +105,20 @@ def _lookup(texts: DataFrame, ids: list[str], keys: Column, needles: DataFrame,
     return pairs.join(texts, ids).where(verify).select(*ids, "phrase_id", "phrase")
 
 
-def phrase_matches(corpus: DataFrame, ids: list[str], text: str, phrases: DataFrame, max_broadcast: int = 200_000) -> DataFrame:
+def _scan(texts: DataFrame, ids: list[str], few: list, types: dict[str, str]) -> DataFrame:
+    """A handful of needles looked for directly in every text."""
+    entry = lambda r: F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in ("phrase_id", "phrase", "needle")])
+    found = F.filter(F.array(*[entry(r) for r in few]), lambda n: F.contains(F.col("_low"), n.needle))
+    return texts.select(*ids, F.explode(found).alias("m")).select(*ids, "m.phrase_id", "m.phrase")
+
+
+def phrase_matches(corpus: DataFrame, ids: list[str], text: str, phrases: DataFrame, max_broadcast: int = 200_000,
+                   scan_up_to: int = 64) -> DataFrame:
     """phrases(phrase_id, phrase) found in the text of a landed corpus: (ids, phrase_id, phrase).
 
     An inverted lookup, not a nested loop: each text offers its distinct words (or character pairs, for
-    phrases without an inner word) and is compared only with the phrases that share one.
+    phrases without an inner word) and is compared only with the phrases that share one. A few phrases
+    without inner word are simply looked for in every text, which is cheaper than listing its pairs.
     """
     needles = _needles(phrases)
     small = fits(needles, max_broadcast)
@@ -118,8 +127,11 @@ def phrase_matches(corpus: DataFrame, ids: list[str], text: str, phrases: DataFr
     words = F.array_distinct(F.split("_low", WORD_BREAK))
     by_word = _lookup(texts, ids, words, needles.where(F.col("word").isNotNull()), "word", small)
     wordless = needles.where(F.col("word").isNull())
-    if wordless.isEmpty():
+    few = wordless.limit(scan_up_to + 1).collect()  # bounded by scan_up_to
+    if not few:
         return by_word
+    if len(few) <= scan_up_to:
+        return by_word.unionByName(_scan(texts, ids, few, dict(needles.dtypes)))
     return by_word.unionByName(_lookup(texts, ids, _grams(F.col("_low")), wordless, "gram", small))
 
 

@@ -127,13 +127,13 @@ def test_limits():
         CaptionParams(max_gap=0.01)
 
 
-@pytest.mark.parametrize("max_broadcast", [1000, 0])
-def test_phrase_search_equals_brute_force(spark, max_broadcast):
+@pytest.mark.parametrize(("max_broadcast", "scan_up_to"), [(1000, 0), (0, 0), (1000, 64)])
+def test_phrase_search_equals_brute_force(spark, max_broadcast, scan_up_to):
     rng = random.Random(5)
     alphabet = ["ab", "ba", "好物", "c", "-", " ", " ", "Ä"]
     texts = [(i, "".join(rng.choice(alphabet) for _ in range(rng.randrange(40)))) for i in range(120)]
     phrases = [(f"p{i}", "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 6)))) for i in range(40)] + [("q", "物"), ("blank", "  "), ("r", "ab ba ab")]
-    found = search.phrase_matches(spark.createDataFrame(texts, "id int, text string"), ["id"], "text", spark.createDataFrame(phrases, "phrase_id string, phrase string"), max_broadcast)
+    found = search.phrase_matches(spark.createDataFrame(texts, "id int, text string"), ["id"], "text", spark.createDataFrame(phrases, "phrase_id string, phrase string"), max_broadcast, scan_up_to)
     got = sorted((r.id, r.phrase_id) for r in found.collect())
     want = sorted((i, p) for i, t in texts for p, s in phrases if s.strip() and s.strip().lower() in t.lower())
     assert got == want
