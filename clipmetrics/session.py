@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,18 @@ SETTINGS = {
 }
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the driver was started from."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    paths = context.environment.get("PYTHONPATH", "")
+    if str(root) in paths.split(os.pathsep):
+        return
+    context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [paths, str(root)]))
+    if not context.master.startswith("local"):
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='run-ship-')}/clipmetrics", "zip", root, "clipmetrics")
+        context.addPyFile(archive)  # Spark itself copies it to every executor
+
+
 def build_session(app: str = "clipmetrics", master: str | None = None, **conf: str) -> SparkSession:
     """Create or reuse a session with the settings the operators expect."""
     builder = SparkSession.builder.appName(app)
@@ -24,7 +39,9 @@ def build_session(app: str = "clipmetrics", master: str | None = None, **conf: s
         builder = builder.master(master)
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def work_dir(spark: SparkSession, name: str) -> str:

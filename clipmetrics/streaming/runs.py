@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +19,29 @@ def read_stream(spark: SparkSession, folder: str, schema: str, files: str = "*.p
     return reader.parquet(folder)
 
 
+@contextmanager
+def _state_partitions(spark: SparkSession) -> Iterator[None]:
+    """A stream keeps the number of state partitions it started with. On one machine there is no use for
+    more of them than cores; a cluster session keeps its own setting."""
+    key = "spark.sql.shuffle.partitions"
+    before, cores = spark.conf.get(key), spark.sparkContext.defaultParallelism
+    if spark.conf.get("spark.master", "").startswith("local") and int(before) > cores:
+        spark.conf.set(key, str(cores))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def append_available(stream: DataFrame, name: str, path: str | None = None) -> str:
     """Process everything that is there and append final rows to Parquet files; returns their folder."""
     target = path or work_dir(stream.sparkSession, name)
-    query = (
+    writer = (
         stream.writeStream.outputMode("append").format("parquet").option("path", f"{target}/rows")
-        .option("checkpointLocation", f"{target}/progress").trigger(availableNow=True).start()
+        .option("checkpointLocation", f"{target}/progress").trigger(availableNow=True)
     )
+    with _state_partitions(stream.sparkSession):
+        query = writer.start()
     query.awaitTermination()
     return f"{target}/rows"
 
@@ -43,10 +60,12 @@ def changes_available(stream: DataFrame, name: str, path: str | None = None, the
         if then:
             then(batch.sparkSession, log, number)
 
-    query = (
+    writer = (
         stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{target}/progress")
-        .trigger(availableNow=True).start()
+        .trigger(availableNow=True)
     )
+    with _state_partitions(stream.sparkSession):
+        query = writer.start()
     query.awaitTermination()
     return log
 
