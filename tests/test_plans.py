@@ -62,3 +62,12 @@ def test_single_query_maxima_are_a_subquery(spark):
 
     plan = plan_of(ranking.score(adapters.hits(spark, SF), F.lit("word"), adapters.now()))
     assert "Subquery" in plan and "Join" not in plan
+
+
+def test_workers_can_import_the_package(spark):
+    from pathlib import Path
+
+    import clipmetrics
+
+    root = str(Path(clipmetrics.__file__).resolve().parents[1])
+    assert root in spark.sparkContext.environment["PYTHONPATH"].split(":")
