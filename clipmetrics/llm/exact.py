@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipmetrics.session import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,12 +47,14 @@ def exact_classes(
         salted.repartition("digest").groupBy("digest", "content")
         .agg(F.max("winner").alias("keep_id"), F.sum("n").alias("group_size"))
     )
-    by_digest = winners.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("contents"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
-    plain = rows.select("doc_id", "digest").join(by_digest.where("contents = 1").drop("contents"), "digest")
+    # Content stays only where a digest has more than one, so what is joined back carries no texts.
+    winners = written(
+        winners.withColumn("contents", F.count(F.lit(1)).over(Window.partitionBy("digest")))
+        .withColumn("content", F.when(F.col("contents") > 1, F.col("content"))), "exact-winners")
+    plain = rows.select("doc_id", "digest").join(winners.where("contents = 1").drop("content"), "digest")
     # Digests of more than one content: with SHA-256 none, so the hint is on a side of proven size.
-    shared = F.broadcast(by_digest.where("contents > 1").select("digest"))
-    odd = rows.join(shared, "digest").join(winners, ["digest", "content"])
+    several = winners.where("contents > 1")
+    odd = rows.join(F.broadcast(several.select("digest").distinct()), "digest").join(several, ["digest", "content"])
     columns = ["doc_id", "keep_id", "group_size", "digest"]
     return plain.select(columns).unionByName(odd.select(columns)).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")

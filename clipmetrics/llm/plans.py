@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmetrics.llm import exact
+from clipmetrics.llm import bins, exact, mixing
 from clipmetrics.session import ship_package
 
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_classes(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
@@ -29,9 +33,15 @@ FROM n JOIN g ON n.t = g.t
 """
 
 
+def op8_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bins.pack_binary(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_source_mix": op3_source_mix,
         "op6_exact_dedup": op6_exact_dedup,
+        "op8_token_packing": op8_token_packing,
     }
 
 
