@@ -107,7 +107,7 @@ def pack_binary(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, places = tokens.width(path), "<u2" if window <= 1 << 16 else "<u4"
         next_id = TaskContext.get().partitionId() << 40
-        for batch in _gathered(batches, batch_bytes):
+        for batch in gathered(batches, batch_bytes):
             doc_ids = batch.column(0).to_pylist()
             ids = [tokens.token_ids(t, path).astype(kind) for t in batch.column(1).to_pylist()]
             out = pack(doc_ids, ids, window)
@@ -119,7 +119,7 @@ def pack_binary(
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], batch_bytes: int) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], batch_bytes: int) -> Iterator[pa.RecordBatch]:
     """Batches of about batch_bytes of text, whatever the size of the batches that come in."""
     held: list[pa.RecordBatch] = []
     size = 0

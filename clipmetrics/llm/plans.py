@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmetrics.llm import bins, exact, mixing
+from clipmetrics.llm import bins, exact, lexical, mixing
 from clipmetrics.session import ship_package
 
 
@@ -37,11 +37,22 @@ def op8_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bins.pack_binary(table(spark, sf_dir, "documents"))
 
 
+def op10_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces(lexical.pack_lexical(table(spark, sf_dir, "documents")))
+
+
+def pieces(packed: DataFrame) -> DataFrame:
+    """Packed pieces with a checksum in place of their ids."""
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_source_mix": op3_source_mix,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_token_packing": op8_token_packing,
+        "op10_lexical_packing": op10_lexical_packing,
     }
 
 
