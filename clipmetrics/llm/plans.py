@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmetrics.llm import bins, exact, lexical, mixing
+from clipmetrics.llm import bins, exact, lexical, mixing, simhash
 from clipmetrics.session import ship_package
 
 
@@ -33,6 +33,11 @@ FROM n JOIN g ON n.t = g.t
 """
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bins.pack_binary(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_source_mix": op3_source_mix,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_simhash": op7_simhash,
         "op8_token_packing": op8_token_packing,
         "op10_lexical_packing": op10_lexical_packing,
     }

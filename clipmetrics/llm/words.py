@@ -57,3 +57,15 @@ def slices(batch: pa.RecordBatch, text: str, max_bytes: int) -> Iterator[pa.Reco
         stop = min(max(stop, start + 1), batch.num_rows)
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words one after the other, one space after each; start and end byte of every word in there."""
+    lengths = ends - starts
+    to = np.cumsum(lengths + 1) - lengths - 1
+    out = np.full(int((lengths + 1).sum()), 32, dtype=np.uint8)
+    total = int(lengths.sum())
+    shift = np.repeat(np.stack([starts, to]) - (np.cumsum(lengths) - lengths), lengths, axis=1)
+    place = np.arange(total)
+    out[shift[1] + place] = data[shift[0] + place]
+    return out, to, to + lengths
