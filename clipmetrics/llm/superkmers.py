@@ -58,9 +58,9 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
 
 
 class Runs:
-    """Runs of windows of one batch of texts: document, first word there, windows, bucket key and byte range each."""
+    """Runs of windows of one batch of texts: document, first word there, number of windows, minimiser, byte range."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, k: int, m: int, split: np.ndarray, longest: int = 256) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, k: int, m: int, longest: int = 256) -> None:
         starts, ends, first = word_bounds(data, offsets)
         self.words = np.diff(first)
         self.buffer, starts, ends = joined(data, starts, ends)
@@ -69,11 +69,8 @@ class Runs:
         places = max(len(hashes) - k + 1, 0)
         keys = sliding_min(gram_hashes(hashes, m), k - m + 1) if places else np.zeros(0, np.uint64)
         whole = owner[:places] == owner[k - 1:k - 1 + places]
-        single = np.isin(keys, split) if len(split) else np.zeros(places, dtype=bool)
-        if single.any():
-            keys = np.where(single, gram_hashes(hashes, k), keys)
         begins = whole.copy()
-        begins[1:] &= ~(whole[:-1] & (keys[1:] == keys[:-1]) & (owner[1:places] == owner[:places - 1])) | single[1:]
+        begins[1:] &= ~(whole[:-1] & (keys[1:] == keys[:-1]) & (owner[1:places] == owner[:places - 1]))
         at = np.flatnonzero(begins)
         sizes = np.diff(np.append(np.flatnonzero(whole).searchsorted(at), int(whole.sum())))
         if len(sizes) and sizes.max() > longest:  # one word repeated: cut, which changes no window
@@ -87,3 +84,9 @@ class Runs:
     def strings(self) -> list[bytes]:
         raw = self.buffer.tobytes()
         return [raw[a:b] for a, b in zip(self.low.tolist(), self.high.tolist())]
+
+    def select(self, kept: np.ndarray) -> Runs:
+        """Drop all other runs."""
+        for name in ("keys", "windows", "doc", "start", "low", "high"):
+            setattr(self, name, getattr(self, name)[kept])
+        return self
