@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmetrics.llm import bins, exact, lexical, mixing, neighbours, simhash, substrings
+from clipmetrics.llm import bins, exact, lexical, mixing, neighbours, simhash, substrings, toxicity
+from clipmetrics.llm.labels import fold
 from clipmetrics.session import ship_package
 
 
@@ -29,6 +30,14 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("id"), 3) != 1)
+    return toxicity.with_score(docs.select("doc_id", "text"), scorer).select(
+        "doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_classes(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
@@ -66,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_multiprobe_neighbours": op2_multiprobe_neighbours,
         "op3_source_mix": op3_source_mix,
+        "op4_toxicity": op4_toxicity,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_simhash": op7_simhash,
         "op8_token_packing": op8_token_packing,

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +30,14 @@ SPANS = "doc_id long, begin int, until int"
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now and not when the driver next collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished steps now and not when the driver next collects its garbage.
+
+    Twice, as the first collection only frees what still names them.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
