@@ -208,24 +208,27 @@ def nearest(
     def found(route: DataFrame, of: DataFrame) -> DataFrame:
         return of.groupBy("table", "shard").cogroup(route.groupBy("table", "shard")).applyInArrow(search, "query long, id long, score double")
 
-    route = asked.select("id", "vector").mapInArrow(routed, "table long, shard long, id long, vector array<double>, buckets array<long>")
-    pairs = written(found(route, placed), "vector-pairs")
-    enough = (
-        pairs.dropDuplicates(["query", "id"]).join(classes.select("id", F.size("ids").alias("n")), "id")
-        .groupBy("query").agg(F.sum("n").alias("n"))
-    )
-    short = asked.join(enough, asked["id"] == enough["query"], "left").where(F.coalesce("n", F.lit(0)) < min(k + 1, members)).select("id", "vector")
-    short = written(short, "vector-short")
+    asking = asked.select("id", "vector").repartition(max(-(-asked.count() // 256), 1), "id")
+    route = asking.mapInArrow(routed, "table long, shard long, id long, vector array<double>, buckets array<long>")
+    def best(pairs: DataFrame, name: str) -> DataFrame:
+        """The k + 1 best classes of each query: no id outside them can be among its k + 1 nearest."""
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+        pairs = pairs.groupBy("query", "id").agg(F.max("score").alias("score"))
+        return written(pairs.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n"), name)
+
+    top = best(found(route, placed), "vector-best")
+    enough = top.join(classes.select("id", F.size("ids").alias("n")), "id").groupBy("query").agg(F.sum("n").alias("n"))
+    short = asked.join(enough, asked["id"] == enough["query"], "left").where(F.coalesce("n", F.lit(0)) < min(k + 1, members))
+    short = written(short.select("id", "vector"), "vector-short")
     if not short.isEmpty():
         everywhere = short.select(
             (F.size("vector") * tables).cast("long").alias("table"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"),
             "id", "vector", F.lit(None).cast("array<long>").alias("buckets"))
-        pairs = pairs.unionByName(found(everywhere, placed.where(F.col("table") % tables == 0)))
-    members_of = pairs.groupBy("query", "id").agg(F.max("score").alias("score")).join(classes.select("id", "ids"), "id")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        top = best(top.unionByName(found(everywhere, placed.where(F.col("table") % tables == 0))), "vector-best-all")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     lists = (
-        members_of.select("query", "score", F.explode("ids").alias("vec_id"))
-        .withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+        top.join(classes.select("id", "ids"), "id").select("query", "score", F.explode("ids").alias("vec_id"))
+        .withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     )
     queries = rows.where("asks").select(F.col("id").alias("query_id"), "vector").join(asked.withColumnRenamed("id", "query"), "vector").select("query_id", "query")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from clipmetrics.llm.components import components
 from clipmetrics.llm.words import joined, slices, text_buffer, word_bounds
@@ -181,7 +182,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 marks = pa.array(fingerprints(part.column(part.schema.get_field_index(text_col))).view(np.int64))
                 yield pa.RecordBatch.from_arrays([*part.columns, marks], names=[*columns, "__sim_mark"])
 
-    schema = df.schema.add("__sim_mark", "long")
+    schema = StructType([*df.schema.fields, StructField("__sim_mark", LongType())])
     marked = df.mapInArrow(run, schema)
     kept = marked.join(
         stays, (F.col("__sim_mark") == F.col("__sim_fp")) & F.col(id_col).cast("long").eqNullSafe(F.col("__sim_id")), "left_semi")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from clipmetrics.llm import gru
 from clipmetrics.llm.labels import training_rows
@@ -154,4 +154,4 @@ def with_score(df: DataFrame, scorer: Scorer, text_col: str = "text", score_col:
                 found = pa.array(shared.value.scores(part.column(part.schema.get_field_index(text_col))))
                 yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, score_col])
 
-    return df.mapInArrow(run, StructType(df.schema.fields).add(score_col, "double"))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(score_col, DoubleType())]))
