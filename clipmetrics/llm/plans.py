@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmetrics.llm import bins, exact, lexical, mixing, neighbours, simhash, substrings, toxicity
+from clipmetrics.llm import bins, exact, lexical, mixing, neighbours, quality, simhash, substrings, toxicity
 from clipmetrics.llm.labels import fold
 from clipmetrics.session import ship_package
 
@@ -38,6 +38,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = quality.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("id"), 5) != 0)
+    return quality.with_score(docs.select("doc_id", "text"), network).select(
+        "doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_classes(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
@@ -76,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_multiprobe_neighbours": op2_multiprobe_neighbours,
         "op3_source_mix": op3_source_mix,
         "op4_toxicity": op4_toxicity,
+        "op5_quality": op5_quality,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_simhash": op7_simhash,
         "op8_token_packing": op8_token_packing,
