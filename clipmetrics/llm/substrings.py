@@ -64,7 +64,7 @@ def frequent_minimisers(docs: DataFrame, k: int, m: int, share: float, least: in
             keys, counts = np.unique(runs.keys, return_counts=True)
             often = counts >= max(share * len(runs.keys), 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([*keys[often], None]), pa.array([*counts[often], len(runs.keys)], pa.int64())], names=["key", "n"])
+                [pa.array([*keys[often], None], pa.int64()), pa.array([*counts[often], len(runs.keys)], pa.int64())], names=["key", "n"])
 
     counted = written(docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "minimisers")
     total = counted.where("key is null").agg(F.sum("n")).first()[0] or 0
