@@ -37,8 +37,20 @@ class Words:
             owners.append(np.repeat(np.arange(len(distinct)), counts))
         owner = np.concatenate(owners)
         order = np.argsort(owner, kind="stable")
-        self.inputs, self.owner = np.concatenate(ids)[order], owner[order]
-        self.begins = np.searchsorted(self.owner, np.arange(len(distinct)))
+        self.inputs = np.concatenate(ids)[order].astype(np.int32)
+        self.begins = np.searchsorted(owner[order], np.arange(len(distinct)))
+
+    @classmethod
+    def together(cls, parts: list[Words]) -> Words:
+        """The texts of all parts; a word of two parts stays two distinct words with the same inputs."""
+        out = cls.__new__(cls)
+        words = np.cumsum([0, *(len(p.begins) for p in parts)])
+        inputs = np.cumsum([0, *(len(p.inputs) for p in parts)])
+        out.counts = np.concatenate([p.counts for p in parts])
+        out.number = np.concatenate([p.number + n for p, n in zip(parts, words)])
+        out.inputs = np.concatenate([p.inputs for p in parts])
+        out.begins = np.concatenate([p.begins + n for p, n in zip(parts, inputs)])
+        return out
 
     def vectors(self, table: np.ndarray) -> np.ndarray:
         """Input vector of every distinct word, and a zero vector behind them for places without a word."""

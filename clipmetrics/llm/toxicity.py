@@ -47,19 +47,25 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.text_logits(column) + self.shift, -50, 50)))
 
 
-def _over_represented(words: gru.Words, labels: np.ndarray, rows: int) -> np.ndarray:
-    """For every distinct word the largest log odds of its inputs to occur in a toxic rather than a clean text."""
-    text = np.repeat(np.arange(len(words.counts)), words.counts)
-    pairs = np.unique(text * len(words.begins) + words.number)  # text and distinct word
-    ends = np.append(words.begins[1:], len(words.inputs))
-    counts = (ends - words.begins)[pairs % len(words.begins)]
-    at = np.repeat(words.begins[pairs % len(words.begins)] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    seen = np.unique(np.repeat(pairs // len(words.begins), counts) * rows + words.inputs[at])
-    toxic = labels[seen // rows] == 1
-    held = [np.bincount((seen % rows)[mask], minlength=rows) for mask in (toxic, ~toxic)]
-    odds = np.log((held[0] + 0.1) / (labels.sum() + 1)) - np.log((held[1] + 0.1) / ((1 - labels).sum() + 1))
-    odds[held[0] < 2] = 0
-    return np.maximum.reduceat(odds[words.inputs], words.begins)
+def _held(words: gru.Words, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """text and input of every input that a text has, once each."""
+    pairs = np.unique(np.repeat(np.arange(len(words.counts)), words.counts) * max(len(words.begins), 1) + words.number)
+    text, word = np.divmod(pairs, max(len(words.begins), 1))
+    counts = (np.append(words.begins[1:], len(words.inputs)) - words.begins)[word]
+    at = np.repeat(words.begins[word] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    return np.divmod(np.unique(np.repeat(text, counts) * rows + words.inputs[at]), rows)
+
+
+def _log_odds(parts: list[gru.Words], labels: np.ndarray, rows: int) -> np.ndarray:
+    """For every input the log odds to occur in a toxic rather than a clean text; 0 for those of fewer than two toxic texts."""
+    held, first = np.zeros((2, rows)), 0
+    for words in parts:
+        text, inputs = _held(words, rows)
+        for label in (0, 1):
+            held[label] += np.bincount(inputs[labels[first + text] == label], minlength=rows)
+        first += len(words.counts)
+    odds = np.log((held[1] + 0.1) / (labels.sum() + 1)) - np.log((held[0] + 0.1) / ((1 - labels).sum() + 1))
+    return np.where(held[1] < 2, 0, odds)
 
 
 def train(
@@ -74,10 +80,13 @@ def train(
         return scorer
     rows = [*rows, *[("", 0)] * (len(rows) // 100 + 1)]  # a text without words is clean
     labels = np.array([label for _, label in rows], dtype=np.float32)
-    words = gru.Words(*text_buffer(pa.array([text for text, _ in rows], pa.large_string())), table_rows)
+    texts = pa.RecordBatch.from_arrays([pa.array([text for text, _ in rows], pa.large_string())], names=["text"])
+    parts = [gru.Words(*text_buffer(part.column(0)), table_rows) for part in slices(texts, "text", 1 << 20)]
+    odds = _log_odds(parts, labels, table_rows)
+    words = gru.Words.together(parts)
     text, first, end = gru.windows(words.counts, scorer.length, scorer.stride)
-    placed = gru.places(first, end, scorer.length, words.number, len(words.begins))
-    rank = np.append(_over_represented(words, labels, table_rows), 0.0)[placed].max(axis=1)
+    placed = gru.places(first, end, scorer.length, words.number, len(words.begins)).astype(np.int32)
+    rank = np.append(np.maximum.reduceat(odds[words.inputs], words.begins), 0.0)[placed].max(axis=1)
     rng = np.random.default_rng(seed)
     optimizer = gru.Adam(scorer.weights, rate)
     ends = np.append(words.begins[1:], len(words.inputs))
