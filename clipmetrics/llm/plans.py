@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmetrics.llm import bins, exact, lexical, mixing, neighbours, quality, simhash, substrings, toxicity
+from clipmetrics.llm import bins, exact, lexical, mixing, neighbours, quality, quotes, simhash, substrings, toxicity
 from clipmetrics.llm.labels import fold
 from clipmetrics.session import ship_package
 
@@ -68,6 +68,10 @@ def op8_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bins.pack_binary(table(spark, sf_dir, "documents"))
 
 
+def op9_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(quotes.linked_messages(table(spark, sf_dir, "conversations")))
+
+
 def op10_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(lexical.pack_lexical(table(spark, sf_dir, "documents")))
 
@@ -88,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_dedup": op6_exact_dedup,
         "op7_simhash": op7_simhash,
         "op8_token_packing": op8_token_packing,
+        "op9_quote_linking": op9_quote_linking,
         "op10_lexical_packing": op10_lexical_packing,
     }
 
