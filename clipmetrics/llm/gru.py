@@ -54,8 +54,12 @@ class Words:
 
     def vectors(self, table: np.ndarray) -> np.ndarray:
         """Input vector of every distinct word, and a zero vector behind them for places without a word."""
-        sums = np.add.reduceat(table[self.inputs], self.begins, axis=0) if len(self.begins) else np.zeros((0, table.shape[1]), table.dtype)
-        return np.concatenate([sums, np.zeros((1, table.shape[1]), table.dtype)])
+        out = np.zeros((len(self.begins) + 1, table.shape[1]), table.dtype)
+        for at in range(0, len(self.begins), 1 << 14):
+            begins = self.begins[at:at + (1 << 14)]
+            end = self.begins[at + len(begins)] if at + len(begins) < len(self.begins) else len(self.inputs)
+            out[at:at + len(begins)] = np.add.reduceat(table[self.inputs[begins[0]:end]], begins - begins[0], axis=0)
+        return out
 
 
 def windows(counts: np.ndarray, length: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,11 +74,11 @@ def windows(counts: np.ndarray, length: int, stride: int) -> tuple[np.ndarray, n
 
 def places(first: np.ndarray, end: np.ndarray, length: int, number: np.ndarray, blank: int) -> np.ndarray:
     """(window, place): distinct-word numbers, blank beyond the end."""
-    at = first[:, None] + np.arange(length)[None, :]
-    inside = at < end[:, None]
-    if not len(number):
-        return np.full(at.shape, blank)
-    return np.where(inside, number[np.minimum(at, len(number) - 1)], blank)
+    out = np.full((len(first), length), blank, dtype=np.int32)
+    for t in range(length):
+        inside = first + t < end
+        out[inside, t] = number[first[inside] + t]
+    return out
 
 
 def initial(rows: int, width: int, hidden: int, seed: int) -> Weights:

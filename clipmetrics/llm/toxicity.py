@@ -65,7 +65,21 @@ def _log_odds(parts: list[gru.Words], labels: np.ndarray, rows: int) -> np.ndarr
             held[label] += np.bincount(inputs[labels[first + text] == label], minlength=rows)
         first += len(words.counts)
     odds = np.log((held[1] + 0.1) / (labels.sum() + 1)) - np.log((held[0] + 0.1) / ((1 - labels).sum() + 1))
-    return np.where(held[1] < 2, 0, odds)
+    return np.where(held[1] < 2, 0, odds).astype(np.float32)
+
+
+def _inputs(words: gru.Words, placed: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For some windows the vectors of their own distinct words, their words numbered among those, and what was added up."""
+    blank = len(words.begins)
+    used = np.unique(placed[placed < blank])
+    local = np.full(placed.shape, len(used))
+    local[placed < blank] = np.searchsorted(used, placed[placed < blank])
+    counts = np.append(words.begins[1:], len(words.inputs))[used] - words.begins[used]
+    owner = np.repeat(np.arange(len(used)), counts)
+    inputs = words.inputs[np.repeat(words.begins[used] - (np.cumsum(counts) - counts), counts) + np.arange(len(owner))]
+    vectors = np.zeros((len(used) + 1, table.shape[1]), table.dtype)
+    np.add.at(vectors, owner, table[inputs])
+    return vectors, local, inputs, owner
 
 
 def train(
@@ -81,15 +95,15 @@ def train(
     rows = [*rows, *[("", 0)] * (len(rows) // 100 + 1)]  # a text without words is clean
     labels = np.array([label for _, label in rows], dtype=np.float32)
     texts = pa.RecordBatch.from_arrays([pa.array([text for text, _ in rows], pa.large_string())], names=["text"])
-    parts = [gru.Words(*text_buffer(part.column(0)), table_rows) for part in slices(texts, "text", 1 << 20)]
+    parts = [gru.Words(*text_buffer(part.column(0)), table_rows) for part in slices(texts, "text", 1 << 19)]
     odds = _log_odds(parts, labels, table_rows)
     words = gru.Words.together(parts)
+    del texts, parts
     text, first, end = gru.windows(words.counts, scorer.length, scorer.stride)
-    placed = gru.places(first, end, scorer.length, words.number, len(words.begins)).astype(np.int32)
-    rank = np.append(np.maximum.reduceat(odds[words.inputs], words.begins), 0.0)[placed].max(axis=1)
+    placed = gru.places(first, end, scorer.length, words.number, len(words.begins))
+    rank = np.append(np.maximum.reduceat(odds[words.inputs], words.begins), np.float32(0))[placed].max(axis=1)
     rng = np.random.default_rng(seed)
     optimizer = gru.Adam(scorer.weights, rate)
-    ends = np.append(words.begins[1:], len(words.inputs))
     for _ in range(rounds):
         order = np.lexsort((rng.random(len(text)), -rank, text))
         place = np.arange(len(text)) - np.searchsorted(text[order], text[order])
@@ -102,23 +116,14 @@ def train(
         shuffled = np.concatenate([rng.permutation(len(chosen)) for _ in range(-(-steps * batch // len(chosen)))])
         for at in range(0, steps * batch, batch):
             pick = shuffled[at:at + batch]
-            there = placed[chosen[pick]]
-            used = np.unique(there[there < len(words.begins)])
-            local = np.full(there.shape, len(used))
-            known = there < len(words.begins)
-            local[known] = np.searchsorted(used, there[known])
-            counts = (ends - words.begins)[used]
-            owner = np.repeat(np.arange(len(used)), counts)
-            inputs = words.inputs[words.begins[used][owner] - (np.cumsum(counts) - counts)[owner] + np.arange(len(owner))]
-            vectors = np.zeros((len(used) + 1, width), np.float32)
-            np.add.at(vectors, owner, scorer.weights["table"][inputs])
+            vectors, local, inputs, owner = _inputs(words, placed[chosen[pick]], scorer.weights["table"])
             _, grads, dvectors = gru.gradients(scorer.weights, vectors, local, target[pick], balance[pick])
             touched, where = np.unique(inputs, return_inverse=True)
             row_grads = np.zeros((len(touched), width), np.float32)
             np.add.at(row_grads, where, dvectors[owner])
             optimizer.step(grads, touched, row_grads)
-        vectors = words.vectors(scorer.weights["table"])
-        rank = np.concatenate([gru.logits(scorer.weights, vectors, placed[at:at + 8192]) for at in range(0, len(placed), 8192)])
+        rank = np.concatenate([
+            gru.logits(scorer.weights, *_inputs(words, placed[at:at + 1024], scorer.weights["table"])[:2]) for at in range(0, len(placed), 1024)])
     best = np.full(len(labels), -np.inf)
     np.maximum.at(best, text, rank)
     scorer.slope, scorer.shift = _line(best, labels)
@@ -141,7 +146,7 @@ def _line(values: np.ndarray, labels: np.ndarray, steps: int = 300, hold: float
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, allowed: Column, toxic_rows: int = 1500, clean_rows: int = 3000, **parameters,
+    docs: DataFrame, labels: DataFrame, allowed: Column, toxic_rows: int = 1300, clean_rows: int = 2600, **parameters,
 ) -> Scorer:
     """Train on a sample bounded by toxic_rows and clean_rows."""
     return train(training_rows(docs, labels, "toxic", allowed, {1: toxic_rows, 0: clean_rows}), **parameters)
