@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipmetrics.functions import scoring
-from clipmetrics.params import search_limit
 from clipmetrics.session import broadcast_if_small
 
 SCORES = ["engagement", "recency", "relevance", "affiliate", "trend", "overall"]
@@ -68,14 +67,14 @@ def sort_key(mode: str) -> Column:
 
 
 def top(df: DataFrame, mode: str = "overall", limit: int = 30) -> DataFrame:
-    """First rows of one ranking; ties keep arrival order."""
-    return df.orderBy(sort_key(mode).desc(), F.col("seq").asc()).limit(search_limit(limit))
+    """First rows of one ranking, as many as asked for; ties keep arrival order. params.search_limit bounds a request."""
+    return df.orderBy(sort_key(mode).desc(), F.col("seq").asc()).limit(limit)
 
 
 def top_per_query(df: DataFrame, by: list[str], mode: str = "overall", limit: int = 30) -> DataFrame:
     """First rows of many rankings. The bound on the row number is applied before the shuffle too."""
     order = Window.partitionBy(*by).orderBy(sort_key(mode).desc(), F.col("seq").asc())
-    return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= search_limit(limit))
+    return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
 def newest_first(df: DataFrame, column: str = "created_at") -> DataFrame:

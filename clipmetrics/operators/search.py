@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
+from ahocorasick import Automaton
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from clipmetrics import rules
 from clipmetrics.functions.text import strip
-from clipmetrics.params import expansion_limit
-from clipmetrics.session import fits
-
-WORD_BREAK = r"[^\p{L}\p{N}]+"
-
+from clipmetrics.session import written
 
 def with_phrases(df: DataFrame, topic: str, limit: int = 0, groups: list[tuple[list[str], list[str]]] | None = None) -> DataFrame:
     """Add phrases: the topic first, then the terms of all matching groups in binary order; null for a blank topic.
 
+    A positive limit keeps that many phrases; params.expansion_limit gives the limit of a request.
+
     The lower-cased topic and the found terms are columns of their own, so each is computed once per row.
     """
     none = F.array().cast("array<string>")
@@ -32,7 +37,7 @@ def with_phrases(df: DataFrame, topic: str, limit: int = 0, groups: list[tuple[l
     # sorted by (key, position): the first of equal keys is the first spelling
     first = F.filter("_keyed", lambda p, i: (i == 0) | (F.get(F.col("_keyed"), i - 1).k != p.k))
     ordered = F.concat(F.array("_topic"), F.array_sort(F.transform(first, lambda p: p.t)))
-    phrases = F.when(F.col("_topic") != "", F.slice(ordered, 1, min(rules.EXPANSION_CAP, expansion_limit(limit))))
+    phrases = F.when(F.col("_topic") != "", F.slice(ordered, 1, limit) if limit > 0 else ordered)
     return fresh.withColumn("phrases", phrases).drop("_topic", "_low", "_found", "_keyed")
 
 
@@ -69,70 +74,42 @@ def fan_out(requests: DataFrame, known: list[str] | None = None, public_phrases:
     )
 
 
-def _needles(phrases: DataFrame) -> DataFrame:
-    """Lower-cased phrase with what it is looked up by: its longest inner word, else its first two characters.
-
-    An inner word is delimited inside the phrase, so any text with the phrase has it as a whole word.
-    """
-    needle = F.lower(strip(F.col("phrase")))
-    words = F.split(needle, WORD_BREAK)
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).w
-    return (
-        phrases.withColumn("needle", needle).where(F.col("needle") != "")
-        .withColumn("word", F.nullif(longest, F.lit("")))
-        .withColumn("gram", F.left("needle", F.lit(2)))
-    )
-
-
-def _grams(low: Column) -> Column:
-    chars = F.split(low, "")
-    following = F.slice(chars, F.lit(2), F.greatest(F.lit(0), F.size(chars) - 1))
-    pairs = F.zip_with(chars, following, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.array_distinct(F.concat(chars, pairs))
-
-
-def _lookup(texts: DataFrame, ids: list[str], keys: Column, needles: DataFrame, on: str, small: bool) -> DataFrame:
-    """texts(ids, _low) whose keys meet a needle's key and whose text really contains the needle."""
-    wanted = needles.select("phrase_id", "phrase", "needle", F.col(on).alias("_key"))
-    verify = F.contains(F.col("_low"), F.col("needle"))
-    if small:
-        # Needles fit in memory: every text is checked where it was read, nothing is shuffled.
-        keyed = texts.select(*ids, "_low", F.explode(keys).alias("_key"))
-        return keyed.join(F.broadcast(wanted), "_key").where(verify).select(*ids, "phrase_id", "phrase")
-    # Only (id, key) is shuffled; texts join again for the pairs that share a key.
-    pairs = texts.select(*ids, F.explode(keys).alias("_key")).join(wanted, "_key").select(*ids, "phrase_id", "phrase", "needle")
-    return pairs.join(texts, ids).where(verify).select(*ids, "phrase_id", "phrase")
-
-
-def _scan(texts: DataFrame, ids: list[str], few: list, types: dict[str, str]) -> DataFrame:
-    """A handful of needles looked for directly in every text."""
-    entry = lambda r: F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in ("phrase_id", "phrase", "needle")])
-    found = F.filter(F.array(*[entry(r) for r in few]), lambda n: F.contains(F.col("_low"), n.needle))
-    return texts.select(*ids, F.explode(found).alias("m")).select(*ids, "m.phrase_id", "m.phrase")
-
-
-def phrase_matches(corpus: DataFrame, ids: list[str], text: str, phrases: DataFrame, max_broadcast: int = 200_000,
-                   scan_up_to: int = 64) -> DataFrame:
+def phrase_matches(corpus: DataFrame, ids: list[str], text: str, phrases: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
     """phrases(phrase_id, phrase) found in the text of a landed corpus: (ids, phrase_id, phrase).
 
-    An inverted lookup, not a nested loop: each text offers its distinct words (or character pairs, for
-    phrases without an inner word) and is compared only with the phrases that share one. A few phrases
-    without inner word are simply looked for in every text, which is cheaper than listing its pairs.
+    The distinct needles become multi-pattern automata of at most about block_bytes of needles each; every text is
+    read once per automaton, where it lies, in time linear in its length whatever the number of needles. Only what
+    was found meets the phrases again. Blank phrases are found nowhere; a null text holds nothing.
     """
-    needles = _needles(phrases)
-    small = fits(needles, max_broadcast)
-    # The lower-cased text is a column below the explode, so it is made once per text and not per word.
+    named = phrases.withColumn("_needle", F.lower(strip(F.col("phrase")))).where(F.col("_needle") != "")
+    needles = written(named.select("_needle").distinct(), "needles")
+    total = needles.agg(F.sum(F.octet_length("_needle"))).first()[0] or 0
+    blocks = max(-(-total // block_bytes), 1)
     texts = corpus.select(*ids, F.lower(F.col(text)).alias("_low"))
-    words = F.array_distinct(F.split("_low", WORD_BREAK))
-    by_word = _lookup(texts, ids, words, needles.where(F.col("word").isNotNull()), "word", small)
-    wordless = needles.where(F.col("word").isNull())
-    few = wordless.limit(scan_up_to + 1).collect()  # bounded by scan_up_to
-    if not few:
-        return by_word
-    if len(few) <= scan_up_to:
-        return by_word.unionByName(_scan(texts, ids, few, dict(needles.dtypes)))
-    return by_word.unionByName(_lookup(texts, ids, _grams(F.col("_low")), wordless, "gram", small))
+    schema = StructType([*[f for f in texts.schema.fields if f.name != "_low"], StructField("_needle", StringType())])
+    found = None
+    for block in range(blocks):
+        part = needles.where(F.pmod(F.xxhash64("_needle"), F.lit(blocks)) == block)
+        wanted = corpus.sparkSession.sparkContext.broadcast([r[0] for r in part.collect()])  # block_bytes on average
+        hits = texts.mapInArrow(partial(_automaton_hits, wanted), schema)
+        found = hits if found is None else found.unionByName(hits)
+    return found.join(named.select("phrase_id", "phrase", "_needle"), "_needle").select(*ids, "phrase_id", "phrase")
+
+
+def _automaton_hits(wanted: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every text a row per needle in it; the other columns are repeated."""
+    automaton = Automaton()
+    for needle in wanted.value:
+        automaton.add_word(needle, needle)
+    automaton.make_automaton()
+    for batch in batches:
+        rows, needles = [], []
+        for row, low in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+            seen = {needle for _, needle in automaton.iter(low)} if low and wanted.value else ()
+            rows += [row] * len(seen)
+            needles += sorted(seen)
+        kept = batch.select(batch.schema.names[:-1]).take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(needles, pa.string())], names=[*kept.schema.names, "_needle"])
 
 
 def limit_per_phrase(hits: DataFrame, limit: int, by: list[str] | None = None) -> DataFrame:

@@ -112,12 +112,12 @@ class PersistentParams:
 
 
 def search_limit(limit: int) -> int:
-    """Result limit: 30 when not given, never above 100."""
+    """Result limit of a search request: 30 when not given, never above 100."""
     return 30 if limit <= 0 else min(limit, 100)
 
 
 def expansion_limit(limit: int) -> int:
-    """Phrase limit: 4 when not given, never above 8."""
+    """Phrase limit of a search request: 4 when not given, never above 8."""
     return 4 if limit <= 0 else min(limit, 8)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clipmetrics import rules
 from clipmetrics.operators import candidates, ranking, search
-from clipmetrics.params import SearchFilters
+from clipmetrics.params import SearchFilters, expansion_limit
 from clipmetrics.plans.adapters import (HITS, NOW_SQL, document_hits, event_hits, hits, now, table)
 from clipmetrics.schemas import VIDEO_COLUMNS
 from clipmetrics.sources import landed
@@ -154,20 +154,20 @@ def channel_match_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def phrase_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     topics = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("topic"))
-    return search.expand_topics(topics, "topic", 8)
+    return search.expand_topics(topics, "topic", expansion_limit(8))
 
 
 EXPANDED = "rules(grp, marker, phrase) as (values {}), topics as (select doc_id, trim(text) as topic from documents), " .format(
     ", ".join(f"({g}, {quoted(m)}, {quoted(p)})" for g, (ms, ps) in enumerate(rules.EXPANSION_RULES) for m in ms for p in ps)
 ) + """found as (select distinct doc_id, topic, phrase from topics join rules on contains(lower(topic), marker) where lower(phrase) <> lower(topic)),
 ranked as (select doc_id, phrase, row_number() over (partition by doc_id order by phrase collate "C") as phrase_no from found),
-expanded as (select doc_id, 0 as phrase_no, topic as phrase from topics union all select doc_id, phrase_no, phrase from ranked where phrase_no <= 5)"""
+expanded as (select doc_id, 0 as phrase_no, topic as phrase from topics union all select doc_id, phrase_no, phrase from ranked where phrase_no <= 7)"""
 
 
 def search_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's source is a search request for its expanded text over a few sources, one of them unknown."""
     d = table(spark, sf_dir, "documents")
-    requests = search.with_phrases(d, "text", 4).select(
+    requests = search.with_phrases(d, "text", expansion_limit(0)).select(
         "doc_id", "phrases",
         F.array(F.lit(" Weibo"), F.lit("bilibili"), F.lit("weibo"), F.lit("nosuch"), F.lit("")).alias("sources"), (F.col("n_chars") % 120).cast("int").alias("limit"),
     )
@@ -175,10 +175,10 @@ def search_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages and channel names searched in the texts of all documents."""
+    """Benchmark passages and every word of part names searched in the texts of all documents."""
     d = table(spark, sf_dir, "documents")
     b = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id")).alias("phrase_id"), F.col("text").alias("phrase"))
-    words = table(spark, sf_dir, "part").select(F.col("p_name").alias("phrase_id"), F.split("p_name", " ")[1].alias("phrase")).distinct()
+    words = table(spark, sf_dir, "part").select(F.col("p_name").alias("phrase_id"), F.explode(F.split("p_name", " ")).alias("phrase")).distinct()
     found = search.phrase_matches(d, ["doc_id"], "text", b.unionByName(words))
     return found.select("doc_id", "phrase_id")
 
@@ -341,7 +341,7 @@ kept as (select *, row_number() over (partition by scheme order by tier, seq) as
     "search_fanout": (search_fanout, _with(EXPANDED + """, sized as (select doc_id, least(max(phrase_no) + 1, 4) as n from expanded group by doc_id),
 req as (select d.doc_id, cast(greatest(10, ceil((case when d.n_chars % 120 <= 0 then 30 else least(d.n_chars % 120, 100) end) / s.n::double)) as int) as query_limit from documents d join sized s using (doc_id))""", """select doc_id, source, query_limit, cast(null as varchar) as error, phrase_no, phrase from req join expanded using (doc_id) cross join (values ('weibo', 3), ('bilibili', 4)) as s(source, cap) where phrase_no < cap
 union all select doc_id, 'nosuch', query_limit, 'unknown source', 0, null from req""")),
-    "phrase_search": (phrase_search, """with phrases as (select 'b' || item_id as phrase_id, text as phrase from benchmark union all select distinct p_name, split_part(p_name, ' ', 2) from part)
+    "phrase_search": (phrase_search, """with phrases as (select 'b' || item_id as phrase_id, text as phrase from benchmark union all select distinct p_name, unnest(string_split(p_name, ' ')) from part)
 select doc_id, phrase_id from documents join phrases on contains(lower(text), lower(trim(phrase)))"""),
     "phrase_search_topk": (phrase_search_topk, """with found as (select source, item_id as phrase_id, doc_id, row_number() over (partition by source, item_id order by doc_id) as hit_no
 from documents d join benchmark b on contains(lower(d.text), lower(trim(b.text)))) select * from found where hit_no <= 10"""),

@@ -53,7 +53,6 @@ EXPANSION_RULES = [
     (["microservice", "micro service", "vi dịch vụ"],
      ["微服务", "微服务架构", "分布式系统", "服务拆分"]),
 ]
-EXPANSION_CAP = 6
 
 # --- fixed values: sources ----------------------------------------------------------------
 PUBLIC_SOURCES = ["kuaishou", "xiaohongshu", "weibo", "xigua", "haokan", "toutiao", "acfun", "meipai", "weishi"]
@@ -103,11 +102,8 @@ ANCHOR = r"""(?is)<a[^>]+href=["']([^"']+)["'][^>]*>(.*?)</a>"""
 TAG = r"(?is)<[^>]+>"
 META_TAG = r"(?is)<meta\s+[^>]*>"
 META_ATTR = r"""(?is)([a-zA-Z_:.-]+)\s*=\s*["']([^"']*)["']"""
-META_LIMIT = 120
 VIDEO_SRC = r"""(?is)<video\b[^>]*\bsrc=["']([^"']+)["']"""
 HTTP_URL = r"""https?://[^"'<>\\\s]+"""
-VIDEO_SRC_LIMIT = 12
-HTTP_URL_LIMIT = 80
 MEDIA_MARKERS = [".mp4", "douyinvod", "mime_type=video", "/play/"]
 CAPTURE_MARKERS = ["douyinvod.com", "mime_type=video", "/aweme/v1/play/", ".mp4"]
 NOTE_VIDEO = r'(?is)"type"\s*:\s*"video"|"noteType"\s*:\s*"video"|"originVideoKey"\s*:|"media"\s*:\s*\{\s*"stream"'

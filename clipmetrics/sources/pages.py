@@ -114,9 +114,13 @@ def resolve(base: Column, ref: Column) -> Column:
     )
 
 
-def page_meta(pages: DataFrame, keep: list[str], html: str = "html", url: str = "url") -> DataFrame:
-    """First preview image and title, media type, from the first meta tags of a page."""
-    tags = F.slice(F.regexp_extract_all(F.col(html), F.lit(rules.META_TAG), F.lit(0)), 1, rules.META_LIMIT)
+def _first(found: Column, most: int | None) -> Column:
+    return found if most is None else F.slice(found, 1, most)
+
+
+def page_meta(pages: DataFrame, keep: list[str], html: str = "html", url: str = "url", max_tags: int | None = None) -> DataFrame:
+    """First preview image and title, media type, from the meta tags of a page, or its first max_tags."""
+    tags = _first(F.regexp_extract_all(F.col(html), F.lit(rules.META_TAG), F.lit(0)), max_tags)
     entry = lambda t: F.struct(
         F.lower(F.coalesce(F.nullif(_attribute(t, "property"), F.lit("")), _attribute(t, "name"))).alias("k"), _attribute(t, "content").alias("v"))
     rows = pages.select(*keep, F.col(url).alias("_base"), F.transform(tags, entry).alias("m"))
@@ -146,11 +150,14 @@ def _media_list(links: Column) -> Column:
     return F.array_distinct(F.filter(playable, lambda u: u.isNotNull()))
 
 
-def scan_media_urls(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
-    """Media-looking links of a page: video elements first, then any address; distinct in order."""
+def scan_media_urls(pages: DataFrame, keep: list[str], html: str = "html", max_sources: int | None = None, max_links: int | None = None) -> DataFrame:
+    """Media-looking links of a page: video elements first, then any address; distinct in order.
+
+    All of them count, or the first max_sources elements and max_links addresses.
+    """
     base = pages.select(*keep, text.unescape_slashes(text.unescape(F.col(html))).alias("_doc"))
-    sources = F.slice(F.regexp_extract_all("_doc", F.lit(rules.VIDEO_SRC), F.lit(1)), 1, rules.VIDEO_SRC_LIMIT)
-    raw = F.slice(F.regexp_extract_all("_doc", F.lit(rules.HTTP_URL), F.lit(0)), 1, rules.HTTP_URL_LIMIT)
+    sources = _first(F.regexp_extract_all("_doc", F.lit(rules.VIDEO_SRC), F.lit(1)), max_sources)
+    raw = _first(F.regexp_extract_all("_doc", F.lit(rules.HTTP_URL), F.lit(0)), max_links)
     kept = F.filter(_media_list(F.concat(sources, raw)), lambda u: urls.looks_like_media(u))
     return base.select(*keep, F.posexplode(kept).alias("pos", "url"))
 

@@ -47,7 +47,7 @@ class LandedSource:
     def search(self, phrases: DataFrame, limit: int) -> DataFrame:
         hits = phrase_matches(self.candidates, ["seq"], "title", phrases)
         found = hits.join(self.candidates, "seq").withColumn("source", F.lit(self.name))
-        return limit_per_phrase(found.withColumn("search_source", F.col("phrase")), min(limit, 50))
+        return limit_per_phrase(found.withColumn("search_source", F.col("phrase")), limit)
 
 
 def search_all(wanted: list[str], phrases: DataFrame, limit: int) -> tuple[DataFrame | None, dict[str, str]]:
