@@ -20,10 +20,22 @@ def upsert(jobs: DataFrame, changes: DataFrame, key: str = "job_id", order: str
     return current_jobs(jobs.unionByName(changes), key, order)
 
 
-def resume(jobs: DataFrame) -> DataFrame:
-    """State after a restart: interrupted work is queued again, an interrupted aspect export is done with a note."""
+def _touched(jobs: DataFrame, changed: Column, now: Column | None) -> dict[str, Column]:
+    """updated_at of the rows that change, where the table and the caller know the time."""
+    known = now is not None and "updated_at" in jobs.columns
+    return {"updated_at": F.when(changed, now).otherwise(F.col("updated_at"))} if known else {}
+
+
+def resume(jobs: DataFrame, now: Column | None = None) -> DataFrame:
+    """State after a restart: interrupted work is queued again, an interrupted aspect export is done with a note.
+
+    Processing mode and output aspect, where the table has them, are normalised for every job.
+    """
     queued, aspect = F.col("status").isin(rules.RESUMABLE), F.col("status") == "aspect_rendering"
+    settings = {"mode": normalized_mode, "aspect": normalized_aspect}
     return jobs.withColumns({
+        **{c: normalise(F.col(c)) for c, normalise in settings.items() if c in jobs.columns},
+        **_touched(jobs, F.coalesce(queued | aspect, F.lit(False)), now),
         "attempts": F.when(F.col("attempts") <= 0, 1).otherwise(F.col("attempts")),
         "resumed": queued,
         "error": F.when(aspect, rules.INTERRUPTED).otherwise(F.col("error")),
@@ -31,12 +43,13 @@ def resume(jobs: DataFrame) -> DataFrame:
     })
 
 
-def retry(jobs: DataFrame) -> DataFrame:
+def retry(jobs: DataFrame, now: Column | None = None) -> DataFrame:
     """Failed jobs start over; others keep their state and carry the reason of the refusal."""
     running, done = F.col("status").isin(rules.RUNNING), F.col("status") == "done"
     rejected = F.when(running, "job is already running").when(done, "job is already complete")
     ok = rejected.isNull()
     changes = {
+        **_touched(jobs, ok, now),
         "rejected": rejected,
         "attempts": F.when(ok, F.col("attempts") + 1).otherwise(F.col("attempts")),
         "error": F.when(ok, F.lit(None).cast("string")).otherwise(F.col("error")),
@@ -112,24 +125,24 @@ def history_state(status: Column) -> Column:
 def with_history(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
     """Candidate state from jobs(platform, video_id, url, status, seq): by platform and id, else by address.
 
-    A blank id or address gets a key of its own that matches nothing, so blanks spread over all partitions.
+    Platforms are compared trimmed and in lower case, as when candidates are merged. A blank id or address gets a key of its own that matches nothing, so blanks spread over all partitions.
     """
     ident, link = (strip(F.coalesce(F.col(c), F.lit(""))) for c in ("video_id", "url"))
-    by_id = jobs.where(ident != "").groupBy("platform", ident.alias("_id")).agg(F.max_by("status", "seq").alias("_by_id"))
+    platform = F.lower(strip(F.coalesce(F.col("platform"), F.lit("")))).alias("_platform")
+    by_id = jobs.where(ident != "").groupBy(platform, ident.alias("_id")).agg(F.max_by("status", "seq").alias("_by_id"))
     by_url = jobs.where(link != "").groupBy(link.alias("_url")).agg(F.max_by("status", "seq").alias("_by_url"))
     no_id, no_link = F.concat(F.lit("# "), link), F.concat(F.lit("# "), ident)
     keyed = candidates.withColumns({
-        "_id": F.when(ident != "", ident).otherwise(no_id), "_url": F.when(link != "", link).otherwise(no_link),
+        "_platform": platform, "_id": F.when(ident != "", ident).otherwise(no_id), "_url": F.when(link != "", link).otherwise(no_link),
     })
-    joined = keyed.join(by_id, ["platform", "_id"], "left").join(by_url, "_url", "left")
+    joined = keyed.join(by_id, ["_platform", "_id"], "left").join(by_url, "_url", "left")
     state = history_state(F.coalesce("_by_id", "_by_url"))
-    return joined.withColumn("history", state).drop("_id", "_url", "_by_id", "_by_url")
+    return joined.withColumn("history", state).drop("_platform", "_id", "_url", "_by_id", "_by_url")
 
 
 def unseen(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Candidates without a finished or running job of the same platform and id."""
-    taken = jobs.where(F.col("status").isin([*rules.RUNNING, "done"])).select("platform", "video_id").distinct()
-    return candidates.join(taken, ["platform", "video_id"], "left_anti")
+    """Candidates that history neither has downloaded, with or without a processing failure, nor is working on."""
+    return with_history(candidates, jobs).where(F.col("history").isin("not_downloaded", "failed")).drop("history")
 
 
 def normalized_mode(col: Column) -> Column:

@@ -151,7 +151,8 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HISTORY = f"""
-select concat('j', o_orderkey) as job_id, o_orderkey as seq, {platform_of('o_custkey')} as platform,
+select concat('j', o_orderkey) as job_id, o_orderkey as seq,
+  case when o_orderkey % 7 = 0 then concat(' ', upper({platform_of('o_custkey')})) else {platform_of('o_custkey')} end as platform,
   case when o_orderkey % 3 = 0 then '' else cast(o_custkey as {{str}}) end as video_id,
   concat('https://clips.example.com/v/', o_custkey) as url,
   case o_orderkey % 8 when 0 then 'queued' when 1 then 'downloading' when 2 then 'localizing' when 3 then 'rendering'

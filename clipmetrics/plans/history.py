@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clipmetrics import rules
 from clipmetrics.operators import jobs, ranking
-from clipmetrics.plans.adapters import HISTORY, JOB_EVENTS, JOBS, history, job_events, table
+from clipmetrics.plans.adapters import HISTORY, JOB_EVENTS, JOBS, NOW_SQL, history, job_events, now, table
 from clipmetrics.plans.discovery import MERGED, SCORED, _scored, merged
 from clipmetrics.sources import jobs as store
 
@@ -34,7 +34,12 @@ def job_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.resume(_jobs(spark, sf_dir)).select("job_id", "status", "attempts", "error", "resumed")
+    """Stored jobs name their mode and aspect in odd spellings."""
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("job_id") % len(values) + 1).cast("int"))
+    stored = _jobs(spark, sf_dir).withColumns({
+        "mode": pick([" Dub", "", "OCR_MUSIC ", "karaoke"]), "aspect": pick(["", " 9:16", "Original", "4:3", "1:1"]), "updated_at": F.col("ts").cast("timestamp")})
+    return jobs.resume(stored, now()).select(
+        "job_id", "status", "attempts", "error", "resumed", "mode", "aspect", F.unix_seconds("updated_at").alias("updated_s"))
 
 
 def job_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +66,7 @@ def job_stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = F.element_at(F.array(*[F.lit(s) for s in ("download", "ocr", "translate", "tts", "render", "aspect", "publish")]), F.col("l_linenumber"))
     runs = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("s"), F.max("l_returnflag").alias("f")).select(
         F.create_map(stage, F.col("s")).alias("timings"), F.when(F.col("f") == "R", F.array(stage)).otherwise(F.array().cast("array<string>")).alias("cache_hits"))
-    out = jobs.stage_report(runs, approximate=False)
+    out = jobs.stage_report(runs, approximate=False)  # seven stages of small whole numbers: few distinct values to keep
     return out.withColumns({c: F.round(c, 6) for c in ("avg_seconds", "cache_hit_rate")})
 
 
@@ -128,7 +133,9 @@ QUERIES = {
     "job_newest_first": (job_newest_first, f"with {JOBS} select job_id, ts, status from jobs"),
     "job_upsert": (job_upsert, f"with {JOBS} select job_id, seq, ts, status, attempts, error from jobs"),
     "job_resume": (job_resume, f"""with {JOBS} select job_id, case when status in ({RESUMABLE}) then 'queued' when status = 'aspect_rendering' then 'done' else status end as status,
-case when attempts <= 0 then 1 else attempts end as attempts, case when status = 'aspect_rendering' then '{rules.INTERRUPTED}' else error end as error, status in ({RESUMABLE}) as resumed from jobs"""),
+case when attempts <= 0 then 1 else attempts end as attempts, case when status = 'aspect_rendering' then '{rules.INTERRUPTED}' else error end as error, status in ({RESUMABLE}) as resumed,
+['dub', 'dub', 'ocr_music', 'dub'][job_id % 4 + 1] as mode, ['original', '9:16', 'original', 'original', '1:1'][job_id % 5 + 1] as aspect,
+case when status in ({RUNNING}) then epoch({NOW_SQL})::bigint else epoch_us(ts) // 1000000 end as updated_s from jobs"""),
     "job_retry": (job_retry, f"""with {JOBS}, r as (select *, case when status in ({RUNNING}) then 'job is already running' when status = 'done' then 'job is already complete' end as rejected from jobs)
 select job_id, case when rejected is null then 'queued' else status end as status, case when rejected is null then attempts + 1 else attempts end as attempts, case when rejected is not null then error end as error, rejected from r"""),
     "job_editable": (job_editable, f"with {JOBS} select job_id, status from jobs where status not in ({RUNNING})"),
@@ -138,11 +145,14 @@ select job_id, case when rejected is null then 'queued' else status end as statu
 n as (select ['download', 'ocr', 'translate', 'tts', 'render', 'aspect', 'publish'][l_linenumber] as stage, s, (f = 'R')::int as hit from r)
 select stage, count(*) as jobs, round(avg(s), 6) as avg_seconds, quantile_cont(s, 0.5) as median_seconds, max(s) as max_seconds, round(avg(hit), 6) as cache_hit_rate from n group by stage"""),
     "job_history_join": (job_history_join, f"""with {MERGED}, {HISTORY},
-by_id as (select platform, video_id, arg_max(status, seq) as s from history where video_id <> '' group by all), by_url as (select url, arg_max(status, seq) as s from history group by url),
-st as (select m.seq, m.platform, m.video_id, coalesce(i.s, u.s) as s from merged m left join by_id i on i.platform = m.platform and i.video_id = m.video_id left join by_url u on u.url = m.url)
+by_id as (select lower(trim(platform)) as platform, video_id, arg_max(status, seq) as s from history where video_id <> '' group by all), by_url as (select url, arg_max(status, seq) as s from history group by url),
+st as (select m.seq, m.platform, m.video_id, coalesce(i.s, u.s) as s from merged m left join by_id i on i.platform = lower(trim(m.platform)) and i.video_id = m.video_id left join by_url u on u.url = m.url)
 select seq, platform, video_id, case when s is null then 'not_downloaded' when s in ({RUNNING}) then 'in_progress' when s = 'done' then 'done' when s = 'localization_failed' then 'done_processing_failed' else 'failed' end as history from st"""),
-    "job_topn_unseen": (job_topn_unseen, f"""with {SCORED}, {HISTORY} select seq, platform, video_id, overall from scored where (platform, video_id) not in (select platform, video_id from history where status in ({RUNNING}, 'done'))
-order by overall desc, seq limit 10"""),
+    "job_topn_unseen": (job_topn_unseen, f"""with {SCORED}, {HISTORY},
+last_id as (select lower(trim(platform)) as p, video_id as v, status, row_number() over (partition by lower(trim(platform)), video_id order by seq desc) as k from history where video_id <> ''),
+last_url as (select url as u, status, row_number() over (partition by url order by seq desc) as k from history where url <> '')
+select seq, platform, video_id, overall from scored s left join last_id i on i.k = 1 and i.p = lower(trim(s.platform)) and i.v = s.video_id left join last_url u on u.k = 1 and u.u = s.url
+where coalesce(i.status, u.status, 'none') not in ({RUNNING}, 'done', 'localization_failed') order by overall desc, seq limit 10"""),
     "job_rerender_fallback": (job_rerender_fallback, f"""with {JOBS}, cur as (select job_id, status, case when seq % 5 <> 0 then 'out/' || job_id end as output, error from jobs),
 b as (select cur.*, c_custkey % 2 = 0 as ok, 'new/' || c_custkey as n_output, 'exit ' || (c_custkey % 7) as n_error, status = 'done' and output is not null as had from cur left join customer on c_custkey = job_id)
 select job_id, case when not ok and not had then 'localization_failed' when ok then 'done' else status end as status, case when ok then n_output else output end as output,

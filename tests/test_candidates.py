@@ -202,6 +202,22 @@ def test_history_prefers_id_then_address(spark):
     assert got == {0: "done_processing_failed", 1: "in_progress", 2: "not_downloaded", 3: "not_downloaded"}
 
 
+def test_unseen_looks_at_addresses_spellings_and_failed_processing(spark):
+    cands = videos(spark, *[{"video_id": v, "platform": "weibo", "url": u} for v, u in (("1", "a"), ("2", "b"), ("3", "c"), ("4", "d"), ("5", "e"))])
+    hist = spark.createDataFrame(
+        [(" Weibo", "1", "", "done", 1), ("weibo", "", "b", "done", 2), ("weibo", "3", "", "localization_failed", 3), ("weibo", "4", "", "failed", 4)],
+        "platform string, video_id string, url string, status string, seq long")
+    assert sorted(r.video_id for r in jobs.unseen(cands, hist).collect()) == ["4", "5"]
+
+
+def test_restart_normalises_settings_and_sets_the_time(spark):
+    df = spark.createDataFrame([("a", "queued", 0, None, " DUB", "4:3", 1), ("b", "done", 1, None, None, "9:16 ", 2), ("c", "failed", 1, "x", "dub", "", 3)],
+                               "job_id string, status string, attempts int, error string, mode string, aspect string, updated_at long")
+    got = {r.job_id: (r.mode, r.aspect, r.updated_at) for r in jobs.resume(df, F.lit(99)).collect()}
+    assert got == {"a": ("dub", "original", 99), "b": ("dub", "9:16", 2), "c": ("dub", "original", 3)}
+    assert {r.job_id: r.updated_at for r in jobs.retry(df, F.lit(99)).collect()} == {"a": 1, "b": 2, "c": 99}
+
+
 def test_settings(spark):
     df = spark.createDataFrame([("", "", ""), (" DUB ", "9:16", "ocr_capsule"), ("karaoke", "1:1", "box"), ("dub", "4:3", "neon"), ("dub", "original", "neon")], "mode string, aspect string, style string")
     rows = [(r.mode, r.aspect, r.style, r.invalid) for r in jobs.validate_settings(df).collect()]
