@@ -91,7 +91,7 @@ def fit(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 found = pooled(part.column(1), shared.value)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array(list(found), pa.list_(pa.float32()))], names=["id", "label", "features"])
@@ -114,7 +114,7 @@ def with_score(df: DataFrame, network: Network, text_col: str = "text", score_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col, 2 << 20):
+            for part in slices(batch, text_col, 1 << 20):
                 found = pa.array(shared.value.scores(part.column(part.schema.get_field_index(text_col))))
                 yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, score_col])
 

@@ -79,7 +79,7 @@ def contexts(df: DataFrame, text_col: str = "text", reach: int = 2) -> np.ndarra
         index = index_vectors()
         sums = np.zeros((WORDS + SHAPES, WIDTH))
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 words, shapes, first = tokens(part.column(0))
                 # Texts stand apart by more places than a neighbour can be away.
                 place = np.arange(len(words)) + reach * (1 + np.repeat(np.arange(len(first) - 1), np.diff(first)))

@@ -56,7 +56,7 @@ def fingerprint_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 marks = pa.array(fingerprints(part.column(1), width).view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), marks], names=["doc_id", "fp"])
 
@@ -178,7 +178,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col, 4 << 20):
+            for part in slices(batch, text_col, 1 << 20):
                 marks = pa.array(fingerprints(part.column(part.schema.get_field_index(text_col))).view(np.int64))
                 yield pa.RecordBatch.from_arrays([*part.columns, marks], names=[*columns, "__sim_mark"])
 

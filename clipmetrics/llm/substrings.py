@@ -48,7 +48,7 @@ def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _batches(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[tuple[np.ndarray, Runs]]:
     for batch in batches:
-        for part in slices(batch, "text", 2 << 20):
+        for part in slices(batch, "text", 1 << 20):
             yield part.column(0).to_numpy(), Runs(*text_buffer(part.column(1)), k, m)
 
 
@@ -72,7 +72,7 @@ def frequent_minimisers(docs: DataFrame, k: int, m: int, share: float, least: in
     return np.array([r.key for r in found], dtype=np.int64).view(np.uint64)
 
 
-def _shipped(k: int, m: int, split: np.ndarray, rounds: int, nth: int, combine: int = 8):
+def _shipped(k: int, m: int, split: np.ndarray, rounds: int, nth: int, combine: int = 16):
     """key, text, windows, places of the runs of one round, but for the frequent minimisers in split.
 
     Equal strings of `combine` slices of text are one row with all their places.

@@ -32,7 +32,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every word, from running sums over all bytes."""
-    up, down = _powers(1 << max(len(buffer) + 1, 1 << 20).bit_length())
+    up, down = _powers(1 << max(len(buffer) + 1, 1 << 19).bit_length())
     sums = np.zeros(len(buffer) + 1, dtype=np.uint64)
     np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * up[:len(buffer)], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * down[starts])

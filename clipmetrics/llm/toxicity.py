@@ -37,8 +37,8 @@ class Scorer:
         vectors = words.vectors(self.weights["table"])
         text, first, end = gru.windows(words.counts, self.length, self.stride)
         best = np.full(len(words.counts), -np.inf, dtype=np.float32)
-        for at in range(0, len(text), 8192):
-            part = slice(at, at + 8192)
+        for at in range(0, len(text), 4096):
+            part = slice(at, at + 4096)
             placed = gru.places(first[part], end[part], self.length, words.number, len(vectors) - 1)
             np.maximum.at(best, text[part], gru.logits(self.weights, vectors, placed))
         return best.astype(np.float64)
@@ -164,7 +164,7 @@ def with_score(df: DataFrame, scorer: Scorer, text_col: str = "text", score_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col, 2 << 20):
+            for part in slices(batch, text_col, 1 << 20):
                 found = pa.array(shared.value.scores(part.column(part.schema.get_field_index(text_col))))
                 yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, score_col])
 
