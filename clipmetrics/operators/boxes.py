@@ -29,12 +29,8 @@ def envelope(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _quantiles(df: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
-    """Edge quantiles with linear interpolation.
-
-    Edges are rounded to six decimals first: values lie in 0..1, so the count table behind the exact
-    percentile stays below about a million entries however many boxes a key has.
-    """
-    left, top, right, bottom = (F.round(e, 6) for e in edges())
+    """Exact edge quantiles with linear interpolation; the state of a key grows with its distinct edges."""
+    left, top, right, bottom = edges()
     return df.groupBy(*keys).agg(
         F.percentile(left, low).alias("l"), F.percentile(top, low).alias("t"),
         F.percentile(right, high).alias("r"), F.percentile(bottom, high).alias("b"),
@@ -63,6 +59,16 @@ def side(df: DataFrame, keys: list[str]) -> DataFrame:
     return agg.select(*keys, F.when(centre < 0.5, "left").otherwise("right").alias("side"))
 
 
+def _celled(df: DataFrame, params: PersistentParams) -> DataFrame:
+    """Observations of either side with the cell of their centre and whether they name the brand."""
+    sided = df.withColumn("side", F.lower(strip("side"))).where(F.col("side").isin("left", "right"))
+    return sided.withColumns({
+        "cx": ((F.col("x") + F.col("w") / 2) / params.bucket_x).cast("int"),
+        "cy": ((F.col("y") + F.col("h") / 2) / params.bucket_y).cast("int"),
+        "branded": F.coalesce(F.contains(F.lower("text"), F.lit(params.brand)), F.lit(False)),
+    })
+
+
 def persistent_region(df: DataFrame, samples: DataFrame, params: PersistentParams = PersistentParams()) -> DataFrame:
     """df(video_id, ord, sample, side, x, y, w, h, text, confidence) and samples(video_id, sample_count): the
     region of text that stays at one side, per video.
@@ -70,19 +76,14 @@ def persistent_region(df: DataFrame, samples: DataFrame, params: PersistentParam
     Everything is counted per (video, side, cell, sample) first; later steps work on that small table,
     which is written once.
     """
-    sided = df.withColumn("side", F.lower(strip("side"))).where(F.col("side").isin("left", "right"))
-    branded = F.contains(F.lower("text"), F.lit(params.brand))
     points = (
         regions.clamp(F.coalesce(F.col("confidence"), F.lit(0.0)), 0.0, 1.0)
-        + F.when(F.rlike("text", F.lit("[A-Za-z0-9]")), 0.25).otherwise(0.0) + F.when(branded, 2.75).otherwise(0.0)
+        + F.when(F.rlike("text", F.lit("[A-Za-z0-9]")), 0.25).otherwise(0.0) + F.when(F.col("branded"), 2.75).otherwise(0.0)
     )
     cell = ["video_id", "side", "cx", "cy"]
     left, top, right, bottom = edges()
-    per_sample = sided.withColumns({
-        "cx": ((F.col("x") + F.col("w") / 2) / params.bucket_x).cast("int"),
-        "cy": ((F.col("y") + F.col("h") / 2) / params.bucket_y).cast("int"),
-    }).groupBy(*cell, "sample").agg(
-        F.sum(points).alias("score"), F.bool_or(branded).alias("brand"), F.min("ord").alias("first_ord"),
+    per_sample = _celled(df, params).groupBy(*cell, "sample").agg(
+        F.sum(points).alias("score"), F.bool_or("branded").alias("brand"), F.min("ord").alias("first_ord"),
         F.min(left).alias("l"), F.min(top).alias("t"), F.max(right).alias("r"), F.max(bottom).alias("b"),
     )
     per_sample = written(per_sample, "cells")
@@ -113,10 +114,14 @@ def persistent_region(df: DataFrame, samples: DataFrame, params: PersistentParam
 
 
 def persistent_texts(df: DataFrame, chosen: DataFrame, params: PersistentParams = PersistentParams()) -> DataFrame:
-    """First texts seen on the chosen side of each video, in order."""
-    rows = df.withColumn("side", F.lower(strip("side"))).where(F.coalesce(F.col("text"), F.lit("")) != "")
-    mine = rows.join(chosen.select("video_id", "side"), ["video_id", "side"], "left_semi")
-    order = Window.partitionBy("video_id").orderBy("ord")
+    """First texts of the persistent cells of each video's chosen side: cells in the order they were first seen."""
+    cell = ["video_id", "side", "cx", "cy"]
+    rows = _celled(df, params).join(chosen.select("video_id", F.lower(strip("side")).alias("side")), ["video_id", "side"], "left_semi")
+    cells = rows.groupBy(*cell).agg(
+        F.count_distinct("sample").alias("hits"), F.bool_or("branded").alias("brand"), F.min("ord").alias("first_ord"),
+    ).where((F.col("hits") >= params.min_hits) | F.col("brand"))
+    mine = rows.where(F.coalesce(F.col("text"), F.lit("")) != "").join(cells.select(*cell, "first_ord"), cell)
+    order = Window.partitionBy("video_id").orderBy("first_ord", "ord")
     first = mine.withColumn("n", F.row_number().over(order)).where(F.col("n") <= params.max_texts)
     return first.groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda s: s.text).alias("texts"))
 
@@ -132,12 +137,16 @@ def _shared(a: tuple, b: tuple, floor: float) -> float:
 
 def _first_group(threshold: float, strict: bool, floor: float):
     """Each box goes to the first group one of whose boxes it overlaps enough."""
+    def meets(a: tuple, b: tuple) -> bool:
+        shared = _shared(a, b, floor)
+        return shared > threshold if strict else shared >= threshold
+
     def step(key: tuple, rows: Iterator[tuple]) -> Iterable[tuple]:
         groups: list[dict[tuple, None]] = []  # distinct boxes are enough to test against
         for item, *shape in rows:
             b = tuple(shape)
-            hit = next((n for n, members in enumerate(groups) if b in members or any(
-                (s > threshold) if strict else (s >= threshold) for s in (_shared(b, m, floor) for m in members))), len(groups))
+            own = meets(b, b)  # a box without area does not even overlap its equal
+            hit = next((n for n, members in enumerate(groups) if own and b in members or any(meets(b, m) for m in members)), len(groups))
             if hit == len(groups):
                 groups.append({})
             groups[hit][b] = None
@@ -171,7 +180,7 @@ def cluster_detections(df: DataFrame, frames: DataFrame, keys: list[str], limit:
     """Detections that recur over frames(keys, frame_count): median box, confidence by share of frames."""
     grouped = overlap_groups(df, keys, 0.25, strict=True, floor=1e-6)
     size = grouped.groupBy(*keys, "grp").agg(F.count(F.lit(1)).alias("hits"))
-    left, top, right, bottom = (F.round(e, 6) for e in edges())
+    left, top, right, bottom = edges()
     median = grouped.groupBy(*keys, "grp").agg(*[F.percentile(e, 0.5).alias(n) for e, n in ((left, "l"), (top, "t"), (right, "r"), (bottom, "b"))])
     kept = median.join(size, [*keys, "grp"]).join(frames, keys).where(F.col("hits") >= F.greatest(F.lit(2), F.floor(F.col("frame_count") / 5)))
     confidence = F.least(F.lit(0.98), 0.55 + F.col("hits") / F.greatest(F.lit(1), F.col("frame_count")) * 0.35)

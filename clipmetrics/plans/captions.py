@@ -145,8 +145,8 @@ def persistent_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def persistent_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sided = _sided(spark, sf_dir)
-    chosen = boxes.side(sided, ["video_id"])
-    out = boxes.persistent_texts(sided, chosen)
+    samples = sided.groupBy("video_id").agg(F.count_distinct("sample").alias("sample_count"))
+    out = boxes.persistent_texts(sided, boxes.persistent_region(sided, samples, BRAND), BRAND)
     return out.select("video_id", F.array_join("texts", ",").alias("texts"))
 
 
@@ -218,8 +218,8 @@ def _pad(x: str, w: str, pad: float, low: float) -> tuple[str, str]:
 def _quantile_sql(low: float, high: float, min_w: float, min_h: float, px: float, py: float, keys: str) -> str:
     x, w = _pad("l", f"greatest({min_w}::double, r - l)", px, 0.01)
     y, h = _pad("tp", f"greatest({min_h}::double, b - tp)", py, 0.01)
-    return f"""with {OBSERVATIONS}, q as (select {keys}, quantile_cont(round((x)::double, 6), {low}) as l, quantile_cont(round((y)::double, 6), {low}) as tp,
-quantile_cont(round((x + w)::double, 6), {high}) as r, quantile_cont(round((y + h)::double, 6), {high}) as b from observations group by {keys})
+    return f"""with {OBSERVATIONS}, q as (select {keys}, quantile_cont((x)::double, {low}) as l, quantile_cont((y)::double, {low}) as tp,
+quantile_cont((x)::double + w, {high}) as r, quantile_cont((y)::double + h, {high}) as b from observations group by {keys})
 select {keys}, round({x}, 6) as x, round({y}, 6) as y, round({w}, 6) as w, round({h}, 6) as h from q"""
 
 
@@ -285,7 +285,7 @@ _CX, _CW = _pad("l", "(r - l)", 0.025, 0.01)
 _CY, _CH = _pad("tp", "(bt - tp)", 0.025, 0.01)
 CLUSTER_SQL = f"""with recursive {OBSERVATIONS}, {DAILY.format('observations')}, {_grouped_sql('video_id, text', '> 0.25', '1e-6')},
 frames as (select video_id, text, count(distinct day) as frame_count from daily group by all),
-g as (select video_id, text, b.grp as grp, count(*) as hits, quantile_cont(round(b.x, 6), 0.5) as l, quantile_cont(round(b.y, 6), 0.5) as tp, quantile_cont(round(b.x + b.w, 6), 0.5) as r, quantile_cont(round(b.y + b.h, 6), 0.5) as bt from members group by all),
+g as (select video_id, text, b.grp as grp, count(*) as hits, quantile_cont(b.x, 0.5) as l, quantile_cont(b.y, 0.5) as tp, quantile_cont(b.x + b.w, 0.5) as r, quantile_cont(b.y + b.h, 0.5) as bt from members group by all),
 k as (select *, row_number() over (partition by video_id, text order by grp) as cluster from g join frames using (video_id, text) where hits >= greatest(2, frame_count // 5))
 select video_id, text, cast(cluster as int) as cluster, hits, round(least(0.98::double, 0.55::double + hits / greatest(1, frame_count)::double * 0.35::double), 6) as confidence,
 round({_CX}, 6) as x, round({_CY}, 6) as y, round({_CW}, 6) as w, round({_CH}, 6) as h from k where cluster <= 3"""
@@ -351,8 +351,10 @@ select p_partkey, round(1.0 - levenshtein(a, b) / greatest(length(a), length(b))
     "region_quantiles": (region_quantiles, _quantile_sql(0.05, 0.95, 0.03, 0.025, 0.025, 0.018, "video_id")),
     "region_side": (region_side, f"with {OBSERVATIONS} select video_id, text, case when sum((x + w / 2)::double * greatest(0.01, w)) / sum(greatest(0.01, w)::double) < 0.5 then 'left' else 'right' end as side from observations group by video_id, text"),
     "persistent_region": (persistent_region, PERSISTENT_SQL),
-    "persistent_texts": (persistent_texts, f"""with {OBSERVATIONS}, {SIDED}, c as (select video_id, case when sum((x + w / 2)::double * greatest(0.01, w)) / sum(greatest(0.01, w)::double) < 0.5 then 'left' else 'right' end as side from sided group by video_id),
-r as (select video_id, text, row_number() over (partition by video_id order by ord) as n from sided join c using (video_id, side)) select video_id, string_agg(text, ',' order by n) as texts from r where n <= 8 group by video_id"""),
+    "persistent_texts": (persistent_texts, PERSISTENT_SQL.split("hit as (")[0] + """first as (select video_id, side, cx, cy, min(ord) as first_ord from s group by all),
+r as (select s.video_id, s.text, row_number() over (partition by s.video_id order by f.first_ord, s.ord) as n from s join first f using (video_id, side, cx, cy)
+  semi join per p on p.video_id = s.video_id and p.side = s.side and p.cx = s.cx and p.cy = s.cy semi join (select * from ch where k = 1 and gain > 0) w on w.video_id = s.video_id and w.side = s.side where s.text <> '')
+select video_id, string_agg(text, ',' order by n) as texts from r where n <= 8 group by video_id"""),
     "caption_placement": (caption_placement, _placement_sql()),
     "caption_lines": (caption_lines, LINES_SQL),
     "frame_texts": (frame_texts, f"""with {OBSERVATIONS}, {PX}, r as (select *, round_even(y / 67.2::double, 0) as rw from px)

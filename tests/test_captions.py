@@ -192,6 +192,15 @@ def test_persistent_region(spark):
     assert rows["r"].confidence == 1.0 and 0.0 <= rows["r"].region.x <= 1 - rows["r"].region.w
     texts = boxes.persistent_texts(df, spark.createDataFrame([("r", "right")], "video_id string, side string")).collect()
     assert texts[0].texts == ["logo"] * 5
+    once = spark.createDataFrame([("r", 20, 3, "right", 0.5, 0.9, 0.1, 0.04, "passing", 0.8)], schema)
+    again = boxes.persistent_texts(df.unionByName(once), spark.createDataFrame([("r", "right")], "video_id string, side string")).collect()
+    assert again[0].texts == ["logo"] * 5  # a text outside the persistent cells does not count
+
+
+def test_boxes_without_area_stay_apart(spark):
+    rows = [("v", i, 0.5, 0.5, w, 0.1) for i, w in enumerate((0.0, 0.0, 0.2, 0.2))]
+    got = boxes.overlap_groups(spark.createDataFrame(rows, "video_id string, item long, x double, y double, w double, h double"), ["video_id"], 0.25, True, 1e-6)
+    assert [r.grp for r in got.orderBy("item").collect()] == [0, 1, 2, 2]
 
 
 def test_caption_lines_prefer_the_coherent_caption(spark):
