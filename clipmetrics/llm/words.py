@@ -16,7 +16,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its n + 1 offsets; null counts as empty."""
-    column = column.fill_null("").cast(pa.large_string())
+    column = column.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
@@ -49,7 +49,7 @@ def word_counts(column: pa.Array) -> np.ndarray:
 
 def slices(batch: pa.RecordBatch, text: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds at most max_bytes of text, or a single row."""
-    column = batch.column(batch.schema.get_field_index(text)).fill_null("").cast(pa.large_string())
+    column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
     start = 0
     while start < batch.num_rows:

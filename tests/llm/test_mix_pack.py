@@ -191,9 +191,10 @@ def test_quotes_lead_to_their_originals(spark):
         (1, 1): (1, 0, 1, 1, 1, 1), (1, 2): (1, 1, 2, 1, 2, 2), (2, 0): (1, 2, 3, 1, 1, 1), (None, 0): (None, None, 0, None, 0, 1),
         (3, 0): (None, None, 0, 3, 0, 1)}
     assert got[1, 2].content == "Good to hear.\n\nBye" and got[1, 2].quote_depth == 2
-    chats = {(r.thread_conv, r.conv_id, r.n_messages): r.chat for r in quotes.conversations(quotes.linked_messages(df)).collect()}
+    rows = quotes.conversations(quotes.linked_messages(df)).collect()
+    chats = {(r.thread_conv, r.conv_id, r.n_messages): r.chat for r in rows}
     assert chats[1, 1, 3] == "[user]\nHello there.\nHow are you?\n\n[assistant] @1:0\nFine, thanks.\n\n[user] @1:1\nGood to hear.\n\nBye"
-    assert chats[1, 2, 1] == "[user] @1:2\nAgreed." and sum(n for _, _, n in chats) == 9
+    assert chats[1, 2, 1] == "[user] @1:2\nAgreed." and sum(r.n_messages for r in rows) == 9
     assert quotes.conversations(quotes.linked_messages(df.limit(0))).count() == 0
 
 
