@@ -14,6 +14,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from clipmetrics import rules
 from clipmetrics.functions.text import strip
+from clipmetrics.operators.jobs import search_mode
+from clipmetrics.params import per_query_limit
 from clipmetrics.session import written
 
 def with_phrases(df: DataFrame, topic: str, limit: int = 0, groups: list[tuple[list[str], list[str]]] | None = None) -> DataFrame:
@@ -58,10 +60,15 @@ def clean_sources(sources: Column) -> Column:
 
 
 def fan_out(requests: DataFrame, known: list[str] | None = None, public_phrases: int = 3) -> DataFrame:
-    """requests(phrases, sources, limit, ...) to one row per (source, phrase); unknown sources become error rows."""
+    """requests(phrases, sources, limit, ...) to one row per (source, phrase); unknown sources become error rows.
+
+    query_limit is what a source may return for a phrase: the request's share of its limit, or in the channel mode of
+    an optional column mode a wider set, as creators are told apart afterwards.
+    """
     limit = F.col("limit")
     bounded = F.when(limit <= 0, 30).otherwise(F.least(limit, F.lit(100)))
-    per_query = F.greatest(F.lit(10), F.ceil(bounded / F.size("phrases")))
+    channel = search_mode(F.col("mode")) == "channel" if "mode" in requests.columns else F.lit(False)
+    per_query = F.when(channel, per_query_limit(bounded, F.size("phrases"), True)).otherwise(per_query_limit(bounded, F.size("phrases")))
     one = requests.withColumn("query_limit", per_query.cast("int")).withColumn("source", F.explode(clean_sources(F.col("sources"))))
     is_known = F.col("source").isin(known or rules.ALL_SOURCES)
     public = F.col("source").isin(rules.PUBLIC_SOURCES)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def _at_least(owner: object, **bounds: float) -> None:
     for name, low in bounds.items():
@@ -121,8 +124,8 @@ def expansion_limit(limit: int) -> int:
     return 4 if limit <= 0 else min(limit, 8)
 
 
-def per_query_limit(limit: int, phrases: int, channel: bool = False) -> int:
-    """How many rows one (source, phrase) pair may contribute."""
+def per_query_limit(limit: Column, phrases: Column, channel: bool = False) -> Column:
+    """How many rows one (source, phrase) pair may contribute to a request of this limit."""
     if channel:
-        return min(100, max(30, limit * 4))
-    return max(10, -(-limit // max(1, phrases)))
+        return F.least(F.lit(100), F.greatest(F.lit(30), limit * 4))
+    return F.greatest(F.lit(10), F.ceil(limit / F.greatest(F.lit(1), phrases)))

@@ -10,7 +10,7 @@ from clipmetrics.operators import candidates, ranking, search
 from clipmetrics.params import SearchFilters, expansion_limit
 from clipmetrics.plans.adapters import (HITS, NOW_SQL, document_hits, event_hits, hits, now, table)
 from clipmetrics.schemas import VIDEO_COLUMNS
-from clipmetrics.sources import landed
+from clipmetrics.sources import landed, registry
 
 QUERY = "review onen the kitchen"
 FLAT = ["seq", *VIDEO_COLUMNS]
@@ -191,6 +191,41 @@ def phrase_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.limit_per_phrase(found, 10).select("source", "phrase_id", "doc_id", "hit_no")
 
 
+PLATFORMS = ["weibo", "bilibili", "douyin"]
+SEARCH_GROUPS = [(["than"], ["ing of", "Of The"]), (["camp"], ["never"])]
+
+
+def _request(spark: SparkSession, sf_dir: str, topic: str, mode: str) -> DataFrame:
+    """A request over three registered sources and an unknown one: expand, fan out, search, limit, merge, filter, rank."""
+    every = hits(spark, sf_dir)
+    for name in PLATFORMS:
+        registry.register(registry.LandedSource(name, every.where(F.col("platform") == name), ("title", "author")))
+    found, _ = registry.search_request(spark, topic, [f" {PLATFORMS[0].upper()}", *PLATFORMS[1:], "nosuch"], 60, mode, groups=SEARCH_GROUPS)
+    kept = candidates.merge_candidates(found)
+    if mode == "channel":
+        kept = candidates.of_channel(kept, topic)
+    kept = candidates.filter_candidates(kept, SearchFilters(max_duration_sec=300), now())
+    return ranking.top(ranking.score(kept, F.lit(topic), now()), "overall", 60).select(*SCORE_COLUMNS)
+
+
+def search_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _request(spark, sf_dir, "than", "keyword")
+
+
+def search_pipeline_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _request(spark, sf_dir, "src1", "channel")
+
+
+def _request_sql(topic: str, phrases: list[str], most: int, condition: str) -> str:
+    wanted = ", ".join(f"({i}, {quoted(p.lower())})" for i, p in enumerate(phrases))
+    places = ", ".join(map(quoted, PLATFORMS))
+    return _with(f"""{HITS}, wanted(no, needle) as (values {wanted}),
+asked as (select h.*, row_number() over (partition by platform, no order by seq) as k from hits h join wanted on contains(lower(concat_ws(chr(10), title, author)), needle) where platform in ({places})),
+found as (select distinct * exclude (k) from asked where k <= {most}), merged as ({merged_sql('found')}),
+kept as (select * from merged where (duration_sec is null or duration_sec <= 300) and {condition}), {score_sql('kept', quoted(topic))}""",
+        f"select {', '.join(SCORE_COLUMNS)} from scored order by overall desc, seq limit 60")
+
+
 def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.source_counts(hits(spark, sf_dir).withColumn("source", F.col("platform")))
 
@@ -345,6 +380,8 @@ union all select doc_id, 'nosuch', query_limit, 'unknown source', 0, null from r
 select doc_id, phrase_id from documents join phrases on contains(lower(text), lower(trim(phrase)))"""),
     "phrase_search_topk": (phrase_search_topk, """with found as (select source, item_id as phrase_id, doc_id, row_number() over (partition by source, item_id order by doc_id) as hit_no
 from documents d join benchmark b on contains(lower(d.text), lower(trim(b.text)))) select * from found where hit_no <= 10"""),
+    "search_pipeline": (search_pipeline, _request_sql("than", ["than", "Of The", "ing of"], 20, "true")),
+    "search_pipeline_channel": (search_pipeline_channel, _request_sql("src1", ["src1"], 100, "author = 'src1'")),
     "source_counts": (source_counts, _with(HITS, "select platform as source, count(*) as n from hits group by platform")),
     "source_errors": (source_errors, """with runs as (select event_id as seq, (case when event_type in ('error', 'view') then 'e' else 'o' end) || '/' || user_id || '/' || (event_id % 40) as source,
   'topic ' || (user_id % 3) as keyword, case when event_type = 'error' then 'HTTP ' || json_extract_string(props, '$.k') end as error, case when event_type = 'error' then 0 else event_id % 3 end as n from events),

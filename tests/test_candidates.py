@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from clipmetrics import schemas
 from clipmetrics.functions import text
 from clipmetrics.operators import candidates, jobs, ranking, search
-from clipmetrics.params import CaptionParams, SearchFilters, expansion_limit, per_query_limit, search_limit
+from clipmetrics.params import CaptionParams, SearchFilters, expansion_limit, search_limit
 
 
 
@@ -119,8 +119,6 @@ def test_expansion_drops_case_variants(spark):
 def test_limits():
     assert [search_limit(v) for v in (0, 5, 500)] == [30, 5, 100]
     assert [expansion_limit(v) for v in (0, 3, 50)] == [4, 3, 8]
-    assert per_query_limit(100, 6) == 17 and per_query_limit(5, 3) == 10
-    assert [per_query_limit(v, 1, True) for v in (5, 20, 90)] == [30, 80, 100]
     with pytest.raises(ValueError):
         SearchFilters(min_likes=-1)
     with pytest.raises(ValueError):
@@ -167,6 +165,8 @@ def test_fan_out(spark):
     one = [(r.source, r.phrase, r.error) for r in rows if r.id == 1]
     assert [p for s, p, _ in one if s == "weibo"] == ["a", "b", "c"] and len([1 for s, *_ in one if s == "bilibili"]) == 4
     assert ("zzz", None, "unknown source") in one and len(one) == 8
+    modes = spark.createDataFrame([(v, ["a"], ["weibo"], v, m) for m in ("keyword", "Creator ") for v in (5, 20, 90)] + [(100, list("abcdef"), ["weibo"], 100, "")], "id int, phrases array<string>, sources array<string>, limit int, mode string")
+    assert [r.query_limit for r in search.fan_out(modes).where("phrase_no = 0").collect()] == [10, 20, 90, 30, 80, 100, 17]
     assert {r.query_limit for r in rows if r.id == 1} == {25} and len([r for r in rows if r.id == 2]) == 11
 
 
