@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, Struc
 from clipmetrics import rules
 from clipmetrics.functions import regions, similarity, text
 from clipmetrics.functions.text import strip
+from clipmetrics.operators import boxes as boxes_of
 from clipmetrics.operators.folds import fold
 from clipmetrics.operators.ordered import dense_ids, previous_within, running_counts
 from clipmetrics.params import CaptionParams
@@ -208,7 +209,7 @@ def finalize(numbered: DataFrame, params: CaptionParams = CaptionParams(), ratio
     numbered = numbered.withColumns({"island": F.col("seg.island"), "part": F.col("seg.part")})
     keys = ["video_id", "island", "part"]
     spans = numbered.groupBy(*keys).agg(
-        F.min("t").alias("start_s"), _end(F.max("t"), params, numbered.columns).alias("end_s"),
+        F.min("t").alias("start_s"), _end(F.max("t"), params, numbered.columns).alias("end_s"), F.min_by("ord", F.struct("t", "ord")).alias("first_ord"),
     )
     voted = consensus(numbered, keys, params, ratio)
     kept = not_persistent(spans.join(voted, keys), params)
@@ -217,14 +218,37 @@ def finalize(numbered: DataFrame, params: CaptionParams = CaptionParams(), ratio
     return dense_ids(rounded, ["video_id"], ["start_s", "island", "part"], "seg_id", F.col("start_s"), params.slice_seconds)
 
 
-def with_geometry(segments: DataFrame, observations: DataFrame, threshold: float = 0.68) -> DataFrame:
-    """bbox, detail regions and placement from the boxes of each segment's representative observation."""
-    boxes = observations.select("video_id", F.col("ord").alias("representative_ord"), "boxes")
-    joined = segments.join(boxes, ["video_id", "representative_ord"], "left")
-    shape = regions.segment_geometry(F.col("boxes"), threshold=threshold)
+def with_geometry(segments: DataFrame, observations: DataFrame, threshold: float = 0.68, fine: DataFrame | None = None) -> DataFrame:
+    """bbox, detail regions and placement of each segment from the boxes of one observation.
+
+    That is the representative one: of the finer observations where a refinement was taken, else of the segment's own;
+    if it has no boxes, the next in this order, and last the segment's first observation.
+    """
+    sources = [("refined_ord", fine), ("representative_ord", observations), ("first_ord", observations)]
+    joined, found = segments, []
+    for column, rows in sources:
+        if rows is not None and column in segments.columns:
+            boxes = rows.select("video_id", F.col("ord").alias(column), F.col("boxes").alias(f"_{column}"))
+            joined = joined.join(boxes, ["video_id", column], "left")
+            found.append(F.when(F.size(f"_{column}") > 0, F.col(f"_{column}")))
+    shape = regions.segment_geometry(F.coalesce(*found), threshold=threshold)
     return joined.withColumn("_g", shape).select(*segments.columns, "_g.bbox", "_g.regions", "_g.placement")
 
 
+def cleanup_of_winners(segments: DataFrame, numbered: DataFrame, limit: int = 10) -> DataFrame:
+    """video_id, seg_id, region_no and box of what to clean: the stable envelopes of the boxes of a segment's winners.
+
+    segments come from finalize, numbered from similar_text_segments over observations with boxes.
+    """
+    wins = segments.select("video_id", "seg_id", "island", "part", F.explode("winners").alias("cmp"))
+    seen = numbered.select(
+        "video_id", F.col("seg.island").alias("island"), F.col("seg.part").alias("part"), text.comparable(F.col("text")).alias("cmp"),
+        "ord", F.posexplode("boxes").alias("pos", "b"))
+    order = Window.partitionBy("video_id", "seg_id").orderBy("ord", "pos")
+    items = seen.join(wins, ["video_id", "island", "part", "cmp"]).withColumn("item", F.row_number().over(order).cast("long"))
+    return boxes_of.cleanup_regions(items.select("video_id", "seg_id", "item", "b.*"), ["video_id", "seg_id"], limit=limit)
+
+
 def uncertain(confidence: Column, score: Column, observed: Column, params: CaptionParams = CaptionParams()) -> Column:
     return (confidence < params.refine_confidence) | (score < params.refine_consensus) | (observed < params.refine_observations)
 
@@ -259,11 +283,16 @@ def refinement_observations(segments: DataFrame, fine: DataFrame, params: Captio
 
 
 def refine(segments: DataFrame, fine: DataFrame, params: CaptionParams = CaptionParams(), ratio: Ratio = similarity.ratio) -> DataFrame:
-    """Uncertain segments voted again on finer observations; a better result replaces the old one."""
+    """Uncertain segments voted again on finer observations; a better result replaces the old one.
+
+    refined_ord is the finer observation that stands for a replaced segment, for its geometry.
+    """
     again = refinement_observations(to_refine(segments, params), fine, params)
     voted = consensus(again.withColumn("ord", F.col("sample").cast("long")), ["video_id", "seg_id"], params, ratio)
     fresh = ["text", "confidence", "consensus_score", "observation_count", "winner_count"]
-    update = voted.select("video_id", "seg_id", *[F.col(c).alias(f"n_{c}") for c in fresh])
+    shown = again.select("video_id", "seg_id", F.col("sample").cast("long").alias("representative_ord"), F.col("ord").alias("n_ord"))
+    update = voted.join(shown, ["video_id", "seg_id", "representative_ord"]).select(
+        "video_id", "seg_id", "n_ord", *[F.col(c).alias(f"n_{c}") for c in fresh])
     both = segments.join(update, ["video_id", "seg_id"], "left")
     better = (
         (F.col("n_winner_count") >= min(2, params.refine_samples)) | (F.col("n_confidence") >= F.col("confidence") + 0.05)
@@ -272,7 +301,8 @@ def refine(segments: DataFrame, fine: DataFrame, params: CaptionParams = Caption
     take = F.coalesce(better, F.lit(False))
     digits = {"confidence": F.bround("n_confidence", 4), "consensus_score": F.bround("n_consensus_score", 4)}
     replaced = {c: F.when(F.col("_take"), digits.get(c, F.col(f"n_{c}"))).otherwise(F.col(c)) for c in fresh}
-    return both.withColumn("_take", take).withColumns(replaced).withColumn("refined", F.col("_take")).select(*segments.columns, "refined")
+    return both.withColumn("_take", take).withColumns(replaced).withColumns({
+        "refined": F.col("_take"), "refined_ord": F.when(F.col("_take"), F.col("n_ord"))}).select(*segments.columns, "refined", "refined_ord")
 
 
 def recover_empty(observations: DataFrame, segment: Callable[[DataFrame, CaptionParams], DataFrame],

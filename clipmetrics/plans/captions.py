@@ -68,12 +68,23 @@ def refine_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def caption_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return captions.refine(_final(spark, sf_dir), observations(spark, sf_dir), HOURLY).select(*FINAL, "refined")
+    """Refined segments with the geometry of the finer observation that stands for them."""
+    fine = with_boxes(observations(spark, sf_dir))
+    out = captions.with_geometry(captions.refine(_final(spark, sf_dir), fine, HOURLY), fine, fine=fine)
+    return out.select(*FINAL, "refined", *[F.col(f"bbox.{k}").alias(k) for k in "xywh"])
+
+
+def caption_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to clean in each final segment: the envelopes of the boxes of its winning observations."""
+    numbered = captions.similar_text_segments(captions.accept(with_boxes(_noisy(spark, sf_dir)), HOURLY), HOURLY)
+    return captions.cleanup_of_winners(captions.finalize(numbered, HOURLY), numbered)
 
 
 def caption_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's day is a video, so that many have only doubtful observations."""
     segment = lambda df, p: captions.not_persistent(captions.equal_text_segments(df, p), p)
-    out = captions.recover_empty(observations(spark, sf_dir), segment, RECOVERY)
+    days = _daily(observations(spark, sf_dir)).withColumn("video_id", F.concat("video_id", F.lit("/"), F.col("day")))
+    out = captions.recover_empty(days, segment, RECOVERY)
     return out.select("video_id", "start_s", "end_s", "text", "observation_count")
 
 
@@ -310,13 +321,15 @@ select video_id, frame, det, line, text from tagged join best using (video_id, f
 # The finer observations are plain readings: equal texts agree fully, different types never join.
 REFINE_SQL = f"""with {FINAL_SQL}, d as (select *, row_number() over (partition by video_id order by seg_id) as k from final where confidence < 0.72 or consensus_score < 0.67 or observation_count < 2),
 s as (select video_id, seg_id, sample, start_s + (end_s - start_s) * ratio as moment from d cross join (values (0, 0.22::double), (1, 0.50::double), (2, 0.78::double)) as v(sample, ratio) where k <= 16),
-near as (select s.video_id, seg_id, sample, arg_min(o.text, (abs(o.t - moment), o.ord)) as text, arg_min(o.confidence, (abs(o.t - moment), o.ord)) as confidence from s join observations o on o.video_id = s.video_id and abs(o.t - moment) <= 1800 and o.confidence >= 0.5 group by all),
-grp as (select video_id, seg_id, text, count(*) as n, sum(confidence) as total, min(sample) as first_s from near group by all),
+near as (select s.video_id, seg_id, sample, arg_min(o.text, (abs(o.t - moment), o.ord)) as text, arg_min(o.confidence, (abs(o.t - moment), o.ord)) as confidence, arg_min(o.ord, (abs(o.t - moment), o.ord)) as o_ord from s join observations o on o.video_id = s.video_id and abs(o.t - moment) <= 1800 and o.confidence >= 0.5 group by all),
+grp as (select video_id, seg_id, text, count(*) as n, sum(confidence) as total, min(sample) as first_s, arg_min(o_ord, (-confidence, sample)) as o_ord from near group by all),
 fine_win as (select *, row_number() over (partition by video_id, seg_id order by n desc, total desc, first_s) as k, sum(n) over (partition by video_id, seg_id) as n_all from grp),
-new as (select video_id, seg_id, text as n_text, total / n as n_conf, n / n_all::double as n_score, cast(n_all as bigint) as n_obs, n as n_win from fine_win where k = 1),
+new as (select video_id, seg_id, text as n_text, total / n as n_conf, n / n_all::double as n_score, cast(n_all as bigint) as n_obs, n as n_win, o_ord from fine_win where k = 1),
 j as (select f.*, new.* exclude (video_id, seg_id), coalesce(n_win >= 2 or n_conf >= confidence + 0.05 or n_score >= 0.80, false) as take from final f left join new using (video_id, seg_id))
-select video_id, seg_id, start_s, end_s, case when take then n_text else text end as text, case when take then round_even(n_conf, 4) else confidence end as confidence, case when take then round_even(n_score, 4) else consensus_score end as consensus_score,
-case when take then n_obs else observation_count end as observation_count, case when take then n_win else winner_count end as winner_count, representative_ord, take as refined from j"""
+select j.video_id, seg_id, start_s, end_s, case when take then n_text else text end as text, case when take then round_even(n_conf, 4) else confidence end as confidence, case when take then round_even(n_score, 4) else consensus_score end as consensus_score,
+case when take then n_obs else observation_count end as observation_count, case when take then n_win else winner_count end as winner_count, j.representative_ord, take as refined,
+round_even({_GX}, 6) as x, round_even({_GY}, 6) as y, round_even({_GW}, 6) as w, round_even({_GH}, 6) as h
+from j join (select video_id, ord as shown, x::double as x, y::double as y, w::double as w, h::double as h from observations) b on b.video_id = j.video_id and b.shown = case when take then o_ord else j.representative_ord end"""
 
 QUERIES = {
     "caption_segments": (caption_segments, f"""with {OBSERVATIONS}, {_islands('observations', 'text', '0.10')},
@@ -334,8 +347,13 @@ select video_id, day, text, round(confidence, 6) as confidence, round(consensus_
     "refine_candidates": (refine_candidates, f"""with {FINAL_SQL}, d as (select *, row_number() over (partition by video_id order by seg_id) as k from final where confidence < 0.72 or consensus_score < 0.67 or observation_count < 2)
 select video_id, seg_id, sample, round(start_s + (end_s - start_s) * ratio, 3) as at from d cross join (values (0, 0.22::double), (1, 0.50::double), (2, 0.78::double)) as s(sample, ratio) where k <= 16"""),
     "caption_refine": (caption_refine, REFINE_SQL),
-    "caption_recover": (caption_recover, f"""with {OBSERVATIONS}, {_islands('observations', 'text', '0.95')}, firsts as (select video_id, seg_no, min(t) as start_s, max(t) + 3600 as end_s, arg_min(text, (-confidence, ord)) as text, count(*) as observation_count from seg group by all),
-rest as (select * from observations where video_id not in (select video_id from firsts) and confidence >= 0.87),
+    "caption_cleanup": (caption_cleanup, f"""with recursive {FINAL_SQL}, fin as (select video_id, seg_no, row_number() over (partition by video_id order by start_s, seg_no) - 1 as seg_id from kept),
+daily as (select video_id, seg_id, ord, x, y, w, h from seg join win using (video_id, seg_no, kind) join fin using (video_id, seg_no)), {_grouped_sql('video_id, seg_id', '>= 0.28', '1e-9')},
+env as (select video_id, seg_id, b.grp as grp, greatest(0.0, min(b.x) - 0.010::double) as x, greatest(0.0, min(b.y) - 0.008::double) as y, least(1.0, max(b.x + b.w) + 0.010::double) as r, least(1.0, max(b.y + b.h) + 0.008::double) as bt from members group by all),
+k as (select *, row_number() over (partition by video_id, seg_id order by y, x, grp) as region_no from env)
+select video_id, seg_id, cast(region_no as int) as region_no, round_even(x, 6) as x, round_even(y, 6) as y, round_even(greatest(0.001, r - x), 6) as w, round_even(greatest(0.001, bt - y), 6) as h from k where region_no <= 10"""),
+    "caption_recover": (caption_recover, f"""with {OBSERVATIONS}, days as (select * replace (video_id || '/' || cast(floor(t / 86400) as bigint) as video_id) from observations), {_islands('days', 'text', str(RECOVERY.min_confidence))}, firsts as (select video_id, seg_no, min(t) as start_s, max(t) + 3600 as end_s, arg_min(text, (-confidence, ord)) as text, count(*) as observation_count from seg group by all),
+rest as (select * from days where video_id not in (select video_id from firsts) and confidence >= {RECOVERY.retry_confidence}),
 l2 as (select *, lag(t) over w as pt, lag(text) over w as pb from rest window w as (partition by video_id order by t, ord)),
 s2 as (select *, sum(case when pt is null or t - pt > 86400 or text <> pb then 1 else 0 end) over (partition by video_id order by t, ord rows unbounded preceding) as seg_no from l2)
 select video_id, start_s, end_s, text, observation_count from firsts union all select video_id, min(t), max(t) + 3600, arg_min(text, (-confidence, ord)), count(*) from s2 group by video_id, seg_no"""),

@@ -197,6 +197,30 @@ def test_persistent_region(spark):
     assert again[0].texts == ["logo"] * 5  # a text outside the persistent cells does not count
 
 
+def test_refined_segments_take_the_finer_geometry(spark):
+    segs = spark.createDataFrame(
+        [("v", 0, 0.0, 10.0, "old", 0.4, 0.4, 1, 1, 1, 1), ("v", 1, 20.0, 30.0, "sure", 0.9, 1.0, 5, 5, 2, 3)],
+        "video_id string, seg_id long, start_s double, end_s double, text string, confidence double, consensus_score double, observation_count long, winner_count long, representative_ord long, first_ord long")
+    box = lambda x: [(x, 0.8, 0.1, 0.05)]
+    kind = "video_id string, ord long, t double, text string, confidence double, boxes array<struct<x:double,y:double,w:double,h:double>>"
+    coarse = spark.createDataFrame([("v", 1, 0.0, "old", 0.4, box(0.1)), ("v", 2, 25.0, "sure", 0.9, []), ("v", 3, 20.0, "sure", 0.9, box(0.3))], kind)
+    fine = spark.createDataFrame([("v", 1, 2.2, "new", 0.9, box(0.5)), ("v", 2, 5.0, "new", 0.8, box(0.6)), ("v", 3, 7.8, "x", 0.6, box(0.7))], kind)
+    refined = captions.refine(segs, fine, CaptionParams())
+    rows = {r.seg_id: r for r in captions.with_geometry(refined, coarse, fine=fine).collect()}
+    assert (rows[0].text, rows[0].refined_ord, rows[0].representative_ord) == ("new", 1, 1) and rows[0].bbox.x == pytest.approx(0.488)
+    assert (rows[1].text, rows[1].refined_ord) == ("sure", None) and rows[1].bbox.x == pytest.approx(0.288)  # the first observation's box
+
+
+def test_cleanup_of_winners_leaves_other_texts_out(spark):
+    kind = "video_id string, ord long, t double, text string, confidence double, boxes array<struct<x:double,y:double,w:double,h:double>>"
+    box = lambda x: [(x, 0.8, 0.1, 0.05)]
+    rows = [("v", i, i / 3.0, "caption one", 0.9, box(0.2)) for i in range(5)] + [("v", 5, 5 / 3.0, "captoin one", 0.9, box(0.21)), ("v", 9, 1.5, "", 0.9, box(0.7))]
+    params = CaptionParams()
+    numbered = captions.similar_text_segments(captions.accept(spark.createDataFrame(rows, kind), params), params)
+    out = captions.cleanup_of_winners(captions.finalize(numbered, params), numbered).collect()
+    assert len(out) == 1 and out[0].x == pytest.approx(0.19) and out[0].w == pytest.approx(0.13)
+
+
 def test_boxes_without_area_stay_apart(spark):
     rows = [("v", i, 0.5, 0.5, w, 0.1) for i, w in enumerate((0.0, 0.0, 0.2, 0.2))]
     got = boxes.overlap_groups(spark.createDataFrame(rows, "video_id string, item long, x double, y double, w double, h double"), ["video_id"], 0.25, True, 1e-6)
