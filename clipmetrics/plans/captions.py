@@ -12,7 +12,7 @@ from clipmetrics.plans.adapters import OBSERVATIONS, observations, table, with_b
 
 # Events are hours apart, so an interval of an hour and a gap of a day take the place of frames.
 HOURLY = CaptionParams(interval=3600.0, max_gap=86_400.0, min_confidence=0.10, persistent_seconds=200_000.0, slice_seconds=604_800.0)
-RECOVERY = CaptionParams(interval=3600.0, max_gap=86_400.0, min_confidence=0.95, persistent_seconds=0.0, slice_seconds=604_800.0)
+RECOVERY = CaptionParams(interval=3600.0, max_gap=86_400.0, min_confidence=0.58, persistent_seconds=0.0, slice_seconds=604_800.0)
 FRAME_W, FRAME_H = 1080.0, 1920.0
 
 
