@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipmetrics.functions import scoring
-from clipmetrics.session import broadcast_if_small
+from clipmetrics.session import written
 
 SCORES = ["engagement", "recency", "relevance", "affiliate", "trend", "overall"]
 
@@ -23,16 +23,16 @@ def _maxima(raw: DataFrame, by: list[str]) -> DataFrame:
 def score(df: DataFrame, query: Column, now: Column, by: list[str] | None = None) -> DataFrame:
     """Add the six scores. Maxima are an aggregate over the filtered rows, never a global window.
 
-    Without by the maxima are one row read as scalar subqueries; with by they are one row per query,
-    computed from the counters alone and joined back (broadcast only after their number was checked, so
-    rows of a popular query stay where they are).
+    df, merged and filtered and so far smaller than what arrived, is written once and serves both its rows and the
+    maxima. Without by the maxima are one row read as scalar subqueries; with by they are one row per query, joined
+    back in the way Spark's own size checks choose.
     """
-    raw = _raw(df, now)
+    raw = _raw(written(df, "candidates"), now)
     if by:
-        raw = raw.join(broadcast_if_small(_maxima(raw, by), name="maxima"), by)
+        raw = raw.join(_maxima(raw, by), by)
         top_e, top_v = F.col("_top_e"), F.col("_top_v")
     else:
-        tops = _raw(df, now).agg(F.struct(F.max("_engagement").alias("e"), F.max("_velocity").alias("v")).alias("m"))
+        tops = raw.agg(F.struct(F.max("_engagement").alias("e"), F.max("_velocity").alias("v")).alias("m"))
         top = tops.scalar()
         top_e, top_v = top.e, top.v
     parts = scoring.prepared(raw, query).withColumns({
@@ -71,6 +71,14 @@ def top(df: DataFrame, mode: str = "overall", limit: int = 30) -> DataFrame:
     return df.orderBy(sort_key(mode).desc(), F.col("seq").asc()).limit(limit)
 
 
+def top_per_mode(df: DataFrame, modes: list[str], limit: int = 30) -> DataFrame:
+    """First rows of several rankings of the same rows, in one pass; the column mode names the ranking."""
+    keyed = F.array(*[F.struct(F.lit(m).alias("mode"), sort_key(m).cast("double").alias("_key")) for m in modes])
+    order = Window.partitionBy("mode").orderBy(F.col("_key").desc(), F.col("seq").asc())
+    ranked = df.select("*", F.inline(keyed)).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= limit).drop("_key")
+
+
 def top_per_query(df: DataFrame, by: list[str], mode: str = "overall", limit: int = 30) -> DataFrame:
     """First rows of many rankings. The bound on the row number is applied before the shuffle too."""
     order = Window.partitionBy(*by).orderBy(sort_key(mode).desc(), F.col("seq").asc())
@@ -78,4 +86,4 @@ def top_per_query(df: DataFrame, by: list[str], mode: str = "overall", limit: in
 
 
 def newest_first(df: DataFrame, column: str = "created_at") -> DataFrame:
-    return df.orderBy(F.col(column).desc())
+    return df.orderBy(F.col(column).desc(), *[F.col(c) for c in ("job_id", "seq") if c in df.columns])

@@ -95,7 +95,7 @@ def rank_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_sort_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _scored(spark, sf_dir)
     modes = ["latest", "likes", "views", "affiliate", "anything else"]
-    return candidates.union_sources(*[ranking.top(scored, m, 10).select(F.lit(m).alias("mode"), "seq", "video_id") for m in modes])
+    return ranking.top_per_mode(scored, modes, 10).select("mode", "seq", "video_id")
 
 
 def rank_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:

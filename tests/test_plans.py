@@ -44,13 +44,20 @@ def test_filters_reach_the_scan(spark):
     assert "1000" in re.search(r"DataFilters: \[([^\]]*)", plan_of(kept)).group(1)
 
 
-def test_small_phrase_sets_are_checked_where_texts_are_read(spark):
+@pytest.mark.parametrize(("block_bytes", "passes"), [(32 << 20, 1), (1500, None)])
+def test_texts_are_searched_where_they_are_read(spark, block_bytes, passes):
     docs = adapters.table(spark, SF, "documents")
     phrases = adapters.table(spark, SF, "benchmark").selectExpr("item_id as phrase_id", "text as phrase")
-    assert "Exchange hashpartitioning" not in plan_of(search.phrase_matches(docs, ["doc_id"], "text", phrases))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    assert "Exchange hashpartitioning" in plan_of(search.phrase_matches(docs, ["doc_id"], "text", phrases, 0))
-    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = plan_of(search.phrase_matches(docs, ["doc_id"], "text", phrases, block_bytes))
+    searches = re.findall(r"MapInArrow(.*?)FileScan parquet", plan, re.S)
+    assert all("Exchange" not in s for s in searches) and (len(searches) == passes if passes else len(searches) > 1)
+
+
+@pytest.mark.parametrize("name", ["trend_topn", "rank_sort_modes", "rank_multi_query"])
+def test_ranking_merges_once(spark, name):
+    """Rows and maxima come from the written candidates; no source table is read again and none is merged twice."""
+    plan = plan_of(catalogue.queries()[name](spark, SF))
+    assert "documents.parquet" not in plan and "events.parquet" not in plan and "candidates-" in plan
 
 
 def test_size_checks_count_rows_and_bytes(spark):
