@@ -60,6 +60,23 @@ def consensus_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voted.drop("winners").withColumns({c: F.round(c, 6) for c in ("confidence", "consensus_score")})
 
 
+def consensus_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vote as an SQL aggregate function over a user's days."""
+    captions.register_consensus(spark)
+    return spark.sql("select video_id, day, consensus_text(text, confidence, ord) as text from {daily} group by video_id, day", daily=_daily(_noisy(spark, sf_dir)))
+
+
+def _same_start(a: str, b: str) -> float:
+    """A similarity of one's own: texts are alike when they begin alike."""
+    return float(bool(a) and a[:4] == b[:4])
+
+
+def caption_segments_own_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accepted = captions.accept(_noisy(spark, sf_dir), HOURLY)
+    out = captions.finalize(captions.similar_text_segments(accepted, HOURLY, _same_start), HOURLY, _same_start)
+    return out.select(*FINAL)
+
+
 def refine_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uncertain segments of every video with the times at which to look again."""
     doubtful = captions.to_refine(_final(spark, sf_dir), HOURLY)
@@ -336,6 +353,8 @@ QUERIES = {
 g as (select video_id, seg_no, min(t) as start_s, max(t) + 3600 as end_s, arg_min(text, (-confidence, ord)) as text, round(avg(confidence), 6) as confidence, count(*) as observation_count from seg group by all)
 select * from g where end_s - start_s >= 0.35 and not (end_s - start_s >= 200000 and observation_count >= 4)"""),
     "caption_segments_similar": (caption_segments_similar, f"with {FINAL_SQL} select {', '.join(FINAL)} from final"),
+    "consensus_sql": (consensus_sql, f"""with {NOISY}, {DAILY.format('noisy')}, {_voted('daily', 'video_id, day')} select video_id, day, text from voted"""),
+    "caption_segments_own_ratio": (caption_segments_own_ratio, f"with {FINAL_SQL} select {', '.join(FINAL)} from final".replace("(2.0::double * length(t.kind) / (2 * length(t.kind) + 1))", "1.0::double")),
     "caption_geometry": (caption_geometry, f"""with {FINAL_SQL}, b as (select video_id, ord as representative_ord, x::double as x, y::double as y, w::double as w, h::double as h from observations)
 select video_id, seg_id, round_even({_GX}, 6) as x, round_even({_GY}, 6) as y, round_even({_GW}, 6) as w, round_even({_GH}, 6) as h, 1 as n_regions, round_even({_DX}, 6) as detail_x, round_even({_DH}, 6) as detail_h,
 case when {_GY} + {_GH} >= 0.68 then 'bottom' else 'upper' end as placement from final join b using (video_id, representative_ord)"""),

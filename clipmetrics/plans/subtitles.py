@@ -47,14 +47,24 @@ def srt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return srt.srt_blocks(_some_blank(spark, sf_dir))
 
 
-def srt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _srt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn as a subtitle file of its own with odd line ends, a numbered and an unnumbered block and a broken one."""
     c = cues(spark, sf_dir)
     line = F.concat(text.srt_time(F.col("start_s")), F.lit(" --> "), F.replace(text.srt_time(F.col("end_s")), F.lit(","), F.lit(".")))
     body = F.replace("text", F.lit("\n"), F.lit("\r\n"))
     content = F.concat(F.lit("﻿1\r\n"), line, F.lit("\r\n"), body, F.lit("\r\n \r\n"), line, F.lit("\nsecond "), F.col("ord").cast("string"),
                        F.lit("\n\n3\nno time\ntext\n\n4\n00:00:05,000 --> 00:00:05,000\nempty span\n"))
-    return srt.parse_srt(c.select("video_id", "ord", content.alias("content")), ["video_id", "ord"], joiner=" ").drop("block_no").withColumn("end_s", F.round("end_s", 6))
+    return c.select("video_id", "ord", content.alias("content"))
+
+
+def srt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return srt.parse_srt(_srt_files(spark, sf_dir), ["video_id", "ord"], joiner=" ").drop("block_no").withColumn("end_s", F.round("end_s", 6))
+
+
+def srt_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files through the table function of SQL users."""
+    srt.register_srt_function(spark)
+    return spark.sql("select video_id, ord, s.start_s, round(s.end_s, 6) as end_s, s.text from {files}, lateral srt_cues(content) s", files=_srt_files(spark, sf_dir))
 
 
 def srt_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,6 +197,8 @@ round(case when bottom then greatest(0.0, least(1.0 - th, y + h / 2 - th / 2)) e
     "srt_blocks": (srt_blocks, f"""with {CUES}, n as (select *, row_number() over (partition by video_id order by start_s, ord) as block_no, cast(round_even(start_s * 1000, 0) as bigint) as a, cast(round_even(end_s * 1000, 0) as bigint) as b from cues)
 select video_id, block_no, block_no || chr(10) || {SRT_TIME.format('a')} || ' --> ' || {SRT_TIME.format('b')} || chr(10) || replace(trim(text), chr(10), ' ') || chr(10) as block from n where ord <> 2"""),
     "srt_parse": (srt_parse, f"""with {CUES} select video_id, ord, start_s, round(end_s, 6) as end_s, replace(trim(text), chr(10), ' ') as text from cues where trim(text) <> ''
+union all select video_id, ord, start_s, round(end_s, 6), 'second ' || ord from cues"""),
+    "srt_table_function": (srt_table_function, f"""with {CUES} select video_id, ord, start_s, round(end_s, 6) as end_s, trim(text) as text from cues where trim(text) <> ''
 union all select video_id, ord, start_s, round(end_s, 6), 'second ' || ord from cues"""),
     "srt_validate": (srt_validate, """select doc_id, doc_id % 4 = 2 as ok, case doc_id % 4 when 0 then 'subtitle cannot be empty' when 1 then 'no timing line found' when 3 then 'subtitle exceeds 2 MiB limit' end as reason from documents"""),
     "segment_metadata": (segment_metadata, f"""with {SEGMENTS} select video_id, seg_id as turn, 0 as seg_id, start_s, end_s, round(least(0.98::double, x), 6) as x, round(least(0.98::double, y), 6) as y, round(greatest(0.02, least(1.0 - x, w)), 6) as w,

@@ -113,4 +113,4 @@ class SrtCues:
 
 
 def register_srt_function(spark: SparkSession, name: str = "srt_cues") -> None:
-    spark.udtf.register(name, udtf(SrtCues, returnType="block_no int, start_s double, end_s double, text string"))
+    spark.udtf.register(name, udtf(SrtCues, returnType="block_no int, start_s double, end_s double, text string", useArrow=True))
