@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clipmetrics import rules
 from clipmetrics.functions.text import strip
 from clipmetrics.operators.ordered import dense_ids
-from clipmetrics.session import broadcast_if_small
+from clipmetrics.session import written
 
 
 def pick_streams(streams: DataFrame, key: str = "video_id") -> DataFrame:
@@ -75,13 +75,13 @@ def plan_renditions(videos: DataFrame, keep_at_least: float = 0.40, same: float
 
 def assign(items: DataFrame, name: str, choices: DataFrame, choice: str) -> DataFrame:
     """Deterministic choice per item: first 32 bits of SHA-1 of the name, modulo the sorted choices."""
-    # Two leading bytes as slice: numbering stays in binary order and never runs over the catalogue in one task.
-    lead = F.conv(F.rpad(F.hex(F.substring(F.encode(choice, "UTF-8"), 1, 2)), 4, "0"), 16, 10).cast("double")
-    catalogue = choices.select(choice).distinct().withColumn("_all", F.lit(1))
-    ranked = dense_ids(catalogue, ["_all"], [choice], "_slot", lead, 1.0).drop("_all")
+    # Even ranges of the choices are the slices: numbering stays in binary order and never runs over all in one task.
+    ranges = choices.select(choice).distinct().repartitionByRange(choice).withColumn("_range", F.spark_partition_id())
+    catalogue = written(ranges, "choices").withColumn("_all", F.lit(1))
+    ranked = dense_ids(catalogue, ["_all"], [choice], "_slot", F.col("_range").cast("double"), 1.0).drop("_all", "_range")
     total = choices.agg(F.count_distinct(choice).alias("n")).scalar()
     bits = F.conv(F.left(F.sha1(F.col(name)), F.lit(8)), 16, 10).cast("long")
-    return items.withColumn("_slot", bits % total).join(broadcast_if_small(ranked), "_slot", "left").drop("_slot")
+    return items.withColumn("_slot", bits % total).join(ranked, "_slot", "left").drop("_slot")
 
 
 def stage_signatures(items: DataFrame, config: dict[str, list[str]]) -> DataFrame:

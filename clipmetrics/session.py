@@ -1,4 +1,4 @@
-"""Session settings, working folders and size-checked broadcasts."""
+"""Session settings, working folders and written intermediate tables."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -65,19 +64,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = work_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def fits(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 128 << 20) -> bool:
-    """Whether a table is small in rows and bytes; looks at no more than max_rows + 1 rows."""
-    size = F.octet_length(F.to_json(F.struct(*df.columns)))
-    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
-    return seen.n <= max_rows and seen.b <= max_bytes
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, name: str = "side") -> DataFrame:
-    """Hint a broadcast only after measuring; a larger side keeps the shuffled join.
-
-    The side is written first, so what leads to it is computed once and not again for the check.
-    """
-    side = written(df, name)
-    return F.broadcast(side) if fits(side, max_rows) else side

@@ -9,7 +9,6 @@ import pytest
 from clipmetrics.operators import candidates, ranking, search
 from clipmetrics.params import SearchFilters
 from clipmetrics.plans import adapters, catalogue
-from clipmetrics.session import fits
 
 SF = "/root/testdata/sf0.001"
 BATCH = sorted(n for n in catalogue.queries() if not n.startswith("st_"))
@@ -60,10 +59,6 @@ def test_ranking_merges_once(spark, name):
     assert "documents.parquet" not in plan and "events.parquet" not in plan and "candidates-" in plan
 
 
-def test_size_checks_count_rows_and_bytes(spark):
-    assert fits(spark.range(10), 10) and not fits(spark.range(11), 10) and not fits(spark.range(10), 10, 20)
-
-
 def test_single_query_maxima_are_a_subquery(spark):
     from pyspark.sql import functions as F
 
