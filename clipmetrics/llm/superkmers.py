@@ -6,7 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from clipmetrics.llm.words import joined, word_bounds
+from clipmetrics.llm.words import blocks, joined, word_bounds
 
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
@@ -31,11 +31,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word, from running sums over all bytes."""
-    up, down = _powers(1 << max(len(buffer) + 1, 1 << 19).bit_length())
-    sums = np.zeros(len(buffer) + 1, dtype=np.uint64)
-    np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * up[:len(buffer)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts])
+    """A 64-bit hash of every word, from running sums over the bytes of a block; the place of a word does not matter."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    for low, high in blocks(ends):
+        begin, end = int(starts[low]), int(ends[high - 1])
+        up, down = _powers(1 << max(end - begin + 1, 1 << 20).bit_length())
+        sums = np.zeros(end - begin + 1, dtype=np.uint64)
+        np.cumsum((buffer[begin:end].astype(np.uint64) + np.uint64(1)) * up[:end - begin], out=sums[1:])
+        first = starts[low:high] - begin
+        out[low:high] = mixed((sums[ends[low:high] - begin] - sums[first]) * down[first])
+    return out
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -59,13 +59,27 @@ def slices(batch: pa.RecordBatch, text: str, max_bytes: int) -> Iterator[pa.Reco
         start = stop
 
 
+def blocks(ends: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of words whose ends lie within `size` bytes of the range's first word, or single longer words."""
+    low = 0
+    while low < len(ends):
+        begin = ends[low - 1] if low else 0
+        high = max(int(np.searchsorted(ends, begin + size, side="right")), low + 1)
+        yield low, high
+        low = high
+
+
 def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All words one after the other, one space after each; start and end byte of every word in there."""
+    """All words one after the other, one space after each; start and end byte of every word in there.
+
+    Block by block, so that the index arrays stay small for a very long text too.
+    """
     lengths = ends - starts
     to = np.cumsum(lengths + 1) - lengths - 1
     out = np.full(int((lengths + 1).sum()), 32, dtype=np.uint8)
-    total = int(lengths.sum())
-    shift = np.repeat(np.stack([starts, to]) - (np.cumsum(lengths) - lengths), lengths, axis=1)
-    place = np.arange(total)
-    out[shift[1] + place] = data[shift[0] + place]
+    for low, high in blocks(ends):
+        own = lengths[low:high]
+        place = np.arange(int(own.sum()))
+        before = np.cumsum(own) - own
+        out[np.repeat(to[low:high] - before, own) + place] = data[np.repeat(starts[low:high] - before, own) + place]
     return out, to, to + lengths

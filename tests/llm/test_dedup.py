@@ -165,3 +165,19 @@ def test_pivot_filter_loses_nothing():
     values = np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 64, 50).astype(np.uint64)) for _ in range(5)]]))
     u, v = simhash.forest(values, None, 4, simhash.pivots(8))
     assert (np.bitwise_count(u ^ v) <= 64).all() and len(u) == len(values) - len(set(classes(values.tolist(), lambda a, b: (a ^ b).bit_count() <= 4)))
+
+
+def test_very_long_texts_are_hashed_block_by_block():
+    """Words get the same hash wherever they lie, in a text of many blocks and with a word longer than a block."""
+    text = "alpha beta gamma " * 200_000 + "x" * 1_500_000 + " beta"
+    data, offsets = text_buffer(pa.array(["beta alpha gamma", text]))
+    starts, ends, first = word_bounds(data, offsets)
+    hashes = superkmers.word_hashes(data, starts, ends)
+    beta, alpha, gamma = hashes[:3].tolist()
+    assert (hashes[3:600_003].reshape(-1, 3) == np.array([alpha, beta, gamma], dtype=np.uint64)).all()
+    assert hashes[-1] == beta and len(set(hashes.tolist())) == 4
+    from clipmetrics.llm.words import joined
+
+    out, to, until = joined(data, starts, ends)
+    assert out.tobytes() == b"beta alpha gamma " + text.encode() + b" "
+    assert (superkmers.word_hashes(out, to, until) == hashes).all()
