@@ -36,9 +36,18 @@ COMMON_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"')
 
 
 def unescape(col: Column, full: bool = True) -> Column:
-    """HTML entities to text. full covers the whole HTML5 set in Arrow batches; otherwise a JVM-side subset."""
+    """HTML entities to text. full covers the whole HTML5 set, otherwise the common ones.
+
+    Common entities are replaced in the JVM. Only strings that hold other ones go through Python, in Arrow batches;
+    for all others a null is sent.
+    """
     if full:
-        return _unescape(col)
+        whole = col
+        for entity, _ in COMMON_ENTITIES:
+            whole = F.replace(whole, F.lit(entity), F.lit(html.unescape(entity)))
+        names = "|".join(entity[1:-1] for entity, _ in COMMON_ENTITIES)
+        other = F.contains(col, F.lit("&")) & F.rlike(F.regexp_replace(col, f"&(?:{names});", ""), F.lit("&[#a-zA-Z]"))
+        return F.coalesce(_unescape(F.when(other, col)), F.when(F.contains(col, F.lit("&")), whole).otherwise(col))
     plain = col
     for entity, char in COMMON_ENTITIES:
         plain = F.replace(plain, F.lit(entity), F.lit(char))

@@ -35,21 +35,37 @@ def anchors(pages: DataFrame, keep: list[str], html: str = "html", limit: int |
     return out.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
 
 
-def _bare_ids(ids: Column, number: int) -> Column:
-    return F.transform(ids, lambda v, i: F.struct(F.lit(number).alias("pass"), i.alias("pos"), v.alias("id"), F.lit("").alias("label")))
+def _near(document: Column, ident: Column) -> Column:
+    """The text around the first place of an id."""
+    at = F.instr(document, ident)
+    start = F.greatest(F.lit(1), at - rules.NEARBY_BEFORE)
+    return F.when(at > 0, F.substring(document, start, at + rules.NEARBY_AFTER - start))
+
+
+def _bare_ids(ids: Column, number: int, near: bool) -> Column:
+    return F.transform(ids, lambda v, i: _found(number, i, v, F.lit(""), near))
+
+
+def _found(number: int, pos: Column, ident: Column, label: Column, near: bool) -> Column:
+    around = _near(F.col("_doc"), ident) if near else F.lit(None).cast("string")
+    return F.struct(F.lit(number).alias("pass"), pos.alias("pos"), ident.alias("id"), label.alias("label"), around.alias("near"))
 
 
 def video_links(pages: DataFrame, keep: list[str], keyword: Column, html: str = "html", anchor: str = rules.KUAISHOU_ANCHOR,
                 path: str = rules.KUAISHOU_ID, url_prefix: str = rules.KUAISHOU_URL, platform: str = "kuaishou",
-                embedded: str | None = None, anchor_has_id: bool = False) -> DataFrame:
-    """Videos linked from a rendered page: anchors with their text, then bare paths, then embedded ids; first id wins."""
+                embedded: str | None = None, anchor_has_id: bool = False, near: bool = False) -> DataFrame:
+    """Videos linked from a rendered page: anchors with their text, then bare paths, then embedded ids; first id wins.
+
+    With near the text around each id comes along, cut out inside the page's row.
+    """
     doc = text.unescape(F.col(html))
     doc = text.unescape_slashes(doc) if embedded else F.replace(doc, F.lit("\\/"), F.lit("/"))
     base = pages.select(*keep, keyword.alias("_keyword"), doc.alias("_doc"))
     link = _groups(F.col("_doc"), anchor, 1, 2)
-    passes = [F.transform(link, lambda a, i: F.struct(F.lit(0).alias("pass"), i.alias("pos"), a.g0.alias("id"), a.g1.alias("label")))]
+    passes = [F.transform(link, lambda a, i: _found(0, i, a.g0, a.g1, near))]
     for n, pattern in enumerate([path] + ([embedded] if embedded else []), start=1):
-        passes.append(_bare_ids(F.regexp_extract_all(F.col("_doc"), F.lit(pattern), F.lit(1)), n))
+        ids = F.regexp_extract_all(F.col("_doc"), F.lit(pattern), F.lit(1))
+        passes.append(_bare_ids(ids, n, near))
     rows = base.select(*keep, "_keyword", F.explode(F.concat(*passes)).alias("v")).select(*keep, "_keyword", "v.*")
     if not anchor_has_id:
         rows = rows.withColumn("id", F.when(F.col("pass") == 0, urls.video_id(F.col("id"), path)).otherwise(F.col("id")))
@@ -60,6 +76,7 @@ def video_links(pages: DataFrame, keep: list[str], keyword: Column, html: str =
     return first.select(
         *keep, "pass", "pos", F.col("id").alias("video_id"), F.lit(platform).alias("platform"), title.alias("title"),
         F.concat(F.lit(url_prefix), F.col("id")).alias("url"), F.lit("video").alias("media_type"), F.col("_keyword").alias("search_source"),
+        *([F.col("near").alias("_near")] if near else []),
     )
 
 
@@ -71,10 +88,11 @@ def _decoded(raw: Column) -> Column:
 
 def nearby_metadata(rows: DataFrame, document: str, ident: str) -> DataFrame:
     """Fields scraped from the text around an id: rows with document and id gain title, author, counters, date, duration."""
-    at = F.instr(F.col(document), F.col(ident))
-    start = F.greatest(F.lit(1), at - rules.NEARBY_BEFORE)
-    window = F.when(at > 0, F.substring(F.col(document), start, at + rules.NEARBY_AFTER - start))
-    found = rows.withColumn("_near", window)
+    return _metadata(rows.withColumn("_near", _near(F.col(document), F.col(ident))))
+
+
+def _metadata(found: DataFrame) -> DataFrame:
+    """The fields of the text in _near."""
     number = lambda name: F.regexp_extract("_near", rf"""(?i)\\?["']{name}\\?["']\s*:\s*([0-9]+)""", 1).try_cast("bigint")
     word = lambda name: text.blank_to_null(text.unescape(_decoded(F.regexp_extract("_near", rules.NEARBY_TEXT[name], 1))))
     known = lambda name: F.nullif(number(rules.NEARBY_NUMBER[name]), F.lit(0).cast("bigint"))
@@ -88,12 +106,11 @@ def nearby_metadata(rows: DataFrame, document: str, ident: str) -> DataFrame:
 
 def video_ids(pages: DataFrame, keep: list[str], keyword: Column, html: str = "html") -> DataFrame:
     """Three-pass link extraction plus the metadata found near every id."""
-    links = video_links(pages, keep, keyword, html, rules.DOUYIN_ANCHOR, rules.DOUYIN_ID, rules.DOUYIN_URL, "douyin", rules.DOUYIN_EMBEDDED_ID, True)
-    docs = pages.select(*keep, text.unescape_slashes(text.unescape(F.col(html))).alias("_doc"))
-    near = nearby_metadata(links.join(docs, keep), "_doc", "video_id")
+    near = _metadata(video_links(
+        pages, keep, keyword, html, rules.DOUYIN_ANCHOR, rules.DOUYIN_ID, rules.DOUYIN_URL, "douyin", rules.DOUYIN_EMBEDDED_ID, True, near=True))
     generated = F.startswith("title", F.lit("Douyin search: "))
     title = F.when(generated, F.coalesce("near_title", "title")).otherwise(F.col("title"))
-    return near.withColumn("title", title).withColumnRenamed("near_author", "author").drop("_doc", "near_title")
+    return near.withColumn("title", title).withColumnRenamed("near_author", "author").drop("near_title")
 
 
 def _attribute(tag: Column, name: str) -> Column:

@@ -59,6 +59,10 @@ def test_ranking_merges_once(spark, name):
     assert "documents.parquet" not in plan and "events.parquet" not in plan and "candidates-" in plan
 
 
+def test_pages_are_not_joined_with_their_links(spark):
+    assert "Join" not in plan_of(catalogue.queries()["page_video_ids"](spark, SF))
+
+
 def test_single_query_maxima_are_a_subquery(spark):
     from pyspark.sql import functions as F
 
