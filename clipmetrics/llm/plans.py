@@ -72,6 +72,47 @@ def op9_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(quotes.linked_messages(table(spark, sf_dir, "conversations")))
 
 
+OP9_SQL = r"""
+WITH RECURSIVE m AS (
+  SELECT *, row_number() OVER (ORDER BY conv_id, turn, role, text) AS mid FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
+), split AS (SELECT *, string_split_regex(coalesce(text, ''), '\r?\n') AS parts FROM m
+), raw AS (SELECT mid, conv_id, turn, unnest(parts) AS line, generate_subscripts(parts, 1) AS no FROM split
+), lines AS (
+  SELECT mid, conv_id, turn, no, length(regexp_replace(regexp_extract(line, '^\s*(?:>\s?)+'), '[^>]', '', 'g')) AS level,
+    regexp_replace(line, '^\s*(?:>\s?)+', '') AS body FROM raw
+  WHERE regexp_matches(line, '^\s*>') OR NOT regexp_matches(line, '(?i)^\s*on\b.{1,200}\bwrote:\s*$')
+), marked AS (
+  SELECT *, row_number() OVER (PARTITION BY mid ORDER BY no) - row_number() OVER (PARTITION BY mid, level ORDER BY no) AS run FROM lines
+), pieces AS (
+  SELECT DISTINCT mid, conv_id, turn, level, whole, trim(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g')) AS said FROM (
+    SELECT mid, conv_id, turn, level, true AS whole, string_agg(body, chr(10) ORDER BY no) AS body FROM marked GROUP BY mid, conv_id, turn, level, run
+    UNION ALL SELECT mid, conv_id, turn, level, false, body FROM lines)
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), inside AS (SELECT conv_id, said, min((turn, mid)) AS place FROM pieces WHERE level = 0 AND said <> '' GROUP BY conv_id, said
+), anywhere AS (SELECT said, min((conv_id, turn, mid)) AS place FROM pieces WHERE level = 0 AND said <> '' GROUP BY said
+), found AS (
+  SELECT q.mid, q.said, q.whole, q.level, i.place[1] < q.turn AS near,
+    CASE WHEN i.place[1] < q.turn THEN (q.conv_id, i.place[1], i.place[2]) WHEN a.place[1] < q.conv_id THEN a.place END AS original
+  FROM (SELECT * FROM pieces WHERE level > 0 AND said <> '') q LEFT JOIN inside i USING (conv_id, said) LEFT JOIN anywhere a ON a.said = q.said
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY mid ORDER BY coalesce(near, false) DESC, whole DESC, level, original DESC) AS k FROM found WHERE original IS NOT NULL
+), replies AS (SELECT mid, original[1] AS p_conv, original[2] AS p_turn, original[3] AS p_mid FROM ranked WHERE k = 1
+), walk AS (
+  SELECT mid, p_conv AS root, p_mid AS up, 1 AS depth FROM replies
+  UNION ALL SELECT w.mid, r.p_conv, r.p_mid, w.depth + 1 FROM walk w JOIN replies r ON r.mid = w.up
+), roots AS (SELECT mid, arg_max(root, depth) AS root FROM walk GROUP BY mid
+), rows AS (
+  SELECT m.*, coalesce(t.root, m.conv_id) AS thread_conv, r.p_turn,
+    '[' || coalesce(role, 'unknown') || ']' || CASE WHEN r.mid IS NULL THEN '' ELSE ' @' || r.p_conv || ':' || r.p_turn END || chr(10)
+      || regexp_replace(trim(coalesce((SELECT string_agg(body, chr(10) ORDER BY no) FROM lines l WHERE l.mid = m.mid AND level = 0), '')), '\n{3,}', chr(10) || chr(10), 'g') AS line
+  FROM m LEFT JOIN replies r USING (mid) LEFT JOIN roots t USING (mid)
+)
+SELECT thread_conv, conv_id, coalesce(cast(floor(turn / 64) AS bigint), 0) AS segment, count(*) AS n_messages, count(p_turn) AS n_replies,
+  string_agg(line, chr(10) || chr(10) ORDER BY turn NULLS LAST, coalesce(role, ''), line) AS chat
+FROM rows GROUP BY thread_conv, conv_id, coalesce(cast(floor(turn / 64) AS bigint), 0), CASE WHEN conv_id IS NULL OR turn IS NULL THEN mid END
+"""
+
+
 def op10_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(lexical.pack_lexical(table(spark, sf_dir, "documents")))
 
@@ -100,4 +141,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_exact_dedup": OP6_SQL,
+        "op9_quote_linking": OP9_SQL,
     }

@@ -198,6 +198,34 @@ def test_quotes_lead_to_their_originals(spark):
     assert quotes.conversations(quotes.linked_messages(df.limit(0))).count() == 0
 
 
+def test_conversations_agree_with_their_sql(spark):
+    """On messages with nested, partial, repeated and foreign quotes, which the given tables lack."""
+    import random
+
+    import duckdb
+
+    from clipmetrics.llm.plans import OP9_SQL
+
+    rng = random.Random(2)
+    said = [" ".join(rng.choice(["ab", "cd", "ef", "gh"]) for _ in range(3)) for _ in range(12)]
+    rows = []
+    for conv in range(12):
+        for turn in range(rng.randrange(1, 9)):
+            parts = [rng.choice([f"{rng.choice(said)} {conv} {turn}", "> " + rng.choice(said) + f" {conv} {rng.randrange(4)}", ">> " + rng.choice(said),
+                                 ">" + rng.choice(said).upper(), "", "On some day X wrote:", f"{rng.choice(said)}"]) for _ in range(rng.randrange(1, 6))]
+            rows.append((conv, turn, rng.choice(["user", None]), "\n".join(parts)))
+    rows += [rows[0], (None, 1, "user", "> x"), (3, None, "user", "a\n\n\n\nb"), (70, 130, "user", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    own = quotes.conversations(quotes.linked_messages(df))
+    names = sorted(own.columns)
+    base = duckdb.connect()
+    base.register("conversations", df.toArrow())
+    want = base.execute(OP9_SQL).fetchall()
+    order = [d[0] for d in base.description]
+    assert Counter(tuple(dict(zip(order, r))[n] for n in names) for r in want) == Counter(tuple(r[n] for n in names) for r in own.collect())
+    assert sum(r.n_replies for r in own.collect()) > 10
+
+
 def test_a_long_chain_of_replies(spark):
     rows = [(5, 0, "user", "start 0")] + [(5, i, "user", f"> start {i - 1}\nstart {i}") for i in range(1, 20)]
     got = {r.turn: r.depth for r in quotes.linked_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
