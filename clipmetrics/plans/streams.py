@@ -74,8 +74,8 @@ def st_job_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.element_at(F.array(*[F.lit(s) for s in [*rules.RUNNING, "done", *rules.FAILED]]), (F.col("o_orderkey") % 8 + 1).cast("int"))
     events = o.select(F.col("o_custkey").cast("string").alias("job_id"), F.col("o_orderkey").alias("seq"), F.unix_micros(at).alias("at_us"), status.alias("status"), at.alias("at"))
     log = runs.changes_available(state.job_monitor(events, "at", "1 hour"), "monitor")
-    # A job's interruption is reported after its last change, so the newest version per kind is kept.
-    return runs.latest(spark, log, ["job_id", "interrupted"]).select("job_id", "seq", "status", "attempts", "at_us", "interrupted")
+    # A job's interruption is reported after its last change, and a later change replaces it.
+    return runs.latest(spark, log, ["job_id"]).select("job_id", "seq", "status", "attempts", "at_us", "interrupted")
 
 
 def st_rank_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +107,6 @@ union all select r.key, r.at_us, r.request, r.rn, case when r.at_us <= w.expires
 select key, at_us, request, outcome, expires_us from walk"""),
     "st_job_monitor": (st_job_monitor, f"""with e as (select cast(o_custkey as varchar) as job_id, o_orderkey as seq, {STATUS} as status, epoch_us(o_orderdate) as at_us from orders),
 j as (select job_id, arg_max(seq, (at_us, seq)) as seq, arg_max(status, (at_us, seq)) as status, count(*) filter (where status = 'queued') as attempts, max(at_us) as at_us from e group by job_id)
-select *, false as interrupted from j union all select *, true from j where status in ({', '.join(quoted(s) for s in rules.RUNNING)}) and at_us + 10800000000 <= (select max(at_us) - 3600000000 from e)"""),
+select *, status in ({', '.join(quoted(s) for s in rules.RUNNING)}) and at_us + 10800000000 <= (select max(at_us) - 3600000000 from e) as interrupted from j"""),
     "st_rank_snapshot": (st_rank_snapshot, f"with {EVENT_MERGED}, {score_sql('m', quoted(QUERY))} select {', '.join(SCORE_COLUMNS)} from scored order by overall desc, seq limit 30"),
 }

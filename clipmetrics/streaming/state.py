@@ -13,6 +13,7 @@ from clipmetrics import rules
 from clipmetrics.streaming.runs import ROCKSDB
 
 HIT_SECONDS, ERROR_SECONDS = 30 * 60, 3 * 60
+KEEP_DAYS = 30
 CACHE_OUT = "key string, at_us long, request long, outcome string, expires_us long"
 MONITOR_OUT = "job_id string, seq long, status string, attempts long, at_us long, interrupted boolean"
 
@@ -50,7 +51,11 @@ class PreviewCache(StatefulProcessor):
 
 
 class JobMonitor(StatefulProcessor):
-    """Latest status per job whatever the arrival order; running jobs silent for too long are reported."""
+    """Latest status per job whatever the arrival order; running jobs silent for too long are reported.
+
+    A job that has ended leaves the state after KEEP_DAYS of event time; one that starts again later counts its
+    attempts anew.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -64,14 +69,24 @@ class JobMonitor(StatefulProcessor):
             if (int(top["at_us"]), int(top["seq"])) > (at, seq):
                 at, seq, status = int(top["at_us"]), int(top["seq"]), str(top["status"])
         self.job.update((at, seq, status, attempts))
-        if status in rules.RUNNING:
-            self.handle.registerTimer(at // 1000 + rules.JOB_TIMEOUT_MINUTES * 60_000)
+        self.handle.registerTimer(self._due(at, status))
         yield pd.DataFrame({"job_id": [key[0]], "seq": [seq], "status": [status], "attempts": [attempts], "at_us": [at], "interrupted": [False]})
 
+    @staticmethod
+    def _due(at_us: int, status: str | None) -> int:
+        """When, in milliseconds, a job of this status is reported or forgotten."""
+        return at_us // 1000 + (rules.JOB_TIMEOUT_MINUTES * 60_000 if status in rules.RUNNING else KEEP_DAYS * 86_400_000)
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        at, seq, status, attempts = self.job.get() if self.job.exists() else (0, 0, None, 0)
-        due = at // 1000 + rules.JOB_TIMEOUT_MINUTES * 60_000
-        if status in rules.RUNNING and due <= expiredTimerInfo.getExpiryTimeInMs():
+        if not self.job.exists():
+            return
+        at, seq, status, attempts = self.job.get()
+        if self._due(at, status) > expiredTimerInfo.getExpiryTimeInMs():
+            return  # the job has moved on since, and has a later timer
+        if status not in rules.RUNNING or self._due(at, None) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.job.clear()
+        else:
+            self.handle.registerTimer(self._due(at, None))  # silent for good: it leaves the state like an ended one
             yield pd.DataFrame({"job_id": [key[0]], "seq": [seq], "status": [status], "attempts": [attempts], "at_us": [at], "interrupted": [True]})
 
     def close(self) -> None:
