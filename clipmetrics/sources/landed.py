@@ -54,16 +54,30 @@ def candidates_from_json_lines(lines: DataFrame, keyword: Column, column: str =
     })
 
 
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """rows just read from files, with seq from 0 by file path, block and place in the block.
+
+    However files are packed into tasks, a block is read by one task from its start on. Only one row per block is
+    numbered in a single place.
+    """
+    block = ["_file", "_block"]
+    read = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = read.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(*block).orderBy("_row"))
+    numbered = read.withColumn("_place", place).join(sizes.drop("_n"), block)
+    return numbered.select((F.col("_before") + F.col("_place") - 1).alias("seq"), *rows.columns)
+
+
 def read_json_lines(spark: SparkSession, path: str, keyword: str) -> DataFrame:
     """Candidate rows of landed JSON-line files; seq follows file order."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), "value")
-    return candidates_from_json_lines(lines, F.lit(keyword))
+    return candidates_from_json_lines(in_file_order(spark.read.text(path)), F.lit(keyword))
 
 
 def read_feed_items(spark: SparkSession, path: str) -> DataFrame:
-    """item elements of landed RSS files: (seq, title, link, description)."""
+    """item elements of landed RSS files: (seq, title, link, description); seq follows file order."""
     items = spark.read.format("xml").option("rowTag", "item").schema(schemas.RSS_ITEM).load(path)
-    return items.select(F.monotonically_increasing_id().alias("seq"), "title", "link", "description")
+    return in_file_order(items).select("seq", "title", "link", "description")
 
 
 def feed_items(df: DataFrame, xml: str, keep: list[str]) -> DataFrame:

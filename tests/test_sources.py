@@ -91,6 +91,22 @@ def test_json_lines(spark):
     assert [(r.video_id, r.url, r.likes, r.published_at is None) for r in rows] == [("BV1", "https://www.bilibili.com/video/BV1", 3, True), ("BV2", "https://x/2", None, False)]
 
 
+def test_file_order_does_not_depend_on_packing(spark):
+    """Small splits of several files: seq follows path, then line, whichever task reads what."""
+    folder = tempfile.mkdtemp(prefix="run-order-")
+    want = []
+    for name, n in (("c", 300), ("a", 5), ("b", 4000)):
+        with open(f"{folder}/{name}.jsonl", "w", encoding="utf-8") as f:
+            f.writelines(json.dumps({"bvid": f"{name}{i}"}) + "\n" for i in range(n))
+    for name, n in (("a", 5), ("b", 4000), ("c", 300)):
+        want += [f"{name}{i}" for i in range(n)]
+    for size in ("128m", "8k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = landed.read_json_lines(spark, folder, "kw").select("seq", "video_id").collect()
+        assert [r.video_id for r in sorted(rows)] == want and sorted(r.seq for r in rows) == list(range(len(want)))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 ITEM = {"aweme_id": "7301446688002244557", "desc": "钓竿", "create_time": 1701234567, "author": {"nickname": "lab"},
         "statistics": {"play_count": 120, "digg_count": 9, "comment_count": 4, "share_count": 1}, "video": {"duration": 33000, "cover": {"url_list": ["https://i/1.jpg", "x"]}}}
 
