@@ -10,6 +10,7 @@ from clipmetrics.operators import candidates, ranking, search
 from clipmetrics.params import SearchFilters, expansion_limit
 from clipmetrics.plans.adapters import (HITS, NOW_SQL, document_hits, event_hits, hits, now, table)
 from clipmetrics.schemas import VIDEO_COLUMNS
+from clipmetrics.session import work_dir
 from clipmetrics.sources import landed, registry
 
 QUERY = "review onen the kitchen"
@@ -244,7 +245,7 @@ def source_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.error_summary(_runs(spark, sf_dir))
 
 
-def json_line_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents landed as JSON lines, some lines broken, some without id or address."""
     d = table(spark, sf_dir, "documents")
     line = F.to_json(F.struct(
@@ -253,10 +254,23 @@ def json_line_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc_id") % 7).alias("like_count"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") + 1_700_000_000).otherwise(0).alias("pubdate"),
         F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://v.example.com/"), F.col("doc_id"))).otherwise("").alias("url"),
     ))
-    lines = d.select(F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("#"), line)).otherwise(line).alias("value"))
-    out = landed.candidates_from_json_lines(lines, F.lit("kitchen"))
-    return out.select("seq", "video_id", "platform", "title", "author", "url", "duration_sec", "views", "likes", "search_source",
-                      F.unix_seconds("published_at").alias("published_s"))
+    return d.select(F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("#"), line)).otherwise(line).alias("value"))
+
+
+LANDED = ["seq", "video_id", "platform", "title", "author", "url", "duration_sec", "views", "likes", "search_source"]
+
+
+def json_line_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = landed.candidates_from_json_lines(_json_lines(spark, sf_dir), F.lit("kitchen"))
+    return out.select(*LANDED, F.unix_seconds("published_at").alias("published_s"))
+
+
+def json_line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines written as text files and read again, numbered in file order."""
+    path = work_dir(spark, "json-lines")
+    _json_lines(spark, sf_dir).repartitionByRange("seq").sortWithinPartitions("seq").select("value").write.text(path)
+    out = landed.read_json_lines(spark, path, "kitchen")
+    return out.select(*LANDED, F.unix_seconds("published_at").alias("published_s"))
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -393,6 +407,9 @@ from num where source not in (select source from ok) group by source, distinct_e
     "json_line_candidates": (json_line_candidates, f"""select doc_id as seq, 'BV' || doc_id as video_id, 'bilibili' as platform, nullif(text, '') as title, source as author,
 case when doc_id % 3 = 0 then 'https://v.example.com/' || doc_id else 'https://www.bilibili.com/video/BV' || doc_id end as url, nullif(n_chars, 0) as duration_sec, nullif(n_chars * 3, 0) as views,
 nullif(doc_id % 7, 0) as likes, 'kitchen' as search_source, case when doc_id % 2 = 0 then doc_id + 1700000000 end as published_s {LINES}"""),
+    "json_line_files": (json_line_files, f"""with n as (select *, row_number() over (order by doc_id) - 1 as place from documents) select place as seq, 'BV' || doc_id as video_id, 'bilibili' as platform, nullif(text, '') as title, source as author,
+case when doc_id % 3 = 0 then 'https://v.example.com/' || doc_id else 'https://www.bilibili.com/video/BV' || doc_id end as url, nullif(n_chars, 0) as duration_sec, nullif(n_chars * 3, 0) as views,
+nullif(doc_id % 7, 0) as likes, 'kitchen' as search_source, case when doc_id % 2 = 0 then doc_id + 1700000000 end as published_s {LINES.replace('from documents', 'from n')}"""),
     "search_json_candidates": (search_json_candidates, f"select doc_id, {ITEM_SQL} from documents"),
     "deep_json_candidates": (deep_json_candidates, f"with r as (select *, row_number() over (partition by lang, doc_id - doc_id % 3 order by doc_id) as k from documents) select lang, doc_id, {ITEM_SQL} from r where k = 1"),
     "search_status": (search_status, """select event_id, code, state, case when state = 'error' then 'status ' || code || ': ' || event_type end as error from (

@@ -9,6 +9,7 @@ from clipmetrics.functions import regions, text
 from clipmetrics.operators import batches, cues as ops
 from clipmetrics.params import PackingParams
 from clipmetrics.plans.adapters import CUES, PAIR_SCRIPT, PAIRS, SEGMENTS, cues, pairs, segments, table
+from clipmetrics.session import work_dir
 from clipmetrics.sources import subtitles as srt
 
 PACKING = PackingParams(max_chars=700)
@@ -47,6 +48,15 @@ def srt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return srt.srt_blocks(_some_blank(spark, sf_dir))
 
 
+def srt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues written as subtitle files, one folder per video, and read again."""
+    path = work_dir(spark, "srt")
+    srt.write_srt(_some_blank(spark, sf_dir), path)
+    back = srt.read_srt(spark, path)
+    video = F.regexp_extract("file", "video_id=([^/]+)", 1).cast("long")
+    return back.select(video.alias("video_id"), F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"), "text")
+
+
 def _srt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn as a subtitle file of its own with odd line ends, a numbered and an unnumbered block and a broken one."""
     c = cues(spark, sf_dir)
@@ -196,6 +206,8 @@ select video_id, ord, seg_id, seg_id is not null as matched, bottom, round(case
 round(case when bottom then greatest(0.0, least(1.0 - th, y + h / 2 - th / 2)) else y end, 6) as y, round(case when bottom then tw else w end, 6) as w, round(case when bottom then th else h end, 6) as h from g"""),
     "srt_blocks": (srt_blocks, f"""with {CUES}, n as (select *, row_number() over (partition by video_id order by start_s, ord) as block_no, cast(round_even(start_s * 1000, 0) as bigint) as a, cast(round_even(end_s * 1000, 0) as bigint) as b from cues)
 select video_id, block_no, block_no || chr(10) || {SRT_TIME.format('a')} || ' --> ' || {SRT_TIME.format('b')} || chr(10) || replace(trim(text), chr(10), ' ') || chr(10) as block from n where ord <> 2"""),
+    "srt_files": (srt_files, f"""with {CUES} select video_id, round(cast(round_even(start_s * 1000, 0) as bigint) / 1000.0::double, 3) as start_s, round(cast(round_even(end_s * 1000, 0) as bigint) / 1000.0::double, 3) as end_s,
+replace(trim(text), chr(10), ' ') as text from cues where ord <> 2"""),
     "srt_parse": (srt_parse, f"""with {CUES} select video_id, ord, start_s, round(end_s, 6) as end_s, replace(trim(text), chr(10), ' ') as text from cues where trim(text) <> ''
 union all select video_id, ord, start_s, round(end_s, 6), 'second ' || ord from cues"""),
     "srt_table_function": (srt_table_function, f"""with {CUES} select video_id, ord, start_s, round(end_s, 6) as end_s, trim(text) as text from cues where trim(text) <> ''
