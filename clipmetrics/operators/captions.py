@@ -322,12 +322,13 @@ _LINE = StructType([
 
 def _group_lines(tolerance: float):
     def step(key: tuple, rows: Iterator[tuple]) -> Iterable[tuple]:
-        centres: list[list[float]] = []
+        centres: list[tuple[float, int]] = []  # sum and number of the middles of a line
         for det, middle in rows:
-            hit = next((n for n, c in enumerate(centres) if abs(middle - sum(c) / len(c)) <= tolerance), len(centres))
+            hit = next((n for n, (total, count) in enumerate(centres) if abs(middle - total / count) <= tolerance), len(centres))
             if hit == len(centres):
-                centres.append([])
-            centres[hit].append(middle)
+                centres.append((0.0, 0))
+            total, count = centres[hit]
+            centres[hit] = total + middle, count + 1
             yield (*key, det, hit)
     return step
 
