@@ -33,6 +33,19 @@ def ratio(a: str, b: str) -> float:
     return 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
 
 
+def ratio_from(a: str, b: str, floor: float) -> float:
+    """ratio(a, b) where it is at least floor, else 0. Pairs whose lengths or letters cannot reach it are not aligned."""
+    if not a or not b:
+        return 0.0
+    if a == b:
+        return 1.0
+    if 2.0 * min(len(a), len(b)) / (len(a) + len(b)) < floor:
+        return 0.0
+    matcher = difflib.SequenceMatcher(None, a, b)
+    found = matcher.ratio() if matcher.quick_ratio() >= floor else 0.0
+    return found if found >= floor else 0.0
+
+
 @F.pandas_udf(DoubleType())
 def _exact(left: pd.Series, right: pd.Series) -> pd.Series:
     pairs = zip(left.map(comparable), right.map(comparable))

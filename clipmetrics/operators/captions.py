@@ -64,11 +64,18 @@ _RUN_SEGMENT = StructType([
 ])
 
 
+def _from(ratio: Ratio) -> Callable[[str, str, float], float]:
+    """ratio as a function that may answer 0 below a floor; the standard one spares the work there."""
+    return similarity.ratio_from if ratio is similarity.ratio else lambda a, b, floor: ratio(a, b)
+
+
 def _split_runs(threshold: float, ratio: Ratio):
+    close = _from(ratio)
+
     def step(key: tuple, rows: Iterator[tuple]) -> Iterable[tuple]:
         part, shown, trusted = 0, None, 0.0
         for run, cmp, best in rows:
-            if shown is None or ratio(shown, cmp) < threshold:
+            if shown is None or close(shown, cmp, threshold) < threshold:
                 part, shown, trusted = part + 1, cmp, round(best, 4)
             elif best > trusted:
                 shown, trusted = cmp, max(trusted, round(best, 4))
@@ -104,11 +111,13 @@ _CONSENSUS = [
 
 def _vote(threshold: float, ratio: Ratio):
     """Greedy clustering of distinct texts in order of first appearance, weighted by how often each occurred."""
+    close = _from(ratio)
+
     def step(key: tuple, rows: Iterator[tuple]) -> Iterable[tuple]:
         items = list(rows)  # distinct texts of one segment
         clusters: list[list[int]] = []
         for i, (cmp, *_rest) in enumerate(items):
-            near = [max((ratio(cmp, items[j][0]) for j in members), default=0.0) if cmp else 0.0 for members in clusters]
+            near = [max((close(cmp, items[j][0], threshold) for j in members), default=0.0) if cmp else 0.0 for members in clusters]
             best = max(range(len(near)), key=near.__getitem__, default=-1)
             if best >= 0 and near[best] >= threshold:
                 clusters[best].append(i)

@@ -221,6 +221,19 @@ def test_cleanup_of_winners_leaves_other_texts_out(spark):
     assert len(out) == 1 and out[0].x == pytest.approx(0.19) and out[0].w == pytest.approx(0.13)
 
 
+def test_bounded_ratio_loses_no_pair():
+    import random
+
+    from clipmetrics.functions.similarity import ratio, ratio_from
+
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(9))) for _ in range(60)]
+    for a in words:
+        for b in words:
+            for floor in (0.3, 0.72, 0.9):
+                assert ratio_from(a, b, floor) == (ratio(a, b) if ratio(a, b) >= floor else 0.0)
+
+
 def test_boxes_without_area_stay_apart(spark):
     rows = [("v", i, 0.5, 0.5, w, 0.1) for i, w in enumerate((0.0, 0.0, 0.2, 0.2))]
     got = boxes.overlap_groups(spark.createDataFrame(rows, "video_id string, item long, x double, y double, w double, h double"), ["video_id"], 0.25, True, 1e-6)
