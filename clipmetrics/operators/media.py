@@ -76,8 +76,8 @@ def plan_renditions(videos: DataFrame, keep_at_least: float = 0.40, same: float
 def assign(items: DataFrame, name: str, choices: DataFrame, choice: str) -> DataFrame:
     """Deterministic choice per item: first 32 bits of SHA-1 of the name, modulo the sorted choices."""
     # Even ranges of the choices are the slices: numbering stays in binary order and never runs over all in one task.
-    ranges = choices.select(choice).distinct().repartitionByRange(choice).withColumn("_range", F.spark_partition_id())
-    catalogue = written(ranges, "choices").withColumn("_all", F.lit(1))
+    ranges = choices.select(choice).distinct().repartitionByRange(choice).withColumns({"_range": F.spark_partition_id(), "_all": F.lit(1)})
+    catalogue = written(ranges, "choices")
     ranked = dense_ids(catalogue, ["_all"], [choice], "_slot", F.col("_range").cast("double"), 1.0).drop("_all", "_range")
     total = choices.agg(F.count_distinct(choice).alias("n")).scalar()
     bits = F.conv(F.left(F.sha1(F.col(name)), F.lit(8)), 16, 10).cast("long")
