@@ -175,15 +175,18 @@ def consensus_aggregate(params: CaptionParams = CaptionParams(), ratio: Ratio =
 
     @F.pandas_udf(StringType())
     def consensus_text(texts: pd.Series, confidence: pd.Series, ords: pd.Series) -> str:
-        rows = pd.DataFrame({"text": texts.fillna(""), "trust": confidence.fillna(0.0).clip(lower=0.0), "ord": ords})
-        rows = rows[rows["text"].map(similarity.squeezed) != ""].sort_values("ord")
-        if rows.empty:
-            return None
-        rows["cmp"] = rows["text"].map(similarity.comparable)
-        best = rows.sort_values(["trust", "ord"], ascending=[False, True]).drop_duplicates("cmp").set_index("cmp")
-        counts = rows.groupby("cmp", sort=False).agg(n=("ord", "size"), total=("trust", "sum")).join(best)
-        items = ((c, r.n, r.total, r.trust, r.ord, r.text) for c, r in zip(counts.index, counts.itertuples(index=False)))
-        return next(iter(vote((), items)))[0]
+        trust = confidence.fillna(0.0).clip(lower=0.0).tolist()
+        counted: dict[str, list] = {}
+        for at, value, sure in sorted(zip(ords.tolist(), texts.fillna("").tolist(), trust)):
+            if similarity.squeezed(value) == "":
+                continue
+            seen = counted.setdefault(similarity.comparable(value), [0, 0.0, -1.0, at, value])
+            seen[0] += 1
+            seen[1] += sure
+            if sure > seen[2]:
+                seen[2:] = [sure, at, value]
+        items = ((cmp, *rest) for cmp, rest in counted.items())
+        return next(iter(vote((), items)))[0] if counted else None
 
     return consensus_text
 
