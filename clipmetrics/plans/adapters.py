@@ -167,15 +167,15 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAIRS = """
-select a.doc_id as id, a.text as source_text, case when a.doc_id % 5 = 0 then a.text else b.text end as target_text
-from documents a join documents b on b.doc_id = a.doc_id + 1"""
+select a.doc_id as id, a.text as source_text, case when a.doc_id % 5 = 0 then a.text else coalesce(b.text, '') end as target_text
+from documents a left join documents b on b.doc_id = a.doc_id + 1"""
 PAIRS = f"pairs as ({_PAIRS})"
 PAIR_SCRIPT = "[à-ÿ]"
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text pairs by id; every fifth target is a copy of its source."""
+    """Text pairs by id, the last with an empty target; every fifth target is a copy of its source."""
     d = table(spark, sf_dir, "documents")
     nxt = d.select((F.col("doc_id") - 1).alias("id"), F.col("text").alias("next_text"))
-    return d.select(F.col("doc_id").alias("id"), F.col("text").alias("source_text")).join(nxt, "id").select(
-        "id", "source_text", F.when(F.col("id") % 5 == 0, F.col("source_text")).otherwise(F.col("next_text")).alias("target_text"))
+    return d.select(F.col("doc_id").alias("id"), F.col("text").alias("source_text")).join(nxt, "id", "left").select(
+        "id", "source_text", F.when(F.col("id") % 5 == 0, F.col("source_text")).otherwise(F.coalesce("next_text", F.lit(""))).alias("target_text"))
