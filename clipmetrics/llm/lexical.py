@@ -21,48 +21,78 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 
 class Bm25:
-    """Inverted index over the token ids of one shard's documents."""
+    """Inverted index over the token ids of one shard's distinct documents, each as often as `copies` says.
 
-    def __init__(self, ids: list[np.ndarray], common: float = 0.1, k1: float = 1.2, b: float = 0.75) -> None:
+    Every term counts. Postings of terms that a tenth of the entries hold are kept as full columns, which is only a
+    faster way to add up the same weights.
+    """
+
+    def __init__(self, ids: list[np.ndarray], copies: np.ndarray | None = None, k1: float = 1.2, b: float = 0.75) -> None:
         found = [np.unique(row[:-1], return_counts=True) for row in ids]
-        self.terms = [f[0] for f in found]
-        counts = np.array([len(t) for t in self.terms])
+        self.terms = [f[0].astype(np.int64) for f in found]
+        copies = np.ones(len(ids)) if copies is None else copies.astype(np.float64)
+        counts = np.array([len(t) for t in self.terms], dtype=np.int64)
         docs = np.repeat(np.arange(len(ids)), counts)
-        terms = np.concatenate([*self.terms, np.zeros(0, np.uint32)]).astype(np.int64)
+        terms = np.concatenate([*self.terms, np.zeros(0, np.int64)])
         often = np.concatenate([*(f[1] for f in found), np.zeros(0, np.int64)]).astype(np.float64)
         lengths = np.array([len(row) for row in ids], dtype=np.float64)
-        held = np.bincount(terms, minlength=1)
-        idf = np.log1p((len(ids) - held + 0.5) / (held + 0.5))
-        weight = idf[terms] * often * (k1 + 1) / (often + k1 * (1 - b + b * lengths[docs] / max(lengths.mean(), 1)))
+        total, mean = copies.sum(), np.average(lengths, weights=copies) if len(ids) else 1
+        df = np.bincount(terms, weights=copies[docs], minlength=1)
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
+        weight = idf[terms] * often * (k1 + 1) / (often + k1 * (1 - b + b * lengths[docs] / max(mean, 1)))
         order = np.argsort(terms, kind="stable")
-        self.docs, self.weight = docs[order], weight[order]
-        self.ends = np.cumsum(held)
-        # A term of very many documents tells them apart as little as a stop word: it has no postings to read.
-        self.held = np.where(held > max(common * len(ids), 16), 0, held)
-        self.n = len(ids)
+        self._index(np.arange(len(ids)), docs[order], terms[order], weight[order])
+
+    def _index(self, entries: np.ndarray, docs: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> None:
+        """Postings in the order of terms, over the entries that are still of use."""
+        self.entries, self.n = entries, len(entries)
+        self.docs, self.of, self.weight = docs, terms, weight
+        self.held = np.bincount(terms, minlength=max((int(t[-1]) + 1 for t in self.terms if len(t)), default=1))
+        self.ends = np.cumsum(self.held)
+        self.columns: dict[int, np.ndarray] = {}
+        for term in np.flatnonzero(self.held * 10 > self.n).tolist():
+            part = slice(self.ends[term] - self.held[term], self.ends[term])
+            self.columns[term] = np.bincount(docs[part], weights=weight[part], minlength=self.n)
+
+    def keep(self, useful: np.ndarray) -> None:
+        """Drop the postings of entries that no one can take any more; scores of the others stay as they are."""
+        stay = useful[self.entries]
+        place = np.cumsum(stay) - 1
+        live = stay[self.docs]
+        self._index(self.entries[stay], place[self.docs[live]], self.of[live], self.weight[live])
 
     def scores(self, doc: int) -> np.ndarray:
-        """BM25 of every document of the shard for the terms of one."""
+        """BM25 of every kept entry, in the order of `entries`, for the terms of one."""
         terms = self.terms[doc]
-        sizes = self.held[terms]
-        terms, sizes = terms[sizes > 0], sizes[sizes > 0]
-        total = int(sizes.sum())
-        if not total:
-            return np.zeros(self.n)
-        begins = self.ends[terms] - sizes
-        at = np.repeat(begins - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(total)
-        return np.bincount(self.docs[at], weights=self.weight[at], minlength=self.n)
+        full = self.held[terms] * 10 > self.n
+        rare = terms[~full]
+        sizes = self.held[rare]
+        at = np.repeat(self.ends[rare] - np.cumsum(sizes), sizes) + np.arange(int(sizes.sum()))
+        out = np.bincount(self.docs[at], weights=self.weight[at], minlength=self.n).astype(np.float64)
+        for term in terms[full].tolist():
+            out += self.columns[term]
+        return out
 
 
 def windows(ids: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences as lists of (document number, start, length), each full but for the last ones, which are powers of two.
 
     The first unused document seeds a window; its best unused neighbours by BM25 follow, ties to the first, and after
-    those with no common term the next unused document. The one that meets the end is cut and seeds the next window.
+    those with no common term the next unused document. Equal documents are one entry of the index. The one that meets the end is cut and seeds the next window.
     """
-    index = Bm25(ids)
+    members: dict[bytes, list[int]] = {}
+    for number, row in enumerate(ids):
+        members.setdefault(row.tobytes(), []).append(number)
+    groups = [m[::-1] for m in members.values()]
+    group = np.empty(len(ids), dtype=np.int64)
+    for g, m in enumerate(groups):
+        group[m] = g
+    members.clear()
+    index = Bm25([ids[m[-1]] for m in groups], np.array([len(m) for m in groups]))
+    free_groups = np.ones(len(groups), dtype=bool)
+    upcoming = np.array([m[-1] for m in groups], dtype=np.int64)
     unused = np.ones(len(ids), dtype=bool)
-    first = 0
+    first = taken = 0
     segments: list[tuple[int, int, int]] = []
     room, ranked, seed = window, None, -1
     while True:
@@ -75,13 +105,24 @@ def windows(ids: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int,
             number = first
         else:
             if ranked is None:
-                ranked = index.scores(seed)
-            ranked[~unused] = 0
-            number = int(ranked.argmax())
-            if ranked[number] <= 0:
+                if taken * 4 > index.n:
+                    index.keep(free_groups)
+                    taken = 0
+                ranked = index.scores(group[seed])
+            ranked[~free_groups[index.entries]] = 0
+            best = ranked.max() if index.n else 0.0
+            if best <= 0:
                 seed = -1
                 continue
+            number = int(upcoming[index.entries[ranked == best]].min())
         unused[number] = False
+        members_left = groups[group[number]]
+        members_left.pop()
+        if members_left:
+            upcoming[group[number]] = members_left[-1]
+        else:
+            free_groups[group[number]] = False
+            taken += 1
         start, left = 0, len(ids[number])
         while left:
             length = min(left, room)

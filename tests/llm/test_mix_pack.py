@@ -139,6 +139,41 @@ def test_windows_take_the_best_unused_neighbour():
     assert np.mean([m == 1 for m in mixed]) > 0.8
 
 
+def bm25(ids):
+    """Plain BM25 of every pair (seed, document), all terms counted."""
+    found = [Counter(x[:-1].tolist()) for x in ids]
+    df, n = Counter(t for f in found for t in f), len(ids)
+    mean = sum(map(len, ids)) / n
+    idf = {t: np.log1p((n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
+    return lambda seed, d: sum(
+        idf[t] * found[d][t] * 2.2 / (found[d][t] + 1.2 * (0.25 + 0.75 * len(ids[d]) / mean)) for t in found[seed] if t in found[d])
+
+
+def test_windows_count_terms_of_many_documents():
+    """A passage of 40 % of the documents and a group of copies: whoever follows a seed is the best unused by plain BM25."""
+    rng = np.random.default_rng(2)
+    passage = rng.integers(5000, 5200, 25)
+    docs = []
+    for i in range(100):
+        own = rng.integers(1, 3000, int(rng.integers(10, 40)))
+        docs.append(np.concatenate([own, passage if i % 5 < 2 else own[:0], [0]]).astype(np.uint32))
+    docs += [docs[3]] * 25
+    score, unused, seed, picks = bm25(docs), set(range(len(docs))), None, 0
+    for segments in lexical.windows(docs, 100):
+        for k, (number, start, _) in enumerate(segments):
+            if start or k == 0:
+                seed = number
+            elif unused:
+                best = max(score(seed, d) for d in unused)
+                if best > 0:
+                    assert score(seed, number) == pytest.approx(best)
+                    picks += 1
+                else:
+                    seed = number
+            unused.discard(number)
+    assert picks > 50
+
+
 def vectors(seed=0, n=400, d=12):
     rng = np.random.default_rng(seed)
     x = rng.standard_normal((n, d)) * rng.uniform(0.5, 2, (n, 1))
