@@ -1,33 +1,56 @@
 """Packing of related documents: a sharded BM25 index offers unused neighbours, which greedily fill each window.
 
-A shard is a bounded batch of the documents a task reads; its index lives only as long as the batch. Nothing is
-shuffled, so no key can be hot, and a lost executor only repeats its own splits. Neighbours come from the same shard;
-larger batches give more related windows for more memory.
+Term statistics cover all documents. Shards are made by content: the BM25 vectors, projected to few dimensions, are cut
+in two along their widest direction again and again, at quantiles of a sample chosen by hash, until a shard is of
+bounded size. Neighbours come from the same shard. Neither shards nor results depend on how the input was split, and
+copies, however many, are dealt to several shards by a hash of row content where they do not fit one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import ceil
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from clipmetrics.llm import tokens
-from clipmetrics.llm.bins import gathered
+from clipmetrics.llm.words import slices
+from clipmetrics.session import written
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+K1, B = 1.2, 0.75
+DIMENSIONS = 64
+BASE, SAMPLE = 16384, 32  # documents in all, and further ones a shard, that are looked at to place the cuts
+
+
+class Statistics(NamedTuple):
+    """Number of documents, their mean length in ids, and for every term how many hold it."""
+
+    docs: float
+    mean: float
+    df: np.ndarray
+
+
+def weights(stats: Statistics, terms: np.ndarray, often: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """BM25 weight of terms that documents of these lengths hold so often."""
+    df = stats.df[terms]
+    idf = np.log1p((stats.docs - df + 0.5) / (df + 0.5))
+    return idf * often * (K1 + 1) / (often + K1 * (1 - B + B * lengths / max(stats.mean, 1)))
 
 
 class Bm25:
     """Inverted index over the token ids of one shard's distinct documents, each as often as `copies` says.
 
-    Every term counts. Postings of terms that a tenth of the entries hold are kept as full columns, which is only a
+    Without `stats` these documents are all there are. Every term counts. Postings of terms that a tenth of the entries hold are kept as full columns, which is only a
     faster way to add up the same weights.
     """
 
-    def __init__(self, ids: list[np.ndarray], copies: np.ndarray | None = None, k1: float = 1.2, b: float = 0.75) -> None:
+    def __init__(self, ids: list[np.ndarray], copies: np.ndarray | None = None, stats: Statistics | None = None) -> None:
         found = [np.unique(row[:-1], return_counts=True) for row in ids]
         self.terms = [f[0].astype(np.int64) for f in found]
         copies = np.ones(len(ids)) if copies is None else copies.astype(np.float64)
@@ -36,10 +59,10 @@ class Bm25:
         terms = np.concatenate([*self.terms, np.zeros(0, np.int64)])
         often = np.concatenate([*(f[1] for f in found), np.zeros(0, np.int64)]).astype(np.float64)
         lengths = np.array([len(row) for row in ids], dtype=np.float64)
-        total, mean = copies.sum(), np.average(lengths, weights=copies) if len(ids) else 1
-        df = np.bincount(terms, weights=copies[docs], minlength=1)
-        idf = np.log1p((total - df + 0.5) / (df + 0.5))
-        weight = idf[terms] * often * (k1 + 1) / (often + k1 * (1 - b + b * lengths[docs] / max(mean, 1)))
+        if stats is None:
+            mean = np.average(lengths, weights=copies) if len(ids) else 1
+            stats = Statistics(copies.sum(), mean, np.bincount(terms, weights=copies[docs], minlength=1))
+        weight = weights(stats, terms, often, lengths[docs])
         order = np.argsort(terms, kind="stable")
         self._index(np.arange(len(ids)), docs[order], terms[order], weight[order])
 
@@ -74,7 +97,7 @@ class Bm25:
         return out
 
 
-def windows(ids: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int, int]]]:
+def windows(ids: list[np.ndarray], window: int, stats: Statistics | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences as lists of (document number, start, length), each full but for the last ones, which are powers of two.
 
     The first unused document seeds a window; its best unused neighbours by BM25 follow, ties to the first, and after
@@ -88,7 +111,7 @@ def windows(ids: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int,
     for g, m in enumerate(groups):
         group[m] = g
     members.clear()
-    index = Bm25([ids[m[-1]] for m in groups], np.array([len(m) for m in groups]))
+    index = Bm25([ids[m[-1]] for m in groups], np.array([len(m) for m in groups]), stats)
     free_groups = np.ones(len(groups), dtype=bool)
     upcoming = np.array([m[-1] for m in groups], dtype=np.int64)
     unused = np.ones(len(ids), dtype=bool)
@@ -147,6 +170,137 @@ def windows(ids: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int,
                 part, free = [], 1 << max(left.bit_length() - 1, 0)
 
 
+def statistics(encoded: DataFrame) -> tuple[Statistics, int]:
+    """Term statistics of all documents and the sum of their sizes: one row per term reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, totals = np.zeros(1, dtype=np.int64), np.zeros(3, dtype=np.int64)
+        for batch in batches:
+            for row in batch.column(0):
+                ids = np.frombuffer(row.as_buffer(), "<u4")
+                held = np.unique(ids[:-1])
+                if len(held) and held[-1] >= len(df):
+                    df = np.concatenate([df, np.zeros(max(int(held[-1]) + 1, 2 * len(df)) - len(df), np.int64)])
+                df[held] += 1
+                totals += (1, len(ids), 0)
+            totals[2] += np.sum(batch.column(1).to_numpy(), dtype=np.int64)
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(terms, (-1, -2, -3))), pa.array(np.append(df[terms], totals))], names=["term", "n"])
+
+    counts = encoded.select("ids", "size").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = counts["term"].to_numpy(), counts["n"].to_numpy()
+    docs, ids, size = (int(n[term == t].sum()) for t in (-1, -2, -3))
+    df = np.zeros(max(int(term.max(initial=0)), 0) + 1)
+    df[term[term >= 0]] = n[term >= 0]
+    return Statistics(docs, ids / max(docs, 1), df), size
+
+
+@lru_cache(maxsize=1)
+def _directions(terms: int) -> np.ndarray:
+    return np.random.default_rng(1).standard_normal((terms, DIMENSIONS), dtype=np.float32)
+
+
+def vectors(ids: list[np.ndarray], stats: Statistics) -> np.ndarray:
+    """Directions of the BM25 vectors, projected at random."""
+    out = np.zeros((len(ids), DIMENSIONS), dtype=np.float32)
+    to = _directions(len(stats.df))
+    for i, row in enumerate(ids):
+        terms, often = np.unique(row[:-1], return_counts=True)
+        if len(terms):
+            vector = weights(stats, terms, often, np.float64(len(row))).astype(np.float32) @ to[terms]
+            out[i] = vector / max(float(np.sqrt((vector * vector).sum())), 1e-12)
+    return out
+
+
+def _along(x: np.ndarray, axis: np.ndarray) -> np.ndarray:
+    """Row by row in one order of summing, so that equal rows and the cut made at one of them agree to the last bit."""
+    return np.ascontiguousarray(x.astype(np.float64) * axis).sum(axis=1)
+
+
+class Tree(NamedTuple):
+    """Cuts in two: rows beyond (cut, tie) along the axis go to the second child. A negative child -1 - n is shard n."""
+
+    axes: np.ndarray
+    cuts: np.ndarray
+    ties: np.ndarray
+    children: np.ndarray
+
+    def shards(self, x: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        at = np.full(len(x), 0 if len(self.cuts) else -1, dtype=np.int64)
+        while len(live := np.flatnonzero(at >= 0)):
+            node = at[live]
+            place = _along(x[live], self.axes[node])
+            beyond = (place > self.cuts[node]) | ((place == self.cuts[node]) & (tie[live] > self.ties[node]))
+            at[live] = self.children[node, beyond.astype(np.int64)]
+        return -1 - at
+
+
+def tree(x: np.ndarray, tie: np.ndarray, size: np.ndarray, shards: int) -> Tree:
+    """Cut a sample into shards of equal size, each time along the direction in which its vectors differ most."""
+    axes, cuts, ties, children = [], [], [], []
+    todo = [(np.lexsort((size, tie, *x.T)), shards, 0, -1, 0)] if shards > 1 else []
+    while todo:
+        rows, n, shard, parent, side = todo.pop()
+        if parent >= 0:
+            children[parent][side] = len(axes) if n > 1 else -1 - shard
+        if n == 1:
+            continue
+        centred = x[rows].astype(np.float64) - (x[rows].mean(axis=0, dtype=np.float64) if len(rows) else 0)
+        axis = np.linalg.eigh(centred.T @ centred)[1][:, -1]
+        axis = axis * (1 if axis[np.abs(axis).argmax()] > 0 else -1)
+        place = _along(x[rows], axis)
+        order = np.lexsort((tie[rows], place))
+        rows, place = rows[order], place[order]
+        until = np.cumsum(size[rows])
+        first = int(np.searchsorted(until, until[-1] * (n // 2) / n)) if len(rows) else 0
+        first = min(first, len(rows) - 1)
+        cuts.append(place[first] if len(rows) else 0.0)
+        ties.append(tie[rows[first]] if len(rows) else 0)
+        number = len(axes)
+        axes.append(axis)
+        children.append([0, 0])
+        todo += [(rows[:first + 1], n // 2, shard, number, 0), (rows[first + 1:], n - n // 2, shard + n // 2, number, 1)]
+    return Tree(np.array(axes).reshape(-1, DIMENSIONS), np.array(cuts), np.array(ties, dtype=np.int64), np.array(children, dtype=np.int64).reshape(-1, 2))
+
+
+def _ids(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(row.as_buffer(), "<u4") for row in column]
+
+
+def sharded(encoded: DataFrame, stats: Statistics, size: int, batch_bytes: int) -> DataFrame:
+    """encoded with its shard, each shard whole in one task and in the order of doc_id."""
+    spark, count = encoded.sparkSession, max(ceil(size / batch_bytes), 1)
+    rows = encoded.withColumn("tie", F.xxhash64(F.lit(7), "doc_id", "ids"))
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = vectors(_ids(batch.column(0)), stats)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), batch.column(2), pa.array([v.tobytes() for v in x], pa.binary())], names=["size", "tie", "x"])
+
+    cut = Tree(np.zeros((0, DIMENSIONS)), np.zeros(0), np.zeros(0, np.int64), np.zeros((0, 2), np.int64))
+    if count > 1:
+        share = min((BASE + SAMPLE * count) / stats.docs, 1.0)
+        sample = rows.where(F.pmod(F.xxhash64(F.lit(11), "doc_id", "ids"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        seen = sample.select("ids", "size", "tie").mapInArrow(project, "size long, tie long, x binary").toArrow()
+        x = np.frombuffer(b"".join(seen["x"].to_pylist()), np.float32).reshape(-1, DIMENSIONS)
+        cut = tree(x, seen["tie"].to_numpy(), seen["size"].to_numpy(), count)
+    # A number for each shard that the exchange deals to a partition of its own.
+    numbers = spark.range(64 * count).groupBy(F.pmod(F.hash("id"), F.lit(count)).alias("p")).agg(F.min("id").alias("slot")).orderBy("p").collect()
+    slots = np.resize(np.array([r.slot for r in numbers], dtype=np.int64), count)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tie = batch.column(3).to_numpy()
+            shard = cut.shards(vectors(_ids(batch.column(1)), stats), tie)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(shard), pa.array(slots[shard])], names=["doc_id", "ids", "size", "tie", "shard", "slot"])
+
+    routed = rows.select("doc_id", "ids", "size", "tie").mapInArrow(route, "doc_id long, ids binary, size long, tie long, shard long, slot long")
+    return routed.repartition(count, "slot").sortWithinPartitions("shard", "doc_id", "tie")
+
+
 def pack_lexical(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, path: str | None = None,
     batch_bytes: int = 12 << 20,
@@ -155,31 +309,61 @@ def pack_lexical(
 
     Every id of every document, with its closing id 0, lies in exactly one piece; pieces of a sequence follow each
     other without a gap from offset 0. Sequences have `window` ids; the few at the end of a shard have a power of two.
-    Null and empty texts are one closing id; null doc_ids stay null; repeated rows are packed each; ties go to the row
-    that was read first; an empty table gives no rows; other columns are ignored. A text beyond batch_bytes forms a
-    shard of its own. sequence_id counts within the read partition, in its upper bits.
+    Null and empty texts are one closing id; null doc_ids stay null; repeated rows are packed each; ties go to the
+    smaller doc_id; an empty table gives no rows; other columns are ignored. A shard has about batch_bytes of text; one
+    of more than twice that is cut in the order of doc_id, and a longer text forms a shard of its own. Rows equal in
+    doc_id and text stay in one task. sequence_id counts within the shard, whose number is in its upper bits.
     """
     path = path or tokens.default_path()
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 4 << 20):
+                texts = part.column(1).to_pylist()
+                ids = [tokens.token_ids(t, path).astype("<u4").tobytes() for t in texts]
+                size = [len((t or "").encode()) + 16 for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(ids, pa.binary()), pa.array(size, pa.int64())], names=["doc_id", "ids", "size"])
+
+    encoded = written(
+        df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
+        .mapInArrow(encode, "doc_id long, ids binary, size long"), "lexical-ids")
+    stats, size = statistics(encoded)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        next_id = TaskContext.get().partitionId() << 40
-        for batch in gathered(batches, batch_bytes):
-            doc_ids = batch.column(0).to_pylist()
-            ids = [tokens.token_ids(t, path) for t in batch.column(1).to_pylist()]
+        last, number = None, 0
+        for shard, doc_ids, ids in _whole(batches, 2 * batch_bytes):
+            last, number = shard, number if shard == last else 0
             rows: list[tuple] = []
-            for segments in windows(ids, window):
+            for segments in windows(ids, window, stats):
                 offset = 0
-                for number, start, length in segments:
-                    piece = ids[number][start:start + length].astype("<u4").tobytes()
-                    rows.append((doc_ids[number], start, length, piece, len(ids[number]), next_id, offset))
+                for at, start, length in segments:
+                    piece = ids[at][start:start + length].tobytes()
+                    rows.append((doc_ids[at], start, length, piece, len(ids[at]), shard << 40 | number, offset))
                     offset += length
-                next_id += 1
+                number += 1
                 if len(rows) >= 2048:
                     yield _batch(rows)
                     rows = []
             yield _batch(rows)
 
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    packed = sharded(encoded, stats, size, batch_bytes).select("shard", "doc_id", "ids", "size")
+    return packed.mapInArrow(run, SCHEMA)
+
+
+def _whole(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[int | None], list[np.ndarray]]]:
+    """Shard number, doc_ids and ids of one shard after the other; what exceeds `most` follows as a further one."""
+    last, held, doc_ids, ids = -1, 0, [], []
+    for batch in batches:
+        for shard, doc_id, row, size in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if ids and (shard != last or held + size > most):
+                yield last, doc_ids, ids
+                held, doc_ids, ids = 0, [], []
+            last, held = shard, held + size
+            doc_ids.append(doc_id)
+            ids.append(np.frombuffer(row, "<u4"))
+    if ids:
+        yield last, doc_ids, ids
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -174,6 +174,24 @@ def test_windows_count_terms_of_many_documents():
     assert picks > 50
 
 
+def test_pack_lexical_does_not_depend_on_the_layout(spark):
+    """Related documents lie far apart in the input; they meet, and another layout of the rows packs them alike."""
+    rng = np.random.default_rng(4)
+    letters = [["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(40)] for _ in range(8)]
+    rows = [(i, " ".join(rng.choice(letters[i % 8], 60))) for i in range(640)]
+    rows += [(1000 + i, rows[0][1]) for i in range(200)]
+    packed = []
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")
+        packed.append(sorted(tuple(r) for r in lexical.pack_lexical(df, window=1024, batch_bytes=40_000).collect()))
+    assert packed[0] == packed[1] and {r[0] for r in packed[0]} == {r[0] for r in rows}
+    topics = defaultdict(set)
+    for r in packed[0]:
+        topics[r[5]].add(r[0] % 8 if r[0] < 1000 else 0)
+    assert len({s >> 40 for s in topics}) > 5
+    assert np.mean([len(t) == 1 for t in topics.values()]) > 0.6
+
+
 def vectors(seed=0, n=400, d=12):
     rng = np.random.default_rng(seed)
     x = rng.standard_normal((n, d)) * rng.uniform(0.5, 2, (n, 1))
