@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmetrics.llm import bins, exact, lexical, mixing, neighbours, quality, quotes, simhash, substrings, toxicity
+from clipmetrics.llm import (
+    bins, collocations, exact, lexical, mixing, neighbours, quality, quotes, simhash, substrings, threshold, toxicity, variants,
+)
 from clipmetrics.llm.labels import fold
 from clipmetrics.session import ship_package
 
@@ -123,6 +125,98 @@ def pieces(packed: DataFrame) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS ws FROM p
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM (
+    SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+    FROM w, (SELECT unnest(range(1, 6)) AS k) ks WHERE len(ws) >= k)
+  GROUP BY lang, k, phrase
+), n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE k > 1 AND f >= 100
+), cuts AS (
+  SELECT c.*, j, array_to_string(ws[1:j], ' ') AS head, array_to_string(ws[j + 1:k], ' ') AS tail
+  FROM c, (SELECT unnest(range(1, 5)) AS j) js WHERE j < k
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, j, h.f AS l, t.f AS r, n.n, (1000::HUGEINT * cuts.a * n.n) // (h.f::HUGEINT * t.f) AS score
+  FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f t ON t.lang = cuts.lang AND t.phrase = tail JOIN n ON n.lang = cuts.lang
+), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), around AS (
+  SELECT DISTINCT c.lang, array_to_string(ws[s:s + m - 1], ' ') AS inside, a
+  FROM c, (SELECT unnest(range(2, 5)) AS m) ms, (SELECT unnest(range(1, 5)) AS s) ss WHERE m < k AND s + m - 1 <= k
+), kept AS (SELECT * FROM lowest x WHERE NOT EXISTS (
+  SELECT 1 FROM around y WHERE y.lang = x.lang AND y.inside = x.phrase AND 100 * y.a >= 100 * x.a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i], range(8)), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+    FROM (SELECT unnest(range(256)) AS i))
+), runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), seen AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run
+), bytes AS (
+  SELECT *, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda ch:
+    CASE WHEN unicode(ch) < 128 THEN [unicode(ch)] ELSE [192 + unicode(ch) // 64, 128 + unicode(ch) % 64] END)) AS b FROM seen
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295], b::BIGINT[]), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS h
+  FROM bytes, t
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words
+), cut AS (SELECT word, n, i, left(word, i - 1) AS l, substr(word, i + 1) AS r FROM places
+), near AS (
+  SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.l = b.l AND a.r = b.r WHERE a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.l || a.r = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.l || a.r = b.word
+), best AS (
+  SELECT word, near, n, count(*) OVER (PARTITION BY word) AS n_near FROM near
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, near) = 1
+), forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.n >= 10 * w.n THEN b.near END AS form,
+    CASE WHEN b.n >= 10 * w.n THEN b.n END AS form_n FROM words w LEFT JOIN best b USING (word)
+), walk AS (
+  SELECT word, word AS at FROM forms UNION ALL SELECT w.word, f.form FROM walk w JOIN forms f ON f.word = w.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN walk w ON w.word = f.word JOIN forms e ON e.word = w.at WHERE e.form IS NULL
+"""
+
+
+def op13_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)
+SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, c.e) DESC, c.vec_id) AS rank,
+  c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -135,6 +229,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_packing": op8_token_packing,
         "op9_quote_linking": op9_quote_linking,
         "op10_lexical_packing": op10_lexical_packing,
+        "op11_collocations": op11_collocations,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_threshold_search": op13_threshold_search,
     }
 
 
@@ -142,4 +239,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_exact_dedup": OP6_SQL,
         "op9_quote_linking": OP9_SQL,
+        "op11_collocations": OP11_SQL,
+        "op12_spelling_variants": OP12_SQL,
+        "op13_threshold_search": OP13_SQL,
     }
