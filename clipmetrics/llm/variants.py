@@ -1,8 +1,10 @@
 """Spelling variants by reduced-alphabet generation.
 
-Letters are hashed to a few symbols. All strings one edit away from a word's reduced form (and the form itself, as an
+Letters are hashed to a few symbols. The strings one edit away from a word's reduced form (and the form itself, as an
 edit may not show there) are generated as rolling hashes and joined with the reduced vocabulary; who meets is verified on
-the original strings. A smaller alphabet makes neighbourhoods smaller and more words that meet by chance.
+the original strings. Every pair is generated from one side only: what one word reaches by an insertion reaches it by a
+deletion, and of two forms that differ in one symbol the one with the smaller symbol generates the other. A smaller
+alphabet makes neighbourhoods smaller and more words that meet by chance.
 """
 
 from __future__ import annotations
@@ -86,7 +88,7 @@ def reduced(codes: np.ndarray, symbols: int) -> np.ndarray:
 
 
 def neighbourhoods(words: np.ndarray, symbols: int, budget: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashes of reduced words of one length (row, place), each with all hashes one edit away, as (row, hash) pairs.
+    """For reduced words of one length (row, place): own hashes, and those one deletion or greater symbol away, as (row, hash).
 
     The hash of a string is the sum of its symbols' values times the powers of an odd number, so that of an edited one
     follows from sums before and after the edit. A pair may come more than once where a very long word is cut in blocks.
@@ -94,7 +96,7 @@ def neighbourhoods(words: np.ndarray, symbols: int, budget: int = 1 << 20) -> It
     value = mixed(np.arange(1, symbols + 1, dtype=np.uint64)) | np.uint64(1)
     length = words.shape[1]
     up, down = _powers(max(length + 2, 64))
-    step = max(budget // max((2 * symbols + 1) * length, 1), 1)
+    step = max(budget // max((symbols + 1) * length, 1), 1)
     for low in range(0, len(words), step):
         part = words[low:low + step]
         before = np.zeros((len(part), length + 1), dtype=np.uint64)
@@ -103,19 +105,18 @@ def neighbourhoods(words: np.ndarray, symbols: int, budget: int = 1 << 20) -> It
         own = np.arange(low, low + len(part))
         yield own, whole[:, 0]
         span = max(budget // (len(part) * symbols), 1)
-        for begin in range(0, length + 1, span):
-            place = np.arange(begin, min(begin + span, length + 1))
-            inner = place[place < length]
-            left, right = before[:, place], whole - before[:, place]
-            inserted = left[:, :, None] + value * up[place][None, :, None] + (right * up[1])[:, :, None]
-            replaced = whole[:, :, None] + (value - value[part[:, inner]][:, :, None]) * up[inner][None, :, None]
-            deleted = before[:, inner] + (whole - before[:, inner + 1]) * down[1]
-            found = np.concatenate([x.reshape(len(part), -1) for x in (inserted, replaced, deleted)], axis=1)
-            found.sort(axis=1)
-            new = found != whole
-            new[:, 1:] &= found[:, 1:] != found[:, :-1]
-            at, column = np.nonzero(new)
-            yield own[at], found[at, column]
+        for begin in range(0, length, span):
+            place = np.arange(begin, min(begin + span, length))
+            deleted = before[:, place] + (whole - before[:, place + 1]) * down[1]
+            symbol = part[:, place, None]
+            replaced = whole[:, :, None] + (value - value[symbol]) * up[place][None, :, None]
+            row, at, new = np.nonzero(np.arange(symbols) > symbol)
+            yield own[row], replaced[row, at, new]
+            # Taking out any of a row of equal symbols gives the same string.
+            fresh = np.ones(deleted.shape, dtype=bool)
+            fresh[:, 1:] = part[:, place[1:]] != part[:, place[:-1]]
+            row, at = np.nonzero(fresh)
+            yield own[row], deleted[row, at]
 
 
 def _by_length(batch: pa.RecordBatch, symbols: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -128,11 +129,11 @@ def _by_length(batch: pa.RecordBatch, symbols: int) -> Iterator[tuple[np.ndarray
         yield ids[at], reduced(codes, symbols)
 
 
-def near_words(words: DataFrame, symbols: int = 8) -> DataFrame:
+def near_words(words: DataFrame, symbols: int = 6) -> DataFrame:
     """word, near, near_n: all pairs, both ways round, of words that differ by one inserted, deleted or replaced code point.
 
-    `words` has distinct words and their n. They are numbered by a hash; two words of one number only meet each other's
-    candidates, as the strings decide.
+    `words` has distinct words and their n. They are numbered by a hash of 64 bits; where two had the same number they
+    would only meet each other's candidates, as the strings decide.
     """
     numbered = words.withColumn("id", F.xxhash64("word"))
 
@@ -155,13 +156,15 @@ def near_words(words: DataFrame, symbols: int = 8) -> DataFrame:
 
     rows = numbered.select("id", "word")
     forms, edited = rows.mapInArrow(own, "form long, id long"), rows.mapInArrow(around, "form long, of long")
-    pairs = edited.join(forms, "form").where(F.col("of") != F.col("id")).select("of", "id").distinct()
-    left = numbered.select(F.col("id").alias("of"), "word")
-    right = numbered.select("id", F.col("word").alias("near"), F.col("n").alias("near_n"))
-    return (
-        pairs.join(left, "of").join(right, "id")
-        .where(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n")
-    )
+    # Words of one form find each other from both sides, and a hash may bring a pair again: each counts once.
+    pairs = edited.join(forms, "form").where(F.col("of") != F.col("id")).select(
+        F.least("of", "id").alias("of"), F.greatest("of", "id").alias("id")).distinct()
+    left = numbered.select(F.col("id").alias("of"), F.col("word").alias("a"), F.col("n").alias("a_n"))
+    right = numbered.select("id", F.col("word").alias("b"), F.col("n").alias("b_n"))
+    found = pairs.join(left, "of").join(right, "id").where(F.levenshtein("a", "b", 1) == 1)
+    sides = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")),
+                    F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n")))
+    return found.select(F.explode(sides).alias("p")).select("p.word", "p.near", "p.near_n")
 
 
 def roots(forms: DataFrame, most: int = 64) -> DataFrame:
@@ -178,7 +181,7 @@ def roots(forms: DataFrame, most: int = 64) -> DataFrame:
 
 def spelling_variants(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = 7, min_count: int = 2, garble: int = 31,
-    ratio: int = 10, symbols: int = 8,
+    ratio: int = 10, symbols: int = 6,
 ) -> DataFrame:
     """word, form, root, n, n_near, form_n: one row per word of the vocabulary.
 
