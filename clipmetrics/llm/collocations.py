@@ -4,15 +4,17 @@ Only the longest windows are counted: the word at a place and the lead words aft
 piece ends. One ROLLUP over these columns sums the counts of ever shorter prefixes, which are the counts of all
 shorter phrases, and at its last level the number of words of a language; no phrase length is counted by itself.
 
-A window is also padded from where no phrase can reach `min_count`. A table of fixed size holds, for hashed phrases
-of one, two and three words, how often their bucket occurs; a bucket below min_count holds no phrase that reaches it, so
-no occurrence of a frequent phrase is cut. A bucket that is full by chance costs time only.
+A window is also padded from where no phrase can reach `min_count`. Tables of fixed size hold, for hashed phrases
+of one to five words, how often their bucket occurs; a bucket below min_count holds no phrase that reaches it, so
+no occurrence of a frequent phrase is cut. A bucket that is full by chance costs time only; a corpus of very many words
+fills all of them, and then windows are as long as their pieces let them be.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,8 @@ from clipmetrics.session import written
 
 ORDER = 5
 BLOCK = 1 << 16
-FILTERED = 3  # phrases of one to this many words are looked up in the table
+HELD = 300_000  # windows that a task counts at a time
+LANGUAGES = 10_000  # no more than this many rows of word totals are broadcast
 BREAK = np.zeros(256, dtype=bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 GAP = BREAK.copy()
@@ -60,23 +63,25 @@ class Words:
         piece_starts = np.append(np.flatnonzero(new), n)
         self.left = piece_starts[np.cumsum(new)] - np.arange(n) if n else np.zeros(0, dtype=np.int64)
 
-    def buckets(self, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For phrases of 1 to FILTERED words: the places that have one, and its bucket."""
+    def buckets(self, bits: int, langs: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For phrases of 1 to 5 words: the places that have one, and its bucket; all tables lie one after the other."""
         word = word_hashes(self.data, self.starts, self.ends)
+        own = np.array([crc32(x.encode()) for x in langs], dtype=np.uint64) * MIX
+        word += np.repeat(own, np.diff(self.first))  # the same word of two languages is two words
         hashed = np.zeros(len(word), dtype=np.uint64)
-        for order in range(1, FILTERED + 1):
+        for order in range(1, ORDER + 1):
             n = max(len(word) - order + 1, 0)
             hashed = (hashed[:n] ^ (hashed[:n] >> np.uint64(29))) * MIX + word[order - 1:]
             at = np.flatnonzero(self.left[:n] >= order)
             mixed = (hashed[at] ^ (hashed[at] >> np.uint64(32))) * MIX
-            yield order, at, (mixed >> np.uint64(64 - bits)).astype(np.int64)
+            yield at, (order - 1 << bits) + (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
-    def lengths(self, often: np.ndarray, bits: int) -> np.ndarray:
+    def lengths(self, often: np.ndarray, bits: int, langs: list[str]) -> np.ndarray:
         """How many words the window at every place may hold; 0 where not even its first word is frequent."""
         reach = np.minimum(self.left, ORDER)
-        for order, at, bucket in self.buckets(bits):
-            seldom = at[~often[order - 1, bucket]]
-            reach[seldom] = np.minimum(reach[seldom], order - 1)
+        for shorter, (at, bucket) in enumerate(self.buckets(bits, langs)):
+            seldom = at[often[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1 == 0]
+            reach[seldom] = np.minimum(reach[seldom], shorter)
         # What follows the first word of a frequent phrase is a frequent phrase as well.
         for _ in range(ORDER - 1):
             reach[:-1] = np.minimum(reach[:-1], np.where(self.left[:-1] > 1, reach[1:] + 1, reach[:-1]))
@@ -89,28 +94,25 @@ def _texts(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 def frequent_buckets(texts: DataFrame, min_count: int, bits: int) -> np.ndarray:
-    """(order, bucket): whether the phrases hashed to a bucket occur min_count times together.
+    """A bit for every bucket of the five tables: whether its phrases occur min_count times together.
 
-    Tasks send their counters, cut off at 255 or at min_count if that is more, block by block; each block is added up in
-    one streaming task and comes back as bits, 2^bits / 8 bytes an order in all, whatever the size of the corpus.
+    Tasks send their counters, cut off at 255 (or at 65535 where min_count is beyond that), block by block; each block is
+    added up by one streaming task and comes back as bits, 2^bits / 8 bytes a table in all, whatever the size of the corpus.
     """
-    most, kind = (255, "<u1") if min_count <= 255 else (2**31 - 1, "<i4")
-    blocks = max((1 << bits) // BLOCK, 1)
-    size = (1 << bits) // blocks
+    kind = np.dtype("u1" if min_count <= 255 else "<u2")
+    if min_count > np.iinfo(kind).max:
+        return np.full(max((ORDER << bits) // 8, 1), 255, dtype=np.uint8)
+    most, size = int(np.iinfo(kind).max), min(BLOCK, 1 << bits)
+    blocks = (ORDER << bits) // size
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((FILTERED, 1 << bits), dtype=np.uint32)
-        seen = False
+        table = np.zeros(ORDER << bits, dtype=kind)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                for order, _, bucket in Words(part.column(0)).buckets(bits):
+                for _, bucket in Words(part.column(0)).buckets(bits, part.column(1).to_pylist()):
                     values, n = np.unique(bucket, return_counts=True)
-                    table[order - 1, values] += n.astype(np.uint32)
-                    seen = seen or len(values) > 0
-        if not seen:
-            return
-        for number in range(FILTERED * blocks):
-            part = np.minimum(table.reshape(-1, size)[number], most).astype(kind)
+                    table[values] = np.minimum(table[values] + n, most)
+        for number, part in enumerate(table.reshape(blocks, size)):
             if part.any():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["block", "counts"])
@@ -119,9 +121,8 @@ def frequent_buckets(texts: DataFrame, min_count: int, bits: int) -> np.ndarray:
         number, total = -1, np.zeros(size, dtype=np.int64)
 
         def full() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([np.packbits(total >= min_count).tobytes()], pa.binary())],
-                names=["block", "often"])
+            bits_of = np.packbits(total >= min_count, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([bits_of], pa.binary())], names=["block", "often"])
 
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -133,12 +134,12 @@ def frequent_buckets(texts: DataFrame, min_count: int, bits: int) -> np.ndarray:
         if number >= 0:
             yield full()
 
-    counted = texts.select("text").mapInArrow(count, "block long, counts binary")
+    counted = texts.mapInArrow(count, "block long, counts binary")
     summed = counted.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, often binary")
-    often = np.zeros((FILTERED * blocks, size), dtype=bool)
+    often = np.zeros((blocks, -(-size // 8)), dtype=np.uint8)
     for block, flags in summed.toArrow().to_pandas().itertuples(index=False):
-        often[block] = np.unpackbits(np.frombuffer(flags, np.uint8), count=size).astype(bool)
-    return often.reshape(FILTERED, -1)
+        often[block] = np.frombuffer(flags, np.uint8)
+    return often.ravel()
 
 
 def windows(texts: DataFrame, often: np.ndarray, bits: int) -> DataFrame:
@@ -146,23 +147,32 @@ def windows(texts: DataFrame, often: np.ndarray, bits: int) -> DataFrame:
 
     A window of no word stands for words that no frequent phrase begins with.
     """
-    packed = np.packbits(often).tobytes()
-    shape = often.shape
     names = ["lang", *[f"w{k}" for k in range(1, ORDER + 1)], "n"]
 
-    def rows(counts: Counter) -> pa.RecordBatch:
-        columns = list(zip(*((lang, *(window.decode().split(" ") if window else ()), *(None,) * ORDER)[:ORDER + 1] for lang, window in counts)))
-        columns = columns or [()] * (ORDER + 1)
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array(c, pa.string()) for c in columns), pa.array(list(counts.values()), pa.int64())], names=names)
+    def rows(lang: str, counts: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+        found = list(counts.items())
+        for low in range(0, len(found), 20_000):
+            part = found[low:low + 20_000]
+            columns = zip(*((lang, *(window.decode().split(" ") if window else ()), *(None,) * ORDER)[:ORDER + 1] for window, _ in part))
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, pa.string()) for c in columns), pa.array([n for _, n in part], pa.int64())], names=names)
+
+    def emptied(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        """The less frequent half of the windows leaves, those that come again and again stay."""
+        edge = np.median(np.fromiter((n for c in counts.values() for n in c.values()), np.int64))
+        for lang, own in list(counts.items()):
+            kept = Counter({w: n for w, n in own.items() if n > edge})
+            yield from rows(lang, {w: n for w, n in own.items() if n <= edge})
+            counts[lang] = kept
+            if not kept:
+                del counts[lang]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(np.frombuffer(packed, np.uint8), count=shape[0] * shape[1]).astype(bool).reshape(shape)
-        counts: Counter = Counter()
+        counts: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             for part in slices(batch, "text", 1 << 19):
                 words = Words(part.column(0))
-                reach = words.lengths(table, bits)
+                reach = words.lengths(often, bits, part.column(1).to_pylist())
                 data, starts, ends = joined(words.data, words.starts, words.ends)
                 data = data.tobytes()
                 at = np.flatnonzero(reach)
@@ -178,21 +188,18 @@ def windows(texts: DataFrame, often: np.ndarray, bits: int) -> DataFrame:
                 begins, stops = starts[at][order].tolist(), until[order].tolist()
                 for number, lang in enumerate(langs):
                     low, high = int(cuts[number]), int(cuts[number + 1])
-                    found = Counter([data[b:e] for b, e in zip(begins[low:high], stops[low:high])])
-                    for window, n in found.items():
-                        counts[lang, window] += n
+                    counts[lang].update([data[b:e] for b, e in zip(begins[low:high], stops[low:high])])
                     if idle[number]:
-                        counts[lang, b""] += int(idle[number])
-                if len(counts) > 100_000:
-                    yield rows(counts)
-                    counts.clear()
-        if counts:
-            yield rows(counts)
+                        counts[lang][b""] += int(idle[number])
+                if sum(map(len, counts.values())) > HELD:
+                    yield from emptied(counts)
+        for lang, own in counts.items():
+            yield from rows(lang, own)
 
     return texts.mapInArrow(run, ", ".join(f"{c} string" for c in names[:-1]) + ", n long")
 
 
-def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 100, bits: int = 22) -> DataFrame:
+def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 100, bits: int = 23) -> DataFrame:
     """lang, words (array), size and f of every phrase of 1 to 5 words with f >= min_count; size 0 holds the number of words.
 
     Counts of phrases that occur less often are not complete and are left out.
@@ -217,7 +224,7 @@ def _wide(number: Column) -> Column:
 
 def collocations(
     df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 100, absorb_percent: int = 100,
-    top: int = 2000, bits: int = 22,
+    top: int = 2000, bits: int = 23,
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the `top` first phrases of 2 to 5 words of every language.
 
@@ -231,6 +238,8 @@ def collocations(
     phrase = F.array_join("words", " ")
     known = counts.where("size > 0").select("lang", phrase.alias("part"), "f")
     total = counts.where("size = 0").select("lang", F.col("f").alias("n"))
+    if total.limit(LANGUAGES + 1).count() <= LANGUAGES:
+        total = F.broadcast(total)
     wanted = counts.where("size > 1").select("lang", "words", phrase.alias("phrase"), "size", F.col("f").alias("a"))
     cut = wanted.select(
         "lang", "phrase", "a", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"), "words", "size",

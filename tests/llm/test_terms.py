@@ -63,7 +63,7 @@ def spoken(seed, n):
     return [(i, t, rng.choice(["en", "en", None, "und", "de", f"l{i % 40}"])) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("bits,least,percent", [(17, 3, 100), (16, 20, 60), (4, 5, 100), (22, 400, 100)])
+@pytest.mark.parametrize("bits,least,percent", [(17, 3, 100), (16, 20, 60), (4, 5, 100), (20, 400, 100), (18, 70_000, 100)])
 def test_collocations(spark, bits, least, percent):
     """Also with a table so small that every bucket is full."""
     rows = spoken(bits, 500) + [(-1, None, "en"), (-2, "", None), (-3, "ab ca " * 30_000, "fr")]
@@ -167,22 +167,22 @@ def test_long_texts_are_cut_outside_their_runs():
 
 
 def test_neighbourhoods_are_complete():
-    """Every reduced string one edit away has a hash in the neighbourhood, however it is cut in blocks."""
-    rng = np.random.default_rng(1)
-    words = rng.integers(0, 3, (7, 6))
-
-    def hashed(word):
-        return int(next(variants.neighbourhoods(np.array([word]), 3))[1][0])
-
+    """Of two reduced strings at most one edit apart, one generates the other, however the work is cut in blocks."""
+    words = [w for n in (1, 2, 3, 4) for w in np.ndindex(*(3,) * n)]
     for budget in (1, 50, 1 << 20):
-        found = defaultdict(set)
-        for at, values in variants.neighbourhoods(words, 3, budget):
-            for i, value in zip(at.tolist(), values.tolist()):
-                found[i].add(value)
-        for i, word in enumerate(words.tolist()):
-            edited = {tuple(word)} | {(*word[:p], *word[p + 1:]) for p in range(6)}
-            edited |= {(*word[:p], c, *word[p + e:]) for p in range(7) for c in range(3) for e in (0, 1) if p + e <= 6}
-            assert found[i] == {hashed(e) for e in edited}
+        own, around = {}, defaultdict(set)
+        for n in (1, 2, 3, 4):
+            block = np.array([w for w in words if len(w) == n])
+            for at, values in variants.neighbourhoods(block, 3, budget):
+                for i, value in zip(at.tolist(), values.tolist()):
+                    around[tuple(block[i].tolist())].add(value)
+            for w in block:
+                own[tuple(w.tolist())] = int(next(variants.neighbourhoods(w[None, :], 3))[1][0])
+        assert len(set(own.values())) == len(words)
+        for a in words:
+            for b in words:
+                near = a == b or one_edit("".join(map(str, a)), "".join(map(str, b)))
+                assert near == (own[b] in around[a] or own[a] in around[b])
 
 
 def floors(vector, scale):
