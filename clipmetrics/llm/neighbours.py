@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from clipmetrics.session import written
 
-SPARE = 3  # more than asked for, so that rounding in the block product cannot lose a tie
+ROUNDING = 1e-11  # of the largest product a query can have: by this much a block product may miss the exact one
 
 
 def usable(vector: Column) -> Column:
@@ -103,6 +103,7 @@ def _shard_search(k: int):
             bucket = left["bucket"].to_numpy()
             order = np.argsort(bucket, kind="stable")
             bucket, ids, base = bucket[order], left["id"].to_numpy()[order], _matrix(left["vector"].combine_chunks())[order]
+            longest = np.linalg.norm(base, axis=1).max()
             names, begins = np.unique(bucket, return_index=True)
             ends = np.append(begins[1:], len(bucket))
             for at in range(0, len(right), 128):
@@ -118,11 +119,15 @@ def _shard_search(k: int):
                 for low, high in zip(cuts, np.append(cuts[1:], len(visited))):
                     members = slice(begins[visited[low]], ends[visited[low]])
                     scores[query[low:high], members] = q[query[low:high]] @ base[members].T
-                most = min(k + SPARE, len(base))
-                best = np.argpartition(-scores, most - 1, axis=1)[:, :most]
-                row, column = np.nonzero(np.take_along_axis(scores, best, 1) > -np.inf)
-                found = best[row, column]
-                out.append((asked[row], ids[found], np.einsum("ij,ij->i", base[found], q[row])))
+                # All at the border value stay until exact products and ids decide between them.
+                most = min(k, len(base))
+                border = -np.partition(-scores, most - 1, axis=1)[:, most - 1]
+                slack = ROUNDING * longest * np.linalg.norm(q, axis=1)
+                for row in range(len(part)):
+                    near = np.flatnonzero((scores[row] >= border[row] - slack[row]) & (scores[row] > -np.inf))
+                    exact = np.einsum("ij,j->i", base[near], q[row])
+                    chosen = np.lexsort((ids[near], -exact))[:k]
+                    out.append((np.full(len(chosen), asked[row]), ids[near[chosen]], exact[chosen]))
         columns = [np.concatenate(c) if out else np.zeros(0) for c in (zip(*out) if out else [[]] * 3)]
         kinds = [np.int64, np.int64, np.float64]
         return pa.table({n: c.astype(t) for n, c, t in zip(("query", "id", "score"), columns, kinds)})
