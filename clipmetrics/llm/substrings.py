@@ -25,8 +25,8 @@ from clipmetrics.llm.superkmers import Runs
 from clipmetrics.llm.words import slices, text_buffer
 from clipmetrics.session import written
 
-PLACE = np.dtype([("doc", "<i8"), ("start", "<i4")])
-SPANS = "doc_id long, begin int, until int"
+PLACE = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("start", "<i4")])
+SPANS = "doc_id long, tag long, begin int, until int"
 
 
 def release(spark: SparkSession) -> None:
@@ -41,15 +41,16 @@ def release(spark: SparkSession) -> None:
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows without an id neither hold earlier passages nor lose words."""
+    """Rows without an id neither hold earlier passages nor lose words. The tag tells texts of one id apart."""
+    text = df[text_col].cast("string")
     return df.where(df[id_col].isNotNull()).select(
-        df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
+        df[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[tuple[np.ndarray, Runs]]:
+def _batches(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[tuple[np.ndarray, np.ndarray, Runs]]:
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
-            yield part.column(0).to_numpy(), Runs(*text_buffer(part.column(1)), k, m)
+            yield part.column(0).to_numpy(), part.column(1).to_numpy(), Runs(*text_buffer(part.column(2)), k, m)
 
 
 def frequent_minimisers(docs: DataFrame, k: int, m: int, share: float, least: int) -> np.ndarray:
@@ -60,7 +61,7 @@ def frequent_minimisers(docs: DataFrame, k: int, m: int, share: float, least: in
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, runs in _batches(batches, k, m):
+        for _, _, runs in _batches(batches, k, m):
             keys, counts = np.unique(runs.keys, return_counts=True)
             often = counts >= max(share * len(runs.keys), 2)
             yield pa.RecordBatch.from_arrays(
@@ -86,7 +87,8 @@ def _shipped(k: int, m: int, split: np.ndarray, rounds: int, nth: int, combine:
         same = pc.and_(pc.equal(key[1:], key[:-1]), pc.equal(text[1:], text[:-1])).to_numpy(zero_copy_only=False)
         begins = np.flatnonzero(np.concatenate([[True], ~same]))
         places = np.empty(len(key), dtype=PLACE)
-        places["doc"], places["start"] = rows["doc"].to_numpy(), rows["start"].to_numpy()
+        for name in PLACE.names:
+            places[name] = rows[name].to_numpy()
         ends = np.append(begins, len(key)).astype(np.int32) * PLACE.itemsize
         blobs = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(ends), pa.py_buffer(places.tobytes())])
         take = pa.array(begins)
@@ -96,12 +98,12 @@ def _shipped(k: int, m: int, split: np.ndarray, rounds: int, nth: int, combine:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        for docs, runs in _batches(batches, k, m):
+        for docs, tags, runs in _batches(batches, k, m):
             keys = runs.keys.view(np.uint64)
             runs.select(((keys >> np.uint64(40)) % np.uint64(rounds) == nth) & ~np.isin(keys, split))
             held.append(pa.table({
                 "key": runs.keys, "text": pa.array(runs.strings(), pa.binary()), "windows": runs.windows.astype(np.int32),
-                "doc": docs[runs.doc], "start": runs.start.astype(np.int32)}))
+                "doc": docs[runs.doc], "tag": tags[runs.doc], "start": runs.start.astype(np.int32)}))
             if len(held) == combine:
                 yield from flush(held)
                 held = []
@@ -111,8 +113,9 @@ def _shipped(k: int, m: int, split: np.ndarray, rounds: int, nth: int, combine:
     return run
 
 
-def _spans(docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, firsts: np.ndarray, at: np.ndarray, k: int) -> pa.RecordBatch:
+def _spans(places: np.ndarray, sizes: np.ndarray, firsts: np.ndarray, at: np.ndarray, k: int) -> pa.RecordBatch:
     """Words to remove: for each place, runs of windows (values of firsts from `at` on) whose first document is smaller."""
+    docs, starts = places["doc"], places["start"].astype(np.int64)
     ends = np.cumsum(sizes)
     nth = np.arange(int(sizes.sum())) - np.repeat(ends - sizes, sizes)
     late = firsts[np.repeat(at, sizes) + nth] < np.repeat(docs, sizes)
@@ -125,9 +128,9 @@ def _spans(docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, firsts: np.n
     first, final = np.flatnonzero(opens), np.flatnonzero(closes)
     begin = starts[place[first]] + nth[first]
     return pa.RecordBatch.from_arrays([
-        pa.array(docs[place[first]], pa.int64()), pa.array(begin, pa.int32()),
+        pa.array(docs[place[first]], pa.int64()), pa.array(places["tag"][place[first]], pa.int64()), pa.array(begin, pa.int32()),
         pa.array(starts[place[final]] + nth[final] + k, pa.int32()),
-    ], names=["doc_id", "begin", "until"])
+    ], names=["doc_id", "tag", "begin", "until"])
 
 
 def _window_strings(text: bytes, k: int) -> list[bytes]:
@@ -166,7 +169,7 @@ def _settled(rows: pa.Table, k: int) -> pa.RecordBatch:
         firsts[place] = np.repeat(least, np.diff(np.append(begins, len(order))))
     counts = np.diff(ends)[live]
     chosen = places[np.repeat(ends[:-1][live] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]
-    return _spans(chosen["doc"], chosen["start"].astype(np.int64), np.repeat(sizes, counts), firsts, np.repeat(at, counts), k)
+    return _spans(chosen, np.repeat(sizes, counts), firsts, np.repeat(at, counts), k)
 
 
 def _counted(k: int, chunk: int = 1 << 16):
@@ -193,30 +196,39 @@ def _counted(k: int, chunk: int = 1 << 16):
     return run
 
 
-def _frequent_spans(docs: DataFrame, k: int, m: int, split: np.ndarray) -> DataFrame:
-    """Spans from the windows of frequent minimisers, by aggregate and join on the window's own text."""
+def _frequent_spans(docs: DataFrame, k: int, m: int, split: np.ndarray, most: int = 65536, salts: int = 64) -> DataFrame:
+    """Spans from the windows of frequent minimisers, by aggregate and join on the window's own text.
+
+    Windows of more than `most` places are joined first, each place under one of `salts` copies of the window; the
+    others follow, so no key of either join has more than its share.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, runs in _batches(batches, k, m):
+        for ids, tags, runs in _batches(batches, k, m):
             runs.select(np.isin(runs.keys.view(np.uint64), split))
-            doc, start = ids[runs.doc], runs.start
+            doc, tag, start = ids[runs.doc], tags[runs.doc], runs.start
             windows = [_window_strings(x, k) for x in runs.strings()]
             sizes = np.array([len(w) for w in windows], dtype=np.int64)
             nth = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             yield pa.RecordBatch.from_arrays([
                 pa.array([w for ws in windows for w in ws], pa.binary()), pa.array(np.repeat(doc, sizes), pa.int64()),
-                pa.array(np.repeat(start, sizes) + nth, pa.int32())], names=["text", "doc_id", "begin"])
+                pa.array(np.repeat(tag, sizes), pa.int64()), pa.array(np.repeat(start, sizes) + nth, pa.int32())],
+                names=["text", "doc_id", "tag", "begin"])
 
-    rows = docs.mapInArrow(run, "text binary, doc_id long, begin int")
-    firsts = rows.groupBy("text").agg(F.min("doc_id").alias("first"))
-    return rows.join(firsts, "text").where("first < doc_id").select("doc_id", "begin", (F.col("begin") + k).alias("until"))
+    rows = docs.mapInArrow(run, "text binary, doc_id long, tag long, begin int")
+    firsts = written(rows.groupBy("text").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "window-firsts")
+    hot = firsts.where(F.col("n") > most).select("text", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tag", "begin"), F.lit(salts)).cast("int")).join(hot, ["text", "salt"], "left")
+    cold = salted.where("first is null").drop("first").join(firsts.where(F.col("n") <= most), "text")
+    spans = ["doc_id", "tag", "begin", (F.col("begin") + k).alias("until")]
+    return salted.where("first < doc_id").select(*spans).unionByName(cold.where("first < doc_id").select(*spans))
 
 
 def repeated_spans(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 3, rounds: int = 2,
     share: float = 1 / 16384, least: int = 65536,
 ) -> DataFrame:
-    """doc_id, begin, until: word ranges that lie in a window of k words which a document of a smaller id holds too.
+    """doc_id, tag (hash of the text), begin, until: word ranges that lie in a window of k words which a document of a smaller id holds too.
 
     Ranges may touch or overlap. Minimisers are handled in `rounds` shares, so that shuffle files of one share are
     gone before the next; a minimiser of more than max(share of all runs, least) runs is split by window.
@@ -252,17 +264,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of df: doc_id, n_words, n_removed, kept (the kept words joined by a space), kept_sha256.
 
     Windows are judged on the input. Null and empty texts have no words. A row without an id keeps all its words and
-    takes none from others. Rows that repeat an id count as one document: nothing is taken from one for the other,
-    and ranges found in one hold for all. Texts shorter than a window keep everything; an empty table gives no rows;
+    takes none from others. Nothing is taken from one row for another of its id, and each loses only what its own
+    windows cover. Texts shorter than a window keep everything; an empty table gives no rows;
     other columns are ignored.
     """
     ranges = (
         repeated_spans(df, id_col, text_col, **parameters)
-        .groupBy("doc_id").agg(F.collect_list(F.struct("begin", "until")).alias("spans"))
-        .withColumnRenamed("doc_id", "__id")
+        .groupBy(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag")).agg(F.collect_set(F.struct("begin", "until")).alias("spans"))
     )
-    texts = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
-    joined_rows = texts.join(ranges, texts["doc_id"] == F.col("__id"), "left").select("doc_id", "text", "spans")
+    text = df[text_col].cast("string")
+    texts = df.select(df[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    joined_rows = texts.join(ranges, (F.col("doc_id") == F.col("of")) & (F.col("tag") == F.col("of_tag")), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -181,3 +181,17 @@ def test_very_long_texts_are_hashed_block_by_block():
     out, to, until = joined(data, starts, ends)
     assert out.tobytes() == b"beta alpha gamma " + text.encode() + b" "
     assert (superkmers.word_hashes(out, to, until) == hashes).all()
+
+
+def test_rows_of_one_id_lose_only_what_their_own_windows_cover(spark):
+    """An id that repeats with another text, once more often than a hot window's bound."""
+    passage = " ".join(f"p{i}" for i in range(13))
+    rows = [(1, passage), (5, passage + " tail"), (5, " ".join(f"q{i}" for i in range(20))), (5, passage + " tail"), (7, None), (7, passage.upper())]
+    rows += [(9 + i, passage) for i in range(40)] + [(9, passage)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter(without_repeats(rows))
+    assert Counter(map(tuple, substrings.remove_repeats(df).collect())) == want
+    docs = substrings._documents(df, "doc_id", "text")
+    spans = substrings._frequent_spans(docs, 13, 3, np.unique([k for _, _, r in substrings._batches(
+        docs.toArrow().to_batches(), 13, 3) for k in r.keys.view(np.uint64)]), most=10, salts=4)
+    assert spans.count() == sum(1 for i, t in rows if i > 1 and t and t.startswith(passage))
