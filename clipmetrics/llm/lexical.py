@@ -9,6 +9,7 @@ copies, however many, are dealt to several shards by a hash of row content where
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from functools import lru_cache
 from math import ceil
 from typing import NamedTuple
@@ -43,6 +44,19 @@ def weights(stats: Statistics, terms: np.ndarray, often: np.ndarray, lengths: np
     return idf * often * (K1 + 1) / (often + K1 * (1 - B + B * lengths / max(stats.mean, 1)))
 
 
+class Terms(NamedTuple):
+    """Distinct ids of a document without its last one, how often it holds each, and its length."""
+
+    terms: np.ndarray
+    often: np.ndarray
+    length: int
+
+
+def counted(ids: np.ndarray) -> Terms:
+    terms, often = np.unique(ids[:-1], return_counts=True)
+    return Terms(terms, often, len(ids))
+
+
 class Bm25:
     """Inverted index over the token ids of one shard's distinct documents, each as often as `copies` says.
 
@@ -50,21 +64,20 @@ class Bm25:
     faster way to add up the same weights.
     """
 
-    def __init__(self, ids: list[np.ndarray], copies: np.ndarray | None = None, stats: Statistics | None = None) -> None:
-        found = [np.unique(row[:-1], return_counts=True) for row in ids]
-        self.terms = [f[0].astype(np.int64) for f in found]
-        copies = np.ones(len(ids)) if copies is None else copies.astype(np.float64)
-        counts = np.array([len(t) for t in self.terms], dtype=np.int64)
-        docs = np.repeat(np.arange(len(ids)), counts)
+    def __init__(self, found: list[Terms], copies: np.ndarray | None = None, stats: Statistics | None = None) -> None:
+        self.terms = [f.terms.astype(np.int64) for f in found]
+        copies = np.ones(len(found)) if copies is None else copies.astype(np.float64)
+        sizes = np.array([len(t) for t in self.terms], dtype=np.int64)
+        docs = np.repeat(np.arange(len(found)), sizes)
         terms = np.concatenate([*self.terms, np.zeros(0, np.int64)])
-        often = np.concatenate([*(f[1] for f in found), np.zeros(0, np.int64)]).astype(np.float64)
-        lengths = np.array([len(row) for row in ids], dtype=np.float64)
+        often = np.concatenate([*(f.often for f in found), np.zeros(0, np.int64)]).astype(np.float64)
+        lengths = np.array([f.length for f in found], dtype=np.float64)
         if stats is None:
-            mean = np.average(lengths, weights=copies) if len(ids) else 1
+            mean = np.average(lengths, weights=copies) if len(found) else 1
             stats = Statistics(copies.sum(), mean, np.bincount(terms, weights=copies[docs], minlength=1))
         weight = weights(stats, terms, often, lengths[docs])
-        order = np.argsort(terms, kind="stable")
-        self._index(np.arange(len(ids)), docs[order], terms[order], weight[order])
+        order = np.argsort(terms.astype(np.uint16) if terms.max(initial=0) < 1 << 16 else terms, kind="stable")
+        self._index(np.arange(len(found)), docs[order], terms[order], weight[order])
 
     def _index(self, entries: np.ndarray, docs: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> None:
         """Postings in the order of terms, over the entries that are still of use."""
@@ -89,15 +102,36 @@ class Bm25:
         terms = self.terms[doc]
         full = self.held[terms] * 10 > self.n
         rare = terms[~full]
-        sizes = self.held[rare]
-        at = np.repeat(self.ends[rare] - np.cumsum(sizes), sizes) + np.arange(int(sizes.sum()))
-        out = np.bincount(self.docs[at], weights=self.weight[at], minlength=self.n).astype(np.float64)
+        parts = [slice(a, b) for a, b in zip((self.ends[rare] - self.held[rare]).tolist(), self.ends[rare].tolist()) if a < b]
+        if parts:
+            out = np.bincount(
+                np.concatenate([self.docs[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), minlength=self.n)
+        else:
+            out = np.zeros(self.n)
         for term in terms[full].tolist():
             out += self.columns[term]
         return out
 
 
-def windows(ids: list[np.ndarray], window: int, stats: Statistics | None = None) -> Iterator[list[tuple[int, int, int]]]:
+def runs(scores: np.ndarray, size: int = 16) -> Iterator[np.ndarray]:
+    """Places of positive scores, best first, those of equal score together; sorted only as far as they are asked for."""
+    rest = np.flatnonzero(scores > 0)
+    while len(rest):
+        top = rest
+        if len(rest) > size:
+            own = scores[rest]
+            edge = np.partition(own, len(own) - size)[len(own) - size]
+            top, rest = rest[own >= edge], rest[own < edge]
+        else:
+            rest = rest[:0]
+        top = top[np.argsort(-scores[top], kind="stable")]
+        yield from np.split(top, np.flatnonzero(np.diff(scores[top])) + 1)
+        size *= 4
+
+
+def windows(
+    ids: list[np.ndarray], window: int, stats: Statistics | None = None, found: list[Terms] | None = None,
+) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences as lists of (document number, start, length), each full but for the last ones, which are powers of two.
 
     The first unused document seeds a window; its best unused neighbours by BM25 follow, ties to the first, and after
@@ -111,40 +145,47 @@ def windows(ids: list[np.ndarray], window: int, stats: Statistics | None = None)
     for g, m in enumerate(groups):
         group[m] = g
     members.clear()
-    index = Bm25([ids[m[-1]] for m in groups], np.array([len(m) for m in groups]), stats)
+    heads = [m[-1] for m in groups]
+    index = Bm25([found[h] if found else counted(ids[h]) for h in heads], np.array([len(m) for m in groups]), stats)
     free_groups = np.ones(len(groups), dtype=bool)
-    upcoming = np.array([m[-1] for m in groups], dtype=np.int64)
+    upcoming = np.array(heads, dtype=np.int64)
     unused = np.ones(len(ids), dtype=bool)
     first = taken = 0
     segments: list[tuple[int, int, int]] = []
-    room, ranked, seed = window, None, -1
+    room, ranked, ties, seed = window, None, [], -1
     while True:
         if seed < 0:
             while first < len(ids) and not unused[first]:
                 first += 1
             if first == len(ids):
                 break
-            seed, ranked = first, None
-            number = first
+            seed, ranked, number = first, None, first
         else:
             if ranked is None:
                 if taken * 4 > index.n:
                     index.keep(free_groups)
                     taken = 0
-                ranked = index.scores(group[seed])
-            ranked[~free_groups[index.entries]] = 0
-            best = ranked.max() if index.n else 0.0
-            if best <= 0:
+                scores = index.scores(group[seed])
+                scores[~free_groups[index.entries]] = 0
+                ranked, ties = runs(scores), []
+            if not ties:
+                ties = [(int(upcoming[g]), int(g)) for g in index.entries[next(ranked, np.zeros(0, np.int64))]]
+                heapify(ties)
+            if not ties:
                 seed = -1
                 continue
-            number = int(upcoming[index.entries[ranked == best]].min())
+            number = heappop(ties)[1]
+            number = int(upcoming[number])
         unused[number] = False
-        members_left = groups[group[number]]
+        own = int(group[number])
+        members_left = groups[own]
         members_left.pop()
         if members_left:
-            upcoming[group[number]] = members_left[-1]
+            upcoming[own] = members_left[-1]
+            if ranked is not None:
+                heappush(ties, (members_left[-1], own))
         else:
-            free_groups[group[number]] = False
+            free_groups[own] = False
             taken += 1
         start, left = 0, len(ids[number])
         while left:
@@ -176,19 +217,17 @@ def statistics(encoded: DataFrame) -> tuple[Statistics, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, totals = np.zeros(1, dtype=np.int64), np.zeros(3, dtype=np.int64)
         for batch in batches:
-            for row in batch.column(0):
-                ids = np.frombuffer(row.as_buffer(), "<u4")
-                held = np.unique(ids[:-1])
-                if len(held) and held[-1] >= len(df):
-                    df = np.concatenate([df, np.zeros(max(int(held[-1]) + 1, 2 * len(df)) - len(df), np.int64)])
-                df[held] += 1
-                totals += (1, len(ids), 0)
-            totals[2] += np.sum(batch.column(1).to_numpy(), dtype=np.int64)
+            for part in slices(batch, "terms", 1 << 20):
+                held = np.bincount(np.concatenate(_numbers(part.column(0), part.column(2))).astype(np.int64))
+                df, held = (np.pad(x, (0, max(len(df), len(held)) - len(x))) for x in (df, held))
+                df += held
+                totals += (part.num_rows, *(np.sum(part.column(i).to_numpy(), dtype=np.int64) for i in (3, 1)))
         terms = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(terms, (-1, -2, -3))), pa.array(np.append(df[terms], totals))], names=["term", "n"])
 
-    counts = encoded.select("ids", "size").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    rows = encoded.select("terms", "size", "n_terms", "n_ids").mapInArrow(run, "term long, n long")
+    counts = rows.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = counts["term"].to_numpy(), counts["n"].to_numpy()
     docs, ids, size = (int(n[term == t].sum()) for t in (-1, -2, -3))
     df = np.zeros(max(int(term.max(initial=0)), 0) + 1)
@@ -201,14 +240,13 @@ def _directions(terms: int) -> np.ndarray:
     return np.random.default_rng(1).standard_normal((terms, DIMENSIONS), dtype=np.float32)
 
 
-def vectors(ids: list[np.ndarray], stats: Statistics) -> np.ndarray:
+def vectors(found: list[Terms], stats: Statistics) -> np.ndarray:
     """Directions of the BM25 vectors, projected at random."""
-    out = np.zeros((len(ids), DIMENSIONS), dtype=np.float32)
+    out = np.zeros((len(found), DIMENSIONS), dtype=np.float32)
     to = _directions(len(stats.df))
-    for i, row in enumerate(ids):
-        terms, often = np.unique(row[:-1], return_counts=True)
-        if len(terms):
-            vector = weights(stats, terms, often, np.float64(len(row))).astype(np.float32) @ to[terms]
+    for i, row in enumerate(found):
+        if len(row.terms):
+            vector = weights(stats, row.terms, row.often, np.float64(row.length)).astype(np.float32) @ to[row.terms]
             out[i] = vector / max(float(np.sqrt((vector * vector).sum())), 1e-12)
     return out
 
@@ -264,8 +302,23 @@ def tree(x: np.ndarray, tie: np.ndarray, size: np.ndarray, shards: int) -> Tree:
     return Tree(np.array(axes).reshape(-1, DIMENSIONS), np.array(cuts), np.array(ties, dtype=np.int64), np.array(children, dtype=np.int64).reshape(-1, 2))
 
 
-def _ids(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(row.as_buffer(), "<u4") for row in column]
+def _numbers(column: pa.Array, sizes: pa.Array) -> list[np.ndarray]:
+    """Arrays of unsigned numbers, of 2 or 4 bytes as their sizes tell."""
+    return [
+        np.frombuffer(row.as_buffer(), "<u2" if len(row.as_buffer()) == 2 * n else "<u4") if n else np.zeros(0, "<u2")
+        for row, n in zip(column, sizes.to_pylist())]
+
+
+def _terms(terms: pa.Array, often: pa.Array, n_terms: pa.Array, n_ids: pa.Array) -> list[Terms]:
+    return [Terms(*row) for row in zip(_numbers(terms, n_terms), _numbers(often, n_terms), n_ids.to_pylist())]
+
+
+def _narrow(numbers: np.ndarray) -> bytes:
+    return numbers.astype("<u2" if numbers.max(initial=0) < 1 << 16 else "<u4").tobytes()
+
+
+IDS = ["doc_id", "size", "ids", "terms", "often", "n_terms", "n_ids"]
+ENCODED = "doc_id long, size long, ids binary, terms binary, often binary, n_terms long, n_ids long"
 
 
 def sharded(encoded: DataFrame, stats: Statistics, size: int, batch_bytes: int) -> DataFrame:
@@ -274,16 +327,18 @@ def sharded(encoded: DataFrame, stats: Statistics, size: int, batch_bytes: int)
     rows = encoded.withColumn("tie", F.xxhash64(F.lit(7), "doc_id", "ids"))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.encoder.cache_clear()
         for batch in batches:
-            x = vectors(_ids(batch.column(0)), stats)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), pa.array([v.tobytes() for v in x], pa.binary())], names=["size", "tie", "x"])
+            for part in slices(batch, "terms", 1 << 20):
+                x = vectors(_terms(*part.columns[2:]), stats)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([v.tobytes() for v in x], pa.binary())], names=["size", "tie", "x"])
 
     cut = Tree(np.zeros((0, DIMENSIONS)), np.zeros(0), np.zeros(0, np.int64), np.zeros((0, 2), np.int64))
     if count > 1:
         share = min((BASE + SAMPLE * count) / stats.docs, 1.0)
         sample = rows.where(F.pmod(F.xxhash64(F.lit(11), "doc_id", "ids"), F.lit(1 << 30)) < int(share * (1 << 30)))
-        seen = sample.select("ids", "size", "tie").mapInArrow(project, "size long, tie long, x binary").toArrow()
+        seen = sample.select("size", "tie", "terms", "often", "n_terms", "n_ids").mapInArrow(project, "size long, tie long, x binary").toArrow()
         x = np.frombuffer(b"".join(seen["x"].to_pylist()), np.float32).reshape(-1, DIMENSIONS)
         cut = tree(x, seen["tie"].to_numpy(), seen["size"].to_numpy(), count)
     # A number for each shard that the exchange deals to a partition of its own.
@@ -291,13 +346,14 @@ def sharded(encoded: DataFrame, stats: Statistics, size: int, batch_bytes: int)
     slots = np.resize(np.array([r.slot for r in numbers], dtype=np.int64), count)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.encoder.cache_clear()
         for batch in batches:
-            tie = batch.column(3).to_numpy()
-            shard = cut.shards(vectors(_ids(batch.column(1)), stats), tie)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(shard), pa.array(slots[shard])], names=["doc_id", "ids", "size", "tie", "shard", "slot"])
+            for part in slices(batch, "ids", 1 << 20):
+                shard = cut.shards(vectors(_terms(*part.columns[3:7]), stats), part.column(7).to_numpy())
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(shard), pa.array(slots[shard])], names=[*IDS, "tie", "shard", "slot"])
 
-    routed = rows.select("doc_id", "ids", "size", "tie").mapInArrow(route, "doc_id long, ids binary, size long, tie long, shard long, slot long")
+    routed = rows.select(*IDS, "tie").mapInArrow(route, f"{ENCODED}, tie long, shard long, slot long")
     return routed.repartition(count, "slot").sortWithinPartitions("shard", "doc_id", "tie")
 
 
@@ -318,27 +374,31 @@ def pack_lexical(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                texts = part.column(1).to_pylist()
-                ids = [tokens.token_ids(t, path).astype("<u4").tobytes() for t in texts]
-                size = [len((t or "").encode()) + 16 for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.binary()), pa.array(size, pa.int64())], names=["doc_id", "ids", "size"])
-
+            for part in slices(batch, "text", 1 << 20):
+                ids = [tokens.token_ids(t, path) for t in part.column(1).to_pylist()]
+                found = [counted(row) for row in ids]
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), part.column(2), pa.array([_narrow(row) for row in ids], pa.binary()),
+                    pa.array([_narrow(f.terms) for f in found], pa.binary()), pa.array([_narrow(f.often) for f in found], pa.binary()),
+                    pa.array([len(f.terms) for f in found], pa.int64()), pa.array([f.length for f in found], pa.int64())], names=IDS)
+
+    text = df[text_col].cast("string")
     encoded = written(
-        df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
-        .mapInArrow(encode, "doc_id long, ids binary, size long"), "lexical-ids")
+        df.select(df[id_col].cast("long").alias("doc_id"), text.alias("text"),
+                  (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"))
+        .mapInArrow(encode, ENCODED), "lexical-ids")
     stats, size = statistics(encoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.encoder.cache_clear()
         last, number = None, 0
-        for shard, doc_ids, ids in _whole(batches, 2 * batch_bytes):
+        for shard, doc_ids, ids, found in _whole(batches, 2 * batch_bytes):
             last, number = shard, number if shard == last else 0
             rows: list[tuple] = []
-            for segments in windows(ids, window, stats):
+            for segments in windows(ids, window, stats, found):
                 offset = 0
                 for at, start, length in segments:
-                    piece = ids[at][start:start + length].tobytes()
+                    piece = ids[at][start:start + length].astype("<u4").tobytes()
                     rows.append((doc_ids[at], start, length, piece, len(ids[at]), shard << 40 | number, offset))
                     offset += length
                 number += 1
@@ -347,23 +407,26 @@ def pack_lexical(
                     rows = []
             yield _batch(rows)
 
-    packed = sharded(encoded, stats, size, batch_bytes).select("shard", "doc_id", "ids", "size")
+    packed = sharded(encoded, stats, size, batch_bytes).select("shard", *IDS)
     return packed.mapInArrow(run, SCHEMA)
 
 
-def _whole(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[int | None], list[np.ndarray]]]:
-    """Shard number, doc_ids and ids of one shard after the other; what exceeds `most` follows as a further one."""
-    last, held, doc_ids, ids = -1, 0, [], []
+def _whole(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[int | None], list[np.ndarray], list[Terms]]]:
+    """Shard number, doc_ids, ids and terms of one shard after the other; what exceeds `most` follows as a further one."""
+    last, held, doc_ids, ids, found = -1, 0, [], [], []
     for batch in batches:
-        for shard, doc_id, row, size in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        shards, numbers, sizes = (batch.column(i).to_pylist() for i in range(3))
+        rows = _numbers(batch.column(3), batch.column(7))
+        for shard, doc_id, size, row, terms in zip(shards, numbers, sizes, rows, _terms(*batch.columns[4:8])):
             if ids and (shard != last or held + size > most):
-                yield last, doc_ids, ids
-                held, doc_ids, ids = 0, [], []
+                yield last, doc_ids, ids, found
+                held, doc_ids, ids, found = 0, [], [], []
             last, held = shard, held + size
             doc_ids.append(doc_id)
-            ids.append(np.frombuffer(row, "<u4"))
+            ids.append(row)
+            found.append(terms)
     if ids:
-        yield last, doc_ids, ids
+        yield last, doc_ids, ids, found
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -48,8 +48,10 @@ def word_counts(column: pa.Array) -> np.ndarray:
 
 
 def slices(batch: pa.RecordBatch, text: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part holds at most max_bytes of text, or a single row."""
-    column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string()).fill_null("")
+    """Cut a batch so that each part holds at most max_bytes of a string or binary column, or a single row."""
+    column = batch.column(batch.schema.get_field_index(text))
+    kind = pa.large_binary() if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pa.large_string()
+    column = column.cast(kind).fill_null(b"" if kind == pa.large_binary() else "")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
     start = 0
     while start < batch.num_rows:

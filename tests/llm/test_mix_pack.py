@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,3 +284,42 @@ def test_a_long_chain_of_replies(spark):
     rows = [(5, 0, "user", "start 0")] + [(5, i, "user", f"> start {i - 1}\nstart {i}") for i in range(1, 20)]
     got = {r.turn: r.depth for r in quotes.linked_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert got == {i: i for i in range(20)}
+
+
+def test_nearest_keeps_all_at_the_border(spark):
+    """199 vectors of one product with the query: the smallest ids count, however many share the border."""
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [1.0, float(i), float(-i * i)]) for i in range(1, 200)]
+    rows = rows[::-1]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") == 0, tables=1, success=0.999999).orderBy("rank").collect()
+    assert {r.score for r in got} == {1.0}
+    shard = pa.table({"bucket": [0] * 200, "id": [i for i, _ in rows], "vector": [v for _, v in rows]})
+    asked = pa.table({"id": [0], "vector": [[1.0, 0.0, 0.0]], "buckets": [None]})
+    found = neighbours._shard_search(21)(shard, pa.table({**{n: asked[n] for n in ("id", "vector")}, "buckets": pa.array([None], pa.list_(pa.int64()))}))
+    assert sorted(found["id"].to_pylist()) == list(range(21))
+
+
+def test_runs_come_best_first_and_ties_together():
+    rng = np.random.default_rng(1)
+    scores = rng.integers(-3, 40, 500) / 4
+    got = [r.tolist() for r in lexical.runs(scores, 4)]
+    assert [scores[r[0]] for r in got] == sorted({s for s in scores if s > 0}, reverse=True)
+    assert all(sorted(r) == np.flatnonzero(scores == scores[r[0]]).tolist() for r in got)
+
+
+def test_cuts_put_every_row_in_one_of_all_shards():
+    """The tree deals a sample evenly, equal rows by their ties, and every row to the shard that walking it by hand gives."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((900, lexical.DIMENSIONS)).astype(np.float32)
+    x[300:600] = x[300]
+    tie = rng.integers(-2**62, 2**62, 900)
+    cut = lexical.tree(x, tie, np.ones(900, dtype=np.int64), 7)
+    shards = cut.shards(x, tie)
+    assert set(shards) == set(range(7)) and np.bincount(shards).max() < 2.2 * 900 / 7
+    for i in range(0, 900, 13):
+        at = 0
+        while at >= 0:
+            place = float((x[i].astype(np.float64) * cut.axes[at]).sum())
+            beyond = place > cut.cuts[at] + 1e-12 or (abs(place - cut.cuts[at]) <= 1e-12 and tie[i] > cut.ties[at])
+            at = int(cut.children[at][int(beyond)])
+        assert -1 - at == shards[i]
