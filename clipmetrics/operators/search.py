@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from clipmetrics import rules
 from clipmetrics.functions.text import strip
+from clipmetrics.operators import grams
 from clipmetrics.operators.jobs import search_mode
 from clipmetrics.params import per_query_limit
 from clipmetrics.session import written
@@ -81,25 +82,29 @@ def fan_out(requests: DataFrame, known: list[str] | None = None, public_phrases:
     )
 
 
-def phrase_matches(corpus: DataFrame, ids: list[str], text: str, phrases: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
+def phrase_matches(corpus: DataFrame, ids: list[str], text: str, phrases: DataFrame, automaton_bytes: int = 1 << 20) -> DataFrame:
     """phrases(phrase_id, phrase) found in the text of a landed corpus: (ids, phrase_id, phrase).
 
-    The distinct needles become multi-pattern automata of at most about block_bytes of needles each; every text is
-    read once per automaton, where it lies, in time linear in its length whatever the number of needles. Only what
+    Needles of no more than automaton_bytes in all, which is checked, become one multi-pattern automaton that reads
+    every text where it lies. More needles are joined with the texts by their rarest gram (operators/grams.py): the
+    texts are read a fixed number of times and no needle passes through the driver, however many there are. Only what
     was found meets the phrases again. Blank phrases are found nowhere; a null text holds nothing.
     """
     named = phrases.withColumn("_needle", F.lower(strip(F.col("phrase")))).where(F.col("_needle") != "")
     needles = written(named.select("_needle").distinct(), "needles")
     total = needles.agg(F.sum(F.octet_length("_needle"))).first()[0] or 0
-    blocks = max(-(-total // block_bytes), 1)
     texts = corpus.select(*ids, F.lower(F.col(text)).alias("_low"))
-    schema = StructType([*[f for f in texts.schema.fields if f.name != "_low"], StructField("_needle", StringType())])
-    found = None
-    for block in range(blocks):
-        part = needles.where(F.pmod(F.xxhash64("_needle"), F.lit(blocks)) == block)
-        wanted = corpus.sparkSession.sparkContext.broadcast([r[0] for r in part.collect()])  # block_bytes on average
-        hits = texts.mapInArrow(partial(_automaton_hits, wanted), schema)
-        found = hits if found is None else found.unionByName(hits)
+    if total <= automaton_bytes:
+        schema = StructType([*[f for f in texts.schema.fields if f.name != "_low"], StructField("_needle", StringType())])
+        wanted = corpus.sparkSession.sparkContext.broadcast([r[0] for r in needles.collect()])  # at most automaton_bytes
+        found = texts.mapInArrow(partial(_automaton_hits, wanted), schema)
+    else:
+        # Rows equal in ids and text have one key; where others share it, the text itself decides.
+        keyed = texts.where(F.col("_low").isNotNull()).withColumn("_key", F.xxhash64(*ids, "_low"))
+        pairs = grams.candidates(
+            keyed.select(F.col("_key").alias("key"), F.col("_low").alias("text")), needles.select(F.col("_needle").alias("needle")))
+        pairs = pairs.select(F.col("key").alias("_of"), F.col("needle").alias("_needle"))
+        found = keyed.join(pairs, (F.col("_key") == F.col("_of")) & F.contains("_low", "_needle")).select(*ids, "_needle")
     return found.join(named.select("phrase_id", "phrase", "_needle"), "_needle").select(*ids, "phrase_id", "phrase")
 
 

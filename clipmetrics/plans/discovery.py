@@ -184,6 +184,17 @@ def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "phrase_id")
 
 
+def phrase_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of three words of the benchmark passages, and every part name, joined with all texts by their rarest grams."""
+    d = table(spark, sf_dir, "documents")
+    words = F.split(F.trim("text"), " ")
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.array_join(F.slice(words, i, 3), " "))
+    b = table(spark, sf_dir, "benchmark").where(F.size(words) >= 3).select(F.explode(runs).alias("phrase"))
+    phrases = b.unionByName(table(spark, sf_dir, "part").select(F.col("p_name").alias("phrase"))).distinct()
+    found = search.phrase_matches(d, ["doc_id"], "text", phrases.withColumn("phrase_id", F.col("phrase")), 0)
+    return found.groupBy("phrase").agg(F.count(F.lit(1)).alias("n_texts"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+
+
 def phrase_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First ten hits per channel and passage, in arrival order."""
     d = table(spark, sf_dir, "documents")
@@ -392,6 +403,10 @@ req as (select d.doc_id, cast(greatest(10, ceil((case when d.n_chars % 120 <= 0
 union all select doc_id, 'nosuch', query_limit, 'unknown source', 0, null from req""")),
     "phrase_search": (phrase_search, """with phrases as (select 'b' || item_id as phrase_id, text as phrase from benchmark union all select distinct p_name, unnest(string_split(p_name, ' ')) from part)
 select doc_id, phrase_id from documents join phrases on contains(lower(text), lower(trim(phrase)))"""),
+    "phrase_search_index": (phrase_search_index, """with b as (select string_split(trim(text), ' ') as ws from benchmark),
+phrases as (select array_to_string(ws[i:i + 2], ' ') as phrase from (select ws, unnest(range(1, len(ws) - 1)) as i from b) union select p_name from part)
+select phrase, count(*) as n_texts, min(doc_id) as first_doc, max(doc_id) as last_doc
+from documents join phrases on contains(lower(text), lower(trim(phrase))) where trim(phrase) <> '' group by phrase"""),
     "phrase_search_topk": (phrase_search_topk, """with found as (select source, item_id as phrase_id, doc_id, row_number() over (partition by source, item_id order by doc_id) as hit_no
 from documents d join benchmark b on contains(lower(d.text), lower(trim(b.text)))) select * from found where hit_no <= 10"""),
     "search_pipeline": (search_pipeline, _request_sql("than", ["than", "Of The", "ing of"], 20, "true")),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clipmetrics import schemas
 from clipmetrics.functions import text
-from clipmetrics.operators import candidates, jobs, ranking, search
+from clipmetrics.operators import candidates, grams, jobs, ranking, search
 from clipmetrics.params import CaptionParams, SearchFilters, expansion_limit, search_limit
 
 
@@ -125,13 +125,13 @@ def test_limits():
         CaptionParams(max_gap=0.01)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 20])
-def test_phrase_search_equals_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("automaton_bytes", [1 << 20, 0])
+def test_phrase_search_equals_brute_force(spark, automaton_bytes):
     rng = random.Random(5)
     alphabet = ["ab", "ba", "好物", "c", "-", " ", " ", "Ä"]
     texts = [(i, "".join(rng.choice(alphabet) for _ in range(rng.randrange(40)))) for i in range(120)]
     phrases = [(f"p{i}", "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 6)))) for i in range(40)] + [("q", "物"), ("blank", "  "), ("r", "ab ba ab")]
-    found = search.phrase_matches(spark.createDataFrame(texts, "id int, text string"), ["id"], "text", spark.createDataFrame(phrases, "phrase_id string, phrase string"), block_bytes)
+    found = search.phrase_matches(spark.createDataFrame(texts, "id int, text string"), ["id"], "text", spark.createDataFrame(phrases, "phrase_id string, phrase string"), automaton_bytes)
     got = sorted((r.id, r.phrase_id) for r in found.collect())
     want = sorted((i, p) for i, t in texts for p, s in phrases if s.strip() and s.strip().lower() in t.lower())
     assert got == want
@@ -146,6 +146,30 @@ def test_phrase_search_of_very_many_words(spark):
     assert got == {(i, p) for i in range(3000) for p in (77, i)}
 
 
+def test_phrase_search_of_a_million_phrases(spark):
+    """Needles far beyond what one automaton may hold; one of them in every text, one in a single very long text."""
+    phrases = spark.range(1_000_000).selectExpr("id as phrase_id", "concat(' w', id, 'x ') as phrase")
+    texts = spark.range(500).selectExpr("id", "concat('a w77x b w', id * 1999, 'X and ', repeat('filler ', 20)) as text")
+    long_text = spark.createDataFrame([(-1, "äb" * 600_000 + "w123456x" + "c" * 600_000), (-2, None), (-3, "")], "id long, text string")
+    found = search.phrase_matches(texts.unionByName(long_text), ["id"], "text", phrases)
+    got = sorted((r.id, r.phrase_id) for r in found.collect())
+    assert got == sorted({(i, p) for i in range(500) for p in (77, i * 1999)} | {(-1, 123456)})
+
+
+def test_grams_of_very_many_texts_are_dealt_to_several_keys(spark):
+    """Every text holds the needles' only gram; rows that repeat and rows without text keep their meaning."""
+    rows = [(i % 90, f"t{i % 90} ab", "x") for i in range(120)] + [(500, None, "x")]
+    df = spark.createDataFrame(rows, "id int, text string, needle string").withColumn("key", F.xxhash64("id", "text"))
+    needles = spark.createDataFrame([("ab",), ("t7 ab",), ("zz",)], "needle string")
+    pairs = grams.candidates(df.where("text is not null").select("key", "text"), needles, per_key=7).collect()
+    of = {r.key: r.text for r in df.collect()}
+    assert len(pairs) == len(set(pairs))
+    assert {(of[r.key], r.needle) for r in pairs} >= {(t, n) for _, t, _ in rows if t for n in ("ab", "t7 ab") if n in t}
+    found = search.phrase_matches(df.drop("key"), ["id"], "text", needles.selectExpr("needle as phrase_id", "needle as phrase"), 0)
+    assert sorted(map(tuple, found.select("id", "phrase_id").collect())) == sorted(
+        (i, n) for i, t, _ in rows if t for n in ("ab", "t7 ab") if n in t)
+
+
 def test_larger_limits_give_more_rows(spark):
     df = videos(spark, *[{"video_id": str(i), "likes": i} for i in range(600)]).withColumn("overall", F.col("likes").cast("double"))
     assert ranking.top(df, "overall", 500).count() == 500 and ranking.top_per_query(df, ["platform"], "overall", 500).count() == 500
