@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipmetrics import rules
@@ -42,12 +42,12 @@ def link_list(url: Column, backups: Column) -> Column:
 def first_success(attempts: DataFrame, max_tries: int = 12) -> DataFrame:
     """attempts(video_id, ord, url, ok, error): first working link of the first tries, failures before it in order."""
     tried = attempts.where(F.col("ord") <= max_tries)
-    win = F.min(F.when(F.col("ok"), F.struct("ord", "url")))
-    failed = F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("ord", "error"))))
-    picked = tried.groupBy("video_id").agg(win.alias("w"), failed.alias("f"))
-    shown = F.filter("f", lambda x: F.col("w").isNull() | (x.ord < F.col("w.ord")))
+    win = F.min(F.when(F.col("ok"), F.struct("ord", "url"))).over(Window.partitionBy("video_id"))
+    before = ~F.col("ok") & (F.col("w").isNull() | (F.col("ord") < F.col("w.ord")))
+    picked = tried.withColumn("w", win).groupBy("video_id").agg(
+        F.first("w").alias("w"), F.array_sort(F.collect_list(F.when(before, F.struct("ord", "error")))).alias("f"))
     return picked.select("video_id", F.col("w.url").alias("url"), F.col("w.ord").alias("tries"),
-                         F.array_join(F.transform(shown, lambda x: x.error), " | ").alias("failures"))
+                         F.array_join(F.transform("f", lambda x: x.error), " | ").alias("failures"))
 
 
 def plan_renditions(videos: DataFrame, keep_at_least: float = 0.40, same: float = 0.002) -> DataFrame:

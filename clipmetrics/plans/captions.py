@@ -179,10 +179,10 @@ def persistent_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def caption_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users as videos, their errors and sign-ups as protected regions, the last view as their own subtitle."""
+    """Users as videos, all their boxes as protected regions (those of errors as faces), the last one as their own subtitle."""
     obs = observations(spark, sf_dir)
     kind = F.when(F.col("text") == "error", "face").otherwise("logo")
-    protected = obs.where(F.col("text").isin("error", "signup")).select("video_id", kind.alias("kind"), "x", "y", "w", "h")
+    protected = obs.select("video_id", kind.alias("kind"), "x", "y", "w", "h")
     last = F.max_by(F.struct(F.struct("x", "y", "w", "h").alias("b"), F.col("confidence")), "ord")
     videos = obs.groupBy("video_id").agg(last.alias("v"), F.max("ord").alias("o")).select(
         "video_id", F.lit(1080).alias("width"), F.when(F.col("o") % 2 == 0, 1920).otherwise(608).alias("height"),
@@ -268,7 +268,7 @@ def _zone_cost(i: int) -> str:
 def _placement_sql() -> str:
     anchors = " ".join(f"when {i} then (case when height >= width then {t}::double else {w}::double end) + 0.15::double * 0.58::double" for i, (_, t, w) in enumerate(boxes.ZONES))
     return f"""with {OBSERVATIONS}, v as (select video_id, 1080 as width, case when max(ord) % 2 = 0 then 1920 else 608 end as height, arg_max(y, ord) as sy, arg_max(h, ord) as sh, arg_max(confidence, ord) as sc from observations group by video_id),
-p as (select video_id, case when text = 'error' then 1.8::double else 1.0::double end as f, x::double as x, y::double as y, w::double as w, h::double as h from observations where text in ('error', 'signup')),
+p as (select video_id, case when text = 'error' then 1.8::double else 1.0::double end as f, x::double as x, y::double as y, w::double as w, h::double as h from observations),
 c as (select video_id, width, height, sy, sh, sc, {', '.join(_zone_cost(i) for i in range(4))} from v left join p using (video_id) group by all),
 z as (select *, case least(c0, c1, c2, c3) when c0 then 0 when c1 then 1 when c2 then 2 else 3 end as best from c)
 select video_id, case when sc >= 0.68 then 'replace_source_subtitle' else 'lowest_safe_zone' end as reason, case when sc < 0.68 then best end as zone,

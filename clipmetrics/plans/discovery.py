@@ -149,7 +149,9 @@ def channel_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def channel_match_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = table(spark, sf_dir, "documents").where("lang = 'fr'").select(F.concat(F.lit("@"), F.col("source"), F.lit(" • fr - clips")).alias("channel"))
+    """Creators of any document that is marked toxic, wanted in another spelling, and all that they made."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    wanted = d.select(F.concat(F.lit("@"), F.col("source"), F.lit(" • "), F.col("lang"), F.lit(" - clips")).alias("channel"))
     return candidates.of_channels(channel_names(spark, sf_dir), wanted).select("seq", "author", "lang")
 
 
@@ -396,7 +398,7 @@ kept as (select *, row_number() over (partition by scheme order by tier, seq) as
         "ranked as (select *, row_number() over (partition by query order by overall desc, seq) as rank from scored)",
         f"select query, rank, {', '.join(SCORE_COLUMNS)} from ranked where rank <= 30")),
     "channel_match": (channel_match, _with(CHANNELS, "select seq, author, title from normed where norm = 'src7 en clips'")),
-    "channel_match_many": (channel_match_many, _with(CHANNELS, "select seq, author, lang from normed where norm in (select source || ' fr clips' from documents where lang = 'fr')")),
+    "channel_match_many": (channel_match_many, _with(CHANNELS, "select seq, author, lang from normed where norm in (select source || ' ' || lang || ' clips' from documents where doc_id in (select doc_id from labels where toxic = 1))")),
     "phrase_expand": (phrase_expand, _with(EXPANDED, "select doc_id, phrase_no, phrase from expanded")),
     "search_fanout": (search_fanout, _with(EXPANDED + """, sized as (select doc_id, least(max(phrase_no) + 1, 4) as n from expanded group by doc_id),
 req as (select d.doc_id, cast(greatest(10, ceil((case when d.n_chars % 120 <= 0 then 30 else least(d.n_chars % 120, 100) end) / s.n::double)) as int) as query_limit from documents d join sized s using (doc_id))""", """select doc_id, source, query_limit, cast(null as varchar) as error, phrase_no, phrase from req join expanded using (doc_id) cross join (values ('weibo', 3), ('bilibili', 4)) as s(source, cap) where phrase_no < cap

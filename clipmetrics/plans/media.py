@@ -26,7 +26,7 @@ def first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     tries = li.select(F.col("l_orderkey").alias("video_id"), F.col("l_linenumber").alias("ord"), F.concat(F.lit("u"), F.col("l_partkey")).alias("url"),
                       (F.col("l_returnflag") == "N").alias("ok"), F.concat(F.lit("HTTP "), F.col("l_suppkey")).alias("error"))
-    return media.first_success(tries, 5)
+    return media.first_success(tries)
 
 
 def rendition_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ QUERIES = {
 select video_id, coalesce(arg_min(idx, (-height, -bandwidth, idx)) filter (where pic and height <= 1080), arg_min(idx, (height, idx)) filter (where mime like 'video/%' and height > 0)) as video_idx,
 arg_min(idx, (-bandwidth, idx)) filter (where aud) as audio_idx, arg_min(idx, (-bandwidth, idx)) filter (where com) as combined_idx from f group by video_id"""),
     "stream_links": (stream_links, """select l_orderkey, l_linenumber, 'https://cdn.example.com/' || l_partkey || case when l_suppkey <> l_partkey then ' https://cdn.example.com/' || l_suppkey else '' end as links from lineitem"""),
-    "first_success": (first_success, """with t as (select l_orderkey as video_id, l_linenumber as ord, 'u' || l_partkey as url, l_returnflag = 'N' as ok, 'HTTP ' || l_suppkey as error from lineitem where l_linenumber <= 5),
+    "first_success": (first_success, """with t as (select l_orderkey as video_id, l_linenumber as ord, 'u' || l_partkey as url, l_returnflag = 'N' as ok, 'HTTP ' || l_suppkey as error from lineitem where l_linenumber <= 12),
 w as (select video_id, min(ord) filter (where ok) as tries, arg_min(url, (ord, url)) filter (where ok) as url from t group by video_id)
 select video_id, w.url, tries, coalesce(string_agg(error, ' | ' order by ord, error) filter (where not ok and (tries is null or ord < tries)), '') as failures from t join w using (video_id) group by all"""),
     "rendition_plan": (rendition_plan, """with s as (select p_partkey, 640 + 64 * (p_size % 20) as w, 360 + 40 * (p_partkey % 40) as h from part), t as (select * from s cross join (values ('16:9', 1920, 1080), ('3:4', 1080, 1440), ('9:16', 1080, 1920), ('1:1', 1080, 1080)) as a(aspect, tw, th)),
