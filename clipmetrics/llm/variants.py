@@ -87,11 +87,13 @@ def reduced(codes: np.ndarray, symbols: int) -> np.ndarray:
     return (mixed(codes.astype(np.uint64) + SEED) % np.uint64(symbols)).astype(np.int64)
 
 
-def neighbourhoods(words: np.ndarray, symbols: int, budget: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For reduced words of one length (row, place): own hashes, and those one deletion or greater symbol away, as (row, hash).
+def neighbourhoods(words: np.ndarray, symbols: int, budget: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """For reduced words of one length (row, place): rows and hashes of what they generate, and whether it is the words themselves.
+
+    Besides them these are the strings one deletion or one greater symbol away, each once.
 
     The hash of a string is the sum of its symbols' values times the powers of an odd number, so that of an edited one
-    follows from sums before and after the edit. A pair may come more than once where a very long word is cut in blocks.
+    follows from sums before and after the edit.
     """
     value = mixed(np.arange(1, symbols + 1, dtype=np.uint64)) | np.uint64(1)
     length = words.shape[1]
@@ -103,7 +105,7 @@ def neighbourhoods(words: np.ndarray, symbols: int, budget: int = 1 << 20) -> It
         np.cumsum(value[part] * up[:length], axis=1, out=before[:, 1:])
         whole = before[:, -1:]
         own = np.arange(low, low + len(part))
-        yield own, whole[:, 0]
+        yield own, whole[:, 0], True
         span = max(budget // (len(part) * symbols), 1)
         for begin in range(0, length, span):
             place = np.arange(begin, min(begin + span, length))
@@ -111,12 +113,13 @@ def neighbourhoods(words: np.ndarray, symbols: int, budget: int = 1 << 20) -> It
             symbol = part[:, place, None]
             replaced = whole[:, :, None] + (value - value[symbol]) * up[place][None, :, None]
             row, at, new = np.nonzero(np.arange(symbols) > symbol)
-            yield own[row], replaced[row, at, new]
+            yield own[row], replaced[row, at, new], False
             # Taking out any of a row of equal symbols gives the same string.
             fresh = np.ones(deleted.shape, dtype=bool)
-            fresh[:, 1:] = part[:, place[1:]] != part[:, place[:-1]]
+            inner = place[place > 0]
+            fresh[:, len(place) - len(inner):] = part[:, inner] != part[:, inner - 1]
             row, at = np.nonzero(fresh)
-            yield own[row], deleted[row, at]
+            yield own[row], deleted[row, at], False
 
 
 def _by_length(batch: pa.RecordBatch, symbols: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -132,8 +135,7 @@ def _by_length(batch: pa.RecordBatch, symbols: int) -> Iterator[tuple[np.ndarray
 def near_words(words: DataFrame, symbols: int = 6) -> DataFrame:
     """word, near, near_n: all pairs, both ways round, of words that differ by one inserted, deleted or replaced code point.
 
-    `words` has distinct words and their n. They are numbered by a hash of 64 bits; where two had the same number they
-    would only meet each other's candidates, as the strings decide.
+    `words` has distinct words and their n. They are numbered by a hash of 64 bits.
     """
     numbered = words.withColumn("id", F.xxhash64("word"))
 
@@ -150,15 +152,14 @@ def near_words(words: DataFrame, symbols: int = 6) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "word", 1 << 18):
                 for ids, forms in _by_length(part, symbols):
-                    for at, hashes in neighbourhoods(forms, symbols):
+                    for at, hashes, same in neighbourhoods(forms, symbols):
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(hashes.view(np.int64)), pa.array(ids[at])], names=["form", "of"])
+                            [pa.array(hashes.view(np.int64)), pa.array(ids[at]), pa.array(np.full(len(at), same))], names=["form", "of", "same"])
 
     rows = numbered.select("id", "word")
-    forms, edited = rows.mapInArrow(own, "form long, id long"), rows.mapInArrow(around, "form long, of long")
-    # Words of one form find each other from both sides, and a hash may bring a pair again: each counts once.
-    pairs = edited.join(forms, "form").where(F.col("of") != F.col("id")).select(
-        F.least("of", "id").alias("of"), F.greatest("of", "id").alias("id")).distinct()
+    forms, edited = rows.mapInArrow(own, "form long, id long"), rows.mapInArrow(around, "form long, of long, same boolean")
+    # Words of one form find each other from both sides, all others from one.
+    pairs = edited.join(forms, "form").where(~F.col("same") | (F.col("of") < F.col("id"))).select("of", "id")
     left = numbered.select(F.col("id").alias("of"), F.col("word").alias("a"), F.col("n").alias("a_n"))
     right = numbered.select("id", F.col("word").alias("b"), F.col("n").alias("b_n"))
     found = pairs.join(left, "of").join(right, "id").where(F.levenshtein("a", "b", 1) == 1)

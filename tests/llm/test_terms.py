@@ -173,8 +173,9 @@ def test_neighbourhoods_are_complete():
         own, around = {}, defaultdict(set)
         for n in (1, 2, 3, 4):
             block = np.array([w for w in words if len(w) == n])
-            for at, values in variants.neighbourhoods(block, 3, budget):
+            for at, values, _ in variants.neighbourhoods(block, 3, budget):
                 for i, value in zip(at.tolist(), values.tolist()):
+                    assert value not in around[tuple(block[i].tolist())]  # each once
                     around[tuple(block[i].tolist())].add(value)
             for w in block:
                 own[tuple(w.tolist())] = int(next(variants.neighbourhoods(w[None, :], 3))[1][0])
