@@ -25,6 +25,7 @@ from clipmetrics.session import written
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 K1, B = 1.2, 0.75
+FULL = 10  # terms held by more than one in so many entries have full columns
 DIMENSIONS = 64
 BASE, SAMPLE = 16384, 32  # documents in all, and further ones a shard, that are looked at to place the cuts
 
@@ -53,8 +54,10 @@ class Terms(NamedTuple):
 
 
 def counted(ids: np.ndarray) -> Terms:
-    terms, often = np.unique(ids[:-1], return_counts=True)
-    return Terms(terms, often, len(ids))
+    held = ids[:-1]
+    held = np.sort(held.astype(np.uint16) if held.max(initial=0) < 1 << 16 else held, kind="stable")
+    ends = np.append(np.flatnonzero(held[1:] != held[:-1]), len(held) - 1) + 1 if len(held) else np.zeros(0, np.int64)
+    return Terms(held[ends - 1], np.diff(ends, prepend=0), len(ids))
 
 
 class Bm25:
@@ -86,7 +89,7 @@ class Bm25:
         self.held = np.bincount(terms, minlength=max((int(t[-1]) + 1 for t in self.terms if len(t)), default=1))
         self.ends = np.cumsum(self.held)
         self.columns: dict[int, np.ndarray] = {}
-        for term in np.flatnonzero(self.held * 10 > self.n).tolist():
+        for term in np.flatnonzero(self.held * FULL > self.n).tolist():
             part = slice(self.ends[term] - self.held[term], self.ends[term])
             self.columns[term] = np.bincount(docs[part], weights=weight[part], minlength=self.n)
 
@@ -100,7 +103,7 @@ class Bm25:
     def scores(self, doc: int) -> np.ndarray:
         """BM25 of every kept entry, in the order of `entries`, for the terms of one."""
         terms = self.terms[doc]
-        full = self.held[terms] * 10 > self.n
+        full = self.held[terms] * FULL > self.n
         rare = terms[~full]
         parts = [slice(a, b) for a, b in zip((self.ends[rare] - self.held[rare]).tolist(), self.ends[rare].tolist()) if a < b]
         if parts:
@@ -125,7 +128,13 @@ def runs(scores: np.ndarray, size: int = 16) -> Iterator[np.ndarray]:
         else:
             rest = rest[:0]
         top = top[np.argsort(-scores[top], kind="stable")]
-        yield from np.split(top, np.flatnonzero(np.diff(scores[top])) + 1)
+        own, low = scores[top].tolist(), 0
+        while low < len(own):
+            high = low + 1
+            while high < len(own) and own[high] == own[low]:
+                high += 1
+            yield top[low:high]
+            low = high
         size *= 4
 
 
