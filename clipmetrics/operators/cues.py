@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from clipmetrics.functions import regions, text
 from clipmetrics.functions.text import strip
 from clipmetrics.operators.folds import fold
-from clipmetrics.operators.ordered import SLICE, previous, running_counts, running_max, with_slices
+from clipmetrics.operators.ordered import SLICE, running_counts, running_max, with_slices
 from clipmetrics.params import MatchParams, PackingParams
+from clipmetrics.session import written
 
 ORDER = ["start_s", "ord"]
 
@@ -36,42 +38,107 @@ def merge_intervals(cues: DataFrame, max_gap: float = 0.30, slice_seconds: float
 
 
 _CHUNK = StructType([
-    StructField("video_id", StringType()), StructField("island", LongType()), StructField("chunk", LongType()),
-    StructField("first_ord", LongType()), StructField("start_s", DoubleType()), StructField("end_s", DoubleType()),
-    StructField("cues", LongType()), StructField("text", StringType()),
+    StructField("video_id", StringType()), StructField("first_ord", LongType()), StructField("start_s", DoubleType()),
+    StructField("end_s", DoubleType()), StructField("cues", LongType()), StructField("text", StringType()),
 ])
+_LINK = StructType([
+    StructField("video_id", StringType()), StructField(SLICE, LongType()), StructField("place", LongType()), StructField("start_s", DoubleType()),
+    StructField("ord", LongType()), StructField("shared", BooleanType()), StructField("next_start", DoubleType()), StructField("next_ord", LongType()),
+])
+_ENTRY = StructType([StructField("video_id", StringType()), StructField(SLICE, LongType()), StructField("entry", LongType())])
+
+
+class _Groups:
+    """The cues of one slice, those of the next that a group of this one can reach included, and where each group ends.
+
+    Rows are ord, start, end, text, whether the slice owns the cue, and whether the slice before reaches it too.
+    """
+
+    def __init__(self, rows: Iterator[tuple], params: PackingParams) -> None:
+        self.rows, self.params = list(rows), params
+        self.owned = sum(r[4] for r in self.rows)
+
+    def end(self, first: int) -> int:
+        """The first cue that a group beginning at `first` cannot take."""
+        rows, p = self.rows, self.params
+        start, size, at = rows[first][1], len(rows[first][3]), first + 1
+        while at < len(rows):
+            _, s, e, t, *_ = rows[at]
+            size += 1 + len(t)
+            if s - rows[at - 1][2] > p.max_gap or size > p.max_chars or max(s, e) - start > p.max_duration:
+                break
+            at += 1
+        return at
+
+
+def _links(params: PackingParams):
+    def step(key: tuple, rows: Iterator[tuple]) -> Iterable[tuple]:
+        """For every cue a group may have to begin with: the first one after the slice that a group then begins with."""
+        groups = _Groups(rows, params)
+        candidates = [i for i in range(groups.owned) if groups.rows[i][5]]
+        candidates += [i for i in range(groups.owned) if not groups.rows[i][5]][:1]
+        leaves: dict[int, int] = {}
+        for at in reversed(candidates):
+            path = []
+            while at < groups.owned and at not in leaves:
+                path.append(at)
+                at = groups.end(at)
+            leaves.update(dict.fromkeys(path, leaves.get(at, at)))
+        for place in candidates:
+            ord_, start, _, _, _, shared = groups.rows[place]
+            after = groups.rows[leaves[place]] if leaves[place] < len(groups.rows) else (None, None)
+            yield (*key, place, start, ord_, shared, after[1], after[0])
+    return step
+
+
+def _entries(key: tuple, rows: Iterator[tuple]) -> Iterable[tuple]:
+    """The cue that the first group of each slice of a video begins with, from one slice to the next."""
+    wanted, after = None, None  # a place in order, or none: then whatever the slice `after` could not reach
+    for slice_no, candidates in groupby(rows, key=lambda r: r[0]):
+        for _, place, start, ord_, shared, next_start, next_ord in candidates:
+            if (start, ord_) >= wanted if wanted else not (shared and after == slice_no - 1):
+                yield (*key, slice_no, place)
+                wanted, after = (next_start, next_ord) if next_start is not None else None, slice_no
+                break
+        else:
+            # All cues of this slice went into a group of the one before; so far nothing else is known of the next.
+            after = after if wanted else None
 
 
-def _pack(max_chars: int, max_duration: float):
+def _packed(params: PackingParams):
     def step(key: tuple, rows: Iterator[tuple]) -> Iterable[tuple]:
-        chunk, texts = 0, []
-        first = start = end = size = None
-        for ord_, s, e, t in rows:
-            if texts and size + 1 + len(t) <= max_chars and e - start <= max_duration:
-                texts.append(t)
-                end, size = e, size + 1 + len(t)
-                continue
-            if texts:
-                yield (*key, chunk, first, start, end, len(texts), " ".join(texts))
-                chunk += 1
-            first, start, end, size, texts = ord_, s, e, len(t), [t]
-        yield (*key, chunk, first, start, end, len(texts), " ".join(texts))
+        first = next(rows)
+        groups = _Groups((r[1:] for r in chain([first], rows)), params)
+        at = first[0]
+        while at < groups.owned:
+            end = groups.end(at)
+            members = groups.rows[at:end]
+            yield (key[0], members[0][0], members[0][1], members[-1][2], len(members), " ".join(r[3] for r in members))
+            at = end
     return step
 
 
 def pack_speech(cues: DataFrame, params: PackingParams = PackingParams(), slice_seconds: float = 600.0) -> DataFrame:
     """Greedy groups of neighbouring cues for speech: characters, duration and pause bounded.
 
-    A long pause always closes a group, so the stretches between pauses are independent and only
-    inside one the greedy choice is sequential.
+    A group reaches no further than max_duration, so a time slice that also sees the cues up to there knows, for every
+    cue a group may begin with, where the next ones begin and which is the first of them beyond the slice. These links, a
+    few rows a slice, are followed once per video; then every slice packs its own groups. No video, however long and
+    however free of pauses, is packed by one task. A cue that ends before it starts counts as ending where it starts.
     """
+    width = max(slice_seconds, params.max_duration)
     spoken = cues.withColumn("text", strip("text")).where(F.col("text") != "")
-    sliced = with_slices(spoken.select("video_id", "ord", "start_s", "end_s", "text"), F.col("start_s"), slice_seconds)
-    linked = previous(sliced, ["video_id"], ORDER, ["end_s"])
-    pause = F.col("prev_end_s").isNull() | (F.col("start_s") - F.col("prev_end_s") > params.max_gap)
-    stretches = running_counts(linked, ["video_id"], ORDER, {"island": pause})
-    keyed = stretches.withColumn("video_id", F.col("video_id").cast("string"))
-    return fold(keyed, ["video_id", "island"], ORDER, ["ord", "start_s", "end_s", "text"], _pack(params.max_chars, params.max_duration), _CHUNK)
+    own, reached = F.floor(F.col("start_s") / width), F.floor((F.col("start_s") - params.max_duration) / width)
+    rows = written(
+        spoken.select(F.col("video_id").cast("string").alias("video_id"), "ord", F.col("start_s").cast("double").alias("start_s"),
+                      F.col("end_s").cast("double").alias("end_s"), "text", own.alias("_own"), (reached < own).alias("shared"),
+                      F.explode(F.sequence(reached, own)).alias(SLICE))
+        .withColumn("owned", F.col(SLICE) == F.col("_own")).drop("_own"), "speech-slices")
+    values = ["ord", "start_s", "end_s", "text", "owned", "shared"]
+    links = fold(rows, ["video_id", SLICE], ORDER, values, _links(params), _LINK)
+    entries = fold(links, ["video_id"], [SLICE, "place"], [SLICE, "place", "start_s", "ord", "shared", "next_start", "next_ord"], _entries, _ENTRY)
+    ready = rows.join(entries, ["video_id", SLICE])
+    return fold(ready, ["video_id", SLICE], ORDER, ["entry", *values], _packed(params), _CHUNK)
 
 
 def _join_up(pieces: Column, limit: int) -> Column:

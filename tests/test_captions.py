@@ -281,21 +281,27 @@ def test_interval_merge(spark, seed):
     assert got == want
 
 
-def test_speech_packing(spark):
-    rng = random.Random(7)
-    rows, clock = [], 0.0
-    for i in range(120):
-        clock = round(clock + rng.choice([0.0, 0.5, 1.0, 1.5]), 2)
-        rows.append(("v", i, clock, clock := round(clock + rng.choice([0.5, 2.0]), 2), "x" * rng.randrange(0, 80)))
-    df = spark.createDataFrame(rows, CUE + ", text string")
-    got = [(r.first_ord, r.text) for r in cues.pack_speech(df, PackingParams(), 5.0).orderBy("first_ord").collect()]
+@pytest.mark.parametrize(("seed", "width", "steps"), [(7, 5.0, (0.0, 0.5, 1.0, 1.5)), (8, 11.0, (0.0, 0.1)), (9, 600.0, (0.0, 3.0)), (10, 10.0, (0.0, 25.0)), (11, 12.0, (-0.4, 0.0))])
+def test_speech_packing(spark, seed, width, steps):
+    """Slices of any width give the groups of one pass over each video: stretches without pauses, overlaps, empty slices."""
+    rng = random.Random(seed)
+    rows = []
+    for video in "vwx":
+        clock = -3.0
+        for i in range(150):
+            clock = round(clock + rng.choice(steps), 2)
+            rows.append((video, i, clock, clock := round(clock + rng.choice([0.5, 2.0, 0.1]), 2), "x" * rng.choice((0, 5, 20, 79, 300) if video == "x" else (3, 40))))
+    rows += [("y", i, 4.0, 4.0 + i % 3, "same") for i in range(50)] + [("z", 1, 8.0, 60.0, "long"), ("z", 2, 59.0, 61.0, "b"), ("z", 3, 61.0, 60.0, "c")]
+    df = spark.createDataFrame(rows, CUE + ", text string").repartition(3)
+    got = [(r.video_id, r.first_ord, r.start_s, r.end_s, r.cues, r.text) for r in cues.pack_speech(df, PackingParams(), width).collect()]
     want = []
-    for _, i, s, e, t in (r for r in rows if r[4]):
-        if want and len(want[-1]["t"]) + 1 + len(t) <= 180 and e - want[-1]["s"] <= 10 and s - want[-1]["e"] <= 1.2:
-            want[-1].update(t=want[-1]["t"] + " " + t, e=e)
+    for v, i, s, e, t in sorted((r for r in rows if r[4]), key=lambda r: (r[0], r[2], r[1])):
+        w = want[-1] if want and want[-1][0] == v else None
+        if w and len(w[5]) + 1 + len(t) <= 180 and max(s, e) - w[2] <= 10 and s - w[3] <= 1.2:
+            want[-1] = (*w[:3], e, w[4] + 1, w[5] + " " + t)
         else:
-            want.append({"i": i, "s": s, "e": e, "t": t})
-    assert got == [(w["i"], w["t"]) for w in want]
+            want.append((v, i, s, e, 1, t))
+    assert sorted(got) == sorted(want)
 
 
 @pytest.mark.parametrize("seed", [51, 52])
