@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import product
+from math import floor, frexp
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,27 +131,74 @@ def persistent_texts(df: DataFrame, chosen: DataFrame, params: PersistentParams
 _GROUPED = [StructField("item", LongType()), StructField("grp", LongType())]
 
 
-def _shared(a: tuple, b: tuple, floor: float) -> float:
+def _shared(a: tuple, b: tuple, least: float) -> float:
     w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
     h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
-    return w * h / max(floor, min(a[2] * a[3], b[2] * b[3])) if w > 0 and h > 0 else 0.0
+    return w * h / max(least, min(a[2] * a[3], b[2] * b[3])) if w > 0 and h > 0 else 0.0
 
 
-def _first_group(threshold: float, strict: bool, floor: float):
+class _Grid:
+    """Boxes of groups by place: a box lies in the few cells of its size that it covers, a search looks at those it may touch.
+
+    Sizes double from one level to the next, so a box covers at most nine cells of its level. In a cell boxes are
+    kept by group, and a search goes through the groups in order and ends with the first that has a box it meets.
+    """
+
+    def __init__(self) -> None:
+        self.levels: dict[int, dict[tuple[int, int], dict[int, list[tuple]]]] = {}
+        self.held: set[tuple[tuple, int]] = set()
+        self.boxes = 0
+
+    @staticmethod
+    def _range(box: tuple, size: float) -> tuple[int, int, int, int]:
+        return floor(box[0] / size), floor((box[0] + box[2]) / size), floor(box[1] / size), floor((box[1] + box[3]) / size)
+
+    def add(self, box: tuple, group: int) -> None:
+        if (box, group) in self.held:
+            return
+        self.held.add((box, group))
+        self.boxes += 1
+        level = frexp(max(box[2], box[3]))[1]
+        left, right, top, bottom = self._range(box, 2.0**level)
+        cells = self.levels.setdefault(level, {})
+        for cell in product(range(left, right + 1), range(top, bottom + 1)):
+            cells.setdefault(cell, {}).setdefault(group, []).append(box)
+
+    def first(self, box: tuple, meets: Callable[[tuple, tuple], bool]) -> int | None:
+        """The smallest number of a group with a box that this one meets."""
+        near: dict[int, list[list[tuple]]] = {}
+        for level, cells in self.levels.items():
+            left, right, top, bottom = self._range(box, 2.0**level)
+            if (right - left + 1) * (bottom - top + 1) <= len(cells):
+                touched = (cells[c] for c in product(range(left, right + 1), range(top, bottom + 1)) if c in cells)
+            else:
+                touched = (groups for (x, y), groups in cells.items() if left <= x <= right and top <= y <= bottom)
+            for groups in touched:
+                for group, members in groups.items():
+                    near.setdefault(group, []).append(members)
+        return next((g for g in sorted(near) if any(meets(box, m) for members in near[g] for m in members)), None)
+
+
+def _first_group(threshold: float, strict: bool, least: float):
     """Each box goes to the first group one of whose boxes it overlaps enough."""
     def meets(a: tuple, b: tuple) -> bool:
-        shared = _shared(a, b, floor)
+        shared = _shared(a, b, least)
         return shared > threshold if strict else shared >= threshold
 
     def step(key: tuple, rows: Iterator[tuple]) -> Iterable[tuple]:
-        groups: list[dict[tuple, None]] = []  # distinct boxes are enough to test against
+        grid, held, groups = _Grid(), {}, 0  # held: the group of each box, and how many boxes there were when it was found
         for item, *shape in rows:
-            b = tuple(shape)
-            own = meets(b, b)  # a box without area does not even overlap its equal
-            hit = next((n for n, members in enumerate(groups) if own and b in members or any(meets(b, m) for m in members)), len(groups))
-            if hit == len(groups):
-                groups.append({})
-            groups[hit][b] = None
+            box = tuple(shape)
+            if box[2] <= 0 or box[3] <= 0:  # a box without area overlaps nothing, not even its equal
+                hit, groups = groups, groups + 1
+            else:
+                # Too small a box does not even meet its equal.
+                hit, seen = held.get(box, (None, -1)) if meets(box, box) else (None, -1)
+                if seen < grid.boxes:  # an earlier group may have grown to here since
+                    found = grid.first(box, meets)
+                    hit, groups = (groups, groups + 1) if found is None else (found, groups)
+                    grid.add(box, hit)
+                    held[box] = hit, grid.boxes
             yield (*key, item, hit)
     return step
 

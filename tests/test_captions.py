@@ -445,3 +445,53 @@ def test_boxes(spark):
 
 def test_written_tables_stay_readable(spark):
     assert written(spark.range(5), "check").count() == 5
+
+
+def plain_groups(shapes, threshold, strict, least):
+    """Every box tested against every box of every group, in order."""
+    groups, out = [], []
+    for b in shapes:
+        meets = lambda m: boxes._shared(b, m, least) > threshold if strict else boxes._shared(b, m, least) >= threshold  # noqa: B023,E731
+        hit = next((n for n, members in enumerate(groups) if any(meets(m) for m in members)), len(groups))
+        if hit == len(groups):
+            groups.append([])
+        groups[hit].append(b)
+        out.append(hit)
+    return out
+
+
+@pytest.mark.parametrize(("threshold", "strict", "least"), [(0.28, False, 1e-9), (0.25, True, 1e-6), (0.9, False, 1e-9)])
+def test_overlap_groups_equal_all_tests(spark, threshold, strict, least):
+    """Boxes of all sizes, off the screen, equal, without area, in crowds."""
+    rng = random.Random(int(threshold * 100))
+    shapes = []
+    for _ in range(700):
+        size = 2.0 ** -rng.choice((0, 1, 3, 5, 9, 30))
+        shapes.append((rng.choice((-1.5, 0.0, 0.25, rng.random())), rng.random() * size, rng.choice((size, size * rng.random())), size * rng.random()))
+        if rng.random() < 0.2:
+            shapes.append(rng.choice(shapes))
+        if rng.random() < 0.05:
+            shapes.append((0.3, 0.3, rng.choice((0.0, -0.2)), 0.5))
+    rows = [("v", i, *b) for i, b in enumerate(shapes)]
+    df = spark.createDataFrame(rows, "video_id string, item long, x double, y double, w double, h double").repartition(3)
+    got = {r.item: r.grp for r in boxes.overlap_groups(df, ["video_id"], threshold, strict, least).collect()}
+    assert [got[i] for i in range(len(rows))] == plain_groups(shapes, threshold, strict, least)
+
+
+def test_overlap_groups_of_a_crowded_key():
+    """Forty thousand boxes of one key in thousands of groups: each is tested against a few."""
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(90) / 90 + rng.random() / 900, rng.randrange(90) / 90 + rng.random() / 900, 0.009, 0.009) for i in range(40_000)]
+    tests = 0
+
+    def counting(a, b, least, plain=boxes._shared):
+        nonlocal tests
+        tests += 1
+        return plain(a, b, least)
+
+    plain, boxes._shared = boxes._shared, counting
+    try:
+        got = list(boxes._first_group(0.28, False, 1e-9)((), iter(rows)))
+    finally:
+        boxes._shared = plain
+    assert len({g for _, g in got}) == 8100 and tests < 40 * len(rows)
