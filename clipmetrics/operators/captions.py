@@ -13,6 +13,7 @@ from clipmetrics import rules
 from clipmetrics.functions import regions, similarity, text
 from clipmetrics.functions.text import strip
 from clipmetrics.operators import boxes as boxes_of
+from clipmetrics.operators import shown
 from clipmetrics.operators.folds import fold
 from clipmetrics.operators.ordered import dense_ids, previous_within, running_counts
 from clipmetrics.params import CaptionParams
@@ -58,46 +59,26 @@ def equal_text_segments(observations: DataFrame, params: CaptionParams = Caption
     )
 
 
-_RUN_SEGMENT = StructType([
-    StructField("video_id", StringType()), StructField("island", LongType()),
-    StructField("run", LongType()), StructField("part", LongType()),
-])
-
-
 def _from(ratio: Ratio) -> Callable[[str, str, float], float]:
     """ratio as a function that may answer 0 below a floor; the standard one spares the work there."""
     return similarity.ratio_from if ratio is similarity.ratio else lambda a, b, floor: ratio(a, b)
 
 
-def _split_runs(threshold: float, ratio: Ratio):
-    close = _from(ratio)
-
-    def step(key: tuple, rows: Iterator[tuple]) -> Iterable[tuple]:
-        part, shown, trusted = 0, None, 0.0
-        for run, cmp, best in rows:
-            if shown is None or close(shown, cmp, threshold) < threshold:
-                part, shown, trusted = part + 1, cmp, round(best, 4)
-            elif best > trusted:
-                shown, trusted = cmp, max(trusted, round(best, 4))
-            yield (*key, run, part)
-    return step
-
-
 def similar_text_segments(observations: DataFrame, params: CaptionParams = CaptionParams(),
                           ratio: Ratio = similarity.ratio) -> DataFrame:
     """Observations with a segment number, by similarity to the segment's current representative text.
 
-    The representative changes while a segment grows, so this part is sequential. It is made small first:
-    a gap always ends a segment, so gap-free stretches are independent; a run of equal text moves as one.
-    Only run summaries go through the fold, and its result joins back by run. Both tables are read
-    several times afterwards and are therefore written once.
+    The representative changes while a segment grows, so each text depends on the one before. A gap always ends a
+    segment, a run of equal text moves as one, and slices of time fold in parallel (see shown.segment_parts), so that
+    no video is one task. Only run summaries go through the folds, and the result joins back by run. Both tables are
+    read several times afterwards and are therefore written once.
     """
     numbered = written(runs(observations, params), "runs")
     # The first run of a segment sets the representative with its first confidence, later ones only raise it.
     summary = numbered.groupBy("video_id", "island", "run").agg(
-        F.first("cmp").alias("cmp"), F.max("confidence").alias("best"),
+        F.first("cmp").alias("cmp"), F.max("confidence").alias("best"), F.min("t").alias("t"),
     )
-    parts = fold(summary, ["video_id", "island"], ["run"], ["run", "cmp", "best"], _split_runs(params.text_similarity, ratio), _RUN_SEGMENT)
+    parts = shown.segment_parts(summary, _from(ratio), params.text_similarity, max(params.slice_seconds, params.gap))
     joined = numbered.join(written(parts, "parts"), ["video_id", "island", "run"])
     return joined.withColumn("seg", F.struct("island", "part"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clipmetrics.functions import regions, similarity
-from clipmetrics.operators import batches, boxes, captions, cues, media, ordered
+from clipmetrics.operators import batches, boxes, captions, cues, media, ordered, shown
 from clipmetrics.params import CaptionParams, MatchParams, PackingParams, PersistentParams
 from clipmetrics.session import written
 
@@ -70,6 +70,41 @@ def segments_one_by_one(rows, params):
     return sorted((s["video"], tuple(s["ords"])) for s in out)
 
 
+def without_pause(seed, n, texts, trust):
+    """One video that never pauses; texts change now and then, so that one may be shown for many slices or few."""
+    rng, out, kind = random.Random(seed), [], 0
+    for i in range(n):
+        kind = rng.randrange(len(texts)) if rng.random() < 0.04 else kind
+        out.append(("v", i, round(i * 0.3, 4), rng.choice(texts[kind]), trust(rng)))
+    return out
+
+
+@pytest.mark.parametrize("seed,trust", [(1, lambda r: round(r.random(), 3)), (2, lambda r: r.choice([0.5, 0.9, 0.9])), (3, lambda r: 0.8), (4, lambda r: round(r.random() ** 4, 5))])
+@pytest.mark.parametrize("width", [0.9, 6.0])
+def test_similar_segments_over_slices(spark, seed, trust, width):
+    """A text that outlasts many slices, drifting spellings and texts near the threshold: as if folded in one go."""
+    drift = ["abcdefgh", "abcdefgx", "abcdefyx", "abcdezyx", "abcdwzyx", "abcvwzyx"]
+    rows = without_pause(seed, 700, [drift, ["hello world", "hello worlds"], ["good bye"], ["!!", "good-bye"]], trust)
+    params = CaptionParams(max_gap=0.75, slice_seconds=width)
+    got = captions.similar_text_segments(spark.createDataFrame(rows, OBS), params).groupBy("video_id", "seg").agg(F.sort_array(F.collect_list("ord")).alias("o")).collect()
+    assert sorted((r.video_id, tuple(r.o)) for r in got) == segments_one_by_one(rows, params)
+
+
+def test_one_text_over_all_slices_takes_few_rounds(spark):
+    """Equally trusted readings of one text that never pauses: guessed right at once, so two walks settle 200 slices."""
+    rows = [("v", i, i * 0.3, "hello world" + "s" * (i % 2), 0.9) for i in range(2000)]
+    runs = spark.createDataFrame([(v, 1, i, t, x, c) for v, i, t, x, c in rows], "video_id string, island long, run long, t double, cmp string, best double")
+    jobs = []
+    plain = shown.written
+    shown.written = lambda df, name: jobs.append(name) or plain(df, name)
+    try:
+        parts = shown.segment_parts(runs, similarity.ratio_from, 0.7, 3.0)
+    finally:
+        shown.written = plain
+    assert [(r.part, r.n) for r in parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()] == [(0, 2000)]
+    assert jobs.count("slice-entries") == 2
+
+
 @pytest.mark.parametrize("seed", [11, 12, 13])
 def test_similar_segments(spark, seed):
     rows = observations(seed)
