@@ -286,6 +286,14 @@ def json_line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*LANDED, F.unix_seconds("published_at").alias("published_s"))
 
 
+def json_line_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines through the landed_lines format, which answers the conditions on likes and address itself."""
+    path = work_dir(spark, "json-lines")
+    _json_lines(spark, sf_dir).select("value").write.text(path)
+    out = landed.read_landed_lines(spark, path, "kitchen", (F.col("like_count") >= 3) & (F.col("url") != ""))
+    return out.select(*LANDED[1:], F.unix_seconds("published_at").alias("published_s"))
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     item = F.struct(
@@ -424,6 +432,8 @@ from num where source not in (select source from ok) group by source, distinct_e
     "json_line_candidates": (json_line_candidates, f"""select doc_id as seq, 'BV' || doc_id as video_id, 'bilibili' as platform, nullif(text, '') as title, source as author,
 case when doc_id % 3 = 0 then 'https://v.example.com/' || doc_id else 'https://www.bilibili.com/video/BV' || doc_id end as url, nullif(n_chars, 0) as duration_sec, nullif(n_chars * 3, 0) as views,
 nullif(doc_id % 7, 0) as likes, 'kitchen' as search_source, case when doc_id % 2 = 0 then doc_id + 1700000000 end as published_s {LINES}"""),
+    "json_line_format": (json_line_format, f"""select 'BV' || doc_id as video_id, 'bilibili' as platform, nullif(text, '') as title, source as author, 'https://v.example.com/' || doc_id as url, nullif(n_chars, 0) as duration_sec,
+nullif(n_chars * 3, 0) as views, nullif(doc_id % 7, 0) as likes, 'kitchen' as search_source, case when doc_id % 2 = 0 then doc_id + 1700000000 end as published_s {LINES} and doc_id % 7 >= 3 and doc_id % 3 = 0"""),
     "json_line_files": (json_line_files, f"""with n as (select *, row_number() over (order by doc_id) - 1 as place from documents) select place as seq, 'BV' || doc_id as video_id, 'bilibili' as platform, nullif(text, '') as title, source as author,
 case when doc_id % 3 = 0 then 'https://v.example.com/' || doc_id else 'https://www.bilibili.com/video/BV' || doc_id end as url, nullif(n_chars, 0) as duration_sec, nullif(n_chars * 3, 0) as views,
 nullif(doc_id % 7, 0) as likes, 'kitchen' as search_source, case when doc_id % 2 = 0 then doc_id + 1700000000 end as published_s {LINES.replace('from documents', 'from n')}"""),

@@ -49,12 +49,11 @@ def srt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def srt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cues written as subtitle files, one folder per video, and read again."""
+    """Cues written as subtitle files, many videos to an archive, and read again."""
     path = work_dir(spark, "srt")
-    srt.write_srt(_some_blank(spark, sf_dir), path)
-    back = srt.read_srt(spark, path)
-    video = F.regexp_extract("file", "video_id=([^/]+)", 1).cast("long")
-    return back.select(video.alias("video_id"), F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"), "text")
+    srt.write_subtitles(_some_blank(spark, sf_dir), path)
+    back = srt.read_subtitles(spark, path)
+    return back.select(F.col("video").cast("long").alias("video_id"), F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"), "text")
 
 
 def _srt_files(spark: SparkSession, sf_dir: str) -> DataFrame:

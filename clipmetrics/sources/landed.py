@@ -13,6 +13,7 @@ from clipmetrics import rules, schemas
 from clipmetrics.functions import text, urls
 from clipmetrics.functions.text import strip
 from clipmetrics.operators.candidates import keep_first
+from clipmetrics.sources.formats import register_formats
 
 
 def _candidate(df: DataFrame, keep: list[str], values: dict[str, Column]) -> DataFrame:
@@ -43,10 +44,23 @@ def limited(df: DataFrame, group: list[str], limit: int | None) -> DataFrame:
 
 def candidates_from_json_lines(lines: DataFrame, keyword: Column, column: str = "value") -> DataFrame:
     """lines(seq, value): bad lines and rows without id are skipped; a missing address comes from the id."""
-    rows = lines.select("seq", keyword.alias("_keyword"), F.from_json(F.col(column), schemas.JSONL_ROW).alias("j"))
+    return candidates_from_rows(lines.select("seq", keyword.alias("_keyword"), F.from_json(F.col(column), schemas.JSONL_ROW).alias("j")), ["seq"])
+
+
+def read_landed_lines(spark: SparkSession, path: str, keyword: str, where: Column | None = None) -> DataFrame:
+    """Candidate rows with file and byte position, through the landed_lines format; where is a condition on landed fields."""
+    register_formats(spark)
+    lines = spark.read.format("landed_lines").load(path)
+    kept = lines if where is None else lines.where(where)
+    fields = [f.split(" ")[0] for f in schemas.JSONL_ROW.split(", ")]
+    return candidates_from_rows(kept.select("file", "at", F.lit(keyword).alias("_keyword"), F.struct(*fields).alias("j")), ["file", "at"])
+
+
+def candidates_from_rows(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """rows(keep, _keyword, j) with the landed fields in j; rows without id are skipped."""
     good = rows.where(strip("j.bvid") != "")
     link = F.coalesce(text.blank_to_null(F.col("j.url")), F.concat(F.lit(rules.BILIBILI_URL), F.col("j.bvid")))
-    return _candidate(good, ["seq"], {
+    return _candidate(good, keep, {
         "video_id": F.col("j.bvid"), "platform": F.lit("bilibili"), "title": F.col("j.title"), "author": F.col("j.owner_name"),
         "url": link, "thumbnail": F.col("j.cover_url"), "duration_sec": F.col("j.duration_seconds"), "views": F.col("j.view_count"),
         "likes": F.col("j.like_count"), "comments": F.col("j.reply_count"), "shares": F.col("j.share_count"),

@@ -13,6 +13,7 @@ from clipmetrics import rules, schemas
 from clipmetrics.functions import regions, text
 from clipmetrics.functions.text import strip
 from clipmetrics.operators.ordered import row_numbers, with_slices
+from clipmetrics.sources.formats import register_formats
 
 TIMING = r"(\d{2}:\d{2}:\d{2}[,.]\d{3})\s+-->\s+(\d{2}:\d{2}:\d{2}[,.]\d{3})"
 
@@ -63,6 +64,20 @@ def write_srt(cues: DataFrame, path: str, key: str = "video_id") -> None:
     ordered.select(key, F.col("block").alias("value")).write.partitionBy(key).text(path)
 
 
+def write_subtitles(cues: DataFrame, path: str, key: str = "video_id") -> None:
+    """Archives of many videos each, through the subtitles format; a very long video is spread over several."""
+    register_formats(cues.sparkSession)
+    blocks = srt_blocks(cues, key).select(F.col(key).cast("string").alias("video"), F.col("block_no").cast("long").alias("part"), F.col("block").alias("content"))
+    ordered = blocks.repartitionByRange("video", "part").sortWithinPartitions("video", "part")
+    ordered.write.format("subtitles").mode("append").save(path)
+
+
+def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
+    """Cues of all subtitle files and archives below a path: (video, part, block_no, start_s, end_s, text)."""
+    register_formats(spark)
+    return parse_srt(spark.read.format("subtitles").load(path), ["video", "part"])
+
+
 def normalized_srt(col: Column) -> Column:
     return F.concat(strip(_plain(col)), F.lit("\n"))
 
