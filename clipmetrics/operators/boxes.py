@@ -39,20 +39,61 @@ def _quantiles(df: DataFrame, keys: list[str], low: float, high: float) -> DataF
     )
 
 
-def robust_box(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Median of every edge, padded: one stray hit does not move the box."""
-    q = _quantiles(df, keys, 0.5, 0.5)
+def edge_sketches(df: DataFrame, keys: list[str], size: int = 1000, unit: str | None = None) -> DataFrame:
+    """Partial results to store and merge later: a KLL sketch of every edge, and an HLL sketch of the distinct values of unit.
+
+    Their size does not grow with the rows of a key. At size 1000 a quantile's rank is within 0.4 % of the wanted one in 99 of
+    100 cases; keys of at most `size` boxes are exact up to interpolation. Boxes with a null edge count for the other edges.
+    """
+    sketches = [F.kll_sketch_agg_double(edge.cast("double"), F.lit(size)).alias(f"{n}_sketch") for n, edge in zip("ltrb", edges())]
+    units = [F.hll_sketch_agg(unit).alias("unit_sketch")] if unit else []
+    return df.groupBy(*keys).agg(*sketches, *units)
+
+
+def merge_sketches(partials: DataFrame, keys: list[str], size: int = 1000) -> DataFrame:
+    """edge_sketches of parts (days, files) as those of the whole."""
+    merged = [F.kll_merge_agg_double(f"{n}_sketch", F.lit(size)).alias(f"{n}_sketch") for n in "ltrb"]
+    units = [F.hll_union_agg("unit_sketch").alias("unit_sketch")] if "unit_sketch" in partials.columns else []
+    return partials.groupBy(*keys).agg(*merged, *units)
+
+
+def sketched_quantiles(sketches: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
+    """Edge quantiles l, t (low) and r, b (high) from sketches, with the number of boxes seen and, if kept, of distinct units."""
+    edge = [F.kll_sketch_get_quantile_double(f"{n}_sketch", F.lit(q)).alias(n) for n, q in zip("ltrb", (low, low, high, high))]
+    units = [F.hll_sketch_estimate("unit_sketch").alias("units")] if "unit_sketch" in sketches.columns else []
+    return sketches.select(*keys, *edge, F.kll_sketch_get_n_double("l_sketch").alias("boxes"), *units)
+
+
+def _robust(q: DataFrame, keys: list[str]) -> DataFrame:
     raw = regions.box(F.col("l"), F.col("t"), F.greatest(F.lit(0.02), F.col("r") - F.col("l")), F.greatest(F.lit(0.015), F.col("b") - F.col("t")))
     return q.select(*keys, regions.rounded(regions.padded(raw, 0.012, 0.008, 0.01)).alias("box"))
 
 
-def text_region(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Region that holds nearly all text: 5 % and 95 % edge quantiles, padded."""
-    q = _quantiles(df, keys, 0.05, 0.95)
+def _region(q: DataFrame, keys: list[str]) -> DataFrame:
     raw = regions.box(F.col("l"), F.col("t"), F.greatest(F.lit(0.03), F.col("r") - F.col("l")), F.greatest(F.lit(0.025), F.col("b") - F.col("t")))
     return q.select(*keys, regions.padded(raw, 0.025, 0.018, 0.01).alias("box"))
 
 
+def robust_box(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Median of every edge, padded: one stray hit does not move the box."""
+    return _robust(_quantiles(df, keys, 0.5, 0.5), keys)
+
+
+def text_region(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Region that holds nearly all text: 5 % and 95 % edge quantiles, padded."""
+    return _region(_quantiles(df, keys, 0.05, 0.95), keys)
+
+
+def robust_box_of(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """robust_box from edge_sketches, for keys of any number of boxes."""
+    return _robust(sketched_quantiles(sketches, keys, 0.5, 0.5), keys)
+
+
+def text_region_of(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """text_region from edge_sketches, for keys of any number of boxes."""
+    return _region(sketched_quantiles(sketches, keys, 0.05, 0.95), keys)
+
+
 def side(df: DataFrame, keys: list[str]) -> DataFrame:
     """left or right from the width-weighted mean centre."""
     weight = F.greatest(F.lit(0.01), F.col("w"))

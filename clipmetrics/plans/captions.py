@@ -9,6 +9,7 @@ from clipmetrics.functions import regions, similarity
 from clipmetrics.operators import boxes, captions
 from clipmetrics.params import CaptionParams, PersistentParams
 from clipmetrics.plans.adapters import OBSERVATIONS, observations, table, with_boxes
+from clipmetrics.session import written
 
 # Events are hours apart, so an interval of an hour and a gap of a day take the place of frames.
 HOURLY = CaptionParams(interval=3600.0, max_gap=86_400.0, min_confidence=0.10, persistent_seconds=200_000.0, slice_seconds=604_800.0)
@@ -138,6 +139,18 @@ def region_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(boxes.text_region(_keyed_boxes(spark, sf_dir), ["video_id"]), ["video_id"])
 
 
+def region_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge quantiles of every event kind from sketches kept per day, each with whether its true rank is within 1 % of the wanted one."""
+    obs = _daily(observations(spark, sf_dir)).select("text", "day", "x", "y", "w", "h")
+    stored = written(boxes.edge_sketches(obs, ["text", "day"], unit="day"), "edge-sketches")
+    q = boxes.sketched_quantiles(boxes.merge_sketches(stored, ["text"]), ["text"], 0.05, 0.95)
+    seen = obs.join(q, "text").groupBy("text").agg(
+        F.max("boxes").alias("boxes"), F.max("units").alias("days"),
+        *[((F.avg((edge < F.col(n)).cast("double")) <= at + 0.01) & (F.avg((edge <= F.col(n)).cast("double")) >= at - 0.01)).alias(f"{n}_near")
+          for n, edge, at in zip("ltrb", boxes.edges(), (0.05, 0.05, 0.95, 0.95))])
+    return seen
+
+
 def region_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.side(_keyed_boxes(spark, sf_dir), ["video_id", "text"])
 
@@ -386,6 +399,8 @@ select ord, cast(p as int) as pos, round_even({_pad('x', 'w', 0.004, 0.005)[0]},
 select p_partkey, round(1.0 - levenshtein(a, b) / greatest(length(a), length(b))::double, 9) as similarity from s"""),
     "robust_box": (robust_box, _quantile_sql(0.5, 0.5, 0.02, 0.015, 0.012, 0.008, "video_id, text")),
     "region_quantiles": (region_quantiles, _quantile_sql(0.05, 0.95, 0.03, 0.025, 0.025, 0.018, "video_id")),
+    "region_sketches": (region_sketches, f"""with {OBSERVATIONS} select text, count(*) as boxes, count(distinct cast(floor(t / 86400) as bigint)) as days,
+true as l_near, true as t_near, true as r_near, true as b_near from observations group by text"""),
     "region_side": (region_side, f"with {OBSERVATIONS} select video_id, text, case when sum((x + w / 2)::double * greatest(0.01, w)) / sum(greatest(0.01, w)::double) < 0.5 then 'left' else 'right' end as side from observations group by video_id, text"),
     "persistent_region": (persistent_region, PERSISTENT_SQL),
     "persistent_texts": (persistent_texts, PERSISTENT_SQL.split("hit as (")[0] + """first as (select video_id, side, cx, cy, min(ord) as first_ord from s group by all),

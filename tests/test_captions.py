@@ -269,6 +269,20 @@ def test_bounded_ratio_loses_no_pair():
                 assert ratio_from(a, b, floor) == (ratio(a, b) if ratio(a, b) >= floor else 0.0)
 
 
+def test_sketches_merge_and_keep_their_bound(spark):
+    """40,000 boxes of one key in parts of unequal size: ranks within 0.5 %, whatever the parts; few boxes as the exact form."""
+    df = spark.range(40_000).selectExpr("'k' as key", "cast(sqrt(id) as long) as part", "pmod(id * 7919, 40000) / 50000d as x", "pmod(id * 104729, 40000) / 60000d as y", "0.1d as w", "0.05d as h")
+    parts = boxes.edge_sketches(df, ["key", "part"], unit="part")
+    got = boxes.sketched_quantiles(boxes.merge_sketches(parts, ["key"]), ["key"], 0.05, 0.95).first()
+    assert got.boxes == 40_000 and abs(got.units - 200) <= 4
+    assert abs(got.l - 0.05 * 0.8) <= 0.005 * 0.8 and abs(got.r - 0.1 - 0.95 * 0.8) <= 0.005 * 0.8
+    assert abs(got.t - 0.05 * 2 / 3) <= 0.005 * 2 / 3 and abs(got.b - 0.05 - 0.95 * 2 / 3) <= 0.005 * 2 / 3
+    few = df.where("x <= 0.0102")  # an odd number of boxes has its median among them
+    sketched, exact = boxes.robust_box_of(boxes.edge_sketches(few, ["key"]), ["key"]), boxes.robust_box(few, ["key"])
+    assert few.count() % 2 == 1 and sketched.collect() == exact.collect()
+    assert boxes.text_region_of(boxes.edge_sketches(df.limit(0), ["key"]), ["key"]).collect() == []
+
+
 def test_boxes_without_area_stay_apart(spark):
     rows = [("v", i, 0.5, 0.5, w, 0.1) for i, w in enumerate((0.0, 0.0, 0.2, 0.2))]
     got = boxes.overlap_groups(spark.createDataFrame(rows, "video_id string, item long, x double, y double, w double, h double"), ["video_id"], 0.25, True, 1e-6)
