@@ -59,11 +59,6 @@ def equal_text_segments(observations: DataFrame, params: CaptionParams = Caption
     )
 
 
-def _from(ratio: Ratio) -> Callable[[str, str, float], float]:
-    """ratio as a function that may answer 0 below a floor; the standard one spares the work there."""
-    return similarity.ratio_from if ratio is similarity.ratio else lambda a, b, floor: ratio(a, b)
-
-
 def similar_text_segments(observations: DataFrame, params: CaptionParams = CaptionParams(),
                           ratio: Ratio = similarity.ratio) -> DataFrame:
     """Observations with a segment number, by similarity to the segment's current representative text.
@@ -78,11 +73,21 @@ def similar_text_segments(observations: DataFrame, params: CaptionParams = Capti
     summary = numbered.groupBy("video_id", "island", "run").agg(
         F.first("cmp").alias("cmp"), F.max("confidence").alias("best"), F.min("t").alias("t"),
     )
-    parts = shown.segment_parts(summary, _from(ratio), params.text_similarity, max(params.slice_seconds, params.gap))
+    parts = shown.segment_parts(summary, similarity.floored(ratio), params.text_similarity, max(params.slice_seconds, params.gap))
     joined = numbered.join(written(parts, "parts"), ["video_id", "island", "run"])
     return joined.withColumn("seg", F.struct("island", "part"))
 
 
+def segment_rows(numbered: DataFrame, params: CaptionParams = CaptionParams()) -> DataFrame:
+    """One row per segment of similar_text_segments, without a vote: the most confident spelling stands for it."""
+    out = numbered.groupBy("video_id", "seg").agg(
+        F.min("t").alias("start_s"), _end(F.max("t"), params, numbered.columns).alias("end_s"),
+        F.max_by("text", F.struct(F.col("confidence"), -F.col("ord"))).alias("text"),
+        F.avg("confidence").alias("confidence"), F.count(F.lit(1)).alias("observation_count"),
+    )
+    return out.drop("seg")
+
+
 _CONSENSUS = [
     StructField("text", StringType()), StructField("confidence", DoubleType()), StructField("consensus_score", DoubleType()),
     StructField("observation_count", LongType()), StructField("winner_count", LongType()),
@@ -92,7 +97,7 @@ _CONSENSUS = [
 
 def _vote(threshold: float, ratio: Ratio):
     """Greedy clustering of distinct texts in order of first appearance, weighted by how often each occurred."""
-    close = _from(ratio)
+    close = similarity.floored(ratio)
 
     def step(key: tuple, rows: Iterator[tuple]) -> Iterable[tuple]:
         items = list(rows)  # distinct texts of one segment

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clipmetrics.functions import scoring
 from clipmetrics.session import written
 
+RAW = ["raw_engagement", "raw_velocity"]
 SCORES = ["engagement", "recency", "relevance", "affiliate", "trend", "overall"]
 
 
@@ -16,6 +17,11 @@ def _raw(df: DataFrame, now: Column) -> DataFrame:
     return with_engagement.withColumn("_velocity", scoring.velocity_raw(F.col("_engagement"), now))
 
 
+def with_raw(df: DataFrame, now: Column) -> DataFrame:
+    """The two quantities whose maxima the scores are normalised by."""
+    return _raw(df, now).withColumnsRenamed({"_engagement": RAW[0], "_velocity": RAW[1]})
+
+
 def _maxima(raw: DataFrame, by: list[str]) -> DataFrame:
     return raw.groupBy(*by).agg(F.max("_engagement").alias("_top_e"), F.max("_velocity").alias("_top_v"))
 

@@ -220,7 +220,7 @@ def frame_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.round(F.col("boxes")[0].x, 6).alias("x0"), F.round(F.col("boxes")[0].h, 6).alias("h0"))
 
 
-def _islands(source: str, text: str, min_conf: str) -> str:
+def islands(source: str, text: str, min_conf: str) -> str:
     return f"""acc as (select *, {text} as base from {source} where confidence >= {min_conf}),
 lagged as (select *, lag(t) over w as pt, lag(base) over w as pb from acc window w as (partition by video_id order by t, ord)),
 seg as (select *, sum(case when pt is null or t - pt > 86400 or base <> pb then 1 else 0 end) over (partition by video_id order by t, ord rows unbounded preceding) as seg_no from lagged)"""
@@ -241,7 +241,7 @@ voted as (select {keys}, best_text as text, weight / size as confidence, size /
   from (select *, row_number() over (partition by {keys} order by round(rank, 9) desc, best_ord) as k from standing) join usable using ({keys}) where k = 1)"""
 
 
-FINAL_SQL = f"""{NOISY}, {_islands('noisy', 'kind', '0.10')},
+FINAL_SQL = f"""{NOISY}, {islands('noisy', 'kind', '0.10')},
 spans as (select video_id, seg_no, min(t) as start_s, max(t) + 3600 as end_s from seg group by all), {_voted('seg', 'video_id, seg_no')},
 kept as (select * from spans join voted using (video_id, seg_no) where end_s - start_s >= 0.35 and not (end_s - start_s >= 200000 and observation_count >= 4)),
 final as (select video_id, row_number() over (partition by video_id order by start_s, seg_no) - 1 as seg_id, start_s, end_s, text, round_even(confidence, 4) as confidence, round_even(consensus_score, 4) as consensus_score,
@@ -362,7 +362,7 @@ round_even({_GX}, 6) as x, round_even({_GY}, 6) as y, round_even({_GW}, 6) as w,
 from j join (select video_id, ord as shown, x::double as x, y::double as y, w::double as w, h::double as h from observations) b on b.video_id = j.video_id and b.shown = case when take then o_ord else j.representative_ord end"""
 
 QUERIES = {
-    "caption_segments": (caption_segments, f"""with {OBSERVATIONS}, {_islands('observations', 'text', '0.10')},
+    "caption_segments": (caption_segments, f"""with {OBSERVATIONS}, {islands('observations', 'text', '0.10')},
 g as (select video_id, seg_no, min(t) as start_s, max(t) + 3600 as end_s, arg_min(text, (-confidence, ord)) as text, round(avg(confidence), 6) as confidence, count(*) as observation_count from seg group by all)
 select * from g where end_s - start_s >= 0.35 and not (end_s - start_s >= 200000 and observation_count >= 4)"""),
     "caption_segments_similar": (caption_segments_similar, f"with {FINAL_SQL} select {', '.join(FINAL)} from final"),
@@ -384,7 +384,7 @@ daily as (select video_id, seg_id, ord, x, y, w, h from seg join win using (vide
 env as (select video_id, seg_id, b.grp as grp, greatest(0.0, min(b.x) - 0.010::double) as x, greatest(0.0, min(b.y) - 0.008::double) as y, least(1.0, max(b.x + b.w) + 0.010::double) as r, least(1.0, max(b.y + b.h) + 0.008::double) as bt from members group by all),
 k as (select *, row_number() over (partition by video_id, seg_id order by y, x, grp) as region_no from env)
 select video_id, seg_id, cast(region_no as int) as region_no, round_even(x, 6) as x, round_even(y, 6) as y, round_even(greatest(0.001, r - x), 6) as w, round_even(greatest(0.001, bt - y), 6) as h from k where region_no <= 10"""),
-    "caption_recover": (caption_recover, f"""with {OBSERVATIONS}, days as (select * replace (video_id || '/' || cast(floor(t / 86400) as bigint) as video_id) from observations), {_islands('days', 'text', str(RECOVERY.min_confidence))}, firsts as (select video_id, seg_no, min(t) as start_s, max(t) + 3600 as end_s, arg_min(text, (-confidence, ord)) as text, count(*) as observation_count from seg group by all),
+    "caption_recover": (caption_recover, f"""with {OBSERVATIONS}, days as (select * replace (video_id || '/' || cast(floor(t / 86400) as bigint) as video_id) from observations), {islands('days', 'text', str(RECOVERY.min_confidence))}, firsts as (select video_id, seg_no, min(t) as start_s, max(t) + 3600 as end_s, arg_min(text, (-confidence, ord)) as text, count(*) as observation_count from seg group by all),
 rest as (select * from days where video_id not in (select video_id from firsts) and confidence >= {RECOVERY.retry_confidence}),
 l2 as (select *, lag(t) over w as pt, lag(text) over w as pb from rest window w as (partition by video_id order by t, ord)),
 s2 as (select *, sum(case when pt is null or t - pt > 86400 or text <> pb then 1 else 0 end) over (partition by video_id order by t, ord rows unbounded preceding) as seg_no from l2)

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipmetrics import rules
-from clipmetrics.plans.adapters import HITS, now, platform_of
+from clipmetrics.operators import captions as batch_captions
+from clipmetrics.operators.jobs import current_jobs
+from clipmetrics.plans.adapters import HITS, OBSERVATIONS, now, platform_of
+from clipmetrics.plans.captions import HOURLY, islands
 from clipmetrics.plans.discovery import FLAT, QUERY, SCORE_COLUMNS, merged_sql, quoted, score_sql
-from clipmetrics.streaming import candidates, captions, runs, state
+from clipmetrics.streaming import candidates, captions, runs, state, tables
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 ORDERS = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
@@ -61,6 +64,37 @@ def st_caption_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("video_id", "text", F.unix_micros("start_time").alias("start_us"), F.unix_micros("end_time").alias("end_us"), "observation_count", F.round("confidence", 6).alias("confidence"))
 
 
+def st_caption_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("ts").cast("timestamp")
+    obs = _events(spark, sf_dir).select(
+        F.col("user_id").cast("string").alias("video_id"), F.col("event_id").alias("ord"), (F.unix_micros(at) / 1e6).alias("t"),
+        F.col("event_type").alias("text"), (F.col("value") / 499.0).alias("confidence"), at.alias("at"))
+    accepted = batch_captions.accept(obs, HOURLY)
+    rows = spark.read.parquet(runs.append_available(captions.segment_stream(accepted, "at", "1 hour", HOURLY), "segments"))
+    return rows.withColumn("confidence", F.round("confidence", 6))
+
+
+def st_candidate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = tables.table_available(candidates.merge_parts(_hits(spark, sf_dir)), "candidates", candidates.merge_of_parts)
+    rows = candidates.from_parts(table.read(spark))
+    return rows.select(*[c for c in FLAT if c != "published_at"], F.unix_micros("published_at").alias("published_us"))
+
+
+def st_job_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer is a job, an order its state from then on."""
+    o = runs.read_stream(spark, sf_dir, ORDERS, "orders.parquet")
+    changes = o.select(F.col("o_custkey").alias("job_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("status"), F.col("o_totalprice").alias("size"))
+    table = tables.table_available(changes, "jobs", current_jobs)
+    return table.read(spark).drop("batch")
+
+
+def st_top_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = tables.TopSnapshot(runs.work_dir(spark, "top"), candidates.MERGE_KEYS, F.lit(QUERY), now())
+    newest = tables.newest(candidates.MERGE_KEYS, "batch")
+    table = tables.table_available(candidates.merge_stream(_hits(spark, sf_dir)), "merged", newest, then=top.update)
+    return top.read(spark, table.batches(spark) - 1).select(*SCORE_COLUMNS)
+
+
 def st_preview_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     at = F.col("ts").cast("timestamp")
@@ -101,6 +135,13 @@ where start_s + 86400 <= (select epoch_us(max(published_at)) / 1e6 - 3600 from e
 l as (select *, us - lag(us) over (partition by video_id, text order by us) as d from e), s as (select *, sum(case when d is null or d > 86400000000 then 1 else 0 end) over (partition by video_id, text order by us) as n from l),
 g as (select video_id, text, min(us) as start_us, max(us) + 86400000000 as end_us, count(*) as observation_count, round(max(confidence), 6) as confidence from s group by video_id, text, n)
 select * from g where end_us <= (select max(us) - 3600000000 from e)"""),
+    "st_caption_segments": (st_caption_segments, f"""with {OBSERVATIONS}, {islands('observations', 'text', '0.10')},
+g as (select video_id, seg_no, min(t) as start_s, max(t) as last_s, arg_min(text, (-confidence, ord)) as text, round(avg(confidence), 6) as confidence, count(*) as observation_count from seg group by all),
+n as (select *, lead(start_s) over (partition by video_id order by seg_no) as next_s, (select max(t) - 3600 from acc) as passed from g)
+select video_id, start_s, last_s + 3600 as end_s, text, confidence, observation_count from n where next_s <= passed or last_s + 86400 < passed"""),
+    "st_candidate_table": (st_candidate_table, f"with {EVENT_MERGED} select {', '.join(c for c in FLAT if c != 'published_at')}, epoch_us(published_at) as published_us from m"),
+    "st_job_table": (st_job_table, "select o_custkey as job_id, max(o_orderkey) as seq, arg_max(o_orderpriority, o_orderkey) as status, arg_max(o_totalprice, o_orderkey) as size from orders group by o_custkey"),
+    "st_top_snapshot": (st_top_snapshot, f"with {EVENT_MERGED}, {score_sql('m', quoted(QUERY))} select {', '.join(SCORE_COLUMNS)} from scored order by overall desc, seq limit 30"),
     "st_preview_cache": (st_preview_cache, """with recursive r as (select cast(user_id as varchar) as key, epoch_us(ts) as at_us, event_id as request, case when event_type = 'error' then 180000000 else 1800000000 end as ttl, row_number() over (partition by user_id order by ts, event_id) as rn from events),
 walk as (select key, at_us, request, rn, 'fetched' as outcome, at_us + ttl as expires_us from r where rn = 1
 union all select r.key, r.at_us, r.request, r.rn, case when r.at_us <= w.expires_us then 'cached' else 'fetched' end, case when r.at_us <= w.expires_us then w.expires_us else r.at_us + r.ttl end from walk w join r on r.key = w.key and r.rn = w.rn + 1)

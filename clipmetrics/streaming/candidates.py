@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clipmetrics.functions import scoring
 from clipmetrics.operators import ranking
 from clipmetrics.operators.candidates import merge_aggregates, merge_key
+from clipmetrics.schemas import COUNTER_FIELDS, STRING_FIELDS
 from clipmetrics.streaming.runs import latest
 
 MERGE_KEYS = ["merge_platform", "merge_key"]
@@ -19,6 +20,39 @@ def merge_stream(hits: DataFrame) -> DataFrame:
     return hits.groupBy(platform, key).agg(*merge_aggregates())
 
 
+FIRST_KNOWN = ["identity", *STRING_FIELDS, "duration_sec"]
+
+
+def merge_parts(hits: DataFrame) -> DataFrame:
+    """Hits in the form in which they can be merged in any order and any number of times: text fields keep the seq they
+    came with, and all that merging does is to take minima and maxima."""
+    platform, key = merge_key()
+    seq = F.col("seq")
+    known = lambda value: F.when(value.isNotNull(), F.struct(seq, value.alias("v")))
+    return hits.select(
+        platform, key, seq, F.struct(seq, "video_id", "platform", "media_type").alias("identity"),
+        *[known(F.nullif(F.col(c), F.lit(""))).alias(c) for c in STRING_FIELDS],
+        known(F.nullif(F.col("duration_sec"), F.lit(0))).alias("duration_sec"), *COUNTER_FIELDS, "published_at",
+    )
+
+
+def merge_of_parts(parts: DataFrame) -> DataFrame:
+    """One row of parts per video."""
+    latest_batch = [F.max("batch").alias("batch")] if "batch" in parts.columns else []
+    return parts.groupBy(*MERGE_KEYS).agg(
+        F.min("seq").alias("seq"), *[F.min(c).alias(c) for c in FIRST_KNOWN],
+        *[F.max(c).alias(c) for c in [*COUNTER_FIELDS, "published_at"]], *latest_batch,
+    )
+
+
+def from_parts(parts: DataFrame) -> DataFrame:
+    """Merged candidates as merge_candidates gives them."""
+    return parts.select(
+        "seq", "identity.video_id", "identity.platform", "identity.media_type",
+        *[F.col(c).v.alias(c) for c in [*STRING_FIELDS, "duration_sec"]], *COUNTER_FIELDS, "published_at",
+    )
+
+
 def merge_sessions(hits: DataFrame, event_time: str, quiet: str, delay: str) -> DataFrame:
     """One final row per video and burst of hits: a video not seen for the quiet time leaves the state."""
     platform, key = merge_key()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
+from pyspark.sql.streaming.listener import QueryIdleEvent, QueryProgressEvent, QueryStartedEvent, QueryTerminatedEvent
 
 from clipmetrics.session import work_dir
 
@@ -33,19 +36,80 @@ def _state_partitions(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def append_available(stream: DataFrame, name: str, path: str | None = None) -> str:
-    """Process everything that is there and append final rows to Parquet files; returns their folder."""
+class _Dropped(StreamingQueryListener):
+    """Rows that stateful operators refused as late, per micro-batch: a few numbers each."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event: QueryStartedEvent) -> None:
+        pass
+
+    def onQueryIdle(self, event: QueryIdleEvent) -> None:
+        pass
+
+    def onQueryProgress(self, event: QueryProgressEvent) -> None:
+        p = event.progress
+        for place, operator in enumerate(p.stateOperators):
+            self.rows.append((str(p.id), p.batchId, place, operator.operatorName, p.eventTime.get("watermark"), p.numInputRows, operator.numRowsDroppedByWatermark))
+
+    def onQueryTerminated(self, event: QueryTerminatedEvent) -> None:
+        self.ended.add(str(event.runId))
+
+
+DROPPED = "query string, batch long, place int, operator string, watermark string, input_rows long, dropped long"
+
+
+def append_counting_late(stream: DataFrame, name: str, path: str | None = None, wait_seconds: float = 60.0) -> tuple[str, str]:
+    """append_available that also keeps a table of the rows each micro-batch dropped as late; returns both folders.
+
+    Spark counts what reaches its stateful operator: rows as they came for keyed state and repeats, groups of equal keys
+    within a task for windowed aggregates. The table has one row per micro-batch and stateful operator.
+    """
     target = path or work_dir(stream.sparkSession, name)
-    writer = (
+    spark, heard = stream.sparkSession, _Dropped()
+    spark.streams.addListener(heard)
+    try:
+        with _state_partitions(spark):
+            query = _appending(stream, target).start()
+        query.awaitTermination()
+        deadline = time.monotonic() + wait_seconds
+        while str(query.runId) not in heard.ended and time.monotonic() < deadline:
+            time.sleep(0.05)  # events arrive in order, shortly after the query's end
+    finally:
+        spark.streams.removeListener(heard)
+    if str(query.runId) not in heard.ended:
+        raise RuntimeError("progress events are missing, so late rows cannot be counted")
+    own = [r for r in heard.rows if r[0] == str(query.id)]
+    spark.createDataFrame(own, DROPPED).coalesce(1).write.mode("append").parquet(f"{target}/late")
+    return f"{target}/rows", f"{target}/late"
+
+
+def _appending(stream: DataFrame, target: str) -> DataStreamWriter:
+    return (
         stream.writeStream.outputMode("append").format("parquet").option("path", f"{target}/rows")
         .option("checkpointLocation", f"{target}/progress").trigger(availableNow=True)
     )
+
+
+def append_available(stream: DataFrame, name: str, path: str | None = None) -> str:
+    """Process everything that is there and append final rows to Parquet files; returns their folder."""
+    target = path or work_dir(stream.sparkSession, name)
     with _state_partitions(stream.sparkSession):
-        query = writer.start()
+        query = _appending(stream, target).start()
     query.awaitTermination()
     return f"{target}/rows"
 
 
+def each_available(stream: DataFrame, write: Callable[[DataFrame, int], None], progress: str) -> None:
+    """Hand every micro-batch of what is there, with its number, to write."""
+    writer = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", progress).trigger(availableNow=True)
+    with _state_partitions(stream.sparkSession):
+        query = writer.start()
+    query.awaitTermination()
+
+
 def changes_available(stream: DataFrame, name: str, path: str | None = None, then: Callable[[SparkSession, str, int], None] | None = None) -> str:
     """Write the keys changed by each micro-batch as a folder of a change log; returns the log's folder.
 
@@ -60,13 +124,7 @@ def changes_available(stream: DataFrame, name: str, path: str | None = None, the
         if then:
             then(batch.sparkSession, log, number)
 
-    writer = (
-        stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{target}/progress")
-        .trigger(availableNow=True)
-    )
-    with _state_partitions(stream.sparkSession):
-        query = writer.start()
-    query.awaitTermination()
+    each_available(stream, write, f"{target}/progress")
     return log
 
 

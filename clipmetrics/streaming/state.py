@@ -93,16 +93,16 @@ class JobMonitor(StatefulProcessor):
         pass
 
 
-def _with_state(stream: DataFrame, key: str, processor: StatefulProcessor, output: str, mode: str) -> DataFrame:
+def with_state(stream: DataFrame, key: str, processor: StatefulProcessor, output: str, mode: str) -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return stream.groupBy(key).transformWithStateInPandas(processor, output, mode, "EventTime")
 
 
 def preview_cache(requests: DataFrame, event_time: str, delay: str) -> DataFrame:
     """requests(key, at_us, request, found, <event_time>): outcome of every request and the end of its entry."""
-    return _with_state(requests.withWatermark(event_time, delay), "key", PreviewCache(), CACHE_OUT, "append")
+    return with_state(requests.withWatermark(event_time, delay), "key", PreviewCache(), CACHE_OUT, "append")
 
 
 def job_monitor(events: DataFrame, event_time: str, delay: str) -> DataFrame:
     """events(job_id, seq, at_us, status, <event_time>): a row per changed job and per interruption found."""
-    return _with_state(events.withWatermark(event_time, delay), "job_id", JobMonitor(), MONITOR_OUT, "update")
+    return with_state(events.withWatermark(event_time, delay), "job_id", JobMonitor(), MONITOR_OUT, "update")

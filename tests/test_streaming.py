@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import random
 import tempfile
+from pathlib import Path
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clipmetrics.operators import candidates as batch
+from clipmetrics.operators import captions as batch_captions
+from clipmetrics.operators import ranking
+from clipmetrics.params import CaptionParams
 from clipmetrics.plans import adapters, streams
-from clipmetrics.streaming import candidates, captions, runs, state
+from clipmetrics.streaming import candidates, captions, runs, state, tables
 
 SF = "/root/testdata/sf0.001"
 START = 1_700_000_000_000_000  # rows at the epoch itself would be late for the initial watermark
@@ -109,3 +115,113 @@ def test_job_monitor_over_batches(spark):
 def test_snapshot_follows_batches(spark):
     out = streams.st_rank_snapshot(spark, SF)
     assert 0 < out.count() <= 30
+
+
+@pytest.mark.parametrize("fan_in", [2, 3, 8])
+def test_runs_of_a_table_cover_every_batch_once(fan_in):
+    table = tables.RunTable("t", lambda rows: rows, fan_in)
+    for batches in range(1, 200):
+        covered = []
+        for path in table.live(batches):
+            level, number = (int(part.split("=")[1]) for part in path.split("/")[1:])
+            covered += range(number * fan_in**level, (number + 1) * fan_in**level)
+        assert covered == list(range(batches))
+
+
+def _rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_candidate_table_takes_hits_in_any_order_and_again(spark):
+    hits = event_hits(spark)
+    folder = in_pieces(spark, hits, F.xxhash64("seq"), 10)
+    parts = candidates.merge_parts(runs.read_stream(spark, folder, ddl(hits), files_per_batch=1))
+    sizes = []
+    count = lambda session, table, number: sizes.append(len(list(Path(table.path).glob("level=*/run=*"))))
+    table = tables.table_available(parts, "merge", candidates.merge_of_parts, fan_in=3, then=count)
+    cols, want = hits.columns, _rows(batch.merge_candidates(hits).select(hits.columns))
+    assert table.batches(spark) == 10 and max(sizes) <= 9 and len(table.live(10)) == 2
+    assert _rows(candidates.from_parts(table.read(spark)).select(cols)) == want
+    # A batch that comes again, as after a failure, and one whose rows all came before change nothing.
+    first = candidates.merge_parts(spark.read.schema(ddl(hits)).parquet(folder)).where("seq % 3 = 1").withColumn("batch", F.lit(9).cast("long"))
+    table.add(first, 10)
+    table.add(first, 10)
+    assert table.batches(spark) == 11 and _rows(candidates.from_parts(table.read(spark)).select(cols)) == want
+
+
+def test_a_batch_costs_its_own_rows(spark):
+    """No combination reads more than fan_in runs, and runs that were combined go."""
+    read = []
+
+    def combine(rows):
+        read.append(len({f.rsplit('/', 1)[0] for f in rows.inputFiles()}))
+        return rows.groupBy("job_id").agg(F.max("seq").alias("seq"))
+
+    base = tempfile.mkdtemp(prefix="run-cost-")
+    table = tables.RunTable(f"{base}/table", combine, 4)
+    for n in range(34):
+        table.add(spark.range(n * 5, n * 5 + 5).select((F.col("id") % 40).alias("job_id"), F.col("id").alias("seq")), n)
+    assert max(read) <= 4 and len(list(Path(table.path).glob("level=*/run=*"))) <= 4 * 3 and len(list(Path(table.path).glob("head/[0-9]*"))) == 1
+    assert sorted(map(tuple, table.read(spark).collect())) == [(k, 130 + (k - 130) % 40) for k in range(40)]
+    with pytest.raises(ValueError):
+        tables.RunTable(f"{base}/none", combine).read(spark)
+
+
+def test_snapshot_of_changes_equals_a_whole_ranking(spark):
+    hits = event_hits(spark)
+    folder = in_pieces(spark, hits, F.xxhash64("seq"), 8)
+    query, now = F.lit(streams.QUERY), adapters.now()
+    top = tables.TopSnapshot(tempfile.mkdtemp(prefix="run-top-"), candidates.MERGE_KEYS, query, now, 5)
+    whole = []
+
+    def then(session, table, number):
+        top.update(session, table, number)
+        want = ranking.top(ranking.score(table.read(session), query, now), "overall", 5).select(*streams.SCORE_COLUMNS)
+        assert list(map(tuple, top.read(session, number).select(*streams.SCORE_COLUMNS).collect())) == list(map(tuple, want.collect()))
+        whole.append(top.read(session, number).first().whole)
+
+    stream = candidates.merge_stream(runs.read_stream(spark, folder, ddl(hits), files_per_batch=1))
+    tables.table_available(stream, "merged", tables.newest(candidates.MERGE_KEYS, "batch"), fan_in=3, then=then)
+    assert whole[0] and not all(whole) and len(whole) >= 6
+
+
+OBSERVED = "video_id string, ord long, t double, text string, confidence double"
+SHORT = CaptionParams(interval=1.0, max_gap=5.0, slice_seconds=30.0)
+
+
+def observed(seed, videos=4, rows=120):
+    draw, base, out = random.Random(seed), START / 1e6, []
+    for v in range(videos):
+        t, word = base, "今天天气很好啊"
+        for n in range(rows):
+            t += draw.choice([0.0, 0.5, 1.0, 1.0, 2.0, 5.0, 5.5, 9.0])
+            if draw.random() < 0.3:
+                word = draw.choice(["今天天气很好啊", "今天天气很好", "今天天氣很好啊", "明天天气不好", "hello there", "hello where", "..", "ok then"])
+            out.append((f"v{v}", v * rows + n, t, word, round(draw.uniform(0.3, 1.0), 3)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_segments_as_a_stream_equal_the_batch(spark, seed):
+    rows = observed(seed)
+    draw = random.Random(seed)
+    end = max(r[2] for r in rows)
+    df = spark.createDataFrame([(*r, r[2] + draw.uniform(0, 15)) for r in rows] + [("end", 10**6, end + 1000, "the end", 0.9, end + 1000)],
+                               OBSERVED + ", came double").withColumn("at", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
+    folder = in_pieces(spark, df, "came", 7)
+    base = tempfile.mkdtemp(prefix="run-seg-")
+
+    def run():
+        stream = batch_captions.accept(runs.read_stream(spark, folder, ddl(df), files_per_batch=1), SHORT)
+        return runs.append_counting_late(captions.segment_stream(stream, "at", "20 seconds", SHORT), "s", base)
+
+    digits = lambda out: sorted((r.video_id, r.start_s, r.end_s, r.text, round(r.confidence, 9), r.observation_count) for r in out.collect() if r.video_id != "end")
+    kept, late = run()
+    accepted = batch_captions.accept(df.select("video_id", "ord", "t", "text", "confidence"), SHORT)
+    want = digits(batch_captions.segment_rows(batch_captions.similar_text_segments(accepted, SHORT), SHORT))
+    assert digits(spark.read.parquet(kept)) == want and len(want) > 20
+    assert spark.read.parquet(late).agg(F.sum("dropped")).first()[0] == 0
+    df.where("video_id = 'v1'").limit(3).withColumn("confidence", F.lit(0.9)).withColumn("text", F.lit("too late")).coalesce(1).write.mode("append").parquet(folder)
+    kept, late = run()
+    assert digits(spark.read.parquet(kept)) == want
+    assert spark.read.parquet(late).agg(F.sum("dropped")).first()[0] == 3
