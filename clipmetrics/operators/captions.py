@@ -16,6 +16,7 @@ from clipmetrics.operators import boxes as boxes_of
 from clipmetrics.operators import shown
 from clipmetrics.operators.folds import fold
 from clipmetrics.operators.ordered import dense_ids, previous_within, running_counts
+from clipmetrics.operators.votes import clusters, spokesman
 from clipmetrics.params import CaptionParams
 from clipmetrics.session import written
 
@@ -97,30 +98,27 @@ _CONSENSUS = [
 
 def _vote(threshold: float, ratio: Ratio):
     """Greedy clustering of distinct texts in order of first appearance, weighted by how often each occurred."""
-    close = similarity.floored(ratio)
+    close, bounded = similarity.floored(ratio), ratio is similarity.ratio and threshold > 0
 
     def step(key: tuple, rows: Iterator[tuple]) -> Iterable[tuple]:
         items = list(rows)  # distinct texts of one segment
-        clusters: list[list[int]] = []
-        for i, (cmp, *_rest) in enumerate(items):
-            near = [max((close(cmp, items[j][0], threshold) for j in members), default=0.0) if cmp else 0.0 for members in clusters]
-            best = max(range(len(near)), key=near.__getitem__, default=-1)
-            if best >= 0 and near[best] >= threshold:
-                clusters[best].append(i)
-            else:
-                clusters.append([i])
+        groups = clusters([item[0] for item in items], threshold, close, bounded)
         # Texts without any comparable character never join: they count as one observation each.
         votes = lambda i: items[i][1] if items[i][0] else 1
         weight = lambda i: items[i][2] if items[i][0] else items[i][3]
-        winner = max(clusters, key=lambda c: (sum(map(votes, c)), sum(map(weight, c))))
+        winner = max(groups, key=lambda c: (sum(map(votes, c)), sum(map(weight, c))))
         size = sum(map(votes, winner))
 
-        def standing(i: int) -> tuple[float, int]:
-            peers = sum(votes(j) * (1.0 if i == j else ratio(items[i][0], items[j][0])) for j in winner) - 1.0
-            agreement = peers / (size - 1) if size > 1 else 1.0
-            return agreement * 0.82 + items[i][3] * 0.18, -items[i][4]
+        def peers_of(place: int) -> float:
+            i = winner[place]
+            return sum(votes(j) * (1.0 if i == j else ratio(items[i][0], items[j][0])) for j in winner)
 
-        chosen = max(winner, key=standing)
+        def standing(place: int, peers: float) -> tuple[float, int]:
+            item = items[winner[place]]
+            agreement = (peers - 1.0) / (size - 1) if size > 1 else 1.0
+            return agreement * 0.82 + item[3] * 0.18, -item[4]
+
+        chosen = winner[spokesman([items[i][0] for i in winner], [votes(i) for i in winner], standing, peers_of, bounded)]
         usable = sum(item[1] for item in items)
         yield (*key, items[chosen][5].strip(), sum(map(weight, winner)) / size, size / usable, usable, size,
                items[chosen][4], [items[i][0] for i in winner])
@@ -132,7 +130,8 @@ def consensus(observations: DataFrame, keys: list[str], params: CaptionParams =
     """Text of a segment by the votes of all its observations.
 
     Equal texts always end in the same cluster, so they are counted first (map-side) and the fold sees
-    each distinct text once, with its number, total confidence and best observation.
+    each distinct text once, with its number, total confidence and best observation. A text is compared with those that
+    share enough pairs of characters with it, not with all others (see votes); a ratio of your own is asked for all.
     """
     trust = F.greatest(F.lit(0.0), F.coalesce(F.col("confidence"), F.lit(0.0)))
     counted = (

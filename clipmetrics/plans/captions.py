@@ -169,6 +169,22 @@ def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.round(similarity.similarity(F.lower("p_name"), F.lower(F.concat("p_type", F.lit(" "), "p_brand"))), 9).alias("similarity"))
 
 
+def text_similarity_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matching-blocks similarity of the same texts."""
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.round(similarity.similarity(F.lower("p_name"), F.lower(F.concat("p_type", F.lit(" "), "p_brand")), mode="exact"), 9).alias("similarity"))
+
+
+def consensus_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names of one size as readings of one text: many distinct ones in few segments."""
+    p = table(spark, sf_dir, "part")
+    seen = p.select(F.col("p_size").alias("size"), F.col("p_partkey").alias("ord"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"),
+                    ((F.col("p_partkey") % 499) / 499.0).alias("confidence"))
+    voted = captions.consensus(seen, ["size"])
+    return voted.select("size", "text", F.round("confidence", 6).alias("confidence"), F.round("consensus_score", 6).alias("consensus_score"),
+                        "observation_count", "winner_count", "representative_ord")
+
+
 BRAND = PersistentParams(brand="purchase")
 
 
@@ -397,6 +413,8 @@ union all select ord, x / 2, y / 2, h, w from observations), k as (select *, row
 select ord, cast(p as int) as pos, round_even({_pad('x', 'w', 0.004, 0.005)[0]}, 6) as x, round_even({_pad('y', 'h', 0.004, 0.005)[0]}, 6) as y, round_even({_pad('x', 'w', 0.004, 0.005)[1]}, 6) as w, round_even({_pad('y', 'h', 0.004, 0.005)[1]}, 6) as h from k"""),
     "text_similarity": (text_similarity, """with s as (select p_partkey, regexp_replace(lower(p_name), '[^a-z0-9_]', '', 'g') as a, regexp_replace(lower(p_type || ' ' || p_brand), '[^a-z0-9_]', '', 'g') as b from part)
 select p_partkey, round(1.0 - levenshtein(a, b) / greatest(length(a), length(b))::double, 9) as similarity from s"""),
+    "text_similarity_exact": (text_similarity_exact, None),
+    "consensus_of_texts": (consensus_of_texts, None),
     "robust_box": (robust_box, _quantile_sql(0.5, 0.5, 0.02, 0.015, 0.012, 0.008, "video_id, text")),
     "region_quantiles": (region_quantiles, _quantile_sql(0.05, 0.95, 0.03, 0.025, 0.025, 0.018, "video_id")),
     "region_sketches": (region_sketches, f"""with {OBSERVATIONS} select text, count(*) as boxes, count(distinct cast(floor(t / 86400) as bigint)) as days,

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clipmetrics.functions import regions, similarity
-from clipmetrics.operators import batches, boxes, captions, cues, media, ordered, shown
+from clipmetrics.operators import batches, boxes, captions, cues, media, ordered, shown, votes
 from clipmetrics.params import CaptionParams, MatchParams, PackingParams, PersistentParams
 from clipmetrics.session import written
 
@@ -545,3 +545,83 @@ def test_overlap_groups_of_a_crowded_key():
         boxes._shared = plain
     places = len({(int(x * 90), int(y * 90)) for _, x, y, _, _ in rows})
     assert len({g for _, g in got}) == places and tests < 40 * len(rows)
+
+
+def clusters_one_by_one(texts, threshold):
+    groups = []
+    for i, value in enumerate(texts):
+        near = [max(similarity.ratio(value, texts[j]) for j in g) for g in groups]
+        best = max(range(len(near)), key=near.__getitem__, default=-1)
+        if best >= 0 and near[best] >= threshold:
+            groups[best].append(i)
+        else:
+            groups.append([i])
+    return groups
+
+
+def spellings(seed, n, letters, size):
+    """Texts of a few families, each changed at random places, some of them long or empty."""
+    rng, out = random.Random(seed), {"": None}
+    while len(out) < n:
+        base = random.Random(rng.randrange(max(2, n // 12))).choices(letters, k=rng.choice([size, size, size + 5]))
+        for _ in range(rng.randrange(5)):
+            base[rng.randrange(len(base))] = rng.choice(letters)
+        if rng.random() < 0.3:
+            del base[rng.randrange(len(base))]
+        out["".join(base) * (12 if rng.random() < 0.02 else 1)] = None
+    return list(out)
+
+
+@pytest.mark.parametrize("threshold", [0.05, 0.5, 0.72, 0.95, 1.0])
+@pytest.mark.parametrize("letters,size", [("ab", 6), ("abcdefghijklmnop", 14), ("欢迎光临直播间今天气很好啊", 5)])
+@pytest.mark.parametrize("few", [0, 256])
+def test_clusters_by_shared_pairs(monkeypatch, threshold, letters, size, few):
+    monkeypatch.setattr(votes, "FEW", few)
+    texts = spellings(len(letters), 150 if len(letters) > 2 else 60, letters, size)
+    assert votes.clusters(texts, threshold, similarity.ratio_from, True) == clusters_one_by_one(texts, threshold)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_spokesman_by_bounds(seed):
+    texts = [x for x in spellings(seed, 80, "abcdefgh", 10) if x]
+    rng = random.Random(seed)
+    weights, sure, asked = [rng.choice([1, 1, 2, 9]) for _ in texts], [rng.random() for _ in texts], []
+    total = sum(weights)
+    peers = lambda i: asked.append(i) or sum(w * (1.0 if i == j else similarity.ratio(texts[i], texts[j])) for j, w in enumerate(weights))
+    standing = lambda i, p: ((p - 1.0) / (total - 1) * 0.82 + sure[i] * 0.18, -i)
+    want = max(range(len(texts)), key=lambda i: standing(i, peers(i)))
+    asked.clear()
+    assert votes.spokesman(texts, weights, standing, peers, True) == want and len(asked) < len(texts)
+
+
+def test_many_distinct_texts_are_not_all_compared():
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=18)) for _ in range(6000)]
+    near = [x[:7] + "#" + x[8:] for x in texts[:1000]]
+    calls = []
+    close = lambda a, b, floor: calls.append(1) or similarity.ratio_from(a, b, floor)
+    groups = votes.clusters(texts + near, 0.72, close, True)
+    assert all([i, 6000 + i] in groups for i in range(1000)) and len(calls) < 7000 * 7000 / 2 / 50
+
+
+def test_exact_similarity_query(spark):
+    from clipmetrics.plans import captions as plans
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.p_partkey: r.similarity for r in plans.text_similarity_exact(spark, sf).collect()}
+    for p in spark.read.parquet(f"{sf}/part.parquet").collect():
+        a, b = (similarity.comparable(x.lower()) for x in (p.p_name, p.p_type + " " + p.p_brand))
+        assert got[p.p_partkey] == pytest.approx(similarity.ratio(a, b), abs=1e-9)
+
+
+def test_consensus_of_texts_query(spark):
+    from clipmetrics.plans import captions as plans
+
+    sf = "/root/testdata/sf0.001"
+    rows = {}
+    for p in spark.read.parquet(f"{sf}/part.parquet").orderBy("p_partkey").collect():
+        rows.setdefault(p.p_size, []).append((" ".join((p.p_name, p.p_type, p.p_brand)), p.p_partkey % 499 / 499.0, p.p_partkey))
+    got = plans.consensus_of_texts(spark, sf).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.text, r.confidence, r.winner_count, r.observation_count, r.representative_ord) == vote_one_by_one(rows[r.size], 0.72)
